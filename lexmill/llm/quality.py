@@ -84,7 +84,7 @@ def bag(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, idx, (count / total[docs]).astype(np.float32)
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 8, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[bytes], labels: list[int], epochs: int = 8, least_steps: int = 16000, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
     """A number per bucket and a bias, whose sum is the log odds of label 1; and the score of texts without features in the last place."""
     y = np.asarray(labels)
     prior = float(y.mean()) if len(y) else 0.5
@@ -99,6 +99,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, rate: float =
     idx, share = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
     start = np.searchsorted(docs, np.arange(len(texts) + 1))
     rows = np.flatnonzero(np.diff(start))
+    # small samples are gone over more often
+    epochs = max(epochs, -(-least_steps // max(1, len(rows))))
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(rows):
