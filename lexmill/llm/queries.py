@@ -12,7 +12,9 @@ from .language import languages
 from .media import avi_digest
 from .packing import pack
 from .quality import quality_scores
+from .repeats import removed_repeats
 from .sharding import shard_rows
+from .simhash import near_duplicates
 from .spm import sp_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +44,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_digest(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
+@query("op5_repeats")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
