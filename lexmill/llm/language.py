@@ -179,8 +179,8 @@ def learn(documents: DataFrame, max_chars: int = 32768, max_docs: int = 200, id_
     return samples, weight
 
 
-def predict(documents: DataFrame, model: tuple[dict[str, bytes], dict[str, int]], id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """Rows (id, *keep, lang_pred, score, bits): score is the runner-up's share of the two entropies' sum, bits the winner's entropy per symbol."""
+def predict(documents: DataFrame, model: tuple[dict[str, bytes], dict[str, int]], id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), out: tuple[str, str, str] = ("lang_pred", "score", "bits")) -> DataFrame:
+    """Rows (id, *keep, lang_pred, score, bits), or by the names in out: score is the runner-up's share of the two entropies' sum, bits the winner's entropy per symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(*model)
@@ -197,13 +197,13 @@ def predict(documents: DataFrame, model: tuple[dict[str, bytes], dict[str, int]]
             own = [c for c in range(b.num_columns) if b.schema.names[c] != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in own] + [pa.array(name, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, low, 0.0))],
-                names=[b.schema.names[c] for c in own] + ["lang_pred", "score", "bits"],
+                names=[b.schema.names[c] for c in own] + list(out),
             )
 
     cols = [id_col, *[c for c in keep if c != id_col]]
     kinds = dict(documents.dtypes)
     src = documents.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).alias("__text"))
-    return src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", lang_pred string, score double, bits double")
+    return src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", `{}` string, `{}` double, `{}` double".format(*out))
 
 
 def languages(documents: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -134,8 +134,8 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, max_byt
     return train([t for t, _ in out], [y for _, y in out])
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """Rows (id, *keep, score): probability of label 1 of each whole text; a narrow stage."""
+def score(documents: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), out: str = "score") -> DataFrame:
+    """Rows (id, *keep, score): probability of label 1 of each whole text; a narrow stage. out names the score where score is taken."""
     sc = documents.sparkSession.sparkContext
     table, bias = model
     sent = sc.broadcast(table)  # one number per bucket: 1 MB, whatever the input
@@ -150,12 +150,12 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], id_col: str = "
                 count += np.bincount(docs, minlength=b.num_rows)
             z = total / np.maximum(1, count) + bias
             rest = [c for c in range(b.num_columns) if b.schema.names[c] != "__text"]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(1 / (1 + np.exp(-z)))], names=[b.schema.names[c] for c in rest] + ["score"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(1 / (1 + np.exp(-z)))], names=[b.schema.names[c] for c in rest] + [out])
 
     cols = [id_col, *[c for c in keep if c != id_col]]
     src = documents.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).alias("__text"))
     kinds = dict(documents.dtypes)
-    return src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", score double")
+    return src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + f", `{out}` double")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = THRESHOLD) -> DataFrame:

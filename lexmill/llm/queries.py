@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
+from .html import extract
+from .kmtree import nearest_to_hundredths
 from .language import languages
 from .media import avi_digest
 from .packing import pack
@@ -29,6 +30,11 @@ def query(name: str):
     return add
 
 
+@query("op1_kmeans_tree")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_to_hundredths(table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_sharding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
@@ -49,6 +55,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_repeats(table(spark, sf_dir, "documents"))
 
 
+@query("op6_html")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -67,3 +78,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_media")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi_digest(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)

@@ -93,14 +93,13 @@ def _runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _group(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """Buffer, offsets, comparable ids and given ids of a group's documents, in an order that doesn't depend on how they came."""
+    """Buffer, offsets, comparable ids and places in the table of a group's documents, in an order that doesn't depend on how they came."""
     ids = t.column("id").to_pylist()
     texts = t.column("text").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (LAST if ids[i] is None else ids[i], texts[i]))
     offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in order])]).astype(np.int64)
     buf = np.frombuffer(b"".join([texts[i] for i in order]), np.uint8)
-    given = [ids[i] for i in order]
-    return buf, offsets, np.array([LAST if i is None else i for i in given], np.int64), given
+    return buf, offsets, np.array([LAST if ids[i] is None else ids[i] for i in order], np.int64), order
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -283,10 +282,8 @@ def _whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.append(first, len(buf))))
 
 
-def _finish(t: pa.Table, back: pa.Table, with_text: bool, out: pa.Schema) -> pa.Table:
-    if not t.num_rows:
-        return _table([], out)
-    buf, offsets, ids, given = _group(t)
+def _finish(t: pa.Table, back: pa.Table, out: pa.Schema) -> pa.Table:
+    buf, offsets, ids, order = _group(t)
     cover = np.zeros(len(buf) + 1, np.int64)
     if back.num_rows:
         doc, first, count, _, seg, low, _ = _stretches(buf, offsets, ids, back)
@@ -297,8 +294,8 @@ def _finish(t: pa.Table, back: pa.Table, with_text: bool, out: pa.Schema) -> pa.
         if rows:
             a, b, c = (np.concatenate([np.frombuffer(r[k], np.int32) for r in rows]).astype(np.int64) for k in "abc")
             d = np.concatenate([np.frombuffer(r["d"], np.int64) for r in rows])
-            order = np.argsort(a, kind="stable")
-            a, b, c, d = a[order], b[order], c[order], d[order]
+            by = np.argsort(a, kind="stable")
+            a, b, c, d = a[by], b[by], c[by], d[by]
             lo, hi = np.searchsorted(a, seg, "left"), np.searchsorted(a, seg, "right")
             hit = np.repeat(np.arange(len(seg)), hi - lo)
             run = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(hit))
@@ -307,34 +304,37 @@ def _finish(t: pa.Table, back: pa.Table, with_text: bool, out: pa.Schema) -> pa.
             np.add.at(cover, first[hit] + b[run], 1)
             np.add.at(cover, first[hit] + b[run] + c[run] + LENGTH - 1, -1)
     gone = np.cumsum(cover[:-1]) > 0
-    res = []
-    for i, key in enumerate(given):
+    given, rest, res = t.column("id"), t.column("rest") if "rest" in t.column_names else None, []
+    for i, k in enumerate(order):
         text, g = buf[offsets[i] : offsets[i + 1]], gone[offsets[i] : offsets[i + 1]]
-        if with_text:
-            res.append((key, text[~_whole_characters(text, g)].tobytes()))
+        if rest is not None:
+            res.append((given[k].as_py(), text[~_whole_characters(text, g)].tobytes()))
             continue
         spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (g[0] if len(g) else 0))
-        res.append((key, len(text), int(g.sum()), spans, hashlib.sha256(text[~g].tobytes()).hexdigest()))
-    return _table(res, out)
+        res.append((given[k].as_py(), len(text), int(g.sum()), spans, hashlib.sha256(text[~g].tobytes()).hexdigest()))
+    done = _table(res, out)
+    return done if rest is None else done.append_column("rest", rest.take(pa.array(order, pa.int64())))
 
 
 def _run(df: DataFrame, id_col: str, text_col: str, with_text: bool, group_bytes: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups, buckets = max(16, total // group_bytes), max(16, total // (4 * group_bytes))
-    docs = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).dropFields(f"c{df.columns.index(text_col)}").alias("rest")] if with_text else []
+    docs = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *rest)
     docs = docs.withColumn("grp", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(groups)))
-    keys = docs.groupBy("grp").applyInArrow(lambda t: _report(t, buckets), DDL["KEYS"])
+    lean = docs.drop("rest")
+    keys = lean.groupBy("grp").applyInArrow(lambda t: _report(t, buckets), DDL["KEYS"])
     shared = cut(keys.groupBy("bucket").applyInArrow(_shared, DDL["BACK"]))
     sent = docs.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(lambda a, b: _send(a, b, buckets), DDL["PARTS"])
     less = sent.groupBy("bucket").applyInArrow(_order, DDL["BACK"])
     if with_text:
-        out, ddl = pa.schema([("id", pa.int64()), ("kept", pa.binary())]), "id long, kept binary"
+        out, ddl = pa.schema([("id", pa.int64()), ("kept", pa.binary())]), f"id long, kept binary, rest {dict(docs.dtypes)['rest']}"
     else:
         out = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
         ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     back = shared.unionByName(less)
-    return docs.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(lambda a, b: _finish(a, b, with_text, out), ddl)
+    return docs.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(lambda a, b: _finish(a, b, out), ddl)
 
 
 def removed_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 2 << 20) -> DataFrame:
@@ -343,5 +343,6 @@ def removed_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 2 << 20) -> DataFrame:
-    """id and text of every document without its repeated passages; a character goes only if all of its bytes do."""
-    return _run(df, id_col, text_col, True, group_bytes).select(F.col("id").alias(id_col), F.col("kept").cast("string").alias(text_col))
+    """The input's columns, texts without their repeated passages; a character goes only if all of its bytes do."""
+    out = _run(df, id_col, text_col, True, group_bytes)
+    return out.select(*[F.col("kept").cast("string").alias(c) if c == text_col else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(df.columns)])
