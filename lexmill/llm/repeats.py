@@ -26,8 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
 LENGTH, GRAM = 50, 20
 LAST = np.iinfo(np.int64).max
 MUL = 0x9E3779B97F4A7C15
@@ -106,6 +104,15 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _pack(text: bytes) -> bytes:
+    """Stretches overlap and repeat, so they are worth compressing before they are exchanged."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def _split(by: np.ndarray, *cols: np.ndarray) -> list[tuple]:
     """(value, columns' parts as bytes) for each value of by."""
     order = np.argsort(by, kind="stable")
@@ -185,7 +192,7 @@ def _send(t: pa.Table, back: pa.Table, buckets: int) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], where[order][1:] != where[order][:-1]]))
     rows = []
     for own in np.split(order, first[1:]):
-        rows.append((int(where[own[0]]), grp, own.astype(np.int32).tobytes(), size[own].tobytes(), low[own].tobytes(), b"".join([texts[i] for i in own.tolist()])))
+        rows.append((int(where[own[0]]), grp, own.astype(np.int32).tobytes(), size[own].tobytes(), low[own].tobytes(), _pack(b"".join([texts[i] for i in own.tolist()]))))
     return _table(rows, PARTS)
 
 
@@ -238,7 +245,7 @@ def _order(t: pa.Table) -> pa.Table:
     """For each group that sent stretches to this bucket: stretch, first window, windows, smallest document, where that is smaller than the group's own."""
     parts, where, owner, asked, lows = {}, [], [], [], []
     for grp, seg, size, low, text in zip(*[t.column(c).to_pylist() for c in ("grp", "seg", "size", "low", "text")]):
-        at = 0
+        at, text = 0, _unpack(text)
         for n in np.frombuffer(size, np.int32).tolist():
             where.append(parts.setdefault(text[at : at + n], len(parts)))
             at += n
@@ -323,9 +330,9 @@ def _run(df: DataFrame, id_col: str, text_col: str, with_text: bool, group_bytes
     rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).dropFields(f"c{df.columns.index(text_col)}").alias("rest")] if with_text else []
     docs = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *rest)
     docs = docs.withColumn("grp", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(groups)))
-    lean = docs.drop("rest")
-    keys = lean.groupBy("grp").applyInArrow(lambda t: _report(t, buckets), DDL["KEYS"])
-    shared = cut(keys.groupBy("bucket").applyInArrow(_shared, DDL["BACK"]))
+    keys = docs.groupBy("grp").applyInArrow(lambda t: _report(t, buckets), DDL["KEYS"])
+    # used twice below: texts and keys are exchanged once, their exchanges are reused
+    shared = keys.groupBy("bucket").applyInArrow(_shared, DDL["BACK"])
     sent = docs.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(lambda a, b: _send(a, b, buckets), DDL["PARTS"])
     less = sent.groupBy("bucket").applyInArrow(_order, DDL["BACK"])
     if with_text:
