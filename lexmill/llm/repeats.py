@@ -105,7 +105,7 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _pack(text: bytes) -> bytes:
-    """Stretches overlap and repeat, so they are worth compressing before they are exchanged."""
+    """What is exchanged in blocks is worth compressing: stretches overlap, and their numbers repeat."""
     return len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
 
 
@@ -159,6 +159,21 @@ def _shared(t: pa.Table) -> pa.Table:
     return _table([(g, 0, k, None, None, None) for g, k in _split(grp[keep], key[keep])], BACK)
 
 
+def _cut_long(buf: np.ndarray, doc: np.ndarray, first: np.ndarray, count: np.ndarray, key: np.ndarray) -> tuple:
+    """Long runs of one key in pieces. Such text mostly repeats itself: cut by its period, its pieces are equal stretches."""
+    span = LENGTH - GRAM + 1
+    step = np.full(len(count), span)
+    for i in np.flatnonzero(count > span).tolist():
+        text = buf[first[i] : first[i] + count[i] + LENGTH - 1]
+        step[i] = next((p for p in range(1, span + 1) if np.array_equal(text[p:], text[:-p])), span)
+    pieces = np.where(count > span, -(-count // step), 1)
+    run = np.repeat(np.arange(len(count)), pieces)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    long = pieces[run] > 1
+    size = np.where(long, np.minimum(step[run], count[run] - nth * step[run]), count[run])
+    return doc[run], first[run] + nth * step[run], size, key[run]
+
+
 def _stretches(buf: np.ndarray, offsets: np.ndarray, ids: np.ndarray, back: pa.Table) -> tuple:
     """Runs whose key is shared, the distinct stretches of text they are, and each run's stretch."""
     rows = [x for x, k in zip(back.column("a").to_pylist(), back.column("kind").to_pylist()) if k == 0]
@@ -166,7 +181,7 @@ def _stretches(buf: np.ndarray, offsets: np.ndarray, ids: np.ndarray, back: pa.T
     doc, first, count, key = _runs(buf, offsets)
     at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
     ok = known[at] == key if len(known) else np.zeros(len(key), bool)
-    doc, first, count, key = doc[ok], first[ok], count[ok], key[ok]
+    doc, first, count, key = _cut_long(buf, doc[ok], first[ok], count[ok], key[ok])
     raw = buf.tobytes()
     number: dict[bytes, int] = {}
     seg = np.array([number.setdefault(raw[a : a + n], len(number)) for a, n in zip(first.tolist(), (count + LENGTH - 1).tolist())], np.int64)
@@ -192,7 +207,7 @@ def _send(t: pa.Table, back: pa.Table, buckets: int) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], where[order][1:] != where[order][:-1]]))
     rows = []
     for own in np.split(order, first[1:]):
-        rows.append((int(where[own[0]]), grp, own.astype(np.int32).tobytes(), size[own].tobytes(), low[own].tobytes(), _pack(b"".join([texts[i] for i in own.tolist()]))))
+        rows.append((int(where[own[0]]), grp, _pack(own.astype(np.int32).tobytes()), _pack(size[own].tobytes()), _pack(low[own].tobytes()), _pack(b"".join([texts[i] for i in own.tolist()]))))
     return _table(rows, PARTS)
 
 
@@ -211,7 +226,7 @@ def refine(pointer: np.ndarray, active: np.ndarray, offset: int) -> tuple[np.nda
     head = np.maximum.accumulate(np.where(fresh, place, 0))
     base = np.maximum.accumulate(np.where(bucket, place, 0))
     pointer = pointer.copy()
-    pointer[active] = pointer[active] + (head - base)
+    pointer[active] += (head - base).astype(pointer.dtype)
     first = np.flatnonzero(fresh)
     size = np.diff(np.append(first, len(key)))
     return pointer, active[np.repeat(size > 1, size)]
@@ -219,22 +234,26 @@ def refine(pointer: np.ndarray, active: np.ndarray, offset: int) -> tuple[np.nda
 
 def window_classes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A number for the 50 bytes at each start, equal for equal strings; the buckets of the suffix order at depth 50."""
-    padded = np.concatenate([text, np.zeros(LENGTH + 8, np.uint8)])
-    gram = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(text) + LENGTH]).view(">u8").ravel().astype(np.uint64)
-    order = np.argsort(gram, kind="stable")
-    s = gram[order]
-    fresh = np.concatenate([[True], s[1:] != s[:-1]])
-    head = np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))
-    pointer = np.empty(len(s), np.int64)
-    pointer[order] = head
-    size = np.diff(np.append(np.flatnonzero(fresh), len(s)))
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    gram = np.zeros(n, np.uint64)
+    for k in range(8):
+        gram <<= np.uint64(8)
+        gram |= padded[k : n + k]
+    order = np.argsort(gram, kind="stable").astype(np.int32)
+    gram = gram[order]
+    fresh = np.concatenate([[True], gram[1:] != gram[:-1]])
+    del gram
+    pointer = np.empty(n, np.int32)
+    pointer[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), np.int32(0)))
+    size = np.diff(np.append(np.flatnonzero(fresh), n))
     active = order[np.repeat(size > 1, size)]
     for depth, offset in ((8, 8), (16, 16), (32, LENGTH - 32)):
         if depth == 32:
-            wanted = np.zeros(len(s), bool)
+            wanted = np.zeros(n, bool)
             wanted[starts] = True
             active = active[wanted[active]]
-        active = active[active + offset < len(s)]
+        active = active[active < n - offset]
         if not len(active):
             break
         pointer, active = refine(pointer, active, offset)
@@ -245,7 +264,7 @@ def _order(t: pa.Table) -> pa.Table:
     """For each group that sent stretches to this bucket: stretch, first window, windows, smallest document, where that is smaller than the group's own."""
     parts, where, owner, asked, lows = {}, [], [], [], []
     for grp, seg, size, low, text in zip(*[t.column(c).to_pylist() for c in ("grp", "seg", "size", "low", "text")]):
-        at, text = 0, _unpack(text)
+        at, (seg, size, low, text) = 0, map(_unpack, (seg, size, low, text))
         for n in np.frombuffer(size, np.int32).tolist():
             where.append(parts.setdefault(text[at : at + n], len(parts)))
             at += n
@@ -278,7 +297,7 @@ def _order(t: pa.Table) -> pa.Table:
     less = low[first[run]] < lows[ask]
     ask, run = ask[less], run[less]
     rows = _split(owner[ask], asked[ask].astype(np.int32), nth[first[run]].astype(np.int32), count[run].astype(np.int32), low[first[run]])
-    return _table([(g, 1, a, b, c, d) for g, a, b, c, d in rows], BACK)
+    return _table([(g, 1, *map(_pack, x)) for g, *x in rows], BACK)
 
 
 def _whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -299,8 +318,8 @@ def _finish(t: pa.Table, back: pa.Table, out: pa.Schema) -> pa.Table:
         np.add.at(cover, first[own] + count[own] + LENGTH - 1, -1)
         rows = [r for r in back.select(["kind", "a", "b", "c", "d"]).to_pylist() if r["kind"] == 1]
         if rows:
-            a, b, c = (np.concatenate([np.frombuffer(r[k], np.int32) for r in rows]).astype(np.int64) for k in "abc")
-            d = np.concatenate([np.frombuffer(r["d"], np.int64) for r in rows])
+            a, b, c = (np.concatenate([np.frombuffer(_unpack(r[k]), np.int32) for r in rows]).astype(np.int64) for k in "abc")
+            d = np.concatenate([np.frombuffer(_unpack(r["d"]), np.int64) for r in rows])
             by = np.argsort(a, kind="stable")
             a, b, c, d = a[by], b[by], c[by], d[by]
             lo, hi = np.searchsorted(a, seg, "left"), np.searchsorted(a, seg, "right")
@@ -326,7 +345,7 @@ def _finish(t: pa.Table, back: pa.Table, out: pa.Schema) -> pa.Table:
 def _run(df: DataFrame, id_col: str, text_col: str, with_text: bool, group_bytes: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    groups, buckets = max(16, total // group_bytes), max(16, total // (4 * group_bytes))
+    groups = buckets = max(16, total // group_bytes)
     rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).dropFields(f"c{df.columns.index(text_col)}").alias("rest")] if with_text else []
     docs = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *rest)
     docs = docs.withColumn("grp", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(groups)))
