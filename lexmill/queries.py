@@ -61,3 +61,6 @@ def split_integrity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("held") != F.col("assigned"), F.col("n"))), F.lit(0)).alias("dropped"),
         F.sum(F.when(F.col("n_splits") > 1, 1).otherwise(0)).cast("bigint").alias("cross_split_keys"),
     )
+
+
+from . import queries_stats, queries_text  # noqa: E402,F401
