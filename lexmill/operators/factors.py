@@ -73,8 +73,9 @@ def own_text(text: Column, target: Column, co: Column) -> Column:
     names_other = lambda s: F.exists(rest, lambda n: s.contains(n))
     sentences = F.regexp_extract_all(text, F.lit(r"([^。；！？\n]+[。；！？\n]?)"), F.lit(1))
     clauses = lambda s: F.regexp_extract_all(s, F.lit(r"([^，。；！？\n]+[，。；！？\n]?)"), F.lit(1))
-    keep = lambda c, s: (mentions(c, target, rest) & ~names_other(c)) | (~mentions(c, target, rest) & ~names_other(c) & ~names_other(s))
-    kept = F.flatten(F.transform(sentences, lambda s: F.filter(clauses(s), lambda c: keep(c, s))))
+    # what holds of a sentence is a field beside it: two tests alike but for their lambda variable may be taken for one
+    marked = F.transform(sentences, lambda s: F.struct(s.alias("s"), names_other(s).alias("other")))
+    kept = F.flatten(F.transform(marked, lambda x: F.filter(clauses(x["s"]), lambda c: ~names_other(c) & (mentions(c, target, rest) | ~x["other"]))))
     whole = (F.coalesce(target, F.lit("")) == "") | (F.size(rest) == 0)
     return F.when(whole, text).otherwise(F.coalesce(F.nullif(F.array_join(kept, ""), F.lit("")), text))
 

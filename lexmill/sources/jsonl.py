@@ -55,7 +55,7 @@ def simple_cases(parsed: DataFrame, split: str, dataset: str = "cail") -> DataFr
     articles = article_labels(F.coalesce(m["relevant_articles"], F.array().cast("array<string>")))
     case = parsed.where(_guard(F.size(m["criminals"]) == 1, "exactly one defendant is required")).select(
         F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), F.concat(F.lit(f"{dataset}-"), canonical_id(("criminals", m["criminals"]), ("fact", r["fact"]))).alias("case_id"),
-        F.get(m["criminals"], F.lit(0)).alias("target_defendant"), r["fact"].alias("fact_raw"), F.transform(m["accusation"], without_suffix).alias("charges"), penalty.alias("penalty_type"),
+        F.get(m["criminals"], F.lit(0)).alias("target_defendant"), r["fact"].alias("fact_raw"), F.transform(m["accusation"], lambda c: without_suffix(c)).alias("charges"), penalty.alias("penalty_type"),
         F.when(penalty == "fixed_term", term["imprisonment"]).alias("imprisonment_months"), F.concat(F.col("path"), F.lit(":"), F.col("line_no").cast("string")).alias("source_path"),
         articles.alias("conviction_articles"), F.array().cast("array<string>").alias("sentencing_articles"), F.array().cast("array<string>").alias("co_defendants"),
         F.lit(False).alias("mask_penalty"), F.lit(None).cast("string").alias("penalty_exclusion"), m["relevant_articles"].isNotNull().alias("articles_available"), F.lit(None).cast("string").alias("penalty_fallback"),
