@@ -183,7 +183,6 @@ def novel_ngrams(parent: C, text: C, n: int = 8) -> Column:
     """Share of the text's distinct character n-grams that the parent lacks; 0 where it has none."""
 
     def grams(t: Column) -> Column:
-        t = F.regexp_replace(t, r"\s+", "")
         # a look-ahead finds overlapping stretches in one pass
         return F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 

@@ -1,77 +1,242 @@
-"""Controlled edits of a sentence: splicing, amount and restitution rewrites, and checks of a result."""
+"""Controlled edits of a case's text: where an edit may go, how it is made, and whether a result holds.
+
+Columns throughout. Offsets count code points from 0. What holds of a sentence or clause is a field beside it.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets
-from ..functions.columns import amounts_in, amounts_match, format_amount, novel_ngrams
-from .factors import conducts, cue_polarity
-from .redact import mask_count
+from ..functions.columns import amount_in, amounts_in, amounts_match, format_amount, novel_ngrams
+from .factors import _any, conducts, cue_polarity, factors, mentions, own_text
 
 ENDS = "。；！？\n"
 
 
-def sentences(text: Column) -> Column:
-    """Sentences with their start (code points, from 0): (s, start)."""
-    parts = F.regexp_extract_all(text, F.lit(rf"([^{ENDS}]+[{ENDS}]?|[{ENDS}])"), F.lit(1))
+def _empty() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _parts(text: Column, pattern: str, keep: str) -> Column:
+    """Stretches that tile a text with their starts, those that match keep."""
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:string,start:int>>").alias("out"))
-    return F.aggregate(parts, start, lambda acc, s: F.struct((acc["at"] + F.length(s)).alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), acc["at"].alias("start"))).alias("out")))["out"]
+    step = lambda acc, s: F.struct((acc["at"] + F.length(s)).alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), acc["at"].alias("start"))).alias("out"))
+    return F.filter(F.aggregate(found, start, step)["out"], lambda x: x["s"].rlike(keep))
 
 
-def splice(text: Column, start: Column, end: Column, replacement: Column) -> Column:
-    """The text with one span replaced; if the span ended a sentence, exactly one end stays."""
-    span = F.substring(text, start + 1, end - start)
-    last = F.right(span, F.lit(1))
-    bare = F.regexp_replace(replacement, f"[{ENDS}]+$", "")
-    new = F.when(last.rlike(f"[{ENDS}]"), F.concat(bare, last)).otherwise(bare)
+def sentences(text: Column) -> Column:
+    """Sentences with their ends: (s, start)."""
+    return _parts(text, f"[^{ENDS}]+[{ENDS}]?|[{ENDS}]", f"[^{ENDS}]")
+
+
+def clauses(text: Column) -> Column:
+    return _parts(text, f"[^，{ENDS}]+|[，{ENDS}]", f"[^，{ENDS}]")
+
+
+def others_of(target: Column, co: Column) -> Column:
+    return F.filter(F.coalesce(co, _empty()), lambda n: (n != "") & (n != target))
+
+
+def _named(spans: Column, target: Column, others: Column, exact: bool = False) -> Column:
+    """Spans with whether they name the target and somebody else; exact looks for the bare name, else longer names are taken out first."""
+    has = (lambda s: s.contains(target)) if exact else (lambda s: mentions(s, target, others))
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["start"].alias("start"), has(x["s"]).alias("own"), F.exists(others, lambda n: F.contains(x["s"], n)).alias("other")))
+
+
+def scope(text: Column, target: Column, co: Column, exact: bool = False) -> Column:
+    """Clauses that are about the target: naming them alone, or naming nobody in a sentence that names them alone."""
+    others = others_of(target, co)
+    inner = F.transform(_named(sentences(text), target, others, exact), lambda s: F.transform(_named(clauses(s["s"]), target, others, exact), lambda c: F.struct(
+        c["s"].alias("s"), (s["start"] + c["start"]).alias("start"), c["own"].alias("own"), c["other"].alias("other"), (s["own"] & ~s["other"]).alias("alone"))))
+    mine = F.filter(F.flatten(inner), lambda x: ~x["other"] & (x["own"] | x["alone"]))
+    alone = F.transform(clauses(text), lambda c: F.struct(c["s"].alias("s"), c["start"].alias("start"), mentions(c["s"], target, others).alias("own"), F.lit(False).alias("other"), F.lit(True).alias("alone")))
+    return F.when(F.size(others) == 0, alone).otherwise(mine)
+
+
+def _replace(text: Column, start: Column, end: Column, new: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), start), new, F.substring(text, end + 1, F.length(text)))
 
 
-def rewrite_amount(sentence: Column, source: Column, target: Column) -> Column:
-    """The sentence with its literal of the source amount made the target; null unless exactly one literal is it."""
-    found = amounts_in(sentence)
-    hits = F.size(F.filter(found, lambda a: amounts_match(a, source)))
-    place = F.array_position(F.transform(found, lambda a: amounts_match(a, source)), True)
-    literal = F.get(F.regexp_extract_all(sentence, F.lit(f"({presets.ANY_AMOUNT})"), F.lit(1)), (place - 1).cast("int"))
-    new = F.when(literal.contains("万"), F.concat(format_amount(target / 10000), F.lit("万元"))).otherwise(F.concat(format_amount(target), F.lit("元")))
-    return F.when(hits == 1, F.replace(sentence, literal, new))
+def splice(text: Column, start: Column, end: Column, replacement: Column) -> Column:
+    """The text with one span replaced: a sentence keeps exactly one end, a clause gets none."""
+    last = F.right(F.substring(text, start + 1, end - start), F.lit(1))
+    body = F.trim(replacement)
+    own_end = F.right(body, F.lit(1)).rlike(f"[{ENDS}]")
+    whole = F.when(own_end, body).otherwise(F.concat(body, last))
+    return _replace(text, start, end, F.when(last.rlike(f"[{ENDS}]"), whole).otherwise(F.regexp_replace(body, f"[{ENDS}]+$", "")))
+
+
+def restitution_edit(text: Column, spans: Column, target: Column, co: Column, wanted: Column) -> Column:
+    """Every restitution clause of the target made one canonical clause; without any it follows the first clause. Null without a clause."""
+    cue = _any(presets.RESTITUTION)
+    clause = F.when(wanted, presets.RESTITUTION_CLAUSE[True]).otherwise(presets.RESTITUTION_CLAUSE[False])
+    new = F.concat(F.when(F.size(others_of(target, co)) > 0, target).otherwise(""), clause)
+    told = F.filter(spans, lambda x: x["s"].rlike(cue))
+    made = F.aggregate(F.reverse(told), text, lambda acc, x: _replace(acc, x["start"], x["start"] + F.length(x["s"]), new))
+    first = F.get(spans, F.lit(0))
+    added = _replace(text, first["start"], first["start"] + F.length(first["s"]), F.concat(first["s"], F.lit("，"), new))
+    return F.when(wanted.isNotNull() & (F.size(spans) > 0), F.when(F.size(told) > 0, made).otherwise(added))
+
+
+def amount_edit(text: Column, spans: Column, source: Column, wanted: Column) -> Column:
+    """The target's amount literal made the wanted one, in yuan: the first cued clause whose literal is the source amount, else a clause that names the target. Null without one."""
+    is_source = lambda s, p: source.isNull() | F.coalesce(amounts_match(amount_in(s, p), source), F.lit(False))
+    literal = F.concat(format_amount(wanted), F.lit("元"))
+
+    def rewrite(x: Column, pattern: str) -> Column:
+        at = pattern.index("([0-9]")  # what stands before the number stays
+        head, tail = pattern[:at], pattern[at:]
+        return F.regexp_replace(x["s"], F.lit(f"^([\\s\\S]*?{head}){tail}"), F.concat(F.lit("$1"), literal))
+
+    cued = F.get(F.filter(spans, lambda x: x["s"].rlike(presets.CUED_AMOUNT) & is_source(x["s"], presets.CUED_AMOUNT)), F.lit(0))
+    plain = F.get(F.filter(spans, lambda x: x["own"] & x["s"].rlike(presets.ANY_AMOUNT) & is_source(x["s"], presets.ANY_AMOUNT)), F.lit(0))
+    put = lambda x, p: _replace(text, x["start"], x["start"] + F.length(x["s"]), rewrite(x, p))
+    return F.when(wanted.isNotNull(), F.when(cued.isNotNull(), put(cued, presets.CUED_AMOUNT)).when(plain.isNotNull(), put(plain, presets.ANY_AMOUNT)))
+
+
+def _by_conduct(conduct: Column, table: dict[str, list[str]]) -> Column:
+    out = None
+    for k, words in table.items():
+        words = F.array(*[F.lit(w) for w in words])
+        out = F.when(conduct == k, words) if out is None else out.when(conduct == k, words)
+    return out
+
+
+def flip_span(df: DataFrame, text: str, target: Column, co: Column, conduct: Column) -> DataFrame:
+    """The rows with __flip (s, start, reason): the one sentence that tells the conduct, or why there is none to rewrite."""
+    others, t = others_of(target, co), F.col(text)
+    initials = F.concat_ws("|", F.transform(F.array_distinct(F.transform(F.concat(F.array(target), others), lambda n: F.left(n, F.lit(1)))), lambda i: F.concat(F.lit("\\Q"), i, F.lit("\\E"))))
+    bare = F.concat(F.lit("(?:由|被告人|，|。|；|、|和|与|及|^)(?:"), initials, F.lit(f")(?=[{presets.INITIAL_VERBS}])"))
+    verbs = F.coalesce(_by_conduct(conduct, presets.VERBS), _empty())
+    steps = df.withColumn("__verbs", verbs).withColumn("__said", _named(sentences(t), target, others))
+    told = F.filter("__said", lambda x: ~x["s"].rlike(_any(presets.SUMMARIES)) & (x["own"] | ~x["other"]) & F.exists("__verbs", lambda v: F.contains(x["s"], v)))
+    steps = steps.withColumn("__told", told)
+    n = F.size("__told")
+    reason = F.when(F.regexp_like(t, bare), "abbreviated_ambiguous").when((F.size("__verbs") == 0) | (n == 0), "no_target_span").when(n > 1, "incomplete_flip")
+    steps = steps.withColumn("__why", reason)
+    one = F.when(F.col("__why").isNull(), F.get("__told", F.lit(0)))
+    return steps.withColumn("__flip", F.struct(one["s"].alias("s"), one["start"].alias("start"), F.col("__why").alias("reason"))).drop("__verbs", "__said", "__told", "__why")
+
+
+def plan(df: DataFrame, text: str = "text", spec: str = "spec", out: str = "plan") -> DataFrame:
+    """The rows with (kind, text, quote, start, reason): ``deterministic`` edits are made, a ``span`` needs one sentence written, ``skip`` can't be done.
+
+    spec is a struct of target_defendant, co_defendants, changed_fields, source_factors and target_factors. Each
+    step is a column of its own, so that none is worked out twice."""
+    s, t = F.col(spec), F.col(text)
+    who, co, fields = s["target_defendant"], s["co_defendants"], s["changed_fields"]
+    has = lambda n: F.array_contains(fields, n)
+    steps = df.withColumn("__scope", scope(t, who, co))
+    steps = steps.withColumn("__turned", F.when(has("restitution"), restitution_edit(t, F.col("__scope"), who, co, s["target_factors"]["restitution"])).otherwise(t))
+    steps = steps.withColumn("__scope", scope(F.col("__turned"), who, co))
+    steps = steps.withColumn("__valued", F.when(has("amount"), amount_edit(F.col("__turned"), F.col("__scope"), s["source_factors"]["amount"], s["target_factors"]["amount"])).otherwise(F.col("__turned")))
+    steps = flip_span(steps, "__valued", who, co, s["source_factors"]["conduct"])
+    reason = (
+        F.when(F.col("__turned").isNull(), "no_restitution_span").when(F.col("__valued").isNull(), "no_amount_span")
+        .when(has("conduct"), F.col("__flip.reason")).when(F.col("__valued") == t, "no_supported_field")
+    )
+    steps = steps.withColumn("__reason", reason).withColumn("__kind", F.when(F.col("__reason").isNotNull(), "skip").when(has("conduct"), "span").otherwise("deterministic"))
+    span = F.col("__kind") == "span"
+    made = F.struct(
+        F.col("__kind").alias("kind"), F.when(F.col("__kind") == "skip", t).otherwise(F.col("__valued")).alias("text"), F.when(span, F.col("__flip.s")).alias("quote"),
+        F.when(span, F.col("__flip.start")).alias("start"), F.col("__reason").alias("reason"),
+    )
+    return steps.withColumn(out, made).drop("__scope", "__turned", "__valued", "__flip", "__reason", "__kind")
+
+
+def mask_counts(text: Column) -> list[Column]:
+    return [F.regexp_count(text, F.lit(re.escape(m))) for m in presets.MASKS]
 
 
-def rewrite_restitution(sentence: Column, wanted: Column) -> Column:
-    """Turn a restitution cue round: a denial before it goes, or 未 is put before it; null without a cue or in doubt."""
-    cue = "(?:" + "|".join(map(re.escape, presets.RESTITUTION)) + ")"
-    negation = "(?:" + "|".join(map(re.escape, presets.NEGATIONS)) + ")"
-    now = cue_polarity(sentence, presets.RESTITUTION)
-    return F.when(now.isNull(), F.lit(None)).when(now == wanted, sentence).when(wanted, F.regexp_replace(sentence, f"{negation}((?:[^，。；！？\\n]{{0,4}})?{cue})", "$1")).otherwise(F.regexp_replace(sentence, f"({cue})", "未$1"))
+def _cues(conduct: Column) -> Column:
+    return F.coalesce(_by_conduct(conduct, dict(presets.CONDUCT)), _empty())
 
 
-def replacement_problem(original: Column, replacement: Column, most_growth: int = 60) -> Column:
-    """The first thing wrong with a replacement sentence, or null."""
-    r = F.coalesce(replacement, F.lit(""))
+def replacement_problem(original: Column, replacement: Column, target: Column, co: Column, source_conduct: Column, target_conduct: Column) -> Column:
+    """The first thing wrong with a written sentence, or null."""
+    body, others = F.trim(F.coalesce(replacement, F.lit(""))), others_of(target, co)
+    count = lambda s: F.aggregate(others, F.lit(0), lambda acc, n: acc + F.size(F.split(s, F.concat(F.lit("\\Q"), n, F.lit("\\E")))) - 1)
+    d_source, d_target = (_by_conduct(c, presets.DISCRIMINATORS) for c in (source_conduct, target_conduct))
+    shared = d_source.isNotNull() & d_target.isNotNull()
+    source_cues, target_cues = F.when(shared, d_source).otherwise(_cues(source_conduct)), F.when(shared, d_target).otherwise(_cues(target_conduct))
+    any_in = lambda cues: F.exists(cues, lambda c: F.contains(body, c))
+    before, after = mask_counts(original), mask_counts(body)
     return (
-        F.when(F.trim(r) == "", "empty_replacement")
-        .when(F.regexp_replace(r, r"\s", "") == F.regexp_replace(original, r"\s", ""), "unchanged_replacement")
-        .when(F.regexp_count(r, F.lit(f"[{ENDS}]")) > 1, "several_sentences")
-        .when(mask_count(r) != mask_count(original), "mask_count_changed")
-        .when(F.length(r) > F.length(original) + most_growth, "replacement_too_long")
+        F.when(body == "", "empty_replacement").when(body.contains("\n"), "replacement_not_single_sentence")
+        .when(~mentions(body, target, others), "replacement_missing_target").when(count(body) > count(original), "replacement_mentions_other_defendant")
+        .when(source_conduct.isNotNull() & ~source_conduct.eqNullSafe(target_conduct) & any_in(source_cues), "replacement_keeps_source_conduct")
+        .when((F.size(target_cues) > 0) & ~any_in(target_cues), "replacement_missing_target_conduct").when((after[0] < before[0]) | (after[1] < before[1]), "replacement_restores_mask")
     )
 
 
-def validation(parent: Column, text: Column, kind: Column, target_conduct: Column, target_amount: Column, source_amount: Column, most_novel: float = 0.5) -> Column:
-    """(valid, errors, novel_ratio) of an edited text: unchanged, mask counts, charge talk, the wanted change, novelty."""
-    novel = novel_ngrams(parent, text)
-    found = amounts_in(text)
-    errors = F.array_compact(F.array(
-        F.when(F.regexp_replace(parent, r"\s", "") == F.regexp_replace(text, r"\s", ""), "unchanged"),
-        F.when(mask_count(parent) != mask_count(text), "mask_count_changed"),
-        F.when(text.rlike(presets.STRONG_CONCLUSION) & ~parent.rlike(presets.STRONG_CONCLUSION), "conclusion_leakage"),
-        F.when(text.rlike(presets.ARTICLE) & ~parent.rlike(presets.ARTICLE), "article_leakage"),
-        F.when((kind == "charge_flip") & ~F.array_contains(conducts(text), target_conduct), "target_change_missing"),
-        F.when((kind == "invariant") & ~F.exists(found, lambda a: amounts_match(a, target_amount, source_amount)), "target_change_missing"),
-        F.when(novel > most_novel, "too_novel"),
+def change_appears(part: Column, spec: Column) -> Column:
+    """Whether the target's part of a text shows every changed field as wanted, and the old value no more."""
+    fields, old, new = spec["changed_fields"], spec["source_factors"], spec["target_factors"]
+    ok = F.lit(True)
+    for name, cues in (("restitution", presets.RESTITUTION), ("surrender", presets.SURRENDER), ("confession", presets.CONFESSION)):
+        ok = ok & (~F.array_contains(fields, name) | new[name].isNull() | F.coalesce(cue_polarity(part, cues) == new[name], F.lit(False)))
+    d_new, d_old = _by_conduct(new["conduct"], presets.DISCRIMINATORS), F.coalesce(_by_conduct(old["conduct"], presets.DISCRIMINATORS), _empty())
+    any_in = lambda cues: F.exists(cues, lambda c: F.contains(part, c))
+    other = ~new["conduct"].eqNullSafe(old["conduct"])
+    by_word = any_in(d_new) & ~(other & any_in(d_old))
+    by_cue = F.array_contains(conducts(part), new["conduct"]) & ~(other & F.coalesce(F.array_contains(conducts(part), old["conduct"]), F.lit(False)))
+    ok = ok & (~F.array_contains(fields, "conduct") | new["conduct"].isNull() | F.when(d_new.isNotNull(), by_word).otherwise(by_cue))
+    got = amount_in(part)
+    gone = old["amount"].isNull() | amounts_match(old["amount"], new["amount"]) | ~F.exists(amounts_in(part), lambda a: amounts_match(a, old["amount"], new["amount"]))
+    return ok & (~F.array_contains(fields, "amount") | new["amount"].isNull() | (F.coalesce(amounts_match(got, new["amount"], old["amount"]), F.lit(False)) & gone))
+
+
+def drift(before: Column, after: Column, spec: Column) -> Column:
+    """Codes of the target's factors that differ from what they should be: changed ones from the wanted value, others from the parent."""
+    fields, new, codes = spec["changed_fields"], spec["target_factors"], []
+    for n in ("amount", "surrender", "restitution", "confession", "role", "conduct"):
+        changed = F.array_contains(fields, n)
+        if n not in ("amount", "role"):
+            wrong = ~after[n].eqNullSafe(new[n]) & (new[n].isNotNull() if n == "conduct" else F.lit(True))
+            codes.append(F.when(changed & wrong, f"factor_mismatch:{n}"))
+        codes.append(F.when(~changed & ~after[n].eqNullSafe(before[n]), f"non_target_changed:{n}"))
+    return F.array_compact(F.array(*codes))
+
+
+def leakage(parent: Column, text: Column, target_charge: Column, names: str | None = None) -> Column:
+    """Codes of label or outcome talk that the text has more of than its parent; names is a lexicon's pattern."""
+    more = lambda p: F.regexp_count(text, F.lit(p)) > F.regexp_count(parent, F.lit(p))
+    charge = more(presets.CUED_CHARGE) | (more(names) if names else F.lit(False))
+    conclusion = more(f"(?:{presets.STRONG_CONCLUSION}|(?<!{presets.HISTORY}[^，,、。；！？\\n]{{0,200}})(?:{presets.WEAK_CONCLUSION}))[^。；！？\\n]*") | more(presets.RESULT_STATEMENT)
+    label = F.concat(F.lit("\\Q"), target_charge, F.lit("罪\\E"))
+    before, after = mask_counts(parent), mask_counts(text)
+    return F.array_compact(F.array(
+        F.when(charge, "label_leakage"), F.when(more(presets.ARTICLE), "article_leakage"), F.when(conclusion, "conclusion_leakage"),
+        F.when(target_charge.isNotNull() & (F.size(F.split(text, label)) > F.size(F.split(parent, label))), "target_label_leakage"),
+        F.when(more(presets.PENALTY_TALK), "sentence_leakage"), F.when((after[0] < before[0]) | (after[1] < before[1]), "mask_restored"),
+    ))
+
+
+def validate(df: DataFrame, parent: str, text: str, spec: str = "spec", similarity: str = "similarity", least: float = 0.5, names: str | None = None, out: str = "validation") -> DataFrame:
+    """The rows with (valid, errors, novel_ratio) of an edited text. The parts that belong to the target and to everybody else are columns first."""
+    s, p, t = F.col(spec), F.col(parent), F.col(text)
+    who, co = s["target_defendant"], s["co_defendants"]
+    others = others_of(who, co)
+    steps = df.withColumns({
+        "__part": F.when(F.size(others) == 0, t).otherwise(F.array_join(F.transform(scope(t, who, co, exact=True), lambda x: x["s"]), "")),
+        "__before": own_text(p, who, co), "__after": own_text(t, who, co), "__all": F.concat(F.array(who), others),
+    })
+    steps = steps.withColumns({"__their_before": F.transform(others, lambda o: own_text(p, o, F.col("__all"))), "__their_after": F.transform(others, lambda o: own_text(t, o, F.col("__all")))})
+    steps = steps.withColumns({"__before": factors("__before"), "__after": factors("__after")})
+    same = F.zip_with("__their_before", "__their_after", lambda a, b: factors(a).eqNullSafe(factors(b)))
+    moved = F.array_compact(F.zip_with(others, same, lambda o, ok: F.when(~ok, F.concat(F.lit("non_target_defendant_changed:"), o))))
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    rest = F.array_compact(F.array(
+        F.when(~t.contains(who), "identity_not_preserved"), F.when(~change_appears(F.col("__part"), s), "target_change_missing"),
+        F.when(bare(t) == bare(p), "unchanged").when(F.col(similarity) < least, "excessive_rewrite"),
     ))
-    return F.struct((F.size(errors) == 0).alias("valid"), errors.alias("errors"), novel.alias("novel_ratio"))
+    errors = F.array_distinct(F.concat(rest, drift(F.col("__before"), F.col("__after"), s), moved, leakage(p, t, s["target_charge"], names)))
+    errors = F.when(F.trim(F.coalesce(t, F.lit(""))) == "", F.array(F.lit("missing_counterfactual_text"))).otherwise(errors)
+    steps = steps.withColumn("__errors", errors)
+    made = F.struct((F.size("__errors") == 0).alias("valid"), F.col("__errors").alias("errors"), novel_ngrams(p, t).alias("novel_ratio"))
+    return steps.withColumn(out, made).drop("__part", "__before", "__after", "__all", "__their_before", "__their_after", "__errors")

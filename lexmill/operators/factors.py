@@ -80,11 +80,9 @@ def own_text(text: Column, target: Column, co: Column) -> Column:
     return F.when(whole, text).otherwise(F.coalesce(F.nullif(F.array_join(kept, ""), F.lit("")), text))
 
 
-def factors(text: Column | str, target: Column | None = None, co: Column | None = None) -> Column:
-    """The struct of six factors; unknown values are null."""
+def factors(text: Column | str) -> Column:
+    """The struct of six factors of a text that is about one person; unknown values are null."""
     t = F.col(text) if isinstance(text, str) else text
-    if target is not None:
-        t = own_text(t, target, co)
     return F.struct(
         amount_in(t).alias("amount"), cue_polarity(t, presets.SURRENDER).alias("surrender"), cue_polarity(t, presets.RESTITUTION).alias("restitution"),
         cue_polarity(t, presets.CONFESSION).alias("confession"), role(t).alias("role"), conduct(t).alias("conduct"),
@@ -92,4 +90,6 @@ def factors(text: Column | str, target: Column | None = None, co: Column | None
 
 
 def with_factors(df: DataFrame, text: str = "fact_strict", target: str = "target_defendant", co: str = "co_defendants", out: str = "factors") -> DataFrame:
-    return df.withColumn(out, factors(F.col(text), F.col(target), F.col(co)))
+    """The rows with the factors of their target; the target's clauses are a column first, so that they are found once."""
+    own = df.withColumn("__own", own_text(F.col(text), F.col(target), F.col(co)))
+    return own.withColumn(out, factors("__own")).drop("__own")

@@ -43,4 +43,18 @@ HISTORY = "(?:曾|以前|此前|当年|前科)"
 NUMERAL = "[一二三四五六七八九十百千零〇两0-9]+"
 ARTICLE = f"(?:《[^》]{{0,30}}》|刑法)?第{NUMERAL}条(?:之{NUMERAL})?(?:第{NUMERAL}款)?(?:第{NUMERAL}项)?|第{NUMERAL}款"
 CUED_CHARGE = "(?<=(?:犯|构成|涉嫌|触犯|应当以|(?<!答)应以))[\\u4e00-\\u9fa5、]{2,12}?(?<![认悔无有获得])罪"
-LEAKS = ["label_leakage", "conclusion_leakage", "article_leakage", "charge_leakage"]
+LEAKS = ["label_leakage", "target_label_leakage", "article_leakage", "conclusion_leakage", "sentence_leakage", "mask_restored"]
+
+TAKING = ["盗得", "窃得", "骗得", "抢得", "夺取", "夺走", "劫取", "劫走", "强行劫走", "盗走", "偷走", "窃取", "盗取", "扒窃", "骗取", "秘密窃取", "趁人不备", "乘人不备", "持刀威胁", "以暴力相威胁", "胁迫交付"]
+HARM = ["殴打", "打伤", "打倒在", "致其轻伤", "致人轻伤", "致其重伤", "致人重伤", "轻伤一级", "轻伤二级", "重伤一级", "重伤二级", "持棍棒", "持械"]
+DISCRIMINATORS = {"因个人纠纷定向伤害": ["个人纠纷", "因琐事", "发生纠纷", "因琐事与"], "无事生非随意殴打": ["无事生非", "借故生非", "随意殴打", "无故殴打"]}
+VERBS = {
+    **{k: v for k, v in CONDUCT if k in ("组织并经营赌博场所", "参与赌博")}, **DISCRIMINATORS,
+    "秘密窃取": TAKING, "趁人不备公开夺取": TAKING, "暴力胁迫取财": TAKING, "虚构事实使被害人自愿交付": [*TAKING, "虚构事实", "隐瞒真相", "谎称", "冒充"],
+}
+SUMMARIES = ["共参与", "共实施", "共同作案", "作案", "总计", "总价值", "共计作案"]
+INITIAL_VERBS = "破进将趁因持驾开负把抓在到殴打盗窃夺抢骗敲望放接"
+CUED_AMOUNT = r"(?:涉案(?:金额)?|价值|获利|金额|数额|共计)[^0-9，。；]{0,8}?([0-9][0-9,，]*(?:\.[0-9]+)?)\s*(万)?元"
+PENALTY_TALK = "有期徒刑|拘役|管制(?!刀具)|缓刑|罚金|死刑|无期|从轻|减轻|从重|免予刑事处罚|判处|刑期"
+MASKS = ["××", MASK]
+RESTITUTION_CLAUSE = {True: "案发后已退赃退赔", False: "案发后未退赃退赔"}

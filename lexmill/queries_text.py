@@ -134,7 +134,7 @@ def t24(spark, sf_dir):
 
 @query(
     "u06_novel_ngrams",
-    """WITH p AS (SELECT b.item_id, d.doc_id, regexp_replace(b.text, '\\s+', '', 'g') AS a, regexp_replace(d.text, '\\s+', '', 'g') AS t
+    """WITH p AS (SELECT b.item_id, d.doc_id, b.text AS a, d.text AS t
                   FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
          g AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(length(t) - 6, 1)), lambda i: substr(t, i, 8))) AS own,
                       list_distinct(list_transform(range(1, greatest(length(a) - 6, 1)), lambda i: substr(a, i, 8))) AS base FROM p)
@@ -288,7 +288,7 @@ def t05n(spark, sf_dir):
 
 @query("t11_t17_factors")
 def t17(spark, sf_dir):
-    return cases(spark).select("case_id", factors.factors(F.col("text"), F.col("target"), F.col("co")).alias("f")).select("case_id", "f.*")
+    return factors.with_factors(cases(spark), "text", "target", "co", "f").select("case_id", "f.*")
 
 
 @query("w08_own_text")
@@ -301,15 +301,25 @@ def w04(spark, sf_dir):
     return cases(spark).select("case_id", C.focus("text", "target", "co", 30).alias("focused"))
 
 
+FACTORS = "struct<amount:double,surrender:boolean,restitution:boolean,confession:boolean,role:string,conduct:string>"
+EDITS = [
+    ("amount", "甲窃取手机，价值3500元。案发后甲退赔。", "甲", [], ["amount"], (3500.0, None, True, None, "unknown", "秘密窃取"), (3535.0, None, True, None, "unknown", "秘密窃取"), None),
+    ("restitution", "李某窃取手机，价值3500元。李某A望风，已退赔。李某未退赃。", "李某", ["李某A"], ["restitution"], (3500.0, None, False, None, "unknown", "秘密窃取"), (3500.0, None, True, None, "unknown", "秘密窃取"), None),
+    ("flip", "张某因琐事与他人发生纠纷，致其轻伤二级。张某自首。", "张某", [], ["conduct"], (None, True, None, None, "unknown", "因个人纠纷定向伤害"), (None, True, None, None, "unknown", "无事生非随意殴打"), "寻衅滋事"),
+    ("two places", "丁某盗走手机。丁某又盗走电脑。", "丁某", [], ["conduct"], (None, None, None, None, "unknown", "秘密窃取"), (None, None, None, None, "unknown", "趁人不备公开夺取"), "抢夺"),
+    ("initial", "丁某与戊某同行，丁盗走手机。", "丁某", ["戊某"], ["conduct"], (None, None, None, None, "unknown", "秘密窃取"), (None, None, None, None, "unknown", "趁人不备公开夺取"), "抢夺"),
+]
+
+
 @query("t18_t31_edits")
 def t18(spark, sf_dir):
-    c = cases(spark)
-    one = c.select("case_id", "text", F.explode(edits.sentences(F.col("text"))).alias("x")).select("case_id", "text", "x.*")
-    new = F.coalesce(edits.rewrite_amount(F.col("s"), F.lit(3500.0), F.lit(3535.0)), edits.rewrite_restitution(F.col("s"), F.lit(True)))
-    edited = edits.splice(F.col("text"), F.col("start"), F.col("start") + F.length("s"), F.col("new"))
-    rows = one.withColumn("new", new).where("new IS NOT NULL").withColumn("edited", edited)
-    v = edits.validation(F.col("text"), F.col("edited"), F.lit("invariant"), F.lit(None).cast("string"), F.lit(3535.0), F.lit(3500.0))
-    return rows.select("case_id", "start", "new", edits.replacement_problem(F.col("s"), F.col("new")).alias("problem"), v["valid"].alias("valid"), F.array_join(v["errors"], ",").alias("errors"))
+    made = spark.createDataFrame(EDITS, f"name string, text string, target_defendant string, co_defendants array<string>, changed_fields array<string>, source_factors {FACTORS}, target_factors {FACTORS}, target_charge string")
+    spec = F.struct(*[F.col(c) for c in made.columns if c not in ("name", "text")])
+    planned = edits.plan(made.withColumn("spec", spec))
+    written = F.lit("张某无事生非，随意殴打他人，致其轻伤二级")
+    result = F.when(F.col("plan.kind") == "span", edits.splice(F.col("plan.text"), F.col("plan.start"), F.col("plan.start") + F.length("plan.quote"), written)).otherwise(F.col("plan.text"))
+    done = planned.withColumn("edited", result).withColumn("like", batches.similarity("text", "edited"))
+    return edits.validate(done, "text", "edited", similarity="like", out="v").select("name", "plan.kind", "plan.reason", "edited", F.round("like", 6).alias("similarity"), F.col("v.valid").alias("valid"), F.array_join("v.errors", ",").alias("errors"))
 
 
 @query("t32_proposals")

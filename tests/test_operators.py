@@ -150,7 +150,8 @@ def test_polarity(spark, text, want):
 
 def test_factors_of_the_target_only(spark):
     t = "甲窃取现金，价值3500元。乙骗取2万元，系从犯。"
-    f = one(spark, factors.factors(F.col("t"), F.lit("甲"), F.array(F.lit("乙"))), t=t)
+    df = spark.createDataFrame([(t, "甲", ["乙"])], "t string, who string, co array<string>")
+    f = factors.with_factors(df, "t", "who", "co").first().factors
     assert (f.amount, f.role, f.conduct) == (3500.0, "unknown", "秘密窃取")
 
 
