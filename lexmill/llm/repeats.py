@@ -339,7 +339,12 @@ def _finish(t: pa.Table, back: pa.Table, out: pa.Schema) -> pa.Table:
         spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (g[0] if len(g) else 0))
         res.append((given[k].as_py(), len(text), int(g.sum()), spans, hashlib.sha256(text[~g].tobytes()).hexdigest()))
     done = _table(res, out)
-    return done if rest is None else done.append_column("rest", rest.take(pa.array(order, pa.int64())))
+    if rest is None:
+        return done
+    rest = rest.combine_chunks().take(pa.array(order, pa.int64()))
+    rest = rest.chunk(0) if isinstance(rest, pa.ChunkedArray) else rest
+    # fields that can't be null come back as ones that can
+    return done.append_column("rest", pa.StructArray.from_arrays(rest.flatten(), names=[f.name for f in rest.type]))
 
 
 def _run(df: DataFrame, id_col: str, text_col: str, with_text: bool, group_bytes: int) -> DataFrame:

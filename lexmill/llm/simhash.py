@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected as components
 from .common import cut, small_batches
 
 RADIUS = 2
@@ -202,28 +203,6 @@ def close_links(nodes: DataFrame, most: int = 4096, radius: int = RADIUS) -> Dat
     return routed.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """Rows (node, root): root is the smallest node reachable over the links (a, b); nodes without links don't appear."""
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    for _ in range(most_rounds):
-        mark = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if seen == mark:
-            break
-        seen = mark
-        # large star: a node's larger neighbours hang from its smallest neighbour
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: a node and its smaller neighbours hang from the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
-    else:
-        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 4096) -> DataFrame:
     """Rows (id, fingerprint, component_id) of every row; ids are integers, component_id is the smallest reachable."""
     own = cut(fingerprints(df, id_col, text_col, shingle))
