@@ -224,3 +224,28 @@ def test_coverage_case_size_is_the_declared_one(spark):
     t = {(r.part, r.name): r.n for r in coverage.parent_table(p).collect()}
     assert t["defendants_per_case", "2"] == 1 and t["charge", "a"] == 2 and t["count", "case"] == 2
     assert tuple(coverage.length_exclusion(p).first()) == (2, 2, 1)
+
+
+def test_messages_and_answers(spark):
+    import json
+
+    from lexmill.operators import prompts
+
+    f = "struct<amount:double,surrender:boolean,restitution:boolean,confession:boolean,role:string,conduct:string>"
+    df = spark.createDataFrame([("甲", ["乙"], ["amount", "conduct"], (4494.5, None, None, None, "unknown", "秘密窃取"))], f"target_defendant string, co_defendants array<string>, changed_fields array<string>, target_factors {f}")
+    spec = F.struct(*[F.col(c) for c in df.columns])
+    got = json.loads(df.select(prompts.messages(spec, F.lit("原文"), F.lit("一句。"))).first()[0])
+    user = json.loads(got[1]["content"])
+    assert user["source_sentence"] == "一句。" and len(user["edits"]) == 2 and "4494.5元" in user["edits"][0]
+    rows = spark.createDataFrame([('{"replacement_sentence":"x"}',), ("{",), ('{"replacement_sentence":3}',), ("[]",), (None,)], "r string")
+    assert [r[0] for r in rows.select(prompts.answer("r")).collect()] == ["x", None, None, None, None]
+
+
+def test_losses_and_schedule(spark):
+    from lexmill.operators import losses
+
+    df = spark.createDataFrame([([0.0, 2.0], [1.0, 0.0], 1)], "x array<double>, y array<double>, k int")
+    r = df.select(losses.bce("x", "y").alias("b"), losses.cross_entropy("x", "k").alias("c"), losses.hinge(1.0, F.lit(-1), F.lit(0.25)).alias("h")).first()
+    assert r.b == pytest.approx(np.log(2) + 2 + np.log1p(np.exp(-2))) and r.c == pytest.approx(np.log(1 + np.exp(-2))) and r.h == 1.25
+    assert losses.smooth_l1(F.lit(3.0), F.lit(1.0)) is not None
+    assert df.agg(losses.masked_mean(F.lit(2.0), F.lit(False))).first()[0] == 0.0
