@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,41 @@ def coefficients(n: int = 64, seed: int = 20261024) -> tuple[list[int], list[int
 def signatures(df: DataFrame, text: str = "text", key: str = "key", n: int = 64, shingle: int = 5, seed: int = 20261024) -> DataFrame:
     """Rows (key, sig): MinHash of each distinct normalised text's character shingles.
 
-    Shingle hashes are polynomials modulo a Mersenne prime, so every product fits a long and all of it is
-    built-in arithmetic; the minima are combined map-side before one shuffle on the key."""
+    Signatures are made where texts are read, a vectorised kernel over Arrow batches; what is exchanged to
+    make keys distinct is a signature a row, not its text or its shingles. ``native_signatures`` gives the
+    same from built-in expressions."""
+    a, b = (np.array(x, np.uint64)[:, None] for x in coefficients(n, seed))
+    p = np.uint64(PRIME)
+
+    def one(t: str) -> np.ndarray:
+        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        if not len(codes):
+            codes = np.zeros(1, np.uint64)
+        width = min(shingle, len(codes))
+        h = np.zeros(len(codes) - width + 1, np.uint64)
+        for k in range(width):
+            h = (h * np.uint64(BASE) + codes[k : k + len(h)]) % p
+        h, low = np.unique(h), np.full(n, p, np.uint64)
+        for at in range(0, len(h), 4096):  # a bounded block at a time, however long the text
+            low = np.minimum(low, ((h[at : at + 4096] * a + b) % p).min(1))
+        return low.astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sigs = np.concatenate([one(t or "") for t in part.column(1).to_pylist()])
+                lists = pa.ListArray.from_arrays(np.arange(0, len(sigs) + 1, n, dtype=np.int32), sigs)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["k", "sig"])
+
+    norm = normalize_text(text)
+    made = df.select(F.sha2(norm, 256).alias("k"), norm.alias("t")).mapInArrow(run, "k string, sig array<long>")
+    return made.groupBy(F.col("k").alias(key)).agg(F.any_value("sig").alias("sig"))
+
+
+def native_signatures(df: DataFrame, text: str = "text", key: str = "key", n: int = 64, shingle: int = 5, seed: int = 20261024) -> DataFrame:
+    """The same signatures from built-in expressions: polynomials modulo a Mersenne prime, so every product fits
+    a long; the minima are combined map-side before one shuffle on the key."""
     a, b = coefficients(n, seed)
     norm = df.select(normalize_text(text).alias("t")).distinct().withColumn(key, F.sha2("t", 256))
     codes = F.when(F.col("t") == "", F.array(F.lit(0))).otherwise(F.transform(F.regexp_extract_all("t", F.lit("(?s)(.)"), F.lit(1)), lambda c: F.ascii(c)))

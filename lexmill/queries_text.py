@@ -207,6 +207,12 @@ def t02(spark, sf_dir):
     return sig.select("key", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("signature"))
 
 
+@query("t02_minhash_native", f"WITH {SIG_SQL} SELECT key, {' || chr(44) || '.join(f'm{i}' for i in range(64))} AS signature FROM m")
+def t02n(spark, sf_dir):
+    sig = dedup.native_signatures(table(spark, sf_dir, "documents"))
+    return sig.select("key", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("signature"))
+
+
 def signed(spark, sf_dir):
     d = split_docs(spark, sf_dir)
     held = d.groupBy("key").agg(F.max(splits.priority(F.col("split"))).alias("p")).withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("valid"), F.lit("test")), F.col("p") + 1))
