@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ class Words:
 
     The vocabulary's own splitting never joins characters across white space, so words are encoded apart."""
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -41,22 +42,33 @@ class Words:
         self.known: dict[str, bytes] = {}
         self.memory = memory
 
-    def learn(self, words: list[str]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
+    def learn(self, new: list[str]) -> None:
+        """Encode words together, one a line; offsets tell whose each token is."""
         if len(self.known) + len(new) > self.memory:
-            self.known.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            # the words met last go: frequent ones were met first
+            for w in list(islice(reversed(self.known), len(self.known) - self.memory // 2)):
+                del self.known[w]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            got = self.tok.encode("\n".join(part), add_special_tokens=False)
+            raw = np.array(got.ids, "<u4").tobytes()
+            first = np.cumsum([0] + [len(w) + 1 for w in part])
+            ends = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), first).tolist()
+            for w, a, b in zip(part, ends, ends[1:]):
+                self.known[w] = raw[4 * a : 4 * b]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = dict.fromkeys(filterfalse(self.known.__contains__, chain.from_iterable(split)))
+        if new:
+            self.learn(list(new))
+        known = self.known
+        for words in split:
+            yield b"".join([known[w] for w in words])
 
     def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self.learn(words)
-            return b"".join([self.known[w] for w in words])
+        return next(self.encode([text]))
 
 
 class Packer:
@@ -64,7 +76,7 @@ class Packer:
 
     def __init__(self, window: int = WINDOW, most_open: int = 1024):
         self.window, self.most_open = window, most_open
-        self.count = np.zeros(window + 1, np.int64)
+        self.count, self.n_open = np.zeros(window + 1, np.int64), 0
         self.open: dict[int, list[list[tuple]]] = {}
         self.done: list[list[tuple]] = []
 
@@ -92,19 +104,21 @@ class Packer:
         if best:
             pieces = self.open[best].pop()
             count[best] -= 1
+            self.n_open -= 1
         pieces.append(piece)
         if best + size == c:
             self.done.append(pieces)
         else:
             self.open.setdefault(best + size, []).append(pieces)
             count[best + size] += 1
-            if count.sum() >= self.most_open:
+            self.n_open += 1
+            if self.n_open >= self.most_open:
                 self.close()
 
     def close(self) -> None:
         """Fill the fullest open windows with pieces of the emptiest, cutting where needed; one partial window may stay open."""
         windows = [(level, w) for level in sorted(self.open) for w in self.open[level]]
-        self.open, self.count[:] = {}, 0
+        self.open, self.n_open, self.count[:] = {}, 0, 0
         lo, hi = 0, len(windows) - 1
         while lo < hi:
             level, pieces = windows[hi]
@@ -129,8 +143,7 @@ class Packer:
             if level == self.window:
                 self.done.append(pieces)
             elif pieces:
-                self.open[level] = [pieces]
-                self.count[level] = 1
+                self.open[level], self.n_open, self.count[level] = [pieces], 1, 1
 
     def end(self) -> None:
         self.close()
@@ -161,9 +174,10 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary if "/" in vocabulary else tokenizer_path(vocabulary)
-        words = _WORDS.setdefault(path, Words(path))
+        if path not in _WORDS:
+            _WORDS[path] = Words(path)
+        words = _WORDS[path]
         end, packer = np.array([end_id], "<u4").tobytes(), Packer(window)
-        ids: list = []
         kind = None
         seq = TaskContext.get().partitionId() << 40
 
@@ -186,8 +200,8 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW,
 
         for b in small_batches(batches, "text"):
             kind, docs = b.column(0).type, b.column(0).to_pylist()
-            for doc, text in zip(docs, b.column(1).to_pylist()):
-                packer.add(doc, words.ids(text or "") + end)
+            for doc, raw in zip(docs, words.encode([t or "" for t in b.column(1).to_pylist()])):
+                packer.add(doc, raw + end)
             yield flush()
         if kind is not None:
             packer.end()
