@@ -191,6 +191,31 @@ def change_appears(part: Column, spec: Column) -> Column:
     return ok & (~F.array_contains(fields, "amount") | new["amount"].isNull() | (F.coalesce(amounts_match(got, new["amount"], old["amount"]), F.lit(False)) & gone))
 
 
+def supports(clause: Column, spec: Column) -> Column:
+    """Whether one clause alone shows every changed field as wanted."""
+    fields, old, new = spec["changed_fields"], spec["source_factors"], spec["target_factors"]
+    ok = F.lit(True)
+    for name, cues in (("restitution", presets.RESTITUTION), ("surrender", presets.SURRENDER), ("confession", presets.CONFESSION)):
+        ok = ok & (~F.array_contains(fields, name) | new[name].isNull() | F.coalesce(cue_polarity(clause, cues) == new[name], F.lit(False)))
+    words = _by_conduct(new["conduct"], presets.DISCRIMINATORS)
+    told = F.when(words.isNotNull(), F.exists(words, lambda w: F.contains(clause, w))).otherwise(F.array_contains(conducts(clause), new["conduct"]))
+    ok = ok & (~F.array_contains(fields, "conduct") | new["conduct"].isNull() | told)
+    return ok & (~F.array_contains(fields, "amount") | new["amount"].isNull() | F.exists(amounts_in(clause), lambda a: amounts_match(a, new["amount"], old["amount"])))
+
+
+def attributed(text: Column, target: Column, others: Column) -> Column:
+    """All clauses with whom they name (own, other); those that name nobody take it from their sentence."""
+    inner = F.transform(_named(sentences(text), target, others, True), lambda s: F.transform(_named(clauses(s["s"]), target, others, True), lambda c: F.struct(
+        c["s"].alias("s"), F.when(c["own"] | c["other"], c["own"]).otherwise(s["own"]).alias("own"), F.when(c["own"] | c["other"], c["other"]).otherwise(s["other"]).alias("other"))))
+    return F.flatten(inner)
+
+
+def names_overlap(target: Column, others: Column) -> Column:
+    """Whether one person's name holds another's."""
+    everybody = F.concat(F.array(target), others)
+    return F.exists(everybody, lambda a: F.exists(others, lambda b: (a != b) & (F.contains(a, b) | F.contains(b, a))))
+
+
 def drift(before: Column, after: Column, spec: Column) -> Column:
     """Codes of the target's factors that differ from what they should be: changed ones from the wanted value, others from the parent."""
     fields, new, codes = spec["changed_fields"], spec["target_factors"], []
@@ -226,17 +251,20 @@ def validate(df: DataFrame, parent: str, text: str, spec: str = "spec", similari
         "__part": F.when(F.size(others) == 0, t).otherwise(F.array_join(F.transform(scope(t, who, co, exact=True), lambda x: x["s"]), "")),
         "__before": own_text(p, who, co), "__after": own_text(t, who, co), "__all": F.concat(F.array(who), others),
     })
+    steps = steps.withColumns({"__said": attributed(t, who, others), "__overlap": names_overlap(who, others)})
+    shared = F.exists("__said", lambda x: (x["own"] == x["other"]) & F.coalesce(supports(x["s"], s), F.lit(False)))
+    steps = steps.withColumn("__unclear", (F.size(others) > 0) & (F.col("__overlap") | shared))
     steps = steps.withColumns({"__their_before": F.transform(others, lambda o: own_text(p, o, F.col("__all"))), "__their_after": F.transform(others, lambda o: own_text(t, o, F.col("__all")))})
     steps = steps.withColumns({"__before": factors("__before"), "__after": factors("__after")})
     same = F.zip_with("__their_before", "__their_after", lambda a, b: factors(a).eqNullSafe(factors(b)))
     moved = F.array_compact(F.zip_with(others, same, lambda o, ok: F.when(~ok, F.concat(F.lit("non_target_defendant_changed:"), o))))
     bare = lambda c: F.regexp_replace(c, r"\s+", "")
     rest = F.array_compact(F.array(
-        F.when(~t.contains(who), "identity_not_preserved"), F.when(~change_appears(F.col("__part"), s), "target_change_missing"),
+        F.when(~t.contains(who), "identity_not_preserved"), F.when(F.col("__unclear"), "attribution_ambiguous").when(~change_appears(F.col("__part"), s), "target_change_missing"),
         F.when(bare(t) == bare(p), "unchanged").when(F.col(similarity) < least, "excessive_rewrite"),
     ))
     errors = F.array_distinct(F.concat(rest, drift(F.col("__before"), F.col("__after"), s), moved, leakage(p, t, s["target_charge"], names)))
     errors = F.when(F.trim(F.coalesce(t, F.lit(""))) == "", F.array(F.lit("missing_counterfactual_text"))).otherwise(errors)
     steps = steps.withColumn("__errors", errors)
     made = F.struct((F.size("__errors") == 0).alias("valid"), F.col("__errors").alias("errors"), novel_ngrams(p, t).alias("novel_ratio"))
-    return steps.withColumn(out, made).drop("__part", "__before", "__after", "__all", "__their_before", "__their_after", "__errors")
+    return steps.withColumn(out, made).drop("__part", "__before", "__after", "__all", "__their_before", "__their_after", "__said", "__overlap", "__unclear", "__errors")

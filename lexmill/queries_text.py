@@ -330,6 +330,7 @@ EDITS = [
     ("restitution", "李某窃取手机，价值3500元。李某A望风，已退赔。李某未退赃。", "李某", ["李某A"], ["restitution"], (3500.0, None, False, None, "unknown", "秘密窃取"), (3500.0, None, True, None, "unknown", "秘密窃取"), None),
     ("flip", "张某因琐事与他人发生纠纷，致其轻伤二级。张某自首。", "张某", [], ["conduct"], (None, True, None, None, "unknown", "因个人纠纷定向伤害"), (None, True, None, None, "unknown", "无事生非随意殴打"), "寻衅滋事"),
     ("two places", "丁某盗走手机。丁某又盗走电脑。", "丁某", [], ["conduct"], (None, None, None, None, "unknown", "秘密窃取"), (None, None, None, None, "unknown", "趁人不备公开夺取"), "抢夺"),
+    ("shared", "李某与王某共同窃取手机，案发后已退赃。", "李某", ["王某"], ["restitution"], (None, None, None, None, "unknown", "秘密窃取"), (None, None, True, None, "unknown", "秘密窃取"), None),
     ("initial", "丁某与戊某同行，丁盗走手机。", "丁某", ["戊某"], ["conduct"], (None, None, None, None, "unknown", "秘密窃取"), (None, None, None, None, "unknown", "趁人不备公开夺取"), "抢夺"),
 ]
 

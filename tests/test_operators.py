@@ -249,3 +249,13 @@ def test_losses_and_schedule(spark):
     assert r.b == pytest.approx(np.log(2) + 2 + np.log1p(np.exp(-2))) and r.c == pytest.approx(np.log(1 + np.exp(-2))) and r.h == 1.25
     assert losses.smooth_l1(F.lit(3.0), F.lit(1.0)) is not None
     assert df.agg(losses.masked_mean(F.lit(2.0), F.lit(False))).first()[0] == 0.0
+
+
+def test_edits_of_cases(spark):
+    from lexmill.queries import QUERIES
+
+    got = {r["name"]: r for r in QUERIES["t18_t31_edits"](spark, "").collect()}
+    assert got["amount"].edited == "甲窃取手机，价值3535元。案发后甲退赔。" and got["amount"].valid
+    assert got["flip"].edited.startswith("张某无事生非，随意殴打他人，致其轻伤二级。") and got["flip"].valid
+    assert got["restitution"].edited.endswith("李某案发后已退赃退赔。") and "attribution_ambiguous" in got["restitution"].errors
+    assert [got[n].reason for n in ("two places", "shared", "initial")] == ["incomplete_flip", "no_restitution_span", "abbreviated_ambiguous"]
