@@ -32,22 +32,20 @@ WINDOW = 4096
 class Words:
     """Token ids of texts as little-endian unsigned 32-bit bytes, by a memory of their words.
 
-    The vocabulary's own splitting never joins characters across white space, so words are encoded apart."""
+    The vocabulary's own splitting never joins characters across white space, so words are encoded apart.
+    About ``memory`` words are remembered (and one batch's), none of more than ``longest`` characters beyond its batch."""
 
-    def __init__(self, path: str, memory: int = 900_000):
+    def __init__(self, path: str, memory: int = 900_000, longest: int = 128):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.memory = memory
+        self.memory, self.longest = memory, longest
+        self.passing: list[str] = []  # the last batch's longer words
 
     def learn(self, new: list[str]) -> None:
         """Encode words together, one a line; offsets tell whose each token is."""
-        if len(self.known) + len(new) > self.memory:
-            # the words met last go: frequent ones were met first
-            for w in list(islice(reversed(self.known), len(self.known) - self.memory // 2)):
-                del self.known[w]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             got = self.tok.encode("\n".join(part), add_special_tokens=False)
@@ -59,10 +57,17 @@ class Words:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
+        for w in self.passing:
+            self.known.pop(w, None)
+        if len(self.known) > self.memory:
+            # before this batch's words are looked up; the words met last go: frequent ones were met first
+            for w in list(islice(reversed(self.known), len(self.known) - self.memory // 2)):
+                del self.known[w]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = dict.fromkeys(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         if new:
             self.learn(list(new))
+        self.passing = [w for w in new if len(w) > self.longest]
         known = self.known
         for words in split:
             yield b"".join([known[w] for w in words])
