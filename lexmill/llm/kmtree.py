@@ -7,9 +7,10 @@ vectors, until their neighbours in the sample are found with ``recall``. Those a
 among all rows, so the calibration errs to the safe side. A query goes on past that number while the leaves
 it has hold too few rows.
 
-Rows of a leaf are split into blocks of about ``block_rows`` by a hash of the id, so that a crowded leaf is
-many tasks; each block returns a query's k nearest, in double precision on the original vectors, and a
-ranking per query ends it. What is sent to tasks (tree, leaf counts) is bounded by the sample.
+Rows of a leaf, and the queries that visit it, are split into blocks of about ``block_rows`` by hashes of
+their ids, so that a crowded leaf is many tasks; each pair of blocks returns a query's k nearest, in double
+precision on the original vectors, and a ranking per query ends it. What is sent to tasks (tree, leaf counts)
+is bounded by the sample.
 
 Defined cases: null, zero and non-finite vectors, vectors of another length than most, and null ids take no
 part; an id that occurs twice counts once, with its nearest vector; ties go to the smaller id.
@@ -156,25 +157,44 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         count[r[0]] = r[1]
     blocks = np.maximum(1, -(-count // block_rows))
 
+    def visited(q: np.ndarray) -> list[int]:
+        seen, out = 0, []
+        for n, at in enumerate(tree.visit(q)):
+            if n >= visits and seen > k:
+                break
+            seen += int(count[at])
+            if count[at]:
+                out.append(at)
+        return out
+
+    def callers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking = np.zeros(tree.leaves, np.int64)
+        for b in batches:
+            for q in _matrix(b.column(0), dim).astype(np.float64) if b.num_rows else ():
+                asking[visited(q)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(tree.leaves)), pa.array(asking)], names=["leaf", "n"])
+
+    asking = np.zeros(tree.leaves, np.int64)
+    for r in asked.select("v").mapInArrow(callers, "leaf long, n long").groupBy("leaf").agg(F.sum("n")).collect():  # a number per leaf
+        asking[r[0]] = r[1]
+    query_blocks = np.maximum(1, -(-asking // block_rows))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pick, leaves, parts = [], [], []
             for i, q in enumerate(_matrix(b.column(1), dim).astype(np.float64)) if b.num_rows else ():
-                seen = 0
-                for n, at in enumerate(tree.visit(q)):
-                    if n >= visits and seen > k:
-                        break
-                    seen += int(count[at])
-                    if count[at]:
-                        pick += [i] * int(blocks[at])
-                        leaves += [at] * int(blocks[at])
-                        parts += range(int(blocks[at]))
+                for at in visited(q):
+                    pick += [i] * int(blocks[at])
+                    leaves += [at] * int(blocks[at])
+                    parts += range(int(blocks[at]))
             chosen = pa.RecordBatch.from_arrays(b.columns, names=["query_id", "v"]).take(pa.array(pick, pa.int64()))
             yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(leaves, pa.int64()), pa.array(parts, pa.int64())], names=["query_id", "v", "leaf", "part"])
 
-    many = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), (F.col("leaf") + 1).cast("int"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), many))
+    of_leaf = lambda numbers: F.element_at(F.array(*[F.lit(int(n)) for n in numbers]), (F.col("leaf") + 1).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), of_leaf(blocks)))
+    placed = placed.withColumn("ask", F.explode(F.sequence(F.lit(0), of_leaf(query_blocks) - 1)))
     routed = asked.mapInArrow(route, f"query_id long, v {kind}, leaf long, part long")
+    routed = routed.withColumn("ask", F.pmod(F.xxhash64("query_id"), of_leaf(query_blocks)).cast("int"))
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def search(q: pa.Table, r: pa.Table) -> pa.Table:
@@ -182,7 +202,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         cols = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    found = routed.groupBy("leaf", "part").cogroup(placed.groupBy("leaf", "part")).applyInArrow(search, "query_id long, id long, score double")
+    found = routed.groupBy("leaf", "part", "ask").cogroup(placed.groupBy("leaf", "part", "ask")).applyInArrow(search, "query_id long, id long, score double")
     best = found.groupBy("query_id", "id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "id")
     best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
