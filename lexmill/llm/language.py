@@ -164,11 +164,13 @@ def learn(documents: DataFrame, max_chars: int = 32768, max_docs: int = 200, id_
     weight = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row per language
     w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_docs)
-    # max_docs rows per language at most
-    texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    ids = ids.groupBy("id", "lang").agg(F.min("n").alias("n"))
     part = -(-2 * max_chars // max_docs)
+    texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, 4 * part).alias("text"))
+    # max_docs ids per language at most; one that many rows have gives its smallest stretch
+    texts = texts.join(F.broadcast(ids), ["id", "lang"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
     got: dict[str, list[tuple]] = {}
-    for r in texts.select("lang", "n", F.substring("text", 1, 4 * part).alias("text")).toLocalIterator():
+    for r in texts.toLocalIterator():
         got.setdefault(r.lang, []).append((r.n, symbols(r.text)[: 2 * part].tobytes()))
     samples = {}
     for lang, found in got.items():

@@ -124,11 +124,11 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, max_byt
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     ids = marked.groupBy("id").agg(F.min("label").cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    got, size, out = set(), 0, []
-    # the sample's ids are at most max_rows
-    for r in sorted(texts.join(F.broadcast(ids), "id").toLocalIterator(), key=lambda r: (r.id, r.text)):
-        if r.id not in got and size + len(r.text) <= max_bytes:
-            got.add(r.id)
+    size, out = 0, []
+    # the sample's ids are at most max_rows; an id that many rows have gives its smallest text
+    chosen = texts.where(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    for r in chosen.orderBy("id").toLocalIterator():
+        if size + len(r.text) <= max_bytes:
             size += len(r.text)
             out.append((bytes(r.text), r.label))
     return train([t for t, _ in out], [y for _, y in out])
