@@ -199,6 +199,18 @@ def test_packing_covers_every_id_once(spark):
     assert full >= rows.length.sum() // 4096 - 3
 
 
+def test_words_are_forgotten_between_batches_only():
+    rng = random.Random(4)
+    path = spm.tokenizer_path("word_bpe_49k.json")
+    words, all_words = packing.Words(path, memory=20, longest=8), packing.Words(path)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["a", "bc", "x" * 40, "q\nz"]) + str(rng.randint(0, 60)) for _ in range(25)) for _ in range(3)]
+        assert list(words.encode(texts)) == list(all_words.encode(texts))
+        assert len(words.known) <= 20 + 75 * 2
+    list(words.encode([""]))
+    assert max(map(len, words.known)) <= 8 and len(words.known) <= 21
+
+
 def test_sum_of_squares_choice():
     p = packing.Packer(window=10)
     for i, n in enumerate([7, 7, 4, 3]):
@@ -254,6 +266,16 @@ def test_quality_odd_rows(spark):
     assert got[0] == got[1] == got[7] and got[4] == got[5] and all(0 <= s <= 1 for s in got.values())
 
 
+def test_an_id_that_many_rows_have_is_learned_once(spark):
+    d = spark.createDataFrame([(1, "bb", "x"), (1, "ba", "x"), (1, None, "x"), (2, "cc", "y"), (1, "dd", "y")], "doc_id long, text string, lang string")
+    samples, weight = language.learn(d)
+    assert weight == {"x": 2, "y": 2} and b"ba" in samples["x"] and b"bb" not in samples["x"] and b"cc" in samples["y"] and b"dd" in samples["y"]
+    l = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    kept = quality.learn(d.where("text IS NOT NULL"), l)
+    once = quality.learn(spark.createDataFrame([(1, "ba"), (2, "cc")], "doc_id long, text string"), l)
+    assert (kept[0] == once[0]).all() and kept[1] == once[1]
+
+
 def test_language_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     p = language.languages(d).toPandas().merge(d.select("doc_id", "lang").toPandas(), on="doc_id")
@@ -403,13 +425,14 @@ def test_texts_stay_whole_characters(spark):
 # nearest neighbours
 
 
-def test_search_recall_and_ties(spark):
+@pytest.mark.parametrize("block_rows", [128, 8])
+def test_search_recall_and_ties(spark, block_rows):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
     x[500:900] = x[500]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9100, [0.0] * 16), (9200, [float("nan")] * 16), (9300, [1.0] * 3), (None, [1.0] * 16), (100, x[100].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = kmtree.nearest(df, df.where("vec_id % 100 = 0"), max_sample=1500, block_rows=128).toPandas()
+    got = kmtree.nearest(df, df.where("vec_id % 100 = 0"), max_sample=1500, block_rows=block_rows).toPandas()
     assert set(got.query_id) == set(range(0, 3000, 100))
     hits = 0
     for q, g in got.groupby("query_id"):
