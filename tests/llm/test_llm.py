@@ -84,6 +84,7 @@ def test_pieces_equal_the_library():
     own, lib = spm.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(5)
     texts = [t or "" for t in ODD] + ["".join(rng.choice("ab \n▁é日</s>0xA \t🎉") for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    texts += ["a " + "Zürich日x" * 30 + "\n" + "Zürich日x" * 30 + " b", "Zürich日x" * 30]
     for t in texts:
         ids, shown = own.encode_text(t)
         want = lib.encode(t)
@@ -91,6 +92,7 @@ def test_pieces_equal_the_library():
         spans = own.encode_spans(t)
         assert [s[0] for s in spans] == want
         assert "".join(t.encode()[a:b].decode() for a, b in dict.fromkeys((s[2], s[3]) for s in spans)) == t
+    assert max(map(len, own.words)) <= own.longest
 
 
 def _model(charsmap=b"", dummy=1, squeeze=1):
