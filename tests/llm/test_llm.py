@@ -513,3 +513,35 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == columns and 0 < docs.count() <= before
             assert docs.where("n_chars <> length(text)").count() == 0
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(docs.columns)
+
+
+def test_pipeline_near_copies(spark):
+    """Copies with some words changed against all pairs of five-word shingle sets; far texts of one id all stay."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts, ids = [], []
+    for k in range(25):
+        words = [word() for _ in range(rng.randint(150, 400))]
+        texts.append(" ".join(words))
+        for share in (0.0, 0.005, 0.01, 0.02, 0.04, 0.2):
+            texts.append(" ".join(word() if rng.random() < share else w for w in words))
+    texts += ["", None, "  ", "one two", "One  two", "one three", texts[3] + " tail", word()]
+    ids = [*range(len(texts) - 2), 3, 40]  # near text 3 of the same id; a far text of a held id
+    sets = [set(zip(*[(w := (t or "").lower().split())[i:] for i in range(5)])) if len((t or "").split()) > 5 else {tuple((t or "").lower().split())} - {()} for t in texts]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(find(i), []).append((ids[i], hashlib.md5((t or "").encode()).hexdigest(), t))
+    want = sorted((min(g)[0], min(g)[1]) for g in groups.values())
+    docs = documents(spark, [*texts, "no id", "no id"], [*ids, None, None])
+    got = cp.near_duplicates(spark, docs, SF).toPandas()
+    named = got[got.doc_id.notna()]
+    assert len(got) - len(named) == 2
+    assert sorted((int(r.doc_id), hashlib.md5((r.text or "").encode()).hexdigest()) for r in named.itertuples()) == want
