@@ -9,7 +9,7 @@ names. Decoding takes the set of elements with the largest sum of log odds, weig
 element is taken only with its parent; so no descendant of rejected parts is kept.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are trimmed and
-joined by one line end; scripts, styles, comments, templates and the head are never text. Defined cases: null
+joined by one line end; scripts, styles, comments, templates and the head are never text, math and svg text is. Defined cases: null
 or empty html and pages without article text give an empty text.
 """
 
@@ -27,9 +27,12 @@ from .common import small_batches
 
 # Element names of HTML by their behaviour.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea iframe svg math title select option".split())
+RAW = set("script style noscript template textarea iframe title select datalist annotation annotation-xml".split())
+IN_HEAD = set("html head base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+INLINE |= set("math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd merror maction".split())
+INLINE |= set("svg g path rect circle ellipse line polyline polygon text tspan textpath defs use symbol lineargradient radialgradient stop clippath mask pattern marker filter image switch view animate".split())
+CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 FENCE = {"li": {"ul", "ol"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "p": {"div", "article", "section", "td", "li", "body"}}
 # Words that name parts of a page.
 GOOD = "article main content post entry story text body".split()
@@ -43,6 +46,16 @@ WORD = re.compile(r"[a-z]+")
 MARKS = re.compile(r"[.,;:!?]")
 
 
+def raw_end(source: str, name: str, at: int) -> int:
+    """Where a raw element's own end tag ends, or the page; nothing in it is a tag, but templates nest."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>" if name == "template" else rf"<(/){name}(?=[\s/>])[^>]*>", re.I).finditer(source, at):
+        depth += -1 if m[1] else 1
+        if depth == 0:
+            return m.end()
+    return len(source)
+
+
 class Page:
     """Elements in document order (0 is the page itself) and its text: (element, text) with None between blocks."""
 
@@ -52,10 +65,20 @@ class Page:
         self.tag, self.parent, self.depth, self.own, self.link, self.mark = ["#"], [-1], [0], [0], [0], [0]
         self.token, self.above, self.end = [0], [0], [0]
         self.text: list[tuple[int, str] | None] = []
-        open_, at, skip, head = [0], 0, "", False
+        open_, at, head = [0], 0, False
         text, tag = self.text, self.tag
 
+        def leave_head() -> None:
+            nonlocal head
+            head = False
+            at_ = next((i for i, k in enumerate(open_) if tag[k] == "head"), len(open_))
+            for k in open_[at_:]:
+                self.end[k] = len(tag)
+            del open_[at_:]
+
         def say(raw: str) -> None:
+            if head and not raw.isspace():
+                leave_head()
             if not head and not raw.isspace():
                 own = open_[-1]
                 shown = html.unescape(raw)
@@ -68,21 +91,16 @@ class Page:
             elif raw and not head:
                 text.append((open_[-1], " "))
 
-        for m in TOKEN.finditer(source):
-            if m.start() < at:
-                continue
+        while m := TOKEN.search(source, at):
             close, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if skip:  # inside a raw element only its end counts
-                if name and close and name.lower() == skip:
-                    skip = ""
-                    at = m.end()
-                continue
             if m.start() > at:
                 say(source[at : m.start()])
             at = m.end()
             if not name:
                 continue
             name = name.lower()
+            if head and name not in IN_HEAD and not close:  # its end tag may be left out
+                leave_head()
             if name in ("head", "body"):
                 head = name == "head" and not close
             if close:
@@ -97,8 +115,8 @@ class Page:
                 if name not in INLINE:
                     text.append(None)
                 continue
-            if name in RAW:
-                skip = "" if attrs.endswith("/") else name
+            if name in RAW or name in ("desc", "metadata") and any(tag[k] == "svg" for k in open_):
+                at = at if attrs.endswith("/") else raw_end(source, name, at)
                 text.append(None) if name not in INLINE else None
                 continue
             if name not in INLINE:
@@ -113,7 +131,7 @@ class Page:
                         break
                     if tag[open_[i]] in fence:
                         break
-            elif name == "br":
+            elif name in ("br", "mtd", "text"):
                 text.append((open_[-1], " "))
             if name in VOID:
                 continue
@@ -137,7 +155,7 @@ class Page:
                 open_.append(me)
             else:
                 self.end[me] = me + 1
-        if at < len(source) and not skip:
+        if at < len(source):
             say(source[at:])
         for k in open_:
             self.end[k] = len(tag)

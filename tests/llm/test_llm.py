@@ -477,6 +477,18 @@ def test_html_pages(model):
     assert _text(model, f"<body>{menu}<article><h1>Head line of it</h1>{ARTICLE}</article>{comments}{foot}</body>") == WANT
 
 
+def test_html_raw_elements_and_open_head(model):
+    page = lambda inner, head="<head><title>T</title></head><body>": f"<html>{head}<article><h1>Head line of it</h1>{inner}{ARTICLE}</article></body></html>"
+    for raw in ("<script>for(i=0;i<n;i++){f(i)}</script>", "<script>s='<!-- x';</script>", "<style>a>b{c:'<i>'}/*<!--*/</STYLE >", "<template><template>x</template>gone</template>", "<select><option>x<option>y</select>"):
+        assert _text(model, page(raw)) == WANT
+    assert _text(model, page("<input list=d><datalist id=d><option value=x><option value=y></datalist>")) == WANT
+    assert _text(model, page("", "<head><title>T</title><meta charset=utf-8>")) == WANT
+    said = lambda source: "".join(t[1] for t in html.Page(source).text if t)
+    assert said("<head><title>T</title>Bare text<p>more") == "Bare textmore"
+    assert said("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> and <svg><title>t</title><desc>d</desc><text>label</text></svg> end") == "so x=2 and  label end"
+    assert None not in html.Page("<p>so <math><mrow><mi>x</mi></mrow></math> end").text[1:]
+
+
 def test_html_decoding_is_consistent(model):
     rng = np.random.default_rng(5)
     kept = lost = noise = total = 0
