@@ -5,10 +5,10 @@ vector goes down to a leaf. A query goes through the tree with a priority queue
 first, and so has an order of leaves; the number of leaves that are visited is widened, on held-back sample
 vectors, until their neighbours in the sample are found with ``recall``. Those are farther than neighbours
 among all rows, so the calibration errs to the safe side. A query goes on past that number while the leaves
-it has hold too few rows.
+it has hold too few different ids.
 
 Rows of a leaf, and the queries that visit it, are split into blocks of about ``block_rows`` by hashes of
-their ids, so that a crowded leaf is many tasks; each pair of blocks returns a query's k nearest, in double
+their ids, so that a crowded leaf is many tasks; each pair of blocks returns a query's k nearest ids, in double
 precision on the original vectors, and a ranking per query ends it. What is sent to tasks (tree, leaf counts)
 is bounded by the sample.
 
@@ -89,15 +89,17 @@ class Tree:
                 heapq.heappush(heap, (d, n, child))
 
 
-def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, queries: int = 256, seed: int = 2) -> int:
-    """Leaves to visit until the mean recall of sample neighbours reaches the aim."""
+def calibrate(tree: Tree, x: np.ndarray, ids: np.ndarray, k: int, recall: float, queries: int = 256, seed: int = 2) -> int:
+    """Leaves to visit until the mean recall of sample neighbours, the nearest rows of other ids, reaches the aim."""
     rng = np.random.default_rng(seed)
     own = rng.choice(len(x), min(queries, len(x)), replace=False)
     leaf, ranks = tree.leaf_of(x), []
     for i in own:
         d = ((x - x[i]) ** 2).sum(1)
-        d[i] = np.inf
-        near = np.argsort(d)[: min(k, len(x) - 1)]
+        d[ids == ids[i]] = np.inf
+        near = np.argsort(d)
+        near = near[np.sort(np.unique(ids[near], return_index=True)[1])]
+        near = near[np.isfinite(d[near])][:k]
         place = {f: r for r, f in enumerate(tree.visit(x[i]))}
         ranks += [place[int(leaf[j])] for j in near]
     ranks, visits = np.array(ranks), 1
@@ -112,16 +114,23 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 def _nearest_rows(q: pa.Table, r: pa.Table, k: int, dim: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     ids, x = r.column("id").to_numpy(), _matrix(r.column("v").combine_chunks(), dim).astype(np.float64)
+    single = len(np.unique(ids)) == len(ids)
     out = []
     for qid, v in zip(q.column("query_id").to_pylist(), _matrix(q.column("v").combine_chunks(), dim).astype(np.float64)):
         d = np.sqrt(((x - v) ** 2).sum(1))
         d[ids == qid] = np.inf
-        if len(d) > 4 * k:
-            few = np.flatnonzero(d <= np.partition(d, k)[k])  # ties at the edge stay in
-        else:
-            few = np.arange(len(d))
+        few, most = np.arange(len(d)), k
+        while len(d) > 4 * most:
+            near = np.flatnonzero(d <= np.partition(d, most)[most])  # ties at the edge stay in
+            if single or len(np.unique(ids[near])) >= k:
+                few = near
+                break
+            most *= 4  # repeated ids fill the places
         few = few[np.lexsort((ids[few], d[few]))]
-        few = few[np.isfinite(d[few])][:k]
+        few = few[np.isfinite(d[few])]
+        if not single:  # the nearest row of each id
+            few = few[np.sort(np.unique(ids[few], return_index=True)[1])]
+        few = few[:k]
         out.append((np.full(len(few), qid, np.int64), ids[few], d[few]))
     return out
 
@@ -139,10 +148,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         return vectors.sparkSession.createDataFrame([], out)
     dim = common[0]
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("v").toArrow()
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("id", "v").toArrow()
     x = _matrix(sample.column("v").combine_chunks(), dim).astype(np.float64)
     tree = Tree(x, leaf=leaf)
-    visits = calibrate(tree, x, k, recall)
+    visits = calibrate(tree, x, sample.column("id").to_numpy(), k, recall)
     kind = dict(vectors.dtypes)[vector_col]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +161,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at)], names=["id", "v", "leaf"])
 
     placed = rows.mapInArrow(place, f"id long, v {kind}, leaf long")
-    count = np.zeros(tree.leaves, np.int64)
-    for r in placed.groupBy("leaf").count().collect():  # a number per leaf
-        count[r[0]] = r[1]
+    count, named = np.zeros((2, tree.leaves), np.int64)  # rows, and ids of which this is the first leaf, so that none counts twice
+    met = placed.groupBy("id", "leaf").agg(F.count("*").alias("n")).withColumn("home", F.min("leaf").over(Window.partitionBy("id")))
+    for r in met.groupBy("leaf").agg(F.sum("n"), F.count_if(F.col("leaf") == F.col("home"))).collect():  # two numbers per leaf
+        count[r[0]], named[r[0]] = r[1], r[2]
     blocks = np.maximum(1, -(-count // block_rows))
 
     def visited(q: np.ndarray) -> list[int]:
@@ -162,7 +172,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         for n, at in enumerate(tree.visit(q)):
             if n >= visits and seen > k:
                 break
-            seen += int(count[at])
+            seen += int(named[at])
             if count[at]:
                 out.append(at)
         return out

@@ -449,6 +449,23 @@ def test_search_recall_and_ties(spark, block_rows):
     assert got[got.query_id == 500].vec_id.tolist() == list(range(501, 511))
 
 
+@pytest.mark.parametrize("times", [1, 2, 12])
+def test_search_takes_an_id_once(spark, times):
+    """Repeated rows of an id don't take its neighbours' places: the same answer however often rows repeat."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    rows = [(i, (v + np.float32(r * 1e-4)).tolist()) for i, v in enumerate(x) for r in range(times)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 400, 50)], df.schema)
+    got = kmtree.nearest(df, asked, leaf=10_000, block_rows=1 << 20).toPandas()
+    for q, g in got.groupby("query_id"):
+        d = np.stack([(((x + np.float32(r * 1e-4)).astype(float) - x[q].astype(float)) ** 2).sum(1) ** 0.5 for r in range(times)]).min(0)
+        d[q] = np.inf
+        g = g.sort_values("rank")
+        assert g["rank"].tolist() == list(range(1, 11)) and g.vec_id.tolist() == np.lexsort((np.arange(400), d))[:10].tolist()
+        assert np.allclose(g.score, d[g.vec_id])
+
+
 # html
 
 
