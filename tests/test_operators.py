@@ -259,3 +259,28 @@ def test_edits_of_cases(spark):
     assert got["flip"].edited.startswith("张某无事生非，随意殴打他人，致其轻伤二级。") and got["flip"].valid
     assert got["restitution"].edited.endswith("李某案发后已退赃退赔。") and "attribution_ambiguous" in got["restitution"].errors
     assert [got[n].reason for n in ("two places", "shared", "initial")] == ["incomplete_flip", "no_restitution_span", "abbreviated_ambiguous"]
+
+
+def test_components_of_all_links(spark, tmp_path):
+    from lexmill.queries import QUERIES
+
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b), int(n), float(q)) for a, b, n, q in zip(rng.integers(1, 90, 100), rng.integers(1, 90, 100), rng.integers(1, 8, 100), rng.integers(1, 51, 100))]
+    spark.createDataFrame(links, "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root = {n: n for a, b, *_ in links for n in (10 * a, 10 * b + 1)}
+    find = lambda n: n if root[n] == n else find(root[n])
+    for a, b, *_ in links:
+        x, y = find(10 * a), find(10 * b + 1)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in QUERIES["j02_components_all_links"](spark, str(tmp_path)).collect()}
+    assert got == {n: find(n) for n in root if find(n) != n}
+
+
+def test_view_problems_ask_for_every_order(spark, monkeypatch):
+    from lexmill.operators import store
+    from lexmill.queries import QUERIES
+
+    asked, plain = [], store.view_problems
+    monkeypatch.setattr(store, "view_problems", lambda requests, held, **k: asked.append(requests.count()) or plain(requests, held, **k))
+    QUERIES["j09_view_problems"](spark, "/root/testdata/sf0.001")
+    assert asked == [spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()]
