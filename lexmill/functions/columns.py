@@ -213,18 +213,23 @@ def focus(text: C, target: C, co: C, most: int) -> Column:
     longer = F.filter(rest, lambda n: n.contains(who))
     bare = lambda s: F.aggregate(longer, s, lambda acc, n: F.replace(acc, n, F.lit("")))
     tier = lambda s: F.when((who != "") & bare(s).contains(who), 0).when(~F.exists(rest, lambda n: s.contains(n)), 1).otherwise(2)
-    marked = F.transform(sentences, lambda s, i: F.struct(tier(s).alias("tier"), i.alias("at"), s.alias("s")))
-    ordered = F.array_sort(F.filter(marked, lambda x: x["tier"] < 2))
+    # a value that a lambda uses is bound first, or it would be worked out for every sentence
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    marks = F.transform(sentences, lambda s, i: F.struct(tier(s).alias("tier"), i.alias("at"), s.alias("s")))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept"))
     fits = lambda acc, x: acc["used"] + F.length(x["s"]) <= most
-    chosen = F.aggregate(
-        ordered, start,
-        lambda acc, x: F.struct(
-            F.when(fits(acc, x), acc["used"] + F.length(x["s"])).otherwise(acc["used"]).alias("used"),
-            F.when(fits(acc, x), F.array_append(acc["kept"], x["at"])).otherwise(acc["kept"]).alias("kept"),
-        ),
-    )["kept"]
-    joined = F.array_join(F.transform(F.filter(marked, lambda x: F.array_contains(chosen, x["at"])), lambda x: x["s"]), "")
+
+    def chosen(marked: Column) -> Column:
+        return F.aggregate(
+            F.array_sort(F.filter(marked, lambda x: x["tier"] < 2)), start,
+            lambda acc, x: F.struct(
+                F.when(fits(acc, x), acc["used"] + F.length(x["s"])).otherwise(acc["used"]).alias("used"),
+                F.when(fits(acc, x), F.array_append(acc["kept"], x["at"])).otherwise(acc["kept"]).alias("kept"),
+            ),
+        )["kept"]
+
+    told = bound(marks, lambda m: bound(chosen(m), lambda c: F.array_join(F.transform(F.filter(m, lambda x: F.array_contains(c, x["at"])), lambda x: x["s"]), "")))
+    joined = F.when(F.length(t) > most, told)
     return F.when(F.length(t) <= most, t).otherwise(F.substring(F.coalesce(F.nullif(joined, F.lit("")), t), 1, most))
 
 

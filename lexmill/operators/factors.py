@@ -31,8 +31,8 @@ def cue_polarity(text: Column | str, cues: Sequence[str]) -> Column:
         t = F.regexp_replace(t, re.escape(word), HOLD * len(word))
     negation, gap, cue = _any(presets.NEGATIONS), _any([g for g in presets.NEGATION_GAPS if g]), _any(cues)
     clause = r"[^，。；！？\n]"
-    denied = f"(?<={negation}{gap}?){cue}"
-    doubtful = f"(?<={negation}{clause}{{0,11}}){cue}"
+    denied = f"(?={cue})(?<={negation}{gap}?){cue}"
+    doubtful = f"(?={cue})(?<={negation}{clause}{{0,11}}){cue}"
     states = F.regexp_extract_all(t, F.lit(f"({cue})"), F.lit(1))
     marked = F.regexp_replace(t, denied, DENIED)
     marked = F.regexp_replace(marked, doubtful, DOUBTFUL)

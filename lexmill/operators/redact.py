@@ -42,7 +42,7 @@ def conservative(text: Column | str) -> Column:
 
     One pass in the JVM: the history test is a bounded look behind."""
     t = F.col(text) if isinstance(text, str) else text
-    guarded = f"(?<!{presets.HISTORY}[^，,、。；！？\\n]{{0,200}})(?:{presets.WEAK_CONCLUSION})"
+    guarded = f"(?={presets.WEAK_CONCLUSION})(?<!{presets.HISTORY}[^，,、。；！？\\n]{{0,200}})(?:{presets.WEAK_CONCLUSION})"
     mask = re.escape(presets.MASK)
     tail = f"(?:{presets.STRONG_CONCLUSION}|{guarded})[^。；！？\\n]*"
     statement = f"{presets.RESULT_STATEMENT}(?!认为)"

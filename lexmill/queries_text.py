@@ -301,34 +301,44 @@ CASES = [
 ]
 
 
-def cases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CASES, "case_id int, text string, target string, co array<string>")
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a case (doc_id, text, target, co): its whole text with the marks that end sentences here, then one of CASES in turn. The persons are named by the text's own first words."""
+    d = table(spark, sf_dir, "documents")
+    words = F.filter(F.split(F.substring("text", 1, 400), r"[\s\p{P}]+"), lambda w: w != "")
+    d = d.select("doc_id", "text", F.array_distinct(F.slice(words, 1, 6)).alias("w"))
+    d = d.withColumns({"target": F.coalesce(F.get("w", F.lit(0)), F.lit("甲")), "co": F.coalesce(F.slice("w", 2, 3), F.array().cast("array<string>"))})
+    facts = F.array(*[F.lit(c[1]) for c in CASES])
+    fact = F.get(facts, F.coalesce(F.pmod("doc_id", F.lit(len(CASES))), F.lit(0)).cast("int"))
+    fact = F.replace(F.replace(fact, F.lit("甲"), F.col("target")), F.lit("乙"), F.coalesce(F.get("co", F.lit(0)), F.lit("乙")))
+    body = F.translate(F.coalesce("text", F.lit("")), ".,;!?", "。，；！？")
+    return d.select("doc_id", F.concat(body, F.lit("\n"), fact).alias("text"), "target", "co")
 
 
 @query("t07_redaction")
 def t07(spark, sf_dir):
-    out = redact.redact(cases(spark), names=redact.lexicon(["盗窃", "[走私、贩卖]毒品"]), keep=["case_id"])
-    return out.select("case_id", "fact_conservative", "fact_strict", F.size("redactions").alias("n_redactions"), F.to_json("redactions").alias("redactions"))
+    out = redact.redact(cases(spark, sf_dir), names=redact.lexicon(["盗窃", "[走私、贩卖]毒品"]), keep=["doc_id"])
+    return out.select("doc_id", "fact_conservative", "fact_strict", F.size("redactions").alias("n_redactions"), F.to_json("redactions").alias("redactions"))
 
 
 @query("t05_conservative_native")
 def t05n(spark, sf_dir):
-    return cases(spark).select("case_id", redact.conservative("text").alias("masked"), redact.mask_count(redact.conservative("text")).alias("n_masks"))
+    masked = cases(spark, sf_dir).select("doc_id", redact.conservative("text").alias("masked"))
+    return masked.withColumn("n_masks", redact.mask_count("masked"))
 
 
 @query("t11_t17_factors")
 def t17(spark, sf_dir):
-    return factors.with_factors(cases(spark), "text", "target", "co", "f").select("case_id", "f.*")
+    return factors.with_factors(cases(spark, sf_dir), "text", "target", "co", "f").select("doc_id", "f.*")
 
 
 @query("w08_own_text")
 def w08(spark, sf_dir):
-    return cases(spark).select("case_id", factors.own_text(F.col("text"), F.col("target"), F.col("co")).alias("own"))
+    return cases(spark, sf_dir).select("doc_id", factors.own_text(F.col("text"), F.col("target"), F.col("co")).alias("own"))
 
 
 @query("w04_focus")
 def w04(spark, sf_dir):
-    return cases(spark).select("case_id", C.focus("text", "target", "co", 30).alias("focused"))
+    return cases(spark, sf_dir).select("doc_id", C.focus("text", "target", "co", 30).alias("focused"))
 
 
 FACTORS = "struct<amount:double,surrender:boolean,restitution:boolean,confession:boolean,role:string,conduct:string>"
@@ -353,14 +363,21 @@ def t18(spark, sf_dir):
     return edits.validate(done, "text", "edited", similarity="like", out="v").select("name", "plan.kind", "plan.reason", "edited", F.round("like", 6).alias("similarity"), F.col("v.valid").alias("valid"), F.array_join("v.errors", ",").alias("errors"))
 
 
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals for every document: factors found in its case, a charge or two and a penalty by its id. The parent is (doc_id, text)."""
+    i = F.coalesce("doc_id", F.lit(0))
+    made = factors.with_factors(cases(spark, sf_dir), "text", "target", "co", "factors").select(
+        F.struct("doc_id", "text").alias("case_id"), F.col("target").alias("target_defendant"), F.col("co").alias("co_defendants"), "factors",
+        F.when(i % 7 == 0, F.array(F.lit("赌博"), F.lit("盗窃"))).when(i % 2 == 0, F.array(F.lit("盗窃"))).otherwise(F.array(F.lit("抢夺"))).alias("charges"),
+        F.when(i % 11 == 0, "life").otherwise("fixed_term").alias("penalty_type"), F.when(i % 11 != 0, (F.pmod(i, F.lit(120)) + 1).cast("int")).alias("imprisonment_months"),
+    )
+    return interventions.propose(made, [["盗窃", "诈骗", "抢夺"], ["盗窃", "抢夺", "抢劫"]])
+
+
 @query("t32_proposals")
 def t32(spark, sf_dir):
-    made = spark.createDataFrame(
-        [("a", "甲", ["盗窃"], (4450.0, None, True, None, "unknown", "秘密窃取"), ["乙"], "fixed_term", 12), ("b", "乙", ["赌博", "盗窃"], (None, True, None, None, "principal", None), [], "life", None)],
-        "case_id string, target_defendant string, charges array<string>, factors struct<amount:double,surrender:boolean,restitution:boolean,confession:boolean,role:string,conduct:string>, co_defendants array<string>, penalty_type string, imprisonment_months int",
-    )
-    out = interventions.propose(made, [["盗窃", "诈骗", "抢夺"], ["盗窃", "抢夺", "抢劫"]])
-    return out.select("parent_case_id", "ord", "intervention_type", "target_charge", "rank_direction", "rule_id", F.col("target_factors.amount").alias("amount"), F.col("target_factors.conduct").alias("conduct"), F.col("target_factors.restitution").alias("restitution"))
+    out = proposals(spark, sf_dir)
+    return out.select(F.col("parent_case_id.doc_id").alias("parent_case_id"), "ord", "intervention_type", "target_charge", "rank_direction", "rule_id", F.col("target_factors.amount").alias("amount"), F.col("target_factors.conduct").alias("conduct"), F.col("target_factors.restitution").alias("restitution"))
 
 
 @query(

@@ -284,3 +284,23 @@ def test_view_problems_ask_for_every_order(spark, monkeypatch):
     monkeypatch.setattr(store, "view_problems", lambda requests, held, **k: asked.append(requests.count()) or plain(requests, held, **k))
     QUERIES["j09_view_problems"](spark, "/root/testdata/sf0.001")
     assert asked == [spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()]
+
+
+def test_text_queries_take_every_document(spark):
+    """A row a document, and all of its own text in what is masked."""
+    from lexmill.queries import QUERIES
+    from lexmill.queries_text import CASES
+
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for name in ("t07_redaction", "t05_conservative_native", "t11_t17_factors", "w08_own_text", "w04_focus"):
+        rows = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        assert sorted(r.doc_id for r in rows) == sorted(docs)
+        if name.startswith("t0"):
+            body = lambda r: (docs[r.doc_id].text or "").translate(str.maketrans(".,;!?", "。，；！？"))
+            assert all((r.fact_conservative if name == "t07_redaction" else r.masked).startswith(body(r) + "\n") for r in rows)
+            assert sum((r.n_redactions if name == "t07_redaction" else r.n_masks) > 0 for r in rows) >= 2 * len(rows) // len(CASES)
+        if name == "t11_t17_factors":
+            told = [r.amount == 3500.0 for r in rows if r.doc_id % len(CASES) == 0]  # not where another's name lies in the target's
+            assert sum(told) > len(told) / 2
+    parents = {r.parent_case_id for r in QUERIES["t32_proposals"](spark, "/root/testdata/sf0.001").collect()}
+    assert parents <= set(docs) and parents >= {d for d in docs if d % 7}
