@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,26 @@ def id_crc_mod(column: str, modulus: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+class Memory(dict):
+    """A function's values, remembered for keys of at most ``longest`` characters."""
+
+    def __init__(self, of: Callable[[str], Any], most: int, longest: int):
+        super().__init__()
+        self.of, self.most, self.longest = of, most, longest
+
+    def __missing__(self, key: str) -> Any:
+        value = self.of(key)
+        if len(key) <= self.longest:
+            self[key] = value
+        return value
+
+    def make_room(self) -> None:
+        """Above ``most`` the keys met last go: frequent ones were met first."""
+        if len(self) > self.most:
+            for key in list(islice(reversed(self), len(self) - self.most // 2)):
+                del self[key]
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the incoming batches that hold about max_bytes of text (one row at least)."""
     for batch in batches:

@@ -4,73 +4,102 @@ Each task packs the documents of its own input split as they come: no row is shu
 at multiples of the window; the rest of it goes, whole, to the open fill level h (or to a new window) that
 leaves the sum of squared counts of partially filled windows smallest, by a level array N: moving a window
 from h to h+s changes that sum by 2(N[h+s]-N[h])+2, opening one at s by 2N[s]+1, filling one up by 1-2N[h].
-Ties go to the fullest window. At the end of the split, and whenever ``most_open`` windows are open (which
-bounds memory), windows are closed: the emptiest ones' pieces are cut to fill the fullest, so that one
-partial window is left at most, which is given out in stretches whose lengths are powers of two.
+Ties go to the fullest window. At the end of the split windows are closed: the emptiest ones' pieces are cut to
+fill the fullest, so that one partial window is left at most, which is given out in stretches whose lengths
+are powers of two. Open windows hold ids of their own split alone, at most four bytes a token of it.
 
-Defined cases: null text is empty (the end id alone); equal rows are packed one by one.
+Which documents share a sequence follows the order in which a task reads its rows: files give the same one
+each time; sort or write a table first where rows come out of a shuffle and a task may run again.
+
+Defined cases: null text is empty (the end id alone); equal rows are packed one by one; columns beyond the id
+and the text take no part, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import Memory, small_batches
 from .spm import tokenizer_path
 
 WINDOW = 4096
 
 
+# What the fast way needs of a vocabulary file: its normaliser and its splitting (fixed values of the CLIP kind of file).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = r"\t\r!-~À-ÖØ-öø-įĲ-ſ"  # composed Latin letters and ASCII: their categories and cases are beyond doubt
+# letters and digits first: only contractions and marks share a first character
+PARTS = re.compile(r"[a-zÀ-ÖØ-öø-ſ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9À-ÖØ-öø-ſ]+")
+IS_PLAIN = re.compile(f"[{PLAIN}]*").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabets show printable Latin-1 characters as themselves and the other bytes from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Words:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, by a memory of their words.
+    """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's own splitting never joins characters across white space, so words are encoded apart.
-    About ``memory`` words are remembered (and one batch's), none of more than ``longest`` characters beyond its batch."""
+    Words between white space are remembered. A new one is lower-cased and cut as the vocabulary file says, and each
+    of its parts (a run of letters, a digit, a run of marks) is encoded by the library's model once and remembered
+    as well: words differ mostly in capitals and marks. Words with characters outside ASCII and composed Latin, or
+    like special tokens, go to the library whole, and so do whole texts where the file's normaliser or splitting is
+    another. At most about ``memory`` words and half as many parts are remembered, none of more than ``longest``
+    characters."""
 
-    def __init__(self, path: str, memory: int = 900_000, longest: int = 128):
+    def __init__(self, path: str, memory: int = 700_000, longest: int = 128):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.memory, self.longest = memory, longest
-        self.passing: list[str] = []  # the last batch's longer words
-
-    def learn(self, new: list[str]) -> None:
-        """Encode words together, one a line; offsets tell whose each token is."""
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = self.tok.encode("\n".join(part), add_special_tokens=False)
-            raw = np.array(got.ids, "<u4").tobytes()
-            first = np.cumsum([0] + [len(w) + 1 for w in part])
-            ends = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), first).tolist()
-            for w, a, b in zip(part, ends, ends[1:]):
-                self.known[w] = raw[4 * a : 4 * b]
+        self.model, self.letters = self.tok.model, _byte_letters()
+        self.known, self.parts = Memory(self._word, memory, longest), Memory(self._part, memory // 2, longest)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        steps = [x.get("type") for x in (said.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_words = (
+            steps == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": SPLIT} and cuts[0].get("invert") is True
+            and cuts[1].get("type") == "ByteLevel" and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex")
+        )
+        self.special = {t["content"][:2] for t in said.get("added_tokens", [])}
+
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()) and IS_PLAIN(word) is None or any(map(word.__contains__, self.special)):
+            return self._whole(word)
+        low = word.lower()
+        return self.parts[low] if low.isalpha() else b"".join([self.parts[p] for p in PARTS.findall(low)])
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
-        for w in self.passing:
-            self.known.pop(w, None)
-        if len(self.known) > self.memory:
-            # before this batch's words are looked up; the words met last go: frequent ones were met first
-            for w in list(islice(reversed(self.known), len(self.known) - self.memory // 2)):
-                del self.known[w]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = dict.fromkeys(filterfalse(self.known.__contains__, chain.from_iterable(split)))
-        if new:
-            self.learn(list(new))
-        self.passing = [w for w in new if len(w) > self.longest]
+        self.known.make_room()
+        self.parts.make_room()
         known = self.known
-        for words in split:
-            yield b"".join([known[w] for w in words])
+        for text in texts:
+            if self.by_words:
+                yield b"".join([known[w] for w in text.replace("\n", " ").split(" ")])
+            else:
+                yield self._whole(text)
 
     def ids(self, text: str) -> bytes:
         return next(self.encode([text]))
@@ -79,9 +108,9 @@ class Words:
 class Packer:
     """Sum-of-squares packing of one split. A piece is (doc, start, ids as bytes, doc_tokens)."""
 
-    def __init__(self, window: int = WINDOW, most_open: int = 1024):
-        self.window, self.most_open = window, most_open
-        self.count, self.n_open = np.zeros(window + 1, np.int64), 0
+    def __init__(self, window: int = WINDOW):
+        self.window = window
+        self.count = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list[tuple]]] = {}
         self.done: list[list[tuple]] = []
 
@@ -109,21 +138,17 @@ class Packer:
         if best:
             pieces = self.open[best].pop()
             count[best] -= 1
-            self.n_open -= 1
         pieces.append(piece)
         if best + size == c:
             self.done.append(pieces)
         else:
             self.open.setdefault(best + size, []).append(pieces)
             count[best + size] += 1
-            self.n_open += 1
-            if self.n_open >= self.most_open:
-                self.close()
 
     def close(self) -> None:
         """Fill the fullest open windows with pieces of the emptiest, cutting where needed; one partial window may stay open."""
         windows = [(level, w) for level in sorted(self.open) for w in self.open[level]]
-        self.open, self.n_open, self.count[:] = {}, 0, 0
+        self.open, self.count[:] = {}, 0
         lo, hi = 0, len(windows) - 1
         while lo < hi:
             level, pieces = windows[hi]
@@ -148,7 +173,7 @@ class Packer:
             if level == self.window:
                 self.done.append(pieces)
             elif pieces:
-                self.open[level], self.n_open, self.count[level] = [pieces], 1, 1
+                self.open[level], self.count[level] = [pieces], 1
 
     def end(self) -> None:
         self.close()

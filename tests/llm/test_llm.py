@@ -213,6 +213,29 @@ def test_words_are_forgotten_between_batches_only():
     assert max(map(len, words.known)) <= 8 and len(words.known) <= 21
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_have_the_librarys_ids(name):
+    from tokenizers import Tokenizer
+
+    path = spm.tokenizer_path(name)
+    words, tok = packing.Words(path), Tokenizer.from_file(path)
+    assert words.by_words == (name == "word_bpe_49k.json")
+    rng = random.Random(8)
+    texts = [t or "" for t in ODD] + ["Don't I'LL 'Tis it's3 12½ ①② ªº", "İstanbul Ünïcödé ÉCOLE ﬁ ß ẞ ŉ ſ Ø÷×", "a\u00a0b\u3000c\x1cd\x85e\u200b\x7f\0", "<|startoftext|>hi x<|endoftext|>y <| a", "ΣΑΣ Σ a__b--c!!!'s''t"]
+    texts += ["".join(rng.choice("abZÉéſĲ'sdll 1½.,!_<|\n\t\x1fΣ日") for _ in range(rng.randint(1, 80))) for _ in range(300)] + ["Wort, " * 200_000]
+    for t, ids in zip(texts, words.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_many_windows_stay_open():
+    p = packing.Packer(window=10)
+    for i in range(3000):
+        p.add(i, bytes(4) * 6)
+    assert not p.done and p.count[6] == 3000
+    p.end()
+    assert sorted(sum(len(x[2]) // 4 for x in w) for w in p.done)[-1799:] == [10] * 1799 and sum(len(x[2]) // 4 for w in p.done for x in w) == 18000
+
+
 def test_sum_of_squares_choice():
     p = packing.Packer(window=10)
     for i, n in enumerate([7, 7, 4, 3]):
