@@ -6,28 +6,32 @@ that the map (or a user-defined piece) has, else one character, and records for
 source byte it came from; pieces are projected to byte spans of the source through that record. Merging
 joins the adjacent pair whose piece scores best, leftmost first.
 
-Where no piece continues over the start of a word (a meta space after another character), words are encoded
-apart and remembered, which gives the same ids as encoding whole texts; texts whose normaliser is not the
-identity are normalised whole, then cut at those places. The memory of words is emptied when it is full;
-words of more than ``longest`` characters are not kept.
+Where no piece continues over the start of a word (a meta space after another character, or a line end) and
+the map neither joins characters across a space nor changes one, stretches of a text are encoded apart, each
+with its own record, and remembered: a stretch's ids and relative spans are shifted by its place in the source.
+That gives what encoding whole texts gives; other texts and models are normalised whole. Decoding reads the ids.
 
 Defined cases: null is empty; an empty text has no pieces but the end id; decoding drops the meta space
-that encoding put in front and replaces byte pieces that aren't UTF-8 by U+FFFD.
+that encoding put in front and replaces byte pieces that aren't UTF-8 by U+FFFD; columns beyond the id and the
+text take no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import Memory, small_batches
 
 SPACE = "▁"
+STRETCH = re.compile(r"\n[^ \n]*| +[^ \n]*")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -93,6 +97,28 @@ class CharMap:
         return best[0], self.text[best[1] : self.text.index(b"\0", best[1])]
 
 
+    def begins(self) -> set[int]:
+        """The first bytes of the map's entries."""
+        units = self.units
+        root = (units[0] >> 10) << ((units[0] & 0x200) >> 6) if units else 0
+        return {b for b in range(1, 256) if units and root ^ b < len(units) and units[root ^ b] & 0x800000FF == b}
+
+    def holds_space(self) -> bool:
+        """Whether an entry has a space in it."""
+        units, todo, seen = self.units, [0] if self.units else [], set()
+        while todo:
+            at = todo.pop()
+            base = at ^ ((units[at] >> 10) << ((units[at] & 0x200) >> 6)) if at else (units[0] >> 10) << ((units[0] & 0x200) >> 6)
+            for b in range(1, 256):
+                to = base ^ b
+                if to < len(units) and to not in seen and units[to] & 0x800000FF == b:
+                    if b == 32:
+                        return True
+                    seen.add(to)
+                    todo.append(to)
+        return False
+
+
 class Model:
     def __init__(self, blob: bytes, memory: int = 600_000, longest: int = 128):
         self.pieces: list[str] = []
@@ -123,48 +149,56 @@ class Model:
         self.unk = self.kinds.index(UNKNOWN)
         self.eos = self.pieces.index("</s>") if "</s>" in self.pieces else -1
         self.unk_surface = trainer.get(44, b" \xe2\x81\x87 ").decode()
+        self.width = {p: len(p.encode()) for p in self.ids}
+        self.mark = SPACE.encode() if self.escape else b" "
+        # whether stretches can be encoded apart
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.identity = not self.map.units and not self.squeeze and self.escape and self.dummy
-        self.line_apart = not any("\n" in p for p in self.ids)
+        begins = self.map.begins() | {p.encode()[0] for p in self.user if p}
+        self.apart = self.by_word and self.fallback and SPACE in self.ids and self.dummy and self.escape and not self.squeeze and not self.user and 10 not in begins and not any("\n" in p for p in self.ids) and not self.map.holds_space()
+        # whole characters that no entry begins with stand for themselves
+        one, lead = bytes(b for b in range(128) if b not in begins | {32}), bytes(b for b in range(0xC2, 0xF5) if b not in begins)
+        chars = [b"[" + re.escape(one) + b"]"] * bool(one) + [b"[" + re.escape(lead) + b"][\x80-\xbf]+"] * bool(lead)
+        self.themselves = re.compile(b"(?:" + b"|".join(chars) + b")+").match if chars else lambda data, at: None
         shown = {BYTE: lambda i: bytes([self.byte_of[i]]), UNKNOWN: lambda i: self.unk_surface.encode(), CONTROL: lambda i: b""}
         self.surface = [shown[k](i) if k in shown else self.pieces[i].replace(SPACE, " ").encode() for i, k in enumerate(self.kinds)]
-        self.memory, self.longest = memory, longest
-        self.words: dict[str, str] = {}
-        self.changed: dict[str, str] = {}  # words that don't decode to themselves
-
-    def normalize(self, text: str) -> tuple[str, np.ndarray]:
+        self.decimals = [str(i) for i in range(len(self.pieces))]
+        self.known = Memory(self._stretch, memory, longest)
+
+    def _prefix(self, data: bytes, at: int) -> tuple[int, bytes]:
+        """Length of the longest prefix that is a user-defined piece, an entry of the map or else one character, and what it becomes."""
+        for n in range(min(self.user_most * 4, len(data) - at), 0, -1) if self.user_most else ():
+            if (piece := data[at : at + n]).decode(errors="replace") in self.user_set:
+                return n, piece
+        if (hit := self.map.longest(data, at)) is not None:
+            return hit
+        n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+        return n, data[at : at + n]
+
+    def normalize(self, text: str, dummy: bool | None = None) -> tuple[str, list[int]]:
         """The normalised text, and for each of its bytes (and the end) the source byte it stands for."""
-        data = text.encode()
-        out, src = bytearray(), []
-        mark = SPACE.encode() if self.escape else b" "
-
-        def step(at: int) -> tuple[int, bytes]:
-            for n in range(min(self.user_most * 4, len(data) - at), 0, -1) if self.user_most else ():
-                if (piece := data[at : at + n]).decode(errors="replace") in self.user_set:
-                    return n, piece
-            if (hit := self.map.longest(data, at)) is not None:
-                return hit
-            n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-            return n, data[at : at + n]
-
-        at = 0
+        data, out, src, at = text.encode(), bytearray(), [], 0
         if self.squeeze:
             while at < len(data):
-                n, piece = step(at)
+                n, piece = self._prefix(data, at)
                 if piece.strip(b" "):
                     break
                 at += n
-        if self.dummy and at < len(data):
-            out += mark
-            src += [at] * len(mark)
+        if (self.dummy if dummy is None else dummy) and at < len(data):
+            out += self.mark
+            src += [at] * len(self.mark)
         last_space = self.squeeze
         while at < len(data):
-            n, piece = step(at)
+            if (same := self.themselves(data, at)) is not None:
+                out += same[0]
+                src += range(at, same.end())
+                at, last_space = same.end(), False
+                continue
+            n, piece = self._prefix(data, at)
             if self.squeeze and last_space:
                 piece = piece.lstrip(b" ")
             if piece:
                 last_space = piece.endswith(b" ")
-                piece = piece.replace(b" ", mark)
+                piece = piece.replace(b" ", self.mark)
                 out += piece
                 src += [at] * len(piece)
             at += n
@@ -172,10 +206,11 @@ class Model:
                 last_space = False
         end = len(data)
         if self.squeeze:
-            while out.endswith(mark):
-                end = src[-len(mark)]
-                del out[-len(mark) :], src[-len(mark) :]
-        return out.decode(errors="replace"), np.array([*src, end], np.int64)
+            while out.endswith(self.mark):
+                end = src[-len(self.mark)]
+                del out[-len(self.mark) :], src[-len(self.mark) :]
+        src.append(end)
+        return out.decode(errors="replace"), src
 
     def merge(self, word: str) -> list[str]:
         """Pieces of a normalised stretch of text."""
@@ -232,74 +267,12 @@ class Model:
             offer(i, nxt[i])
         return [p for p in parts if p]
 
-    def piece_ids(self, pieces: list[str]) -> list[list[int]]:
-        out = []
-        for p in pieces:
-            if p in self.ids:
-                out.append([self.ids[p]])
-            elif self.fallback:
-                out.append([self.bytes[b] for b in p.encode()])
-            else:
-                out.append([self.unk])
-        return out
-
     def _surface(self, ids: list[int]) -> str:
         out = bytearray()
         for i in ids:
             out += self.surface[i]
         return out.decode(errors="replace")
 
-    def keys(self, text: str) -> list[tuple[str, str]] | list[str]:
-        """Stretches that are encoded apart: keys of the memory; in the common case words whose key names the stretch."""
-        if self.identity and self.by_word and self.line_apart:
-            if SPACE in text:
-                text = text.replace(SPACE, " ")
-            words = text.replace("\n", " \n").split(" ")
-            if "" not in words:
-                return words
-        return []
-
-    def encode_text(self, text: str) -> tuple[str, str]:
-        """Decimal ids joined by a space (no end id), and the text decoded from them."""
-        if not text:
-            return "", ""
-        words = self.keys(text)
-        if words:
-            known, long = self.words, []
-            try:
-                ids = " ".join([known[w] for w in words])
-            except KeyError:
-                if len(known) + len(words) > self.memory:
-                    known.clear()
-                    self.changed.clear()
-                for w in words:
-                    if w not in known:
-                        # a line end stands for itself, any other word follows a meta space
-                        self._put(w, w if w[0] == "\n" else SPACE + w)
-                ids = " ".join([known[w] for w in words])
-                long = [w for w in words if len(w) > self.longest]
-            if self.changed and not self.changed.keys().isdisjoint(words):
-                shown = "".join([self.changed.get(w) or (w if w[0] == "\n" else " " + w) for w in words])
-            else:
-                shown = " " + text.replace(SPACE, " ")
-            for w in long:
-                known.pop(w, None)
-                self.changed.pop(w, None)
-        else:
-            normal, _ = self.normalize(text) if not self.identity else (SPACE + text.replace(" ", SPACE), None)
-            flat = [i for part in self._stretches(normal) for g in self.piece_ids(self.merge(part)) for i in g]
-            ids, shown = " ".join(map(str, flat)), self._surface(flat)
-        if self.dummy and shown.startswith(" "):
-            shown = shown[1:]
-        return ids, shown
-
-    def _put(self, key: str, normal: str) -> None:
-        """Remember a word's ids, and what they decode to where that isn't the word."""
-        ids = [i for group in self.piece_ids(self.merge(normal)) for i in group]
-        self.words[key] = " ".join(map(str, ids))
-        if (shown := self._surface(ids)) != normal.replace(SPACE, " "):
-            self.changed[key] = shown
-
     def _stretches(self, normal: str) -> list[str]:
         """Cut before each meta space that follows another character."""
         if not self.by_word:
@@ -311,19 +284,51 @@ class Model:
                 start = i
         return [*out, normal[start:]]
 
-    def encode_spans(self, text: str) -> list[tuple[int, str, int, int]]:
-        """(id, piece, start, end) with byte spans of the source; byte pieces share their character's span."""
+    def _spans(self, text: str, dummy: bool | None = None) -> array:
+        """id, start and end of each piece of a text normalised whole; byte pieces share their character's span."""
+        rows = array("q")
         if not text:
-            return []
-        normal, src = self.normalize(text)
-        out, at = [], 0
-        for part in self._stretches(normal):
-            pieces = self.merge(part)
-            for piece, ids in zip(pieces, self.piece_ids(pieces)):
-                end = at + len(piece.encode())
-                out += [(i, self.pieces[i], int(src[at]), int(src[end])) for i in ids]
-                at = end
-        return out
+            return rows
+        normal, src = self.normalize(text, dummy)
+        ids, width, start = self.ids, self.width, 0
+        for part in self._stretches(normal) if SPACE in normal[1:] else [normal]:
+            for piece in self.merge(part):
+                if (i := ids.get(piece)) is not None:
+                    end = start + width[piece]
+                    rows.extend((i, src[start], src[end]))
+                else:
+                    end = start + len(piece.encode())
+                    if not self.fallback and rows and rows[-3] == self.unk:
+                        rows[-1] = src[end]  # unknown ones in a row are one
+                    else:
+                        for i in [self.bytes[b] for b in piece.encode()] if self.fallback else [self.unk]:
+                            rows.extend((i, src[start], src[end]))
+                start = end
+        return rows
+
+    def _stretch(self, key: str) -> bytes:
+        """A stretch's rows (id, start, end), places counted from the space before it; a line end has none."""
+        return self._spans(key if key[:1] == "\n" else " " + key, False).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """Rows (id, start, end) with byte spans of the source; no end id."""
+        if not self.apart or not text or SPACE in text:
+            return np.array(self._spans(text), np.int64).reshape(-1, 3)
+        words = text.replace("\n", " \n").split(" ")
+        if "" in words:  # more spaces than one belong to the stretch after them
+            words = [w if w[0] == "\n" else w[1:] for w in STRETCH.findall(" " + text)]
+        known = self.known
+        found = [known[w] for w in words]
+        rows = np.frombuffer(bytearray().join(found), np.int64).reshape(-1, 3)
+        many = np.array(list(map(len, found))) // 24
+        size = rows[np.cumsum(many) - 1, 2]
+        # the space before the first stretch isn't in the source
+        rows[:, 1:] += np.repeat(np.cumsum(size) - size - (words[0][:1] != "\n"), many)[:, None]
+        return np.maximum(rows, 0, out=rows)
+
+    def encode_spans(self, text: str) -> list[tuple[int, str, int, int]]:
+        """(id, piece, start, end) of a text's pieces."""
+        return [(i, self.pieces[i], a, b) for i, a, b in self.encode(text).tolist()]
 
     def decode(self, ids: list[int]) -> str:
         shown = self._surface(ids)
@@ -348,23 +353,26 @@ def tokenizer_path(name: str) -> str:
 
 
 def sp_digest(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per text: n_tokens (the end id included), ids_sha256, decoded_sha256. One narrow stage; model is a file's name among the public ones or a path."""
+    """Per text: n_tokens (the end id included), ids_sha256, decoded_sha256 of what the ids decode to, spans_sha256 of the pieces'
+    byte spans (start and end as little-endian 64-bit numbers). One narrow stage; model is a file's name among the public ones or a path."""
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model if "/" in model else tokenizer_path(model))
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        sha = lambda b: hashlib.sha256(b).hexdigest()
         for b in small_batches(batches, "text"):
-            n, ids, plain = [], [], []
+            m.known.make_room()
+            out = []
             for text in b.column(1).to_pylist():
-                got, shown = m.encode_text(text or "")
-                got = f"{got} {m.eos}" if got else str(m.eos)
-                n.append(got.count(" ") + 1)
-                ids.append(sha(got))
-                plain.append(sha(shown))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows = m.encode(text or "")
+                ids = [*rows[:, 0].tolist(), m.eos]
+                shown = " ".join(map(m.decimals.__getitem__, ids))
+                out.append((len(ids), sha(shown.encode()), sha(m.decode(ids).encode()), sha(np.ascontiguousarray(rows[:, 1:], "<i8").tobytes())))
+            cols = [pa.array(c, pa.string() if i else pa.int64()) for i, c in enumerate(zip(*out))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", *names])
 
     src = df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
-    return src.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, n_tokens long, " + ", ".join(f"{n} string" for n in names[1:])).withColumnRenamed("id", id_col)
 
 
 def sp_encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,8 +381,10 @@ def sp_encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model if "/" in model else tokenizer_path(model))
         for b in small_batches(batches, "text", 1 << 20):
-            got = [m.encode_spans(x or "") for x in b.column(1).to_pylist()]
-            cols = [pa.array([[r[k] for r in g] for g in got], pa.list_(pa.int64())) for k in (0, 2, 3)]
+            m.known.make_room()
+            got = [m.encode(x or "") for x in b.column(1).to_pylist()]
+            ends, flat = np.cumsum([0, *map(len, got)]), np.concatenate(got)
+            cols = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[:, k])) for k in range(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "ids", "starts", "ends"])
 
     src = df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")

@@ -86,16 +86,17 @@ def test_pieces_equal_the_library():
     texts = [t or "" for t in ODD] + ["".join(rng.choice("ab \n▁é日</s>0xA \t🎉") for _ in range(rng.randint(1, 60))) for _ in range(400)]
     texts += ["a " + "Zürich日x" * 30 + "\n" + "Zürich日x" * 30 + " b", "Zürich日x" * 30]
     for t in texts:
-        ids, shown = own.encode_text(t)
-        want = lib.encode(t)
-        assert [int(i) for i in ids.split()] == want and shown == lib.decode(want) == own.decode(want)
-        spans = own.encode_spans(t)
-        assert [s[0] for s in spans] == want
+        want, spans = lib.encode(t), own.encode_spans(t)
+        assert [s[0] for s in spans] == want and lib.decode(want) == own.decode(want)
+        assert own.encode(t).ravel().tolist() == list(own._spans(t))  # stretches encoded apart are as the whole text
         assert "".join(t.encode()[a:b].decode() for a, b in dict.fromkeys((s[2], s[3]) for s in spans)) == t
-    assert max(map(len, own.words)) <= own.longest
+        # the library's own offsets, where no byte piece shares a character
+        if all(own.kinds[i] == spm.NORMAL for i in want):
+            assert [(p.begin, p.end) for p in lib.encode(t, return_type="proto").pieces] == [s[2:] for s in spans]
+    assert own.apart and max(map(len, own.known)) <= own.known.longest
 
 
-def _model(charsmap=b"", dummy=1, squeeze=1):
+def _model(charsmap=b"", dummy=1, squeeze=1, fallback=False):
     """A tiny model of the BPE kind with a normaliser of our own."""
     def field(n, wire, body):
         return bytes([n << 3 | wire]) + body
@@ -112,8 +113,10 @@ def _model(charsmap=b"", dummy=1, squeeze=1):
         return block(1, block(1, text.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
 
     pieces = [piece("<unk>", 0, 2), piece("</s>", 0, 3)] + [piece(p, -i, 1) for i, p in enumerate(["ab", "▁ab", "▁", "a", "b", "f", "i", "fi"])]
+    if fallback:
+        pieces += [piece(f"<0x{b:02X}>", 0, 6) for b in range(256)]
     norm = (block(2, charsmap) if charsmap else b"") + field(3, 0, bytes([dummy])) + field(4, 0, bytes([squeeze])) + field(5, 0, b"\1")
-    return b"".join(pieces) + block(2, field(3, 0, b"\2")) + block(3, norm)
+    return b"".join(pieces) + block(2, field(3, 0, b"\2") + (b"\x98\x02\1" if fallback else b"")) + block(3, norm)
 
 
 def _charsmap(entries):
@@ -152,11 +155,25 @@ def _charsmap(entries):
 def test_normalisation_takes_the_longest_prefix_and_keeps_offsets():
     blob = _model(_charsmap({"ﬁ": "fi", "Ａ": "a", "ＡＢ": "ab", "　": " "}))
     own, lib = spm.Model(blob), sentencepiece.SentencePieceProcessor(model_proto=blob)
-    for t in ["ＡＢ", "Ａ ＡＢ", "ﬁ  ab ", "  a　b", "ab", " ", "zＡ"]:
+    for t in ["ＡＢ", "Ａ ＡＢ", "ﬁ  ab ", "  a　b", "ab", " ", "zＡ", "zz a日\nz zz"]:
         want = lib.encode(t)
-        assert [int(i) for i in own.encode_text(t)[0].split()] == want
+        assert [s[0] for s in own.encode_spans(t)] == want
         assert own.normalize(t)[0] == lib.normalize(t).replace(" ", "▁")
-    assert own.encode_spans("ＡＢ ﬁ") == [(3, "▁ab", 0, 6), (4, "▁", 6, 7), (9, "fi", 7, 10)]
+    assert own.encode_spans("ＡＢ ﬁ") == [(3, "▁ab", 0, 6), (4, "▁", 6, 7), (9, "fi", 7, 10)] and not own.apart
+
+
+def test_stretches_pass_through_the_map():
+    blob = _model(_charsmap({"ﬁ": "fi", "Ａ": "a", "ＡＢ": "ab", "　": " ", "x": ""}), squeeze=0, fallback=True)
+    own, lib = spm.Model(blob), sentencepiece.SentencePieceProcessor(model_proto=blob)
+    assert own.apart
+    rng = random.Random(6)
+    for t in ["ＡＢ ﬁ", "x", "x ", "  x\n"] + ["".join(rng.choice("ab \nxＡＢﬁ　z日") for _ in range(rng.randint(1, 30))) for _ in range(300)]:
+        spans = own.encode(t)
+        assert spans[:, 0].tolist() == lib.encode(t)
+        assert spans.ravel().tolist() == list(own._spans(t))
+    assert own.encode("ﬁ ＡＢ").tolist() == [[4, 0, 0], [9, 0, 3], [3, 3, 10]]
+    assert not spm.Model(_model(_charsmap({"a b": "ab"}), squeeze=0, fallback=True)).apart
+    assert not spm.Model(_model(_charsmap({"\n": "a"}), squeeze=0, fallback=True)).apart
 
 
 def test_piece_rows(spark):
@@ -167,6 +184,8 @@ def test_piece_rows(spark):
         ids = lib.encode(t or "") + [lib.eos_id()]
         assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+        spans = [x for s in spm.load(spm.tokenizer_path("piece_bpe_32k.model")).encode_spans(t or "") for x in s[2:]]
+        assert got[i].spans_sha256 == hashlib.sha256(np.array(spans, "<i8").tobytes()).hexdigest()
     back = spm.sp_decode(spm.sp_encode(df, "piece_bpe_32k.model"), "piece_bpe_32k.model")
     assert {r.doc_id: r.text for r in back.collect()} == {i: t or "" for i, t in enumerate(ODD)}
 
