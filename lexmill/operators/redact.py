@@ -1,92 +1,104 @@
-"""Label-agnostic redaction: conclusions first, then articles and charge names on what is left."""
+"""Label-agnostic redaction: conclusions first, then articles and charge names on what is left. All of it is columns.
+
+Spans are found by one pattern each, walked from match to match: what lies before a match and the match itself
+alternate, so their lengths add up to the offsets, which count code points. Null text is empty; a text without
+a match has no spans. The sums and the joining of overlaps fold over a text's spans, not over its characters.
+"""
 
 from __future__ import annotations
 
-import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import presets
+from ..presets import Rules
+
+SPAN = "struct<category:string,text:string,start:int,end:int,mode:string>"
+
+
+def surface_forms(label: Column | str) -> Column:
+    """Names of a label: of a bracketed list one item, or the list without brackets, and all ways to choose."""
+    bare = F.regexp_replace(F.trim(F.col(label) if isinstance(label, str) else label), "罪$", "")
+    pieces = F.regexp_extract_all(bare, F.lit(r"\[[^\[\]]+\]|\[|[^\[]+"), F.lit(0))
+    items = lambda p: F.filter(F.split(F.substr(p, F.lit(2), F.length(p) - 2), "、"), lambda x: x != "")
+    choices = lambda p: F.when(p.rlike(r"^\[[^\[\]]+\]$"), F.concat(items(p), F.array(F.array_join(items(p), "、")))).otherwise(F.array(p))
+    longer = lambda names, p: F.flatten(F.transform(names, lambda n: F.transform(choices(p), lambda c: F.concat(n, c))))
+    return F.array_distinct(F.aggregate(pieces, F.array(F.lit("")), longer))
 
-SPANS = "array<struct<category:string,text:string,start:int,end:int,mode:string>>"
 
+def lexicon(labels: DataFrame, label: str) -> DataFrame:
+    """name and place of every surface form of two characters or more: longest first, then by name. A vocabulary, ranked in one task."""
+    names = labels.select(F.explode(surface_forms(label)).alias("name")).where(F.length("name") > 1).distinct()
+    return names.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.length("name")), "name")).cast("long"))
 
-def surface_forms(label: str) -> list[str]:
-    """Names of a label whose bracketed parts are alternatives or all of them together."""
-    pieces = re.split(r"\[([^\[\]]+)\]", label.strip().removesuffix("罪"))
-    choices = []
-    for i, piece in enumerate(pieces):
-        options = [x for x in piece.split("、") if x] if i % 2 else [piece]
-        choices.append([*options, "、".join(options)] if i % 2 else options)
-    return list(dict.fromkeys(map("".join, itertools.product(*choices))))
 
+def lexicon_names(labels: DataFrame, label: str) -> list[str]:
+    """The lexicon's names in their order, for patterns."""
+    return [r[0] for r in lexicon(labels, label).orderBy("place").select("name").collect()]
 
-def lexicon(labels: Iterable[str]) -> list[str]:
-    """All names of two characters or more, longest first."""
-    names = {n for label in labels for n in surface_forms(str(label)) if len(n) > 1}
-    return sorted(names, key=lambda n: (-len(n), n))
 
+def mention_pattern(names: Iterable[str], rules: Rules = presets.LEGAL) -> str | None:
+    """One pattern for all places where a rule's frames hold a name."""
+    any_name = "|".join(map(re.escape, names))
+    return "|".join(f.replace("NAME", f"(?:{any_name})") for f in rules.mentions) if any_name else None
 
-def lexicon_pattern(names: Iterable[str]) -> str | None:
-    """Charge mentions, and names after a numbered heading mark."""
-    alternatives = "|".join(re.escape(n) for n in names)
-    return f"(?:{alternatives})(?:犯罪|罪|案)|(?<=[一二三四五六七八九十]、)(?:{alternatives})(?=[；：:，。\\n])" if alternatives else None
 
+def _conclusion(rules: Rules) -> str:
+    """From a marker to the end of its sentence; weak markers under a past cue of their clause don't count."""
+    past = f"(?<!{rules.history}[^{rules.pauses}{rules.stops}]{{0,200}})" if rules.history else ""
+    marks = [rules.strong, *([f"(?={rules.weak}){past}(?:{rules.weak})"] if rules.weak else [])]
+    return f"(?:{'|'.join(marks)})[^{rules.stops}]*"
 
-def conservative(text: Column | str) -> Column:
-    """The text with conclusions masked to the end of their sentence; markers under a past cue don't count.
 
-    One pass in the JVM: the history test is a bounded look behind."""
+def conservative(text: Column | str, rules: Rules = presets.LEGAL) -> Column:
+    """The text with result statements and conclusions masked, in one pass."""
     t = F.col(text) if isinstance(text, str) else text
-    guarded = f"(?={presets.WEAK_CONCLUSION})(?<!{presets.HISTORY}[^，,、。；！？\\n]{{0,200}})(?:{presets.WEAK_CONCLUSION})"
-    mask = re.escape(presets.MASK)
-    tail = f"(?:{presets.STRONG_CONCLUSION}|{guarded})[^。；！？\\n]*"
-    statement = f"{presets.RESULT_STATEMENT}(?!认为)"
-    return F.regexp_replace(t, f"{tail}|{statement}", mask)
-
-
-def _mask(text: str, spans: list[tuple[int, int]]) -> str:
-    out, end = [], 0
-    last = -1
-    for a, b in sorted(spans):
-        if a < last:  # overlaps what is masked already
-            end = last = max(last, b)
-            continue
-        out += [text[end:a], presets.MASK]
-        end = last = b
-    return "".join(out) + text[end:]
-
-
-def redact(df: DataFrame, text: str = "text", names: Iterable[str] = (), keep: list[str] = ()) -> DataFrame:
-    """Rows (*keep, fact_raw, fact_conservative, fact_strict, redactions); offsets count code points, strict ones in the conservative text."""
-    lex = lexicon_pattern(names)
-    patterns = [("article", presets.ARTICLE, 0), *([("charge", lex, 0)] if lex else []), ("charge", r"(?:犯|构成|涉嫌|触犯|(?:应当|(?<!答)应)以)([一-龥、]{2,12}?(?<![认悔无有获得])罪)", 1)]
-    weak, strong, result, history = (re.compile(p) for p in (presets.WEAK_CONCLUSION, presets.STRONG_CONCLUSION, presets.RESULT_STATEMENT, presets.HISTORY))
-    compiled = [(c, re.compile(p), g) for c, p, g in patterns]
-
-    def one(raw: str) -> dict:
-        first = [("result_statement", m.start(), m.end()) for m in result.finditer(raw)]
-        for s in re.finditer(r"[^。；！？\n]+", raw):
-            body = s[0]
-            marks = [m.start() for m in strong.finditer(body)]
-            marks += [m.start() for m in weak.finditer(body) if not history.search(re.split("[，,、]", body[: m.start()])[-1])]
-            if marks:
-                first.append(("conclusion", s.start() + min(marks), s.end()))
-        mild = _mask(raw, [x[1:] for x in first])
-        second = [(c, m.start(g), m.end(g)) for c, p, g in compiled for m in p.finditer(mild)]
-        audit = [{"category": c, "text": t[a:b], "start": a, "end": b, "mode": mode} for t, mode, found in ((raw, "conservative", first), (mild, "strict", second)) for c, a, b in found]
-        return {"fact_conservative": mild, "fact_strict": _mask(mild, [x[1:] for x in second]), "redactions": audit}
-
-    @F.pandas_udf(f"fact_conservative string, fact_strict string, redactions {SPANS}")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            yield pd.DataFrame([one(t or "") for t in texts], columns=["fact_conservative", "fact_strict", "redactions"])
-
-    return df.select(*keep, F.col(text).alias("fact_raw"), run(F.col(text)).alias("x")).select(*keep, "fact_raw", "x.*")
+    return F.regexp_replace(t, f"{_conclusion(rules)}|{rules.statement}(?!认为)", re.escape(rules.mask))
+
+
+def found(text: Column, pattern: str, category: str, mode: str) -> Column:
+    """The pattern's matches as an array of SPAN."""
+    walk = F.lit(f"\\G((?s:.*?))({pattern})")
+    gaps, hits = F.regexp_extract_all(text, walk, F.lit(1)), F.regexp_extract_all(text, walk, F.lit(2))
+    steps = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h))
+    ends = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
+    span = lambda h, e: F.struct(F.lit(category).alias("category"), h.alias("text"), (e - F.length(h)).alias("start"), e.alias("end"), F.lit(mode).alias("mode"))
+    return F.zip_with(hits, ends, span)
+
+
+def joined(spans: Column) -> Column:
+    """Spans (start, end) in order, those that overlap as one; spans that touch stay apart."""
+    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.array_append(F.slice(acc, 1, F.size(acc) - 1), pair(last["start"], F.greatest(last["end"], x["end"])))
+        return F.when(x["start"] < last["end"], grown).otherwise(F.array_append(acc, x))
+
+    in_order = F.array_sort(F.transform(spans, lambda s: pair(s["start"], s["end"])))
+    return F.aggregate(in_order, F.array().cast("array<struct<start:int,end:int>>"), add)
+
+
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each of the joined spans as one mask."""
+    after = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    stretch = lambda i: F.substr(text, after(i) + 1, F.coalesce(F.get(spans, i)["start"], F.length(text)) - after(i))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), stretch), mask)
+
+
+def redact(df: DataFrame, text: str = "text", names: Iterable[str] = (), keep: list[str] = (), rules: Rules = presets.LEGAL) -> DataFrame:
+    """Rows (*keep, fact_raw, fact_conservative, fact_strict, redactions); strict spans are places in the conservative text."""
+    raw, mild = F.coalesce("fact_raw", F.lit("")), F.col("fact_conservative")
+    out = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("fact_raw"))
+    out = out.withColumn("fact_conservative", conservative(raw, rules))
+    strict = [("article", rules.article), ("charge", mention_pattern(names, rules)), ("charge", rules.cued)]
+    first = [found(raw, rules.statement, "result_statement", "conservative"), found(raw, _conclusion(rules), "conclusion", "conservative")]
+    out = out.withColumn("__strict", F.concat(*[found(mild, p, c, "strict") for c, p in strict if p], F.array().cast(f"array<{SPAN}>")))
+    out = out.withColumn("__joined", joined(F.col("__strict")))
+    return out.select(*[F.col(f"`{c}`") for c in keep], "fact_raw", "fact_conservative", masked(mild, F.col("__joined"), rules.mask).alias("fact_strict"), F.concat(*first, "__strict").alias("redactions"))
 
 
 def redaction_counts(redactions: Column | str, category: str) -> Column:

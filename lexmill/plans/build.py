@@ -38,7 +38,7 @@ def build(spark: SparkSession, paths: dict[str, str], dataset: str, output: str,
     plan = splits.split_plan(cases, dataset, "fact_raw", near=near).persist()
     of_train = cases.where("split = 'train'").join(plan.where("assigned = 'train'").select("key"), "key", "left_semi")
     charges, articles = (sorted(r[0] for r in of_train.select(F.explode(c)).distinct().collect()) for c in ("charges", "conviction_articles"))
-    names = redact.lexicon(charges)
+    names = redact.lexicon_names(of_train.select(F.explode("charges").alias("charge")), "charge")
     kept = splits.first_of_each(splits.reassign(cases.withColumnRenamed("group_id", "source_group_id"), plan), ["split", "case_id"], ["line_no", "case_id"])
     texts = redact.redact(kept, "fact_raw", names, keep=[c for c in kept.columns if c != "fact_raw"])
     records = factors.with_factors(texts).drop("key", "line_no")

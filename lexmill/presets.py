@@ -1,8 +1,10 @@
 """Legal presets: word lists and boundaries as data. Every operator takes its own through parameters.
 
-Fixed values: the lists below are domain vocabulary whose members must be exactly these for equal results.
+Fixed values: the lists and patterns below are domain vocabulary whose members must be exactly these for equal results.
 """
 
+from dataclasses import dataclass
+
 PENALTIES = ["fixed_term", "detention", "control", "life", "death", "exempt", "unknown"]
 SPLIT_PRIORITY = {"train": 0, "valid": 1, "test": 2}
 SENTENCE_BINS = [(6, "fixed_term_0_6"), (12, "fixed_term_7_12"), (24, "fixed_term_13_24"), (36, "fixed_term_25_36"), (60, "fixed_term_37_60"), (120, "fixed_term_61_120")]
@@ -42,11 +44,32 @@ WEAK_CONCLUSION = "其(?:上述)?行为已?(?:触犯|构成)|依法(?:惩处|判
 HISTORY = "(?:曾|以前|此前|当年|前科)"
 NUMERAL = "[一二三四五六七八九十百千零〇两0-9]+"
 ARTICLE = f"(?:《[^》]{{0,30}}》|刑法)?第{NUMERAL}条(?:之{NUMERAL})?(?:第{NUMERAL}款)?(?:第{NUMERAL}项)?|第{NUMERAL}款"
-CUED_CHARGE = "(?<=(?:犯|构成|涉嫌|触犯|应当以|(?<!答)应以))[\\u4e00-\\u9fa5、]{2,12}?(?<![认悔无有获得])罪"
+# Fixed value. The cue stands in a look-behind, so that the match is the charge alone.
+CUED_CHARGE = "(?<=(?:犯|构成|涉嫌|触犯|应当以|(?<!答)应以))[一-龥、]{2,12}?(?<![认悔无有获得])罪"
+# A charge's mention, and a heading such as "一、" before it. NAME stands for any name of a lexicon.
+MENTIONS = ["NAME(?:犯罪|罪|案)", "(?<=[一二三四五六七八九十]、)NAME(?=[；：:，。\\n])"]
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Patterns of redaction; stops end a sentence, pauses a clause, weak markers don't count after history in their clause."""
+
+    statement: str
+    strong: str
+    weak: str
+    history: str
+    article: str
+    cued: str
+    mentions: tuple[str, ...]
+    stops: str
+    pauses: str
+    mask: str = MASK
+
+
+LEGAL = Rules(RESULT_STATEMENT, STRONG_CONCLUSION, WEAK_CONCLUSION, HISTORY, ARTICLE, CUED_CHARGE, tuple(MENTIONS), stops="。；！？\\n", pauses="，,、")
 LEAKS = ["label_leakage", "target_label_leakage", "article_leakage", "conclusion_leakage", "sentence_leakage", "mask_restored"]
 
 TAKING = ["盗得", "窃得", "骗得", "抢得", "夺取", "夺走", "劫取", "劫走", "强行劫走", "盗走", "偷走", "窃取", "盗取", "扒窃", "骗取", "秘密窃取", "趁人不备", "乘人不备", "持刀威胁", "以暴力相威胁", "胁迫交付"]
-HARM = ["殴打", "打伤", "打倒在", "致其轻伤", "致人轻伤", "致其重伤", "致人重伤", "轻伤一级", "轻伤二级", "重伤一级", "重伤二级", "持棍棒", "持械"]
 DISCRIMINATORS = {"因个人纠纷定向伤害": ["个人纠纷", "因琐事", "发生纠纷", "因琐事与"], "无事生非随意殴打": ["无事生非", "借故生非", "随意殴打", "无故殴打"]}
 VERBS = {
     **{k: v for k, v in CONDUCT if k in ("组织并经营赌博场所", "参与赌博")}, **DISCRIMINATORS,

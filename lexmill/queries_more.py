@@ -153,8 +153,18 @@ def a29(spark, sf_dir):
 
 @query("o01_longest_first", "SELECT p_type AS name, row_number() OVER (ORDER BY length(p_type) DESC, p_type) AS place FROM (SELECT DISTINCT p_type FROM part)")
 def o01(spark, sf_dir):
-    names = redact.lexicon(r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().collect())  # a vocabulary
-    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "name string, place long")
+    return redact.lexicon(table(spark, sf_dir, "part"), "p_type")
+
+
+@query(
+    "t03_o01_surface_forms",
+    """WITH l AS (SELECT DISTINCT p_type, p_brand FROM part),
+            n AS (SELECT DISTINCT unnest(list_concat(string_split(p_type, ' '), [replace(p_type, ' ', '、')])) || p_brand AS name FROM l)
+       SELECT name, row_number() OVER (ORDER BY length(name) DESC, name) AS place FROM n""",
+)
+def t03(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("["), F.replace("p_type", F.lit(" "), F.lit("、")), F.lit("]"), "p_brand", F.lit("罪")).alias("label"))
+    return redact.lexicon(part.distinct(), "label")
 
 
 @query("u01_u05_splits_of_sources", "SELECT source, string_agg(DISTINCT CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'valid' ELSE 'test' END, ',' ORDER BY CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'valid' ELSE 'test' END) AS splits FROM documents GROUP BY 1")

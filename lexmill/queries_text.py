@@ -316,10 +316,31 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t07_redaction")
 def t07(spark, sf_dir):
-    out = redact.redact(cases(spark, sf_dir), names=redact.lexicon(["盗窃", "[走私、贩卖]毒品"]), keep=["doc_id"])
+    out = redact.redact(cases(spark, sf_dir), names=["走私、贩卖毒品", "走私毒品", "贩卖毒品", "盗窃"], keep=["doc_id"])
     return out.select("doc_id", "fact_conservative", "fact_strict", F.size("redactions").alias("n_redactions"), F.to_json("redactions").alias("redactions"))
 
 
+# rules for the prose of the tables, without look-around, so that SQL can state them as well
+PROSE = presets.Rules(statement="http[^ ]*", strong="[Tt]he | la ", weak="", history="", article="[0-9]+", cued=" of [a-z]+", mentions=("NAME[,.]",), stops=".;!?\\n", pauses=",", mask="#")
+
+
+@query(
+    "t06_t08_redaction_of_prose",
+    r"""WITH m AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '(?:[Tt]he | la )[^.;!?\n]*|http[^ ]*', '#', 'g') AS mild FROM documents),
+             s AS (SELECT *, regexp_extract_all(t, '(?:[Tt]he | la )[^.;!?\n]*') AS c, regexp_extract_all(mild, '[0-9]+') AS a, regexp_extract_all(mild, ' of [a-z]+') AS o,
+                          regexp_extract_all(mild, '(?:der|tion)[,.]') AS n FROM m)
+        SELECT doc_id, mild, regexp_replace(mild, '[0-9]+|(?: of [a-z]*)?(?:der|tion)[,.]| of [a-z]+', '#', 'g') AS strict, len(c) AS n_conclusions, len(a) AS n_articles, len(o) + len(n) AS n_charges,
+               CASE WHEN len(c) > 0 THEN instr(t, c[1]) - 1 ELSE -1 END AS first_start FROM s""",
+)
+def t06(spark, sf_dir):
+    out = redact.redact(table(spark, sf_dir, "documents"), names=["tion", "der"], keep=["doc_id"], rules=PROSE)
+    first = F.filter("redactions", lambda r: r["category"] == "conclusion")
+    return out.select(
+        "doc_id", F.col("fact_conservative").alias("mild"), F.col("fact_strict").alias("strict"), *[redact.redaction_counts("redactions", c).alias(f"n_{c}s") for c in ("conclusion", "article", "charge")],
+        F.coalesce(F.get(first, F.lit(0))["start"], F.lit(-1)).alias("first_start"),
+    )
+
+
 @query("t05_conservative_native")
 def t05n(spark, sf_dir):
     masked = cases(spark, sf_dir).select("doc_id", redact.conservative("text").alias("masked"))

@@ -130,14 +130,50 @@ def test_pairing_counts(spark):
 
 def test_redaction_masks_and_audits(spark):
     df = spark.createDataFrame([(1, "公诉机关指控甲窃取手机。本院认为构成盗窃罪。乙曾因盗窃被从重处罚，其他无异。依第二百六十四条。")], "id int, text string")
-    r = redact.redact(df, names=redact.lexicon(["盗窃"]), keep=["id"]).first()
+    r = redact.redact(df, names=["盗窃"], keep=["id"]).first()
     assert r.fact_conservative == "[已屏蔽]甲窃取手机。[已屏蔽]。乙曾因盗窃被从重处罚，其他无异。依第二百六十四条。"
     assert "第二百六十四条" not in r.fact_strict
     for x in r.redactions:
         source = r.fact_raw if x.mode == "conservative" else r.fact_conservative
         assert source[x.start : x.end] == x.text
     assert df.select(redact.conservative("text")).first()[0] == r.fact_conservative
-    assert redact.surface_forms("[走私、贩卖]毒品罪") == ["走私毒品", "贩卖毒品", "走私、贩卖毒品"]
+    labels = spark.createDataFrame([(" [走私、贩卖]毒品罪",), ("盗窃",), ("a[b、]c[d、e]",), ("[x",), ("杀",), (None,)], "label string")
+    got = {r[0]: r[1] for r in labels.select("label", redact.surface_forms("label")).collect()}
+    assert got[" [走私、贩卖]毒品罪"] == ["走私毒品", "贩卖毒品", "走私、贩卖毒品"] and got["盗窃"] == ["盗窃"] and got["[x"] == ["[x"] and not got[None]
+    assert got["a[b、]c[d、e]"] == ["abcd", "abce", "abcd、e"]
+    assert redact.lexicon_names(labels, "label") == ["走私、贩卖毒品", "abcd、e", "abcd", "abce", "贩卖毒品", "走私毒品", "[x", "盗窃"]
+
+
+def test_redaction_joins_overlaps_as_an_interval_union_does(spark):
+    """Every text against spans found one by one and a mask painted over its characters."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    parts = ["盗窃", "罪", "犯", "案", "构成", "第十条", "《", "》", "刑法", "一、", "：", "。", "，", "乙", "\n", "本院认为", "曾", "依法惩处", "公诉机关指控", "抢劫"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "构成" + "盗窃" * 3 + "罪"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    names = ["盗窃", "抢劫"]
+    from lexmill import presets
+
+    patterns = [presets.ARTICLE, redact.mention_pattern(names), "(?:犯|构成|涉嫌|触犯|(?:应当|(?<!答)应)以)([一-龥、]{2,12}?(?<![认悔无有获得])罪)"]
+    for r in redact.redact(df, names=names, keep=["id"]).collect():
+        mild, spans = r.fact_conservative, set()
+        for p in patterns:
+            spans |= {m.span(m.lastindex or 0) for m in re.finditer(p, mild)}
+        out, last = [], (0, 0)
+        for a, b in sorted(spans):
+            if out and a < last[1]:
+                last = out[-1] = (last[0], max(b, last[1]))
+            else:
+                out.append((a, b))
+                last = (a, b)
+        want = mild
+        for a, b in reversed(out):
+            want = want[:a] + presets.MASK + want[b:]
+        assert r.fact_strict == want
+        assert {(x.start, x.end) for x in r.redactions if x.mode == "strict"} == spans
+        assert all((r.fact_raw if x.mode == "conservative" else mild)[x.start : x.end] == x.text for x in r.redactions)
 
 
 POLARITY = [("甲主动投案自首", True), ("甲尚未自首", False), ("甲不但退赔而且自首", True), ("甲自首，乙未自首", None), ("甲拒不如实供述而后自首", None), ("无", None), ("未成年人自首", True), ("没有主动自首", False)]

@@ -69,6 +69,17 @@ def test_settings(tmp_path):
     got = config.load(str(path), {"LEXMILL_DATA__LIMIT": "7", "OTHER": "x"}, {"train.rate": 0.5, "data.none": None})
     assert got == {"data": {"dataset": "cail", "limit": 7}, "train": {"rate": 0.5}}
     assert config.parse_overrides(["a.b=true", "c=x=y"]) == {"a.b": True, "c": "x=y"}
+    assert [config.scalar(x) for x in ("on", "off", "TRUE", "NULL", "~", "1e3", "1.5", "[1]", "a: b", "", "x y")] == [True, False, True, None, None, "1e3", 1.5, "[1]", "a: b", None, "x y"]
+    yaml_file = tmp_path / "c.yaml"
+    yaml_file.write_text("data:\n  empty: {}\n  list: [1, 2]\nname: x\n")
+    got = config.load(str(yaml_file), {}, {"data": {"a": 1}, "data.b.c": 2, "Name": None})
+    assert got == {"data": {"a": 1, "b": {"c": 2}}, "name": "x"}
+    assert config.load(str(yaml_file), {"LEXMILL_DATA__EMPTY__K": "1"})["data"] == {"empty": {"k": 1}, "list": [1, 2]}
+    for bad in ({"name.x": 1}, {"data.list.x": 1}):
+        with pytest.raises(ValueError):
+            config.load(str(yaml_file), {}, bad)
+    with pytest.raises(ValueError):
+        config.parse_overrides(["a"])
     config.ensure_identity(str(tmp_path / "id.json"), {"model": 1})
     config.ensure_identity(str(tmp_path / "id.json"), {"model": 1})
     with pytest.raises(ValueError):
