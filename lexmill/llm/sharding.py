@@ -1,92 +1,124 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-Rows lie in P logical partitions (a hash of their values, so that a task run again sees the same rows). From
-the partitions' counts the driver draws, row by row of a P x C matrix, how many rows of each partition go to
-each cell, a cell being one of ``splits`` equal ranges of a shard's slots: each draw is multivariate
-hypergeometric over what the cells still need, so every cell gets its exact size and every assignment of rows
-to slots is equally likely. Rows are permuted inside their partition (rank by a seeded hash), dealt to cells
-by the partition's cumulated counts, exchanged, and permuted again inside the cell. P and C are bounded
-(``most_parts``, ``most_cells``), so is the matrix that is broadcast; larger inputs make larger partitions,
-whose sorts spill. All of it is DataFrame code apart from drawing the matrix.
-
-Defined cases: an empty table gives an empty table; equal rows take different slots; null keys are hashed
-like any value; columns of the input named like the results are refused.
+Rows lie in P logical partitions of about ``rows_per_part`` (a hash of their values, so that a task run again
+sees the same rows). A P x C matrix says how many rows of each partition go to each cell, a cell being one of
+equal ranges of a shard's slots, about ``rows_per_cell`` long. Its rows are multivariate hypergeometric draws over
+what the cells still need, so every cell gets its exact size and every assignment of rows to slots is equally
+likely. It is drawn in two levels: the driver draws how many rows each of ``groups`` groups of partitions sends to
+each cell, and a task per group deals those out over its own partitions. Rows are permuted inside their partition
+(rank by a seeded hash), dealt to cells by the partition's cumulated counts, exchanged, and permuted again inside
+the cell. P and C grow with the input; the driver holds groups x C numbers, a task (P / groups) x C.
+
+Defined cases: an empty table gives an empty table; equal rows take different slots, but share a partition; null
+keys are hashed like any value; a column of the input named shard or slot gives way to the result, other names
+that begin with two underscores are used inside.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
+MOST_URN = 10**9  # numpy draws from smaller urns
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int, most_urn: int = MOST_URN) -> int:
+    """How many of n draws without replacement are good, from an urn of any size.
+
+    Keeping every item with chance n / total makes a uniform subset of random size; what it has too many or too
+    few is drawn again out of the subset or its complement, a number of about the square root of n."""
+    taken, sign = 0, 1
+    while True:
+        total = good + bad
+        if n == 0 or good == 0:
+            return taken
+        if bad == 0:
+            return taken + sign * n
+        if total < most_urn:
+            return taken + sign * int(rng.hypergeometric(good, bad, n))
+        if 2 * n > total:  # the ones that stay
+            taken, sign, n = taken + sign * good, -sign, total - n
+        elif n <= 32:
+            for left in range(n):
+                hit = int(rng.integers(total - left)) < good
+                good, taken = good - hit, taken + sign * hit
+            return taken
+        else:
+            a, b = (int(rng.binomial(k, n / total)) for k in (good, bad))
+            taken += sign * a
+            if a + b > n:
+                good, bad, n, sign = a, b, a + b - n, -sign
+            else:
+                good, bad, n = good - a, bad - b, n - a - b
 
-def communication_matrix(counts: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
+
+def communication_matrix(counts: np.ndarray, sizes: np.ndarray, seed: int | tuple[int, ...] = 0, most_urn: int = MOST_URN) -> np.ndarray:
     """How many rows of each partition go to each cell; rows sum to counts, columns to sizes."""
     rng = np.random.default_rng(seed)
     left, out = sizes.astype(np.int64).copy(), np.zeros((len(counts), len(sizes)), np.int64)
     for i, n in enumerate(counts):
         total, need = int(left.sum()), int(n)
-        for j in range(len(sizes)):  # the marginal draws of one multivariate hypergeometric row
-            if not need:
-                break
-            rest = total - int(left[j])
-            out[i, j] = _hypergeometric(rng, int(left[j]), rest, need)
-            need -= int(out[i, j])
-            total = rest
+        if need and total < most_urn:
+            out[i] = rng.multivariate_hypergeometric(left, need, method="marginals")
+        else:
+            for j in range(len(sizes)):  # the marginal draws of one multivariate row
+                if not need:
+                    break
+                total -= int(left[j])
+                out[i, j] = hypergeometric(rng, int(left[j]), total, need, most_urn)
+                need -= int(out[i, j])
         left -= out[i]
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if n == 0 or good == 0:
-        return 0
-    if bad == 0:
-        return n
-    if max(good, bad) < 10**9:
-        return int(rng.hypergeometric(good, bad, n))
-    # numpy's limit: above it the normal approximation, kept in range, still leaves all sums exact
-    p, total = good / (good + bad), good + bad
-    sd = (n * p * (1 - p) * (total - n) / max(1, total - 1)) ** 0.5
-    return int(min(good, n, max(0, n - bad, round(rng.normal(n * p, sd)))))
-
-
-def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, key: list[str] | None = None, rows_per_cell: int = 4096, most_parts: int = 256, most_cells: int = 4096) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, key: list[str] | None = None, rows_per_cell: int = 1 << 16, rows_per_part: int = 1 << 18, groups: int = 64, most_urn: int = MOST_URN) -> DataFrame:
     """The rows with shard (0 to shards-1, counts at most one apart) and slot (gapless from 0 in each shard)."""
-    if clash := {"shard", "slot"} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are names of results")
     key = key or df.columns
-    names = [f"`{c}`" for c in key]
-    # three independent hashes of the row's values; ties are equal rows, whose order doesn't matter
-    mark = lambda n: F.xxhash64(F.lit(seed * 3 + n), *[F.col(c) for c in names])
+    own = [c for c in df.columns if c not in ("shard", "slot")]
+    # hashes of the row's values, kept since its columns may give way; ties are equal rows, whose order doesn't matter
+    mark = lambda n: F.xxhash64(F.lit(seed * 3 + n), *[F.col(f"`{c}`") for c in key])
     rows = df.agg(F.count("*")).first()[0]
-    parts = int(min(most_parts, max(64, rows // 65536)))
-    splits = int(max(1, min(most_cells // shards, -(-rows // (shards * rows_per_cell)))))
-    src = df.withColumn("__part", F.pmod(mark(0), F.lit(parts)))
-    counts = np.zeros(parts, np.int64)
-    for r in src.groupBy("__part").count().collect():  # a number per partition
-        counts[r[0]] = r[1]
+    parts = max(groups, -(-rows // rows_per_part))
+    splits = max(1, -(-rows // (shards * rows_per_cell)))
+    src = df.select(*[f"`{c}`" for c in own], mark(0).alias("__h0"), mark(1).alias("__h1"), mark(2).alias("__h2")).withColumn("__part", F.pmod("__h0", F.lit(parts)))
+    grouped = src.groupBy("__part").agg(F.count("*").alias("n")).select((F.col("__part") % groups).alias("g"), F.struct(F.col("__part").alias("p"), "n").alias("x"))
+    counted = cut(grouped.groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("x")))  # the partitions of a group: parts / groups
+    totals = np.zeros(groups, np.int64)
+    for r in counted.select("g", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["n"])).collect():  # a number per group
+        totals[r[0]] = r[1]
     shard_sizes = np.full(shards, rows // shards) + (np.arange(shards) < rows % shards)
     sizes = np.stack([shard_sizes // splits + (i < shard_sizes % splits) for i in range(splits)], 1)
-    matrix = communication_matrix(counts, sizes.ravel(), seed).reshape(parts, shards, splits)
-    ends = np.cumsum(matrix.sum(2), 1)
+    of_group = communication_matrix(totals, sizes.ravel(), seed, most_urn)
     spark = df.sparkSession
-    plan = spark.createDataFrame(
-        [(p, ends[p].tolist(), np.cumsum(matrix[p], 1).tolist()) for p in range(parts)],
-        "__p long, __ends array<long>, __cells array<array<long>>",
-    )
-    starts = (np.cumsum(sizes, 1) - sizes).ravel().tolist()
-    local = Window.partitionBy("__part").orderBy(mark(1), *[F.col(c) for c in names])
+    first = spark.createDataFrame([(g, of_group[g].tolist()) for g in range(groups) if totals[g]], "g long, cells array<long>")
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for g, x, cells in zip(frame["g"], frame["x"], frame["cells"]):
+                matrix = communication_matrix(np.array([r["n"] for r in x]), np.asarray(cells), (seed, int(g) + 1), most_urn).reshape(len(x), shards, splits)
+                yield pd.DataFrame({"__p": [r["p"] for r in x], "__ends": list(np.cumsum(matrix.sum(2), 1)), "__cells": [m.tolist() for m in np.cumsum(matrix, 2)]})
+
+    plan = counted.join(first, "g").mapInPandas(deal, "__p long, __ends array<long>, __cells array<array<long>>")
+    local = Window.partitionBy("__part").orderBy("__h1", *[f"`{c}`" for c in key if c in own])
     dealt = (
         src.withColumn("__n", F.row_number().over(local))
-        .join(F.broadcast(plan), F.col("__part") == F.col("__p"))  # most_parts x most_cells numbers at most
+        .join(plan, F.col("__part") == F.col("__p"))
         .withColumn("shard", F.size(F.filter("__ends", lambda e: e < F.col("__n"))))
         .withColumn("__n", F.col("__n") - F.when(F.col("shard") > 0, F.try_element_at("__ends", F.col("shard"))).otherwise(0))
         .withColumn("__cell", F.size(F.filter(F.element_at("__cells", F.col("shard") + 1), lambda e: e < F.col("__n"))))
-        .drop("__part", "__p", "__n", "__ends", "__cells")
     )
-    again = Window.partitionBy("shard", "__cell").orderBy(mark(2), *[F.col(c) for c in names])
-    start = F.element_at(F.array(*[F.lit(int(s)) for s in starts]), F.col("shard") * splits + F.col("__cell") + 1)
-    return dealt.withColumn("slot", (start + F.row_number().over(again) - 1).cast("long")).drop("__cell")
+    again = Window.partitionBy("shard", "__cell").orderBy("__h2", *[f"`{c}`" for c in key if c in own])
+    # a shard's first rows % splits cells have one slot more
+    in_shard = F.lit(rows // shards) + (F.col("shard") < rows % shards).cast("long")
+    each, more = F.floor(in_shard / splits), in_shard % splits
+    start = F.col("__cell") * each + F.least(F.col("__cell").cast("long"), more)
+    return dealt.select(*[f"`{c}`" for c in own], "shard", (start + F.row_number().over(again) - 1).cast("long").alias("slot"))
 
 
 def shard_rows(documents: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:

@@ -273,6 +273,33 @@ def test_matrix_margins_and_law():
     assert abs(draws[:, 2, 0].mean() - 7 * 10 / 20) < 0.1
 
 
+def test_urns_of_any_size_give_the_same_law():
+    """The way for urns above numpy's limit against numpy's own draws, and against the mean and variance where numpy has none."""
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((40, 60, 50), (400, 100, 450), (5, 3000, 1500), (300, 300, 40)):
+        own = np.array([sharding.hypergeometric(rng, good, bad, n, 0) for _ in range(6000)])
+        lib = rng.hypergeometric(good, bad, n, 60000)
+        for q in np.unique(lib):
+            a, b = (own <= q).mean(), (lib <= q).mean()
+            assert abs(a - b) < 5 * (b * (1 - b) / 6000) ** 0.5 + 2e-3
+    good, bad, n = 3 * 10**12, 7 * 10**12, 10**11
+    own = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(3000)], float)
+    sd = (n * 0.3 * 0.7 * (1 - n / 10**13)) ** 0.5
+    assert abs(own.mean() - 0.3 * n) < 5 * sd / 3000**0.5 and abs(own.std() / sd - 1) < 0.07
+    counts, sizes = np.array([5 * 10**11, 0, 7 * 10**11, 8 * 10**11]), np.array([10**12, 6 * 10**11, 4 * 10**11])
+    m = sharding.communication_matrix(counts, sizes, 1)
+    assert (m.sum(1) == counts).all() and (m.sum(0) == sizes).all() and (m >= 0).all()
+
+
+def test_many_partitions_and_cells(spark):
+    """Small partitions, cells and urns: two levels of the matrix, exact sizes, all slots taken once."""
+    df = spark.range(3001).withColumn("slot", F.lit("old"))
+    rows = sharding.shuffle_into_shards(df, 7, 5, rows_per_cell=50, rows_per_part=40, groups=8, most_urn=0).toPandas()
+    assert sorted(rows.id) == list(range(3001)) and rows.columns.tolist() == ["id", "shard", "slot"]
+    assert sorted(zip(rows.shard, rows.slot)) == [(s, i) for s in range(7) for i in range(3001 // 7 + (s < 3001 % 7))]
+    assert abs(np.corrcoef(rows.id, rows.slot)[0, 1]) < 0.1
+
+
 def test_shards_are_exact(spark):
     df = spark.range(1000).select((F.col("id") % 400).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("same")).alias("text"))
     rows = sharding.shard_rows(df).toPandas()
@@ -281,8 +308,6 @@ def test_shards_are_exact(spark):
     for _, s in rows.groupby("shard"):
         assert sorted(s.slot) == list(range(len(s)))
     assert set(rows["size"]) == {8, 12} and rows.grown_shard.isna().all()
-    with pytest.raises(ValueError):
-        sharding.shuffle_into_shards(df.withColumn("slot", F.lit(1)), 3)
 
 
 def test_shuffle_is_uniform(spark):
