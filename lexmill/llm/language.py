@@ -1,17 +1,20 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton of a bounded stretch of labelled text (``max_chars``) recognises its
-substrings. A document is parsed greedily against each automaton: a phrase is the longest match from where
+For each language a suffix automaton of a bounded sample of labelled texts (whole ones of ``max_docs`` rows at
+most, which together have ``max_bytes`` at most) recognises its substrings. A document is parsed greedily against each automaton: a phrase is the longest match from where
 the last one ended, a symbol the automaton doesn't know is a phrase of its own. Phrases times log2 of the
 learned length over the document's symbols estimates the cross entropy; the least wins, ties go to the
 language with more learned rows, then to the smaller name.
 
 Symbols are the bytes of the lower-cased text in UTF-8, with every run of ASCII non-letters as one space.
-Parsing restarts every ``block`` symbols, so that thousands of blocks of many documents advance together,
-one gather a symbol, all languages at once; a restart adds one phrase to every language alike.
+Documents are parsed in blocks of ``BLOCK`` symbols, thousands of which advance together, one gather a symbol,
+all languages at once, each first from a fresh phrase. Then the phrase that a document's block before left open
+is carried into each block beside the fresh parse, until both are in one state; from there on they are the same.
+Counts are thus those of one parse from the first symbol to the last.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; without learned text every
-document is ``und``; equal texts get equal results.
+Defined cases: null texts and texts without a letter are ``und`` with score 0 (numerals like a half or a circled
+one are no letters); without learned text every document is ``und``; equal texts get equal results; columns
+beyond the id, the text and those kept take no part, and kept ones may have any name but ``__text``.
 """
 
 from __future__ import annotations
@@ -21,19 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_crc_mod, small_batches
 
-BLOCK = 512
+BLOCK = 1024
 SPACE, END = 0, 1  # codes of a space and of padding; the rest are the bytes seen
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numerals that are no digits
 KEEP = np.full(256, 32, np.uint8)
 KEEP[97:123] = np.arange(97, 123)
 KEEP[128:] = np.arange(128, 256)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
+
+
 def symbols(text: str) -> np.ndarray:
     """The bytes that are parsed."""
     b = KEEP[np.frombuffer(text.lower().encode(), np.uint8)]
@@ -130,7 +137,8 @@ class Parser:
         order = np.argsort(-left, kind="stable")
         grid = np.ascontiguousarray(flat.reshape(-1, BLOCK)[order].T)
         alive = np.searchsorted(-left[order], -np.arange(BLOCK), "left")
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), 1)
+        root = np.array(self.roots, np.int32)
+        state = np.repeat(root[:, None], len(owner), 1)
         count = np.zeros(state.shape, np.int32)
         for t in range(BLOCK):
             n = int(alive[t])
@@ -139,11 +147,51 @@ class Parser:
             v = self.table.take(state[:, :n] + grid[t, :n])
             count[:, :n] += v & 3
             state[:, :n] = v >> 2
-        count += self.table.take(state + END) & 3
+        if len(owner) > len(docs):
+            place = np.empty(len(owner), np.int64)
+            place[order] = np.arange(len(owner))
+            same = owner[1:] == owner[:-1]
+            after = np.full(len(owner), -1)
+            after[place[:-1][same]] = place[1:][same]
+            count = count + self._carried(root, state, after, grid, left[order])
+            last = after < 0
+        else:
+            last = np.ones(len(owner), bool)
+        count = count + np.where(last, self.table.take(state + END) & 3, 0)
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(owner[order], count[k], len(docs))
         return out
 
+    def _carried(self, root: np.ndarray, state: np.ndarray, after: np.ndarray, grid: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """What carrying open phrases from block to block adds to the blocks' phrases.
+
+        state holds the blocks' last states by language and becomes the true ones; after is the block that follows, or -1."""
+        fresh, add = state.copy(), np.zeros(state.shape, np.int32)
+        lang, block = np.nonzero(np.broadcast_to(after >= 0, state.shape))
+        enter, block = state[lang, block], after[block]
+        while len(lang):
+            own, new = enter.copy(), root[lang].copy()
+            more, end = np.zeros(len(lang), np.int32), fresh[lang, block]
+            on = np.flatnonzero(own != new)
+            for t in range(BLOCK):
+                ended = size[block[on]] <= t
+                end[on[ended]] = own[on[ended]]
+                on = on[~ended]
+                if not len(on):
+                    break
+                symbol = grid[t, block[on]]
+                v, w = self.table.take(own[on] + symbol), self.table.take(new[on] + symbol)
+                more[on] += (v & 3) - (w & 3)
+                own[on], new[on] = v >> 2, w >> 2
+                on = on[own[on] != new[on]]
+            end[on] = own[on]
+            add[lang, block] = more
+            # a block that ends in another state than was thought changes the one after it
+            moved = (end != state[lang, block]) & (after[block] >= 0)
+            state[lang, block] = end
+            lang, enter, block = lang[moved], end[moved], after[block[moved]]
+        return add
+
 
 _PARSERS: dict[int, Parser] = {}
 
@@ -156,28 +204,24 @@ def parser_of(samples: dict[str, bytes], weight: dict[str, int]) -> Parser:
     return _PARSERS[key]
 
 
-def learn(documents: DataFrame, max_chars: int = 32768, max_docs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[dict[str, bytes], dict[str, int]]:
-    """For each language max_chars symbols of labelled text, and its number of labelled rows.
+def learn(documents: DataFrame, max_bytes: int = 65536, max_docs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[dict[str, bytes], dict[str, int]]:
+    """For each language the symbols of a sample of its labelled texts, and its number of labelled rows.
 
-    The text comes from the max_docs rows whose ids have the smallest hashes; each gives an equal part at most, so that one long or odd document doesn't fill the stretch."""
+    The sample has whole texts: of the rows with the smallest hashes of their ids, those of an eighth of max_bytes or
+    less first, as many as max_docs and max_bytes allow, and one at least. Other labelled rows aren't learned from."""
     rows = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     weight = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row per language
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_docs)
-    ids = ids.groupBy("id", "lang").agg(F.min("n").alias("n"))
-    part = -(-2 * max_chars // max_docs)
-    texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, 4 * part).alias("text"))
-    # max_docs ids per language at most; one that many rows have gives its smallest stretch
-    texts = texts.join(F.broadcast(ids), ["id", "lang"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
-    got: dict[str, list[tuple]] = {}
-    for r in texts.toLocalIterator():
-        got.setdefault(r.lang, []).append((r.n, symbols(r.text)[: 2 * part].tobytes()))
-    samples = {}
-    for lang, found in got.items():
-        stretch, spare = b"", b""
-        for _, s in sorted(found):
-            stretch, spare = stretch + b" " + s[:part], spare + s[part:]
-        samples[lang] = (stretch + b" " + spare)[:max_chars]
+    sized = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.octet_length(text_col).alias("size"))
+    first = Window.partitionBy("lang").orderBy(F.col("size") > max_bytes // 8, F.xxhash64("id"), "id", "size")
+    ids = sized.withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_docs)
+    upto = F.sum("size").over(Window.partitionBy("lang").orderBy("n"))
+    # max_docs ids per language at most; one that many rows have gives its smallest text of that size
+    ids = ids.withColumn("upto", upto).where((F.col("upto") <= max_bytes) | (F.col("n") == 1)).groupBy("id", "lang", "size").agg(F.min("n").alias("n"))
+    texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.octet_length(text_col).alias("size"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(ids), ["id", "lang", "size"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
+    samples: dict[str, bytes] = {}
+    for r in texts.orderBy("lang", "n").toLocalIterator():
+        samples[r.lang] = samples.get(r.lang, b"") + b" " + symbols(r.text).tobytes()
     return samples, weight
 
 
@@ -188,7 +232,7 @@ def predict(documents: DataFrame, model: tuple[dict[str, bytes], dict[str, int]]
         parser = parser_of(*model)
         for b in small_batches(batches, "__text", 2 << 20):
             texts = b.column(b.schema.get_field_index("__text")).to_pylist()
-            known = [bool(x) and bool(parser.langs) and LETTER.search(x) is not None for x in texts]
+            known = [bool(x) and bool(parser.langs) and has_letter(x) for x in texts]
             docs = [symbols(x) if k else np.zeros(0, np.uint8) for x, k in zip(texts, known)]
             ent = parser.phrases(docs) * parser.bits / np.maximum(1, [len(d) for d in docs])[:, None] if parser.langs else np.zeros((len(docs), 1))
             best = ent.argmin(1)
@@ -208,6 +252,21 @@ def predict(documents: DataFrame, model: tuple[dict[str, bytes], dict[str, int]]
     return src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", `{}` string, `{}` double, `{}` double".format(*out))
 
 
+def entropy_bounds(documents: DataFrame, model: tuple[dict[str, bytes], dict[str, int]], share: float = 0.999, times: float = 2.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """For each learned language ``times`` the entropy per symbol that a ``share`` of all its labelled rows stay within."""
+    labelled = documents.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    found = predict(labelled, model, "id", "text", ["lang"]).where("lang = lang_pred")
+    return {r[0]: times * r[1] for r in found.groupBy("lang").agg(F.percentile_approx("bits", share, 10000)).collect()}  # one row per language
+
+
+def within(bounds: dict[str, float], lang: str = "lang_pred", bits: str = "bits") -> Column:
+    """Whether a prediction is a language, and the text fits it."""
+    most = F.lit(float("inf"))
+    for name, bound in bounds.items():
+        most = F.when(F.col(lang) == name, bound).otherwise(most)
+    return (F.col(lang) != "und") & (F.col(bits) <= most)
+
+
 def languages(documents: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; nothing of the held-out fold (crc32 of the id modulo folds) is learned."""
     model = learn(documents.where(id_crc_mod("doc_id", folds) != held_out))

@@ -357,23 +357,44 @@ def test_language_parse_equals_plain_search():
     text = {"a": b"the cat sat on the mat", "b": b"der hund der katze"}
     parser = language.Parser(text, {})
     rng = random.Random(2)
-    docs = [language.symbols("".join(rng.choice("thecadr xZ9ß ") for _ in range(rng.randint(0, 1300)))) for _ in range(20)]
+    text["c"] = b"a" * 7 + b" the hund " * 5
+    parser = language.Parser(text, {})
+    docs = [language.symbols("".join(rng.choice("thecadr xZ9ß ") for _ in range(rng.randint(0, 4000)))) for _ in range(20)]
+    docs += [language.symbols(x) for x in ("a" * 5000, "a" * 3 * language.BLOCK, "der hund " * 700, "the cat sat on the mat " * 200, "z" * 2500, "b" * language.BLOCK)]
     got = parser.phrases(docs)
     for d, row in zip(docs, got):
         for k, lang in enumerate(parser.langs):
-            n = 0
-            for a in range(0, len(d), language.BLOCK):
-                block, i = d[a : a + language.BLOCK].tobytes(), 0
-                while i < len(block):
-                    j = i
-                    while j < len(block) and block[i : j + 1] in text[lang]:
-                        j += 1
-                    n, i = n + 1, max(j, i + 1)
+            n, i, whole = 0, 0, d.tobytes()
+            while i < len(whole):
+                j = i
+                while j < len(whole) and whole[i : j + 1] in text[lang]:
+                    j += 1
+                n, i = n + 1, max(j, i + 1)
             assert row[k] == n
 
 
+def test_language_sample_has_whole_texts(spark):
+    long, short = "lang " * 30000, "kurz und gut"
+    d = spark.createDataFrame([(1, long, "x"), (2, long + "z", "x"), (3, short, "y"), (4, long, "y"), (5, "", "y")], "doc_id long, text string, lang string")
+    samples, _ = language.learn(d, max_bytes=400, max_docs=3)
+    assert len(samples["x"]) in (len(long) + 1, len(long) + 2) and samples["y"].split() == short.encode().split()
+    assert language.learn(d.limit(0))[0] == {}
+
+
+def test_foreign_text_is_beyond_the_bounds(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language.learn(d)
+    bounds = language.entropy_bounds(d, model)
+    assert set(bounds) == {"en", "fr", "de", "es"} and all(2 < b < 14 for b in bounds.values())
+    odd = spark.createDataFrame([(-1, "これは英語の文章ではありません。" * 5, None), (-2, "Это не английский текст, а русский.", None), (-3, None, None)], "doc_id long, text string, lang string")
+    got = language.predict(d.unionByName(odd), model).select("doc_id", language.within(bounds).alias("ok")).collect()
+    assert {r.doc_id for r in got if not r.ok} == {-1, -2, -3}
+    assert language.entropy_bounds(d.limit(0), ({}, {})) == {}
+
+
 def test_language_odd_rows(spark):
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language.languages(documents(spark, ODD + ["12 34"])).collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.languages(documents(spark, ODD + ["12 34", "½ ² 12", "①② Ⅷ", "①a"])).collect()}
+    assert got[10] == got[11] == ("und", 0.0) and got[12][0] == "en"
     assert got[0] == got[1] == got[7] == got[9] == ("und", 0.0) and got[4] == got[5] and got[4][0] == "en"
 
 
