@@ -1,15 +1,16 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words, its character n-grams (3 and 4 bytes that
-hold no white space inside, so that a leading or trailing space marks the word's edge) and of a word that
-repeats the one before it; a softmax layer over that average gives the classes. Vectors and layer are
-learned by numpy stochastic gradient descent from a bounded sample of labelled rows (``max_rows``, smallest
-hashes of the id first, and ``max_bytes`` of text). As the layer is linear over an average, scoring needs
-one number per vector; whole texts are scored, vectorised over blocks of text.
+A document is the average of learned vectors of its hashed words, its character n-grams (3 and 4 characters that
+hold no white space inside, so that a leading or trailing space marks the word's edge) and its pairs of equal
+words in a row, which all share one vector; a softmax layer over that average gives the classes. Vectors and layer are learned by numpy stochastic gradient descent from a bounded
+sample of labelled rows: the ``max_rows`` smallest hashes of the id, whole texts, and of these no text that would
+take their sum beyond ``max_bytes``. As the layer is linear over an average, scoring needs one number per vector;
+whole texts are scored, vectorised over blocks of text.
 
 Defined cases: null, empty and blank texts have no features and get the share of label 1 among the learned
 rows; equal texts get equal scores; without labelled rows every score is 0.5; a doc_id labelled twice counts
-once with its smaller label.
+once with its smaller label; columns beyond the id, the text and those kept take no part, and kept ones may have
+any name but ``__text``.
 """
 
 from __future__ import annotations
@@ -29,39 +30,50 @@ THRESHOLD = 0.3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
 POWERS = np.cumprod(np.full(64, BASE, np.uint64), dtype=np.uint64)
-SPACES = np.zeros(256, bool)
-SPACES[[9, 10, 11, 12, 13, 32]] = True
+BLANKS = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
 def _index(key: np.ndarray, salt: int) -> np.ndarray:
-    """A bucket of the hash, from 1; bucket 0 is the repeated word."""
+    """A bucket of the hash, from 1; bucket 0 is the pair of equal words."""
     h = (key + np.uint64(salt)) * MIX
     h ^= h >> np.uint64(29)
     h *= MIX
     return (h >> np.uint64(64 - 18)).astype(np.int64) % (BUCKETS - 1) + 1
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts given as UTF-8 bytes without gaps, and the places where texts begin and end."""
+    points = np.frombuffer(data.tobytes().decode(errors="replace").encode("utf-32-le"), np.uint32)
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    if at[-1] == len(points):
+        return points, at
+    # not UTF-8 throughout: one text at a time
+    parts = [np.frombuffer(data[a:b].tobytes().decode(errors="replace").encode("utf-32-le"), np.uint32) for a, b in zip(offsets, offsets[1:])]
+    return np.concatenate([points[:0], *parts]), np.cumsum([0, *map(len, parts)])
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (documents' numbers, buckets) of the features of some texts."""
     n = len(offsets) - 1
+    data, offsets = characters(data, offsets)
     sizes = np.diff(offsets)
     # a space after each text and one in front, so that no feature spans two texts
-    buf = np.full(len(data) + n + 4, 32, np.uint8)
+    buf = np.full(len(data) + n + 4, 32, np.uint32)
     doc = np.repeat(np.arange(n), sizes)
     buf[np.arange(len(data)) + doc + 1] = data
     owner = np.zeros(len(buf), np.int64)
     owner[np.arange(len(data)) + doc + 1] = doc
     # the space after a text belongs to it, the one in front of the first text to that one
     owner[offsets[1:] + np.arange(n) + 1] = np.arange(n)
-    space = SPACES[buf]
-    b = np.where(space, np.uint8(32), buf).astype(np.uint64)
+    space = (buf <= 32) & np.isin(buf, BLANKS)
+    b = np.where(space, np.uint32(32), buf).astype(np.uint64)
     m = len(buf) - 3
-    three = b[:m] | b[1 : m + 1] << np.uint64(8) | b[2 : m + 2] << np.uint64(16)
+    three = b[:m] | b[1 : m + 1] << np.uint64(21) | b[2 : m + 2] << np.uint64(42)
     inner = space[1 : m + 1]
     at = np.flatnonzero(~inner & ~(space[:m] & space[2 : m + 2]))
     yield owner[at + 1], _index(three[at], 3)
     at = np.flatnonzero(~inner & ~space[2 : m + 2])
-    yield owner[at + 1], _index(three[at] | b[at + 3] << np.uint64(24), 4)
+    yield owner[at + 1], _index(three[at] * BASE + b[at + 3], 4)
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     if len(starts):
         place = np.arange(len(buf))

@@ -329,6 +329,36 @@ def test_quality_on_held_out_labels(spark):
     assert (h.predicted == h.quality).mean() > 0.95 and ((p.score >= 0.3) == (p.predicted == 1)).all()
 
 
+def test_quality_scores_equal_plain_sums():
+    """Scores against features found one by one in each text: words, 3- and 4-grams of characters, pairs of equal words."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab éß日🎉\n\t ") for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["", " ", "日本 日本 日本", "x" * 300, "a b\x1cb"]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    got = [[] for _ in texts]
+    for docs, idx in quality.features(np.frombuffer(b"".join(raw), np.uint8), offsets):
+        for d, i in zip(docs.tolist(), idx.tolist()):
+            got[d].append(i)
+    blank = " \t\n\r\x0b\x0c"
+    u64 = (1 << 64) - 1
+    for text, own in zip(texts, got):
+        s = " " + "".join(" " if c in blank else c for c in text) + "  "
+        want = []
+        for i in range(len(s) - 2):
+            a, b, c = s[i : i + 3]
+            three = ord(a) | ord(b) << 21 | ord(c) << 42
+            if b != " " and not (a == " " and c == " "):
+                want.append((three, 3))
+            if b != " " and c != " " and i + 3 < len(s):
+                want.append(((three * int(quality.BASE) + ord(s[i + 3])) & u64, 4))
+        words = s.split(" ")
+        words = [w for w in words if w]
+        for w in words:
+            want.append((sum((ord(c) + 1) * int(quality.POWERS[k & 63]) for k, c in enumerate(w)) & u64, 7))
+        buckets = [int(quality._index(np.array([k], np.uint64), salt)[0]) for k, salt in want]
+        assert sorted(own) == sorted(buckets + [0] * sum(x == y for x, y in zip(words, words[1:])))
+
+
 def test_quality_odd_rows(spark):
     l = spark.createDataFrame([(3, 1, 0), (4, 0, 1), (7, None, 0), (None, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.score for r in quality.quality_scores(documents(spark, ODD), l).collect()}
