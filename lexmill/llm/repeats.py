@@ -2,11 +2,13 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id.
 
-1. Texts are dealt to groups of about ``group_bytes`` by a hash of the id. Every window of ``length`` bytes
+1. Texts are dealt to groups of about ``group_bytes`` by a hash of id and text. Every window of ``length`` bytes
    has a key, the least hash of its ``GRAM``-byte strings: equal windows have equal keys, wherever they lie.
-   Groups report their distinct keys; those that two documents have are sent back.
+   Groups report their distinct keys with about how often they have them; those that two documents have are sent
+   back, and whether a key is hot (about ``HOT`` times or more in all).
 2. Windows with such a key go, as the short stretches of text that share it, to the key's bucket, each
-   distinct stretch once a group with its smallest document. There the suffixes are ordered by bucket-pointer
+   distinct stretch once a group with its smallest document. A hot key's windows (a frequent phrase in ever other
+   surroundings) go one by one, to the bucket of a hash of all of their bytes. There the suffixes are ordered by bucket-pointer
    refinement: buckets of equal 8-byte strings, then sorting inside each bucket by the bucket pointers 8, 16
    and 18 bytes on, each pass reading the pointers that the passes before refined, until buckets are strings
    of ``length`` bytes. Each window's smallest document goes back to the groups that asked.
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, GRAM = 50, 20
+HOT = 4096
+KEY_GROUPS = 16  # keys are small: a bucket of keys takes those of so many groups' text
 LAST = np.iinfo(np.int64).max
 MUL = 0x9E3779B97F4A7C15
 STEP = 1 << 20
@@ -134,7 +138,7 @@ DDL = {"KEYS": "bucket long, grp long, key binary, many binary", "BACK": "grp lo
 
 
 def _report(t: pa.Table, buckets: int) -> pa.Table:
-    """A group's distinct keys by bucket, and which of them two of its documents have."""
+    """A group's distinct keys by bucket, with about how often (a power of two) and whether two of its documents have them."""
     grp = t.column("grp")[0].as_py()
     buf, offsets, ids, _ = _group(t)
     doc, _, _, key = _runs(buf, offsets)
@@ -142,12 +146,13 @@ def _report(t: pa.Table, buckets: int) -> pa.Table:
     key, own = key[order], ids[doc[order]]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     many = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first) if len(key) else np.zeros(0, bool)
+    times = np.log2(np.diff(np.append(first, len(key)))).astype(np.uint8)
     key = key[first]
-    return _table([(b, grp, k, m) for b, k, m in _split(_bucket(key, buckets), key, many.astype(np.uint8))], KEYS)
+    return _table([(b, grp, k, m) for b, k, m in _split(_bucket(key, buckets), key, times | many.astype(np.uint8) << 7)], KEYS)
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """For each group its keys of this bucket that two documents have."""
+def _shared(t: pa.Table, hot: int) -> pa.Table:
+    """For each group its keys of this bucket that two documents have, and which are hot."""
     key = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("key").to_pylist()])
     many = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("many").to_pylist()])
     grp = np.repeat(t.column("grp").to_numpy(), [len(x) // 8 for x in t.column("key").to_pylist()])
@@ -155,33 +160,48 @@ def _shared(t: pa.Table) -> pa.Table:
     key, many, grp = key[order], many[order], grp[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
-    keep = np.repeat((size > 1) | (np.maximum.reduceat(many, first) > 0), size)
-    return _table([(g, 0, k, None, None, None) for g, k in _split(grp[keep], key[keep])], BACK)
+    keep = np.repeat((size > 1) | (np.maximum.reduceat(many, first) > 127), size)
+    often = np.repeat(np.add.reduceat(1 << (many & 127).astype(np.int64), first) >= hot, size).astype(np.uint8)
+    return _table([(g, 0, k, h, None, None) for g, k, h in _split(grp[keep], key[keep], often[keep])], BACK)
 
 
-def _cut_long(buf: np.ndarray, doc: np.ndarray, first: np.ndarray, count: np.ndarray, key: np.ndarray) -> tuple:
-    """Long runs of one key in pieces. Such text mostly repeats itself: cut by its period, its pieces are equal stretches."""
+def _cut_long(buf: np.ndarray, doc: np.ndarray, first: np.ndarray, count: np.ndarray, key: np.ndarray, hot: np.ndarray) -> tuple:
+    """Long runs of one key in pieces, those of hot keys in single windows. Long ones mostly repeat themselves: cut by their period, their pieces are equal stretches."""
     span = LENGTH - GRAM + 1
     step = np.full(len(count), span)
-    for i in np.flatnonzero(count > span).tolist():
+    step[hot] = 1
+    for i in np.flatnonzero((count > span) & ~hot).tolist():
         text = buf[first[i] : first[i] + count[i] + LENGTH - 1]
         step[i] = next((p for p in range(1, span + 1) if np.array_equal(text[p:], text[:-p])), span)
-    pieces = np.where(count > span, -(-count // step), 1)
+    pieces = np.where((count > span) | hot, -(-count // step), 1)
     run = np.repeat(np.arange(len(count)), pieces)
     nth = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     long = pieces[run] > 1
     size = np.where(long, np.minimum(step[run], count[run] - nth * step[run]), count[run])
-    return doc[run], first[run] + nth * step[run], size, key[run]
+    return doc[run], first[run] + nth * step[run], size, key[run], hot[run]
+
+
+def _window_hash(buf: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of the window at each place."""
+    h = np.zeros(len(first), np.uint64)
+    for k in range(LENGTH):
+        h = h * np.uint64(MUL) + BYTE[buf[first + k]]
+    return h ^ h >> np.uint64(31)
 
 
 def _stretches(buf: np.ndarray, offsets: np.ndarray, ids: np.ndarray, back: pa.Table) -> tuple:
-    """Runs whose key is shared, the distinct stretches of text they are, and each run's stretch."""
-    rows = [x for x, k in zip(back.column("a").to_pylist(), back.column("kind").to_pylist()) if k == 0]
-    known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in rows])) if rows else np.zeros(0, np.uint64)
+    """Runs whose key is shared, the distinct stretches of text they are, and each run's stretch; a hot key gives way to its window's hash."""
+    rows = [(x, h) for x, h, k in zip(*[back.column(c).to_pylist() for c in ("a", "b", "kind")]) if k == 0]
+    known = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in rows]) if rows else np.zeros(0, np.uint64)
+    often = np.concatenate([np.frombuffer(h, np.uint8) for _, h in rows]) > 0 if rows else np.zeros(0, bool)
+    by = np.argsort(known)
+    known, often = known[by], often[by]
     doc, first, count, key = _runs(buf, offsets)
     at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
     ok = known[at] == key if len(known) else np.zeros(len(key), bool)
-    doc, first, count, key = _cut_long(buf, doc[ok], first[ok], count[ok], key[ok])
+    hot = often[at[ok]] if len(known) else ok[ok]
+    doc, first, count, key, hot = _cut_long(buf, doc[ok], first[ok], count[ok], key[ok], hot)
+    key[hot] = _window_hash(buf, first[hot])
     raw = buf.tobytes()
     number: dict[bytes, int] = {}
     seg = np.array([number.setdefault(raw[a : a + n], len(number)) for a, n in zip(first.tolist(), (count + LENGTH - 1).tolist())], np.int64)
@@ -347,16 +367,17 @@ def _finish(t: pa.Table, back: pa.Table, out: pa.Schema) -> pa.Table:
     return done.append_column("rest", pa.StructArray.from_arrays(rest.flatten(), names=[f.name for f in rest.type]))
 
 
-def _run(df: DataFrame, id_col: str, text_col: str, with_text: bool, group_bytes: int) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+def _run(df: DataFrame, id_col: str, text_col: str, with_text: bool, group_bytes: int, hot: int) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups = buckets = max(16, total // group_bytes)
+    key_buckets = max(16, groups // KEY_GROUPS)
     rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).dropFields(f"c{df.columns.index(text_col)}").alias("rest")] if with_text else []
     docs = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *rest)
-    docs = docs.withColumn("grp", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(groups)))
-    keys = docs.groupBy("grp").applyInArrow(lambda t: _report(t, buckets), DDL["KEYS"])
+    docs = docs.withColumn("grp", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
+    keys = docs.groupBy("grp").applyInArrow(lambda t: _report(t, key_buckets), DDL["KEYS"])
     # used twice below: texts and keys are exchanged once, their exchanges are reused
-    shared = keys.groupBy("bucket").applyInArrow(_shared, DDL["BACK"])
+    shared = keys.groupBy("bucket").applyInArrow(lambda t: _shared(t, hot), DDL["BACK"])
     sent = docs.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(lambda a, b: _send(a, b, buckets), DDL["PARTS"])
     less = sent.groupBy("bucket").applyInArrow(_order, DDL["BACK"])
     if with_text:
@@ -368,12 +389,12 @@ def _run(df: DataFrame, id_col: str, text_col: str, with_text: bool, group_bytes
     return docs.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(lambda a, b: _finish(a, b, out), ddl)
 
 
-def removed_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 2 << 20) -> DataFrame:
+def removed_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 2 << 20, hot: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every document; bytes exactly as defined above."""
-    return _run(df, id_col, text_col, False, group_bytes).withColumnRenamed("id", id_col)
+    return _run(df, id_col, text_col, False, group_bytes, hot).withColumnRenamed("id", id_col)
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 2 << 20) -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 2 << 20, hot: int = HOT) -> DataFrame:
     """The input's columns, texts without their repeated passages; a character goes only if all of its bytes do."""
-    out = _run(df, id_col, text_col, True, group_bytes)
+    out = _run(df, id_col, text_col, True, group_bytes, hot)
     return out.select(*[F.col("kept").cast("string").alias(c) if c == text_col else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -518,9 +518,12 @@ def test_removed_repeats_equal_brute_force(spark):
     for i in range(100):
         t = "The " * rng.randint(1, 200) if rng.random() < 0.2 else rng.choice(base) + rng.choice(base) + "é" * rng.randint(0, 60)
         rows.append((None if i == 77 else i // 2 if i > 90 else i, None if i == 50 else t))
+    # a phrase of 30 bytes in ever other surroundings, and twice in the same
+    phrase = "a phrase that is in everything"
+    rows += [(200 + i, "".join(rng.choice("xyz ") for _ in range(40)) + phrase + (f" twice {i // 2} the same after it" if i % 3 else f"{i * 7919}")) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for size in (2 << 20, 600):
-        got = repeats.removed_repeats(df, group_bytes=size).toPandas()
+    for size, hot in ((2 << 20, 4096), (600, 4096), (600, 16), (2 << 20, 1)):
+        got = repeats.removed_repeats(df, group_bytes=size, hot=hot).toPandas()
         assert sorted((-1 if pd.isna(r.doc_id) else int(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.itertuples()) == _removed(rows)
 
 
