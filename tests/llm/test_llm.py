@@ -665,6 +665,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(docs.columns)
 
 
+def test_parts_of_a_key_equal_all_pairs(spark, monkeypatch):
+    """A text with ever other edits: most copies are far from each other and close to the text; blocks of any size."""
+    from lexmill.llm import near
+
+    rng = random.Random(12)
+    base = [rng.randint(0, 10**6) for _ in range(40)]
+    sets = [np.unique([b if rng.random() > rng.choice([0.02, 0.08, 0.5]) else rng.randint(0, 10**6) for b in base]) for _ in range(120)] + [np.zeros(0, np.int64)] * 2
+    root = list(range(len(sets)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = [find(i) for i in range(len(sets))]
+    assert near.close_parts(sets, at_once=7).tolist() == near.close_parts(sets).tolist() == want
+    words = [f"w{i}" for i in range(150)]
+    texts = [" ".join(words)] + [" ".join(f"x{k}.{i}" if i in at else w for i, w in enumerate(words)) for k, at in enumerate([set(rng.sample(range(150), rng.randint(1, 9))) for _ in range(80)])]
+    df = documents(spark, texts)
+    whole = {tuple(r) for r in near.near_copies(df).collect()}
+    monkeypatch.setattr(near, "BLOCK", 9)
+    monkeypatch.setattr(near, "BLOCK_MARKS", 2000)
+    assert {tuple(r) for r in near.near_copies(df).collect()} == whole
+    marks = [set(near.shingles(t).tolist()) for t in texts]
+    far = [i for i, m in enumerate(marks) if all(len(m & o) < 0.8 * len(m | o) for j, o in enumerate(marks) if j != i)]
+    assert sorted(r[0] for r in whole) == sorted({0, *far})
+
+
 def test_pipeline_near_copies(spark):
     """Copies with some words changed against all pairs of five-word shingle sets; far texts of one id all stay."""
     import corpus_pipeline as cp
