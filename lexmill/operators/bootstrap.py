@@ -20,8 +20,8 @@ def hash_draw(seed: int, rep: Column, draw: Column, n: Column) -> Column:
 
 
 def group_weights(groups: DataFrame, group: str, iterations: int, seed: int, bucket: Column | None = None) -> DataFrame:
-    """Rows (rep, group, weight > 0): how often each group was drawn in each replicate."""
-    idx = dense_index(groups.select(group).distinct(), F.lit(0) if bucket is None else bucket, [group])
+    """Rows (rep, group, weight > 0): how often each group was drawn in each replicate. Groups are numbered inside buckets, by default of their hash."""
+    idx = dense_index(groups.select(group).distinct(), F.pmod(F.xxhash64(group), F.lit(4096)) if bucket is None else bucket, [group])
     n = groups.select(group).distinct().agg(F.count("*").alias("n"))
     drawn = idx.select("idx", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("rep"))
     n = n.first()[0]

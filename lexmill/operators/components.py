@@ -8,19 +8,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder; a folder of our own is set only where none is."""
-    spark: SparkSession = df.sparkSession
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's shared folder; a temporary one serves only where driver and executors are one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexmill-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def connected(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Rows (node, root) over links (a, b): root is the smallest node of its component.
 
-    Large-star and small-star steps in turn: about log(diameter) rounds, each one a checkpoint."""
+    Large-star and small-star steps in turn, each one a checkpoint: they settle in about log2 of the number of
+    nodes rounds, so most_rounds is a guard against a fault, beyond any table's reach, and raises."""
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     for _ in range(most_rounds):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import length_bucket
@@ -44,8 +44,9 @@ def generation_totals(records: DataFrame, resumed: int, duplicate: int, failures
     return records.agg(n.alias("new"), F.lit(resumed).alias("resumed"), F.lit(duplicate).alias("duplicate"), (n + resumed).alias("current_total"), good.alias("passed"), (n - good).alias("failed_validation"), F.lit(failures).alias("transport_failures"))
 
 
-def view_totals(requests: DataFrame, rows: DataFrame, key: str = "generation_id") -> tuple[DataFrame, DataFrame]:
-    """(records, passed, failed_validation) of a view, and the parent table of its distinct defendants."""
+def view_totals(requests: DataFrame, rows: DataFrame, key: str = "generation_id", order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, passed, failed_validation) of a view, and the parent table of its distinct defendants: of a defendant's requests the last by order (else by key) counts."""
     good = F.count_if(F.coalesce(F.col("validation.valid"), F.lit(False)))
-    parents = requests.join(rows.select(key).distinct(), key, "left_semi").dropDuplicates(["case_id"])
+    last = Window.partitionBy("case_id").orderBy(F.desc(order or key))
+    parents = requests.join(rows.select(key).distinct(), key, "left_semi").withColumn("__last", F.row_number().over(last)).where("__last = 1").drop("__last")
     return rows.agg(F.count("*").alias("records"), good.alias("passed"), (F.count("*") - good).alias("failed_validation")), parent_table(parents)

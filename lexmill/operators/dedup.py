@@ -30,7 +30,13 @@ def signatures(df: DataFrame, text: str = "text", key: str = "key", n: int = 64,
     make keys distinct is a signature a row, not its text or its shingles. ``native_signatures`` gives the
     same from built-in expressions."""
     a, b = (np.array(x, np.uint64)[:, None] for x in coefficients(n, seed))
-    p = np.uint64(PRIME)
+    p, bits = np.uint64(PRIME), np.uint64(31)
+
+    def reduced(x: np.ndarray) -> np.ndarray:
+        """Modulo 2^31 - 1: the upper bits are added to the lower ones."""
+        x = (x & p) + (x >> bits)
+        x = (x & p) + (x >> bits)
+        return np.where(x >= p, x - p, x)
 
     def one(t: str) -> np.ndarray:
         codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -39,10 +45,10 @@ def signatures(df: DataFrame, text: str = "text", key: str = "key", n: int = 64,
         width = min(shingle, len(codes))
         h = np.zeros(len(codes) - width + 1, np.uint64)
         for k in range(width):
-            h = (h * np.uint64(BASE) + codes[k : k + len(h)]) % p
+            h = reduced(h * np.uint64(BASE) + codes[k : k + len(h)])
         h, low = np.unique(h), np.full(n, p, np.uint64)
         for at in range(0, len(h), 4096):  # a bounded block at a time, however long the text
-            low = np.minimum(low, ((h[at : at + 4096] * a + b) % p).min(1))
+            low = np.minimum(low, reduced(h[at : at + 4096] * a + b).min(1))
         return low.astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +94,7 @@ def cross_near_duplicates(sigs: DataFrame, key: str = "key", split: str = "split
     """Rows (a, b), a < b, of keys in different splits whose signatures agree enough.
 
     With eight bands of eight rows an agreement of 0.9 can't miss every band, so banding loses nothing. A pair
-    is kept at its first common band, so it appears once without a shuffle to remove repeats."""
+    that meets in several bands is made distinct at the end."""
     rows = F.size("sig") / bands
     keyed = sigs.select(key, split, "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("sig", (i * rows).cast("int") + 1, rows.cast("int"))))).alias("band", "block"))
     left = keyed.select(F.col(key).alias("a"), F.col(split).alias("split_a"), F.col("sig").alias("sig_a"), "band", "block")

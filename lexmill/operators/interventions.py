@@ -64,3 +64,11 @@ def augmentation(pairs: DataFrame) -> DataFrame:
         "charges": F.when(flip, F.array("target_charge")).otherwise(F.col("charges")), "fact_strict": F.col("counterfactual_strict"), "factors": F.col("target_factors"),
         "mask_penalty": F.lit(True), "penalty_type": F.lit("unknown"), "imprisonment_months": F.lit(None).cast("int"),
     })
+
+
+def allowed(pairs: DataFrame, kinds: list[str]) -> DataFrame:
+    """The pairs of these kinds of intervention; that none is left is an error."""
+    out = pairs.where(F.col("intervention_type").isin(*kinds)) if kinds else pairs.limit(0)
+    if out.isEmpty():
+        raise ValueError(f"no pair of the kinds {sorted(kinds)} is left")
+    return out

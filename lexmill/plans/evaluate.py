@@ -40,6 +40,14 @@ def static_metrics(rows: DataFrame, weight: str | None = None, by: list[str] = (
     return _joined(parts, by)
 
 
+def require_article_labels(rows: DataFrame) -> None:
+    """Refuse rows whose article labels are missing: they aren't rows without articles."""
+    if "articles_available" not in rows.columns:
+        raise ValueError("the rows don't say whether their articles are available")
+    if missing := rows.where(~F.coalesce(F.col("articles_available"), F.lit(False))).count():
+        raise ValueError(f"{missing} rows have no article labels")
+
+
 def _metrics(kind: str):
     if kind == "static":
         return static_metrics

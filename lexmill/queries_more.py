@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import batches, edits, interventions, metrics, redact, splits, store
+from .operators import batches, edits, interventions, metrics, prompts, redact, splits, store
 from .queries import query, table
 
 
@@ -34,6 +34,14 @@ def t35(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), kind.alias("kind"))
 
 
+@query("t35_answers", "SELECT event_id, CASE WHEN json_type(a, '$.kind') = 'VARCHAR' THEN a->>'kind' END AS kind, CASE WHEN json_type(a, '$.n') = 'VARCHAR' THEN a->>'n' END AS n FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE json_object('kind', event_type, 'n', user_id) END AS a FROM events)")
+def t35a(spark, sf_dir):
+    """Every seventh answer is no JSON; a number is no text."""
+    raw = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{kind: "), "event_type")).otherwise(F.to_json(F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("n"))))
+    e = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    return e.select("event_id", prompts.answer("raw", "kind").alias("kind"), prompts.answer("raw", "n").alias("n"))
+
+
 @query(
     "p17_factor_targets",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS amount, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE AS surrender, o_orderstatus <> 'P' AS known,

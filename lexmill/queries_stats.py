@@ -234,7 +234,20 @@ def b06(spark, sf_dir):
 )
 def j10(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
-    return bootstrap.paired_rows(l, l.orderBy("l_partkey"), ["l_orderkey"], "l_returnflag", [])
+    return bootstrap.paired_rows(l, l, ["l_orderkey"], "l_returnflag", [])
+
+
+@query(
+    "j10_paired_mismatches",
+    """WITH a AS (SELECT l_orderkey AS k, l_returnflag AS g, count(*) AS n FROM lineitem GROUP BY 1, 2),
+            b AS (SELECT l_orderkey AS k, l_returnflag AS g, count(*) AS n FROM lineitem WHERE NOT (l_linenumber = 1 AND l_orderkey % 10 = 0) GROUP BY 1, 2),
+            p AS (SELECT k, sum(n) AS n, count(*) AS kinds FROM a GROUP BY 1)
+       SELECT sum(n)::BIGINT AS row_count, count(*) AS unique_samples, count(*) FILTER (WHERE n > 1) AS repeated_samples, (sum(n) FILTER (WHERE n > 1))::BIGINT AS repeated_rows,
+              count(*) FILTER (WHERE n > 1 AND kinds > 1) AS conflicting_truth_samples, (SELECT count(*) FROM a FULL JOIN b USING (k, g) WHERE a.n IS DISTINCT FROM b.n) AS mismatches FROM p""",
+)
+def j10m(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    return bootstrap.paired_rows(l, l.where(~((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 10 == 0))), ["l_orderkey"], "l_returnflag", [])
 
 
 @query(

@@ -63,6 +63,17 @@ def test_evaluate_and_compare(spark):
         evaluate.compare(a, b.where("case_id <> '3'"), "static", "case_id", ["true_charges"], 5)
 
 
+def test_gates(spark):
+    from lexmill.operators import interventions
+
+    rows = spark.createDataFrame([("invariant", True), ("charge_flip", None)], "intervention_type string, articles_available boolean")
+    assert interventions.allowed(rows, ["invariant", "sentence_rank"]).count() == 1
+    evaluate.require_article_labels(rows.where("intervention_type = 'invariant'"))
+    for wrong in (lambda: interventions.allowed(rows, ["sentence_rank"]), lambda: interventions.allowed(rows, []), lambda: evaluate.require_article_labels(rows), lambda: evaluate.require_article_labels(rows.drop("articles_available"))):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_settings(tmp_path):
     path = tmp_path / "c.json"
     path.write_text('{"data": {"dataset": "cail", "limit": 3}}')
