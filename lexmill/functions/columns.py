@@ -147,6 +147,18 @@ def amounts_match(left: C, right: C, distinct_from: C | None = None) -> Column:
     return F.coalesce(finite & (F.abs(a - b) <= tolerance), F.lit(False))
 
 
+def factors_match(observed: Column, wanted: Column, changed: C) -> Column:
+    """Whether every changed field has the wanted value: null only equals null, and amounts agree within their tolerance. Without changed fields it holds."""
+    named = F.coalesce(col(changed), F.array().cast("array<string>"))
+    ok = F.lit(True)
+    for n in ("amount", "surrender", "restitution", "confession", "role", "conduct"):
+        same = observed[n].eqNullSafe(wanted[n])
+        if n == "amount":
+            same = F.when(observed[n].isNull() | wanted[n].isNull(), same).otherwise(amounts_match(observed[n], wanted[n]))
+        ok = ok & (~F.array_contains(named, n) | same)
+    return ok
+
+
 def band_of(amount: C, edges: Sequence[float] = presets.AMOUNT_EDGES) -> Column:
     """How many edges are at or under the amount."""
     return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= col(amount)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,23 @@ def epoch_order(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), key)
 
 
+def numbered(batches: DataFrame) -> DataFrame:
+    """Rows of token_batches with ``place``, the number of their batch over all windows; what one task orders is a row a window."""
+    per = batches.groupBy("shuffle_window").agg((F.max("batch") + 1).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("shuffle_window").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return batches.join(per.select("shuffle_window", before.alias("__before")), "shuffle_window").withColumn("place", F.col("__before") + F.col("batch")).drop("__before")
+
+
+def resumed(batches: DataFrame, state: dict[str, int], seed: int, epoch: int) -> DataFrame:
+    """The numbered batches that a pass with this state (seed, epoch, start) still has to see; a state of another pass is an error."""
+    if (state["seed"], state["epoch"]) != (seed, epoch):
+        raise ValueError(f"the state is of seed {state['seed']}, epoch {state['epoch']}, not of {seed}, {epoch}")
+    total = batches.agg(F.coalesce(F.max("place") + 1, F.lit(0))).first()[0]
+    if not 0 <= state["start"] <= total:
+        raise ValueError(f"batch {state['start']} of {total}")
+    return batches.where(F.col("place") >= state["start"])
+
+
 def similarity(parent: str, text: str) -> Column:
     """Ratio of matching stretches of two texts, as Python's sequence matcher without its popularity rule gives it."""
     import difflib

@@ -106,3 +106,24 @@ def paired_rows(candidate: DataFrame, reference: DataFrame, key: list[str], grou
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count("n").alias("unique_samples"), F.count_if(many).alias("repeated_samples"),
         F.coalesce(F.sum(F.when(many, F.col("n"))), F.lit(0)).alias("repeated_rows"), F.count_if(many & (F.col("kinds") > 1)).alias("conflicting_truth_samples"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("mismatches"),
     )
+
+
+def strict_pairs(candidate: DataFrame, reference: DataFrame, key: list[str], group: str, truth: list[str]) -> DataFrame:
+    """Rows (*key, problem) of samples that don't pair one to one: no_key, repeated, missing, other_group or other_truth, the first that holds."""
+    facts = F.struct(*truth) if truth else F.lit(0)
+    side = lambda df, s: df.groupBy(*[F.col(c).alias(f"{s}{i}") for i, c in enumerate(key)]).agg(F.count("*").alias(f"{s}n"), F.min(group).alias(f"{s}g"), F.min(facts).alias(f"{s}t"))
+    a, b = side(candidate, "a"), side(reference, "b")
+    on = [F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) for i in range(len(key))]
+    ids = [F.coalesce(f"a{i}", f"b{i}").alias(c) for i, c in enumerate(key)]
+    empty = F.greatest(*[F.coalesce(f"a{i}", f"b{i}").isNull().cast("int") for i in range(len(key))], F.lit(0)) == 1
+    problem = (
+        F.when(empty, "no_key").when((F.col("an") > 1) | (F.col("bn") > 1), "repeated").when(F.col("an").isNull() | F.col("bn").isNull(), "missing")
+        .when(~F.col("ag").eqNullSafe(F.col("bg")), "other_group").when(~F.col("at").eqNullSafe(F.col("bt")), "other_truth")
+    )
+    return a.join(b, on, "full").select(*ids, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def require_pairs(candidate: DataFrame, reference: DataFrame, key: list[str], group: str, truth: list[str]) -> None:
+    """An error that names one sample that doesn't pair one to one."""
+    if bad := strict_pairs(candidate, reference, key, group, truth).first():
+        raise ValueError(f"{bad['problem']}: {[bad[k] for k in key]}")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets
-from ..functions.columns import amount_in
+from ..functions.columns import amount_in, factors_match
 
 HOLD, DENIED, DOUBTFUL = "\ue000", "\ue001", "\ue002"  # private characters: part of a word that holds a negation, a cue denied, a cue in doubt
 
@@ -93,3 +93,11 @@ def with_factors(df: DataFrame, text: str = "fact_strict", target: str = "target
     """The rows with the factors of their target; the target's clauses are a column first, so that they are found once."""
     own = df.withColumn("__own", own_text(F.col(text), F.col(target), F.col(co)))
     return own.withColumn(out, factors("__own")).drop("__own")
+
+
+def observed(df: DataFrame, text: str, wanted: str = "target_factors", changed: str = "changed_fields", target: str = "target_defendant", co: str = "co_defendants", out: str = "observed_factors") -> DataFrame:
+    """The rows with the factors that their text shows, null where it doesn't show what was to change; the wish itself is no observation."""
+    read = with_factors(df, text, target, co, "__seen")
+    named = F.size(F.coalesce(F.col(changed), F.array().cast("array<string>"))) > 0
+    ok = F.when(named, F.col(wanted).isNotNull() & factors_match(F.col("__seen"), F.col(wanted), changed)).otherwise(F.lit(True))
+    return read.withColumn(out, F.when(ok, F.col("__seen"))).drop("__seen")

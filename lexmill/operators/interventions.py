@@ -52,6 +52,17 @@ def rankable(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where(F.col("__reason").isNull()).drop("__reason"), counts
 
 
+def rank_reasons(cases: DataFrame) -> DataFrame:
+    """(reason, n) of cases that no ranking edit can be made of."""
+    reason = rank_exclusion("charges", "penalty_type", "imprisonment_months", F.col("factors.restitution")).alias("reason")
+    return cases.select(reason).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def overlaid(pairs: DataFrame, text: str = "counterfactual_text", factors: str = "counterfactual_factors") -> DataFrame:
+    """The parents' columns with the edited text in both views and its factors, the parent's where there are none."""
+    return pairs.withColumns({"fact_conservative": F.col(text), "fact_strict": F.col(text), "factors": F.coalesce(factors, "factors")})
+
+
 def known_targets(pairs: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
     """Flips only to charges of the training vocabulary."""
     return pairs.where((F.col("intervention_type") != "charge_flip") | F.col("target_charge").isin(list(vocabulary)))

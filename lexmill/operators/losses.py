@@ -53,3 +53,43 @@ def mean_pool(vectors: DataFrame, key: str, vector: str, mask: str) -> DataFrame
     flat = vectors.where(F.col(mask)).select(key, F.posexplode(vector).alias("i", "v"))
     means = flat.groupBy(key, "i").agg(F.avg("v").alias("v"))
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias(vector))
+
+
+# The terms of a total loss in their order; the first always counts once.
+TERMS = ["charge", "article", "sentence", "invariant", "boundary", "response", "factor"]
+
+
+def typed_losses(rows: DataFrame, terms: dict[str, list[tuple[Column, Column]]], weights: dict[str, float] | None = None) -> DataFrame:
+    """One row: each term of TERMS, its rows n_<term>, and the weighted total.
+
+    A term is a list of (value, mask), each averaged over the rows of its mask and added up; without rows it is exactly 0.
+    The charge term's weight is 1 whatever the weights say, and a term that isn't named weighs 1."""
+    means, counts = [], []
+    for t in TERMS:
+        parts = terms.get(t, [])
+        means.append(sum((masked_mean(v, m) for v, m in parts), F.lit(0.0)).alias(t))
+        used = F.lit(False)
+        for _, m in parts:
+            used = used | F.coalesce(m, F.lit(False))
+        counts.append(F.count_if(used).alias(f"n_{t}"))
+    scale = {t: float((weights or {}).get(t, 1.0)) for t in TERMS} | {TERMS[0]: 1.0}
+    return rows.agg(*means, *counts).withColumn("total", sum((scale[t] * F.col(t) for t in TERMS), F.lit(0.0)))
+
+
+def loss_problems(losses: DataFrame) -> DataFrame:
+    """The rows of typed_losses with ``problems``: terms that aren't finite, and those that have a value without rows."""
+    odd = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    codes = [F.when(odd(F.col(t)), t) for t in [*TERMS, "total"]]
+    codes += [F.when((F.col(f"n_{t}") == 0) & (F.col(t) != 0), f"{t}:nonzero_without_samples") for t in TERMS]
+    return losses.withColumn("problems", F.array_compact(F.array(*codes)))
+
+
+def guard(losses: DataFrame, step: int, path: str | None = None) -> None:
+    """An error if a loss is unsound; with a path, the row is written there as JSON first."""
+    bad = loss_problems(losses).where(F.size("problems") > 0).withColumn("step", F.lit(step))
+    found = bad.first()
+    if found is None:
+        return
+    if path is not None:
+        bad.coalesce(1).write.mode("overwrite").json(path)
+    raise ArithmeticError(f"unsound loss at step {step}: {', '.join(found['problems'])}")

@@ -43,14 +43,19 @@ def counterfactual_predictions(pairs: DataFrame, charges: Sequence[str], thresho
     )
 
 
-def label_counts(rows: DataFrame, truth: str, prediction: str, unseen: str | None = None, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Rows (*by, label, tp, fp, fn) of multi-hot arrays; each unseen true label is a class of its own that nobody predicts."""
-    w = F.col(weight) if weight else F.lit(1.0)
+def label_places(truth: str, prediction: str, unseen: str | None = None) -> Column:
+    """Multi-hot arrays as an array of (label, t, p); each unseen true label is a class of its own that nobody predicts."""
     hot = F.transform(F.arrays_zip(F.col(truth).alias("t"), F.col(prediction).alias("p")), lambda x, i: F.struct(F.concat(F.lit("#"), i.cast("string")).alias("label"), x["t"].cast("int").alias("t"), x["p"].cast("int").alias("p")))
     if unseen:
         extra = F.transform(F.coalesce(F.array_distinct(unseen), F.array().cast("array<string>")), lambda u: F.struct(F.concat(F.lit("u:"), u).alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p")))
         hot = F.concat(hot, extra)
-    flat = rows.select(*by, w.alias("w"), F.explode(hot).alias("x")).select(*by, "w", "x.*")
+    return hot
+
+
+def label_counts(rows: DataFrame, truth: str, prediction: str, unseen: str | None = None, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Rows (*by, label, tp, fp, fn) of multi-hot arrays, as label_places has them."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    flat = rows.select(*by, w.alias("w"), F.explode(label_places(truth, prediction, unseen)).alias("x")).select(*by, "w", "x.*")
     return flat.groupBy(*by, "label").agg(
         F.sum(F.col("w") * F.col("t") * F.col("p")).alias("tp"), F.sum(F.col("w") * (1 - F.col("t")) * F.col("p")).alias("fp"), F.sum(F.col("w") * F.col("t") * (1 - F.col("p"))).alias("fn")
     )
@@ -66,13 +71,20 @@ def label_metrics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counts.groupBy(*by).agg(*[v.alias(k) for k, v in (micro | macro).items()])
 
 
-def row_agreement(rows: DataFrame, truth: str, prediction: str, unseen: str | None = None, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Share of rows whose label sets are equal, and mean share of equal places (unseen labels add wrong places)."""
-    w = F.col(weight) if weight else F.lit(1.0)
+def agreement_sums(truth: str, prediction: str, unseen: str | None = None, weight: str | None = None) -> dict[str, Column]:
+    """Sums of rows, of those whose label sets are equal, and of the shares of equal places; rows without a truth are left out."""
+    w = F.when(F.col(truth).isNotNull(), F.col(weight) if weight else F.lit(1.0))
     extra = F.size(F.coalesce(F.array_distinct(unseen), F.array().cast("array<string>"))) if unseen else F.lit(0)
     same = F.aggregate(F.zip_with(truth, prediction, lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
     exact = ((same == F.size(truth)) & (extra == 0)).cast("double")
-    return rows.groupBy(*by).agg(ratio(F.sum(w * exact), F.sum(w)).alias("accuracy"), ratio(F.sum(w * same / (F.size(truth) + extra)), F.sum(w)).alias("hamming_accuracy"))
+    return {k: F.coalesce(F.sum(v), F.lit(0.0)) for k, v in (("n", w), ("exact", w * exact), ("same", w * same / (F.size(truth) + extra)))}
+
+
+def row_agreement(rows: DataFrame, truth: str, prediction: str, unseen: str | None = None, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Share of rows whose label sets are equal, and mean share of equal places (unseen labels add wrong places)."""
+    sums = agreement_sums(truth, prediction, unseen, weight)
+    share = lambda c: ratio(sums[c], sums["n"])
+    return rows.groupBy(*by).agg(share("exact").alias("accuracy"), share("same").alias("hamming_accuracy"))
 
 
 def class_metrics(rows: DataFrame, truth: Column, prediction: Column, labels: Sequence[str] | None = None, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -91,16 +103,26 @@ def class_metrics(rows: DataFrame, truth: Column, prediction: Column, labels: Se
     return per.groupBy(*by).agg(ratio(F.sum("tp"), F.sum("actual")).alias("accuracy"), mean(p).alias("macro_precision"), mean(r).alias("macro_recall"), mean(f).alias("macro_f1"))
 
 
-def month_metrics(rows: DataFrame, predicted: str, truth: str, eligible: Column, tolerance: float = 3.0, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Mean absolute and log errors and the share within a tolerance, on eligible rows with two finite values; NaN without any."""
+def month_sums(predicted: str, truth: str, eligible: Column, tolerance: float = 3.0, weight: str | None = None) -> dict[str, Column]:
+    """Sums over eligible rows with two finite values: rows, errors, errors of logarithms, and those within the tolerance."""
     w = F.col(weight) if weight else F.lit(1.0)
     p, t = F.col(predicted).cast("double"), F.col(truth).cast("double")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     w = F.when(F.coalesce(eligible, F.lit(False)) & finite(p) & finite(t), w)
     err = F.abs(p - t)
     log_err = F.abs(F.log1p(F.greatest(p, F.lit(0.0))) - F.log1p(F.greatest(t, F.lit(0.0))))
-    mean = lambda v: F.coalesce(F.try_divide(F.sum(w * v), F.sum(w)), F.lit(float("nan")))
-    return rows.groupBy(*by).agg(F.round(F.coalesce(F.sum(w), F.lit(0.0))).cast("long").alias("eligible_count"), mean(err).alias("mae"), mean(log_err).alias("log_mae"), mean((err <= tolerance).cast("double")).alias("tolerance_accuracy"))
+    return {k: F.coalesce(F.sum(v), F.lit(0.0)) for k, v in (("n", w), ("err", w * err), ("log_err", w * log_err), ("within", w * (err <= tolerance).cast("double")))}
+
+
+def month_ratios(sums: dict[str, Column]) -> dict[str, Column]:
+    """Month metrics of such sums; NaN where nothing is eligible."""
+    mean = lambda c: F.coalesce(F.try_divide(sums[c], sums["n"]), F.lit(float("nan")))
+    return {"eligible_count": F.round(sums["n"]).cast("long"), "mae": mean("err"), "log_mae": mean("log_err"), "tolerance_accuracy": mean("within")}
+
+
+def month_metrics(rows: DataFrame, predicted: str, truth: str, eligible: Column, tolerance: float = 3.0, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Mean absolute and log errors and the share within a tolerance, on eligible rows with two finite values; NaN without any."""
+    return rows.groupBy(*by).agg(*[v.alias(k) for k, v in month_ratios(month_sums(predicted, truth, eligible, tolerance, weight)).items()])
 
 
 def counterfactual_values(rows: DataFrame, drift: float) -> DataFrame:
@@ -121,17 +143,33 @@ def counterfactual_values(rows: DataFrame, drift: float) -> DataFrame:
     })
 
 
-def counterfactual_metrics(rows: DataFrame, drift: float, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+# What each kind of intervention is judged by, and the metric that is its mean.
+JUDGED = {
+    "flip_correct": "flip_accuracy", "flip_top1": "flip_top1_accuracy", "flip_margin": "flip_margin", "invariant_violation": "invariant_violation_rate", "invariant_charge_drift": "invariant_charge_drift",
+    "invariant_sentence_drift": "invariant_sentence_drift", "rank_score": "sentence_pairwise_accuracy", "rank_tie": "sentence_rank_tie_rate", "rank_margin": "sentence_pairwise_accuracy_margin",
+}
+KINDS = {"charge_flip": "flip_count", "invariant": "invariant_count", "sentence_rank": "sentence_rank_count"}
+
+
+def counterfactual_sums(rows: DataFrame, drift: float, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Rows (*by, s_<value>, n_<value>, <kind>_count): sums of what pairs are judged by."""
     w = F.col(weight) if weight else F.lit(1.0)
-    v = counterfactual_values(rows, drift)
-    mean = lambda c: F.coalesce(F.try_divide(F.sum(w * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), w))), F.lit(float("nan")))
-    count = lambda k: F.round(F.sum(F.when(F.col("intervention_type") == k, w).otherwise(0.0))).cast("long")
-    return v.groupBy(*by).agg(
-        count("charge_flip").alias("flip_count"), mean("flip_correct").alias("flip_accuracy"), mean("flip_top1").alias("flip_top1_accuracy"), mean("flip_margin").alias("flip_margin"),
-        count("invariant").alias("invariant_count"), mean("invariant_violation").alias("invariant_violation_rate"), mean("invariant_charge_drift").alias("invariant_charge_drift"), mean("invariant_sentence_drift").alias("invariant_sentence_drift"),
-        count("sentence_rank").alias("sentence_rank_count"), mean("rank_score").alias("sentence_pairwise_accuracy"), mean("rank_tie").alias("sentence_rank_tie_rate"), mean("rank_margin").alias("sentence_pairwise_accuracy_margin"),
-        (1.0 - mean("rank_score")).alias("monotonicity_violation_rate"),
-    )
+    out = [F.sum(F.when(F.col("intervention_type") == k, w).otherwise(0.0)).alias(name) for k, name in KINDS.items()]
+    for c in JUDGED:
+        out += [F.coalesce(F.sum(w * F.col(c)), F.lit(0.0)).alias(f"s_{c}"), F.coalesce(F.sum(F.when(F.col(c).isNotNull(), w)), F.lit(0.0)).alias(f"n_{c}")]
+    return counterfactual_values(rows, drift).groupBy(*by).agg(*out)
+
+
+def counterfactual_ratios(sums: DataFrame, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Metrics of pairs from sums, each counted weight times; NaN for a kind without rows."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(w * F.col(f"s_{c}")), F.sum(w * F.col(f"n_{c}"))), F.lit(float("nan")))
+    counts = [F.round(F.coalesce(F.sum(w * F.col(n)), F.lit(0.0))).cast("long").alias(n) for n in KINDS.values()]
+    return sums.groupBy(*by).agg(*counts, *[mean(c).alias(n) for c, n in JUDGED.items()], (1.0 - mean("rank_score")).alias("monotonicity_violation_rate"))
+
+
+def counterfactual_metrics(rows: DataFrame, drift: float, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    return counterfactual_ratios(counterfactual_sums(rows, drift, weight, by), None, by)
 
 
 def case_levels(rows: DataFrame, group: str = "group_id") -> DataFrame:

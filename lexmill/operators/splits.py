@@ -79,3 +79,8 @@ def first_groups(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """All rows of the n groups that appear first."""
     first = df.groupBy(group).agg(F.min(order).alias("__at")).orderBy("__at", group).limit(n)
     return df.join(F.broadcast(first.drop("__at")), group, "left_semi")  # n rows at most
+
+
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in an order; each task keeps n at most."""
+    return df.orderBy(*order).limit(n)

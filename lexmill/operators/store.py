@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import presets
 
+VERSION = "version-"
+
 
 def pending(requests: DataFrame, stored: DataFrame, key: str = "generation_id") -> DataFrame:
     """Requests that the store lacks, each id once."""
@@ -49,20 +49,41 @@ def view(requests: DataFrame, stored: DataFrame, key: str = "generation_id", ord
     return out.orderBy("__ord").drop("__ord") if order else out
 
 
-def publish(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write beside the target, then move into place: readers see the old table or the new one, and a failed job changes nothing."""
-    spark: SparkSession = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    staging, old = f"{path}.staging-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.format(fmt).save(staging)
-    fs = at(path).getFileSystem(conf)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    if not fs.rename(at(staging), at(path)):
-        fs.rename(at(old), at(path))
-        raise OSError(f"couldn't move {staging} to {path}")
-    fs.delete(at(old), True)
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """(number, whether it is whole) of the versions below a path, the lowest first."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(root)]
+    found = [int(n[len(VERSION):]) for n in names if n.startswith(VERSION) and n[len(VERSION):].isdigit()]
+    return [(n, fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{VERSION}{n}/_SUCCESS"))) for n in sorted(found)]
+
+
+def publish(df: DataFrame, path: str, fmt: str = "parquet", keep: int = 2) -> int:
+    """Write the table as a version of its own below the path and return its number.
+
+    Nothing is moved or overwritten: a version counts once Spark has written its success marker, so readers (``published``)
+    see the old table or the new one, and a failed job changes nothing. The newest ``keep`` whole versions stay for
+    readers that have begun. Two publishers at once get the same number, and the second fails."""
+    spark = df.sparkSession
+    held = _versions(spark, path)
+    new = 1 + max((n for n, _ in held), default=0)
+    df.write.format(fmt).mode("errorifexists").save(f"{path}/{VERSION}{new}")
+    jvm = spark.sparkContext._jvm
+    for n in sorted((n for n, whole in held if whole), reverse=True)[keep - 1 :]:
+        old = jvm.org.apache.hadoop.fs.Path(f"{path}/{VERSION}{n}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return new
+
+
+def published(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The newest whole version below a path."""
+    whole = [n for n, done in _versions(spark, path) if done]
+    if not whole:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.format(fmt).load(f"{path}/{VERSION}{whole[-1]}")
 
 
 def with_parents(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:

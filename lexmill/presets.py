@@ -81,3 +81,16 @@ CUED_AMOUNT = r"(?:涉案(?:金额)?|价值|获利|金额|数额|共计)[^0-9，
 PENALTY_TALK = "有期徒刑|拘役|管制(?!刀具)|缓刑|罚金|死刑|无期|从轻|减轻|从重|免予刑事处罚|判处|刑期"
 MASKS = ["××", MASK]
 RESTITUTION_CLAUSE = {True: "案发后已退赃退赔", False: "案发后未退赃退赔"}
+
+# The experiments by name; "from" takes another's settings first.
+EXPERIMENT_BASE = {
+    "backbone": "qwen35", "use_factors": False, "ordinary_augmentation": False, "typed_counterfactuals": False, "use_invariant": False, "use_boundary": False, "use_rank": False,
+    "hard_charge_sentence": False, "filter_counterfactuals": True,
+}
+EXPERIMENTS = {
+    "B0": {"backbone": "majority_mean"}, "B1": {"backbone": "hfl/chinese-roberta-wwm-ext"}, "B2": {"backbone": "thunlp/Lawformer"}, "B3": {},
+    "B4": {"use_factors": True}, "B5": {"use_factors": True, "ordinary_augmentation": True},
+    "M": {"use_factors": True, "typed_counterfactuals": True, "use_invariant": True, "use_boundary": True, "use_rank": True},
+    "A1": {"from": "M", "use_invariant": False}, "A2": {"from": "M", "use_boundary": False}, "A3": {"from": "M", "use_rank": False},
+    "A4": {"from": "M", "use_factors": False}, "A5": {"from": "M", "hard_charge_sentence": True}, "A6": {"from": "M", "filter_counterfactuals": False},
+}

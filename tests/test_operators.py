@@ -240,9 +240,16 @@ def test_store_view_and_publish(spark, tmp_path):
     with pytest.raises(ValueError, match="missing: z"):
         store.view(spark.createDataFrame([("z", 0)], "generation_id string, ord int"), held)
     path = str(tmp_path / "view")
-    store.publish(held, path)
-    store.publish(held.where("v < 3"), path)
-    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(FileNotFoundError):
+        store.published(spark, path)
+    assert [store.publish(held, path), store.publish(held.where("v < 3"), path)] == [1, 2]
+    assert store.published(spark, path).count() == 2
+    broken = held.withColumn("v", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception):
+        store.publish(broken, path)
+    assert store.published(spark, path).count() == 2
+    assert store.publish(held.where("v < 2"), path) == 4 and store.published(spark, path).count() == 1
+    assert spark.read.parquet(f"{path}/version-2").count() == 2 and not (tmp_path / "view" / "version-1").exists()
     sinks.write_json_lines(held, str(tmp_path / "j"), compressed=True)
     assert spark.read.json(str(tmp_path / "j")).count() == 3
 
