@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import batches, bootstrap, coverage, edits, interventions, losses, metrics, splits, store
+from .operators import batches, bootstrap, coverage, edits, factors, interventions, losses, metrics, splits, store
 from .plans import evaluate, experiments, generate
 from .queries import query, table
 from .queries_files import folder
@@ -249,6 +249,55 @@ def t18s(spark, sf_dir):
     return d.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("x.s")).alias("chars"), F.sum("x.start").alias("starts"))
 
 
+FACTS = [
+    "甲某在场。甲某窃取手机，价值3500元。", "甲某在场。甲某未退赃。", "甲某在场。甲某不但退赔，而且自首。", "甲某在场。乙某退赔。甲某系从犯。",
+    "甲某在场。甲某系从犯，不是主犯。", "甲某在场。甲某某自首。", "甲某在场。甲某尚未自首。", "甲某在场。",
+]
+
+
+def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with one of FACTS below its whole text: (doc_id, k, text, target, co)."""
+    k = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(len(FACTS))).cast("int")
+    fact = F.get(F.array(*[F.lit(f) for f in FACTS]), k)
+    body = F.translate(F.coalesce("text", F.lit("")), ".,;!?", "。，；！？")
+    return table(spark, sf_dir, "documents").select("doc_id", k.alias("k"), F.concat(body, F.lit("\n"), fact).alias("text"), F.lit("甲某").alias("target"), F.array(F.lit("乙某"), F.lit("甲某某")).alias("co"))
+
+
+@query("t11_t12_t13_t14_t16_t17_t19_told_factors", """
+    SELECT doc_id, CASE WHEN k = 0 THEN '3500.0' ELSE '-' END AS amount, CASE k WHEN 2 THEN 'true' WHEN 6 THEN 'false' ELSE '-' END AS surrender, CASE k WHEN 1 THEN 'false' WHEN 2 THEN 'true' ELSE '-' END AS restitution,
+           '-' AS confession, CASE WHEN k IN (3, 4) THEN 'accessory' ELSE 'unknown' END AS role, CASE WHEN k = 0 THEN '秘密窃取' ELSE '-' END AS conduct FROM (SELECT doc_id, doc_id % 8 AS k FROM documents)""")
+def t11(spark, sf_dir):
+    """Denied, absorbed and far negations, other persons' sentences and longer names, below whole documents."""
+    f = factors.with_factors(told(spark, sf_dir), "text", "target", "co", "f")
+    return f.select("doc_id", *[F.coalesce(F.col(f"f.{c}").cast("string"), F.lit("-")).alias(c) for c in ("amount", "surrender", "restitution", "confession", "role", "conduct")])
+
+
+@query("t32_t33_f03_kinds_proposed", """
+    SELECT doc_id, (k = 0)::INT::BIGINT AS invariant, 3::BIGINT AS flips, (k IN (1, 2))::INT::BIGINT AS ranks, CASE k WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END::BIGINT AS direction, CASE WHEN k = 0 THEN 3535.0 ELSE 0.0 END::DOUBLE AS amount
+    FROM (SELECT doc_id, doc_id % 8 AS k FROM documents)""")
+def t32(spark, sf_dir):
+    """What is proposed for a single charge with a fixed term, by the factors that were found."""
+    f = factors.with_factors(told(spark, sf_dir), "text", "target", "co", "factors")
+    made = f.select(F.col("doc_id").alias("case_id"), F.col("target").alias("target_defendant"), F.col("co").alias("co_defendants"), "factors", F.array(F.lit("盗窃")).alias("charges"), F.lit("fixed_term").alias("penalty_type"), F.lit(12).alias("imprisonment_months"))
+    out = interventions.propose(made, [["盗窃", "诈骗", "抢夺"], ["盗窃", "抢夺", "抢劫"]])
+    kind = lambda t: F.count_if(F.col("intervention_type") == t)
+    return out.groupBy(F.col("parent_case_id").alias("doc_id")).agg(
+        kind("invariant").alias("invariant"), kind("charge_flip").alias("flips"), kind("sentence_rank").alias("ranks"), F.coalesce(F.max("rank_direction"), F.lit(0)).cast("bigint").alias("direction"),
+        F.coalesce(F.max(F.when(F.col("intervention_type") == "invariant", F.col("target_factors.amount"))), F.lit(0.0)).alias("amount"),
+    )
+
+
+@query("t23_t26_amount_edits", """
+    SELECT doc_id, 'span_free' AS kind, replace(translate(coalesce(text, ''), '.,;!?', '。，；！？') || chr(10) || '甲某在场。甲某窃取手机，价值3500元。', '3500元', '3535元') AS edited FROM documents WHERE doc_id % 8 = 0""")
+def t23(spark, sf_dir):
+    """The amount's own literal is rewritten, every other character of a whole document stays."""
+    t = factors.with_factors(told(spark, sf_dir).where("k = 0"), "text", "target", "co", "source_factors")
+    t = t.withColumn("target_factors", F.col("source_factors").withField("amount", F.lit(3535.0)))
+    spec = F.struct(F.col("target").alias("target_defendant"), F.col("co").alias("co_defendants"), F.array(F.lit("amount")).alias("changed_fields"), "source_factors", "target_factors", F.lit(None).cast("string").alias("target_charge"))
+    planned = edits.plan(t.withColumn("spec", spec), "text")
+    return planned.select("doc_id", F.when(F.col("plan.kind").isin("span", "skip"), F.col("plan.kind")).otherwise("span_free").alias("kind"), F.col("plan.text").alias("edited"))
+
+
 @query("s17_tail", "SELECT n_nationkey || ' ' || n_name AS value FROM nation ORDER BY n_nationkey DESC LIMIT 7")
 def s17(spark, sf_dir):
     path = folder(spark)
