@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import batches, bootstrap, coverage, edits, factors, interventions, losses, metrics, splits, store
+from .operators import batches, bootstrap, coverage, edits, factors, interventions, losses, metrics, redact, splits, store
 from .plans import evaluate, experiments, generate
 from .queries import query, table
 from .queries_files import folder
@@ -272,6 +272,73 @@ def t11(spark, sf_dir):
     return f.select("doc_id", *[F.coalesce(F.col(f"f.{c}").cast("string"), F.lit("-")).alias(c) for c in ("amount", "surrender", "restitution", "confession", "role", "conduct")])
 
 
+@query("w08_t19_told_own_text", r"""
+    WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '.,;!?', '。，；！？') || chr(10) || CASE doc_id % 8 WHEN 0 THEN '甲某在场。甲某窃取手机，价值3500元。' WHEN 1 THEN '甲某在场。甲某未退赃。' WHEN 2 THEN '甲某在场。甲某不但退赔，而且自首。'
+                      WHEN 3 THEN '甲某在场。甲某系从犯。' WHEN 4 THEN '甲某在场。甲某系从犯，不是主犯。' WHEN 6 THEN '甲某在场。甲某尚未自首。' ELSE '甲某在场。' END AS own FROM documents)
+    SELECT doc_id, array_to_string(regexp_extract_all(own, '[^，。；！？\n]+[，。；！？\n]?'), '') AS own FROM t""")
+def w08t(spark, sf_dir):
+    """What of a whole document is about its person: sentences that name nobody stay, others' sentences go."""
+    return told(spark, sf_dir).select("doc_id", factors.own_text(F.col("text"), F.col("target"), F.col("co")).alias("own"))
+
+
+@query("t05_told_conclusions", """
+    SELECT doc_id, translate(coalesce(text, ''), '.,;!?', '。，；！？') || chr(10) || '甲某窃取手机。[已屏蔽]。其余不变。' AS masked, 1::BIGINT AS n_masks FROM documents""")
+def t05(spark, sf_dir):
+    """A conclusion below every whole document is masked to the end of its sentence, and nothing else is."""
+    body = F.translate(F.coalesce("text", F.lit("")), ".,;!?", "。，；！？")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(body, F.lit("\n甲某窃取手机。本院认为甲某构成盗窃罪。其余不变。")).alias("text"))
+    d = d.select("doc_id", redact.conservative("text").alias("masked"))
+    return d.select("doc_id", "masked", redact.mask_count("masked").cast("bigint").alias("n_masks"))
+
+
+WRITTEN = ["", "甲某\n夺取手机", "丙某夺取手机", "甲某与乙某夺取手机", "甲某窃取手机", "甲某拿着手机", "甲某夺取手机"]
+
+
+@query("t27_replacement_problems", """
+    SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'empty_replacement' WHEN 1 THEN 'replacement_not_single_sentence' WHEN 2 THEN 'replacement_missing_target' WHEN 3 THEN 'replacement_mentions_other_defendant'
+                            WHEN 4 THEN 'replacement_keeps_source_conduct' WHEN 5 THEN 'replacement_missing_target_conduct' ELSE '-' END AS problem FROM orders""")
+def t27(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    written = F.get(F.array(*[F.lit(w) for w in WRITTEN]), (F.col("o_orderkey") % 7).cast("int"))
+    found = edits.replacement_problem(F.lit("甲某窃取手机"), written, F.lit("甲某"), F.array(F.lit("乙某")), F.lit("秘密窃取"), F.lit("趁人不备公开夺取"))
+    return o.select("o_orderkey", F.coalesce(found, F.lit("-")).alias("problem"))
+
+
+@query("t20_mask_counts_of_marks", "SELECT o_orderkey, o_orderkey % 3 AS crosses, o_orderkey % 4 AS masks FROM orders")
+def t20(spark, sf_dir):
+    i = F.col("o_orderkey")
+    text = F.concat(F.repeat(F.lit("某××"), (i % 3).cast("int")), F.lit("text"), F.repeat(F.lit("[已屏蔽]。"), (i % 4).cast("int")))
+    crosses, masks = edits.mask_counts(text)
+    return table(spark, sf_dir, "orders").select("o_orderkey", crosses.cast("bigint").alias("crosses"), masks.cast("bigint").alias("masks"))
+
+
+@query("a24_micro_f1", f"""
+    WITH {SCORED}, s AS (SELECT truth, CASE WHEN list_max(p) >= 0.5 THEN list_transform(p, lambda x: CASE WHEN x >= 0.5 THEN 1 ELSE 0 END) ELSE list_transform(p, lambda x, i: CASE WHEN i = list_position(p, list_max(p)) THEN 1 ELSE 0 END) END AS hot FROM e)
+    SELECT 0.5::DOUBLE AS threshold, round(2.0 * sum(list_sum(list_transform(hot, lambda x, i: x * truth[i]))) / sum(list_sum(hot) + list_sum(truth)), 9)::DOUBLE AS micro_f1 FROM s""")
+def a24(spark, sf_dir):
+    return rounded(metrics.tune_threshold(scored(spark, sf_dir), "p", "truth", [0.5]))
+
+
+@query("f10_article_gate", "SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0")
+def f10(spark, sf_dir):
+    """The gate passes the rows that have article labels, and refuses the whole table."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 2 == 0).alias("articles_available"))
+    good = o.where("articles_available")
+    evaluate.require_article_labels(good)
+    try:
+        evaluate.require_article_labels(o)
+    except ValueError:
+        return good.select("o_orderkey")
+    raise AssertionError("rows without article labels passed")
+
+
+@query("k04_k05_written_lines", "SELECT count(*) AS n, count(*) AS read FROM conversations")
+def k05(spark, sf_dir):
+    path, c = folder(spark), table(spark, sf_dir, "conversations")
+    n = sinks.write_json_lines(c, path, compressed=True)
+    return spark.read.json(path).agg(F.lit(n).cast("bigint").alias("n"), F.count("*").alias("read"))
+
+
 @query("t32_t33_f03_kinds_proposed", """
     SELECT doc_id, (k = 0)::INT::BIGINT AS invariant, 3::BIGINT AS flips, (k IN (1, 2))::INT::BIGINT AS ranks, CASE k WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END::BIGINT AS direction, CASE WHEN k = 0 THEN 3535.0 ELSE 0.0 END::DOUBLE AS amount
     FROM (SELECT doc_id, doc_id % 8 AS k FROM documents)""")

@@ -14,14 +14,14 @@ SIMPLE = "fact string, meta struct<criminals:array<string>,accusation:array<stri
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Rows (path, line_no, value) with line numbers from 1 in each file.
 
-    Lines are counted per input split and moved by the counts of the splits before; only a row a split is joined."""
+    Lines are counted per input split and moved by the counts of the splits before; only a row a split is joined, broadcast where Spark finds that small enough."""
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
     spans = raw.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     from pyspark.sql import Window
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = spans.select("path", "start", "first", before.alias("before"))
-    return raw.join(F.broadcast(spans), ["path", "start"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
+    return raw.join(spans, ["path", "start"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType, on_error: str = "fail") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def write_by_split(df: DataFrame, path: str, split: str = "split", fmt: str = "parquet") -> None:
@@ -10,5 +11,9 @@ def write_by_split(df: DataFrame, path: str, split: str = "split", fmt: str = "p
     df.write.mode("overwrite").partitionBy(split).format(fmt).save(path)
 
 
-def write_json_lines(df: DataFrame, path: str, compressed: bool = False) -> None:
-    df.write.mode("overwrite").option("compression", "gzip" if compressed else "none").option("ignoreNullFields", "false").json(path)
+def write_json_lines(df: DataFrame, path: str, compressed: bool = False) -> int:
+    """Write JSON lines and return their number, which is counted as they are written."""
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    out.option("compression", "gzip" if compressed else "none").option("ignoreNullFields", "false").json(path)
+    return seen.get["n"]

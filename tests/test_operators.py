@@ -250,7 +250,7 @@ def test_store_view_and_publish(spark, tmp_path):
     assert store.published(spark, path).count() == 2
     assert store.publish(held.where("v < 2"), path) == 4 and store.published(spark, path).count() == 1
     assert spark.read.parquet(f"{path}/version-2").count() == 2 and not (tmp_path / "view" / "version-1").exists()
-    sinks.write_json_lines(held, str(tmp_path / "j"), compressed=True)
+    assert sinks.write_json_lines(held, str(tmp_path / "j"), compressed=True) == 3
     assert spark.read.json(str(tmp_path / "j")).count() == 3
 
 
