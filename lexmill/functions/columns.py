@@ -100,19 +100,25 @@ def read_penalty(obj: C) -> Column:
     JSON kinds carry meaning: null and "" are no value; a flag that is no boolean or months that are no
     integer make the object unusable; exemption needs all three month fields to be the integer zero."""
     v = col(obj)
-    at = lambda n: F.try_variant_get(v, f"$.{n}", "variant")
-    kind = lambda n: F.schema_of_variant(at(n))
     fields = ["death_penalty", "life_imprisonment", "imprisonment", "detention", "surveillance"]
-    there = {n: at(n).isNotNull() for n in fields}
+    at = lambda n: F.try_variant_get(v, f"$.{n}", "variant")
+    # each field and its kind are read once, into a struct that the rules share
+    read = F.struct(F.schema_of_variant(v).startswith("OBJECT").alias("whole"), *[at(n).alias(n) for n in fields], *[F.schema_of_variant(at(n)).alias(f"kind_{n}") for n in fields])
+    return F.get(F.transform(F.array(read), lambda x: _penalty_of(x, fields)), F.lit(0))
+
+
+def _penalty_of(x: Column, fields: list[str]) -> Column:
+    kind = lambda n: x[f"kind_{n}"]
+    there = {n: x[n].isNotNull() for n in fields}
     bad_flag = lambda n: there[n] & (kind(n) != "BOOLEAN")
-    none = lambda n: ~there[n] | (kind(n) == "VOID") | ((kind(n) == "STRING") & (F.coalesce(F.try_variant_get(at(n), "$", "string"), F.lit("x")) == ""))
+    none = lambda n: ~there[n] | (kind(n) == "VOID") | ((kind(n) == "STRING") & (F.coalesce(F.try_variant_get(x[n], "$", "string"), F.lit("x")) == ""))
     bad_months = lambda n: ~none(n) & (kind(n) != "BIGINT")
-    months = {n: F.when(none(n), F.lit(None).cast("int")).otherwise(F.try_variant_get(at(n), "$", "int")) for n in fields[2:]}
+    months = {n: F.when(none(n), F.lit(None).cast("int")).otherwise(F.try_variant_get(x[n], "$", "int")) for n in fields[2:]}
     months = {n: F.when(m < 0, F.raise_error(F.lit(f"{n} months must not be negative")).cast("int")).otherwise(m) for n, m in months.items()}
-    flag = lambda n: F.coalesce(F.try_variant_get(at(n), "$", "boolean"), F.lit(False))
+    flag = lambda n: F.coalesce(F.try_variant_get(x[n], "$", "boolean"), F.lit(False))
     made = lambda t, m=None: F.struct(F.lit(t).alias("type"), (m if m is not None else F.lit(None).cast("int")).alias("months"))
     nothing = F.lit(None).cast("struct<type:string,months:int>")
-    usable = (F.schema_of_variant(v).startswith("OBJECT")) & (there[fields[0]] | there[fields[1]] | there[fields[2]] | there[fields[3]] | there[fields[4]])
+    usable = x["whole"] & (there[fields[0]] | there[fields[1]] | there[fields[2]] | there[fields[3]] | there[fields[4]])
     broken = bad_flag(fields[0]) | bad_flag(fields[1]) | bad_months(fields[2]) | bad_months(fields[3]) | bad_months(fields[4])
     return (
         F.when(~F.coalesce(usable, F.lit(False)) | broken, nothing)

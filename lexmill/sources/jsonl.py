@@ -73,15 +73,21 @@ def joint_cases(src: DataFrame, split: str, dataset: str = "cmdl") -> DataFrame:
     base = src.select("path", "line_no", text(v, "$.fact").alias("fact"), F.variant_get(v, "$.outcomes", "array<variant>").alias("outcomes"), F.try_variant_get(v, "$.defendants", "array<string>").alias("listed"))
     names = F.transform("outcomes", lambda o: text(o, "$.name"))
     base = base.withColumn("names", names).withColumn("case", canonical_id(("defendants", F.coalesce("listed", "names")), ("fact", F.col("fact"))))
-    one = base.select("*", F.posexplode("outcomes").alias("pos", "o"))
-    judgments = F.coalesce(F.try_variant_get(F.col("o"), "$.judgment", "array<variant>"), F.array().cast("array<variant>"))
-    one = one.withColumn("j", judgments)
     label = lambda j: without_suffix(F.coalesce(F.nullif(text(j, "$.standard_accusation"), F.lit("")), text(j, "$.accusation"), F.lit("")))
-    charges = F.filter(F.transform("j", label), lambda c: c != "")
-    listed = F.transform("j", lambda j: F.try_variant_get(j, "$.article", "array<string>"))
-    available = (F.size("j") > 0) & F.forall(listed, lambda a: a.isNotNull())
-    final_raw = F.try_variant_get(F.col("o"), "$.final_penalty", "variant")
-    one = one.withColumns({"final": read_penalty(final_raw), "own": F.when(F.size("j") == 1, read_penalty(F.try_variant_get(F.get("j", F.lit(0)), "$.penalty", "variant"))), "given": final_raw.isNotNull() & (F.schema_of_variant(final_raw) != "VOID"), "charges": charges, "articles_available": available})
+
+    def outcome(o: Column) -> Column:
+        judgments = F.coalesce(F.try_variant_get(o, "$.judgment", "array<variant>"), F.array().cast("array<variant>"))
+        final = F.try_variant_get(o, "$.final_penalty", "variant")
+        return F.struct(
+            o.alias("o"), judgments.alias("j"), F.filter(F.transform(judgments, label), lambda c: c != "").alias("charges"), F.transform(judgments, lambda j: F.try_variant_get(j, "$.article", "array<string>")).alias("articles"),
+            read_penalty(final).alias("final"), F.when(F.size(judgments) == 1, read_penalty(F.try_variant_get(F.get(judgments, F.lit(0)), "$.penalty", "variant"))).alias("own"),
+            (final.isNotNull() & (F.schema_of_variant(final) != "VOID")).alias("given"),
+        )
+
+    # outcomes are read before they become rows: what is tested below are fields, not their expressions once more
+    one = base.select("*", F.posexplode(F.transform("outcomes", outcome)).alias("pos", "x")).select("*", "x.*").drop("x")
+    listed = F.col("articles")
+    one = one.withColumn("articles_available", (F.size("j") > 0) & F.forall(listed, lambda a: a.isNotNull()))
     chosen = F.coalesce("final", "own")
     penalty = F.coalesce(chosen["type"], F.lit("unknown"))
     masked = chosen.isNull()
