@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audit import AUDIT_SQL, interactions
 from .common import table
 from .html import extract
+from .importance import IMPORTANCE_SQL, resample
 from .kmtree import nearest_to_hundredths
 from .language import languages
 from .media import avi_digest
@@ -19,7 +21,7 @@ from .simhash import near_duplicates
 from .spm import sp_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_filter_audit": AUDIT_SQL, "op13_importance": IMPORTANCE_SQL}
 
 
 def query(name: str):
@@ -80,6 +82,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op11_filter_audit")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_importance")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
