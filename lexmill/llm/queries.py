@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .audit import AUDIT_SQL, interactions
+from .bestfit import pack_best_fit
 from .common import table
 from .html import extract
 from .importance import IMPORTANCE_SQL, resample
@@ -87,6 +88,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op12_best_fit")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
 @query("op13_importance")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
