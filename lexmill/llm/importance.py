@@ -34,10 +34,10 @@ def words(text: Column) -> Column:
 
 def ngrams(w: Column, most: int) -> Column:
     """All runs of 1 to ``most`` consecutive words, joined by one space."""
-    runs = [w] + [
-        F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i, n=n: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        for n in range(2, most + 1)
-    ]
+    runs = [w]
+    for n in range(2, most + 1):
+        left = F.greatest(F.size(w) - (n - 1), F.lit(0))
+        runs.append(F.zip_with(F.slice(runs[-1], F.lit(1), left), F.slice(w, F.lit(n), left), lambda a, b: F.concat(a, F.lit(" "), b)))
     return runs[0] if most == 1 else F.concat(*runs)
 
 
@@ -75,16 +75,16 @@ def resample(
     """id, n_features, weight, score and rank of every document; rank is null unless it is drawn."""
     gain = F.broadcast(gains(documents, target, most, buckets, text_col, target_col))  # a row a bucket at most
     text = F.col(f"`{text_col}`")
-    w = words(text)
-    rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), w.alias("w"))
-    grams = rows.select("id", "digest", F.size("w").alias("n_words"), F.posexplode_outer(ngrams(F.col("w"), most)).alias("at", "gram"))
+    rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), words(text).alias("w"))
+    # a row of an n-gram has the id and the digest beside it, never the array of words
+    grams = rows.select("id", "digest", F.posexplode_outer(ngrams(F.col("w"), most)).alias("at", "gram"))
     grams = grams.withColumn("bucket", bucket(F.col("gram"), buckets))
     # the rows of a document lie together, so they are summed before they are shuffled; rows of one id and text are told apart by counting first n-grams
     whole = grams.join(gain, "bucket", "left").groupBy("id", "digest").agg(
-        F.first("n_words").alias("n_words"), F.count("gram").alias("n"), F.sum("gain").alias("gain"), F.count_if(F.coalesce(F.col("at"), F.lit(0)) == 0).alias("copies")
+        F.count_if(~F.contains("gram", F.lit(" "))).alias("words"), F.count("gram").alias("n"), F.sum("gain").alias("gain"), F.count_if(F.coalesce(F.col("at"), F.lit(0)) == 0).alias("copies")
     )
     scored = whole.select(
-        "id", "digest", "n_words", (F.col("n") / F.col("copies")).cast("long").alias("n_features"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
+        "id", "digest", (F.col("words") / F.col("copies")).cast("long").alias("n_words"), (F.col("n") / F.col("copies")).cast("long").alias("n_features"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
         F.when(F.col("n") > 0, F.floor(F.col("gain") / F.col("n"))).otherwise(F.lit(0)).cast("long").alias("weight"),
     )
     scored = scored.withColumn("score", (F.col("weight") + noise(F.col("id"), seed)).cast("long")).withColumn("fit", F.col("n_words") >= least_words)

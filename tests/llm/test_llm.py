@@ -29,13 +29,13 @@ ODD = ["", None, "a", "x" * 5000, "same text here", "same text here", "é́ \U00
 def test_query_runs_on_whole_table(spark, name):
     df = queries.QUERIES[name](spark, SF)
     n = df.count()
-    table = {"op1_kmeans_tree": None, "op6_html": "pages", "op8_packing": None, "pipeline": None}.get(name, "documents")
+    table = {"op1_kmeans_tree": None, "op6_html": "pages", "op8_packing": None, "op11_filter_audit": None, "op12_best_fit": None, "pipeline": None}.get(name, "documents")
     assert n == spark.read.parquet(f"{SF}/{table}.parquet").count() if table else n > 0
 
 
 @pytest.mark.parametrize("name", [q for q in sorted(queries.QUERIES)])
 def test_query_on_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "labels", "pages", "embeddings"):
+    for t in ("documents", "labels", "pages", "embeddings", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
