@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local["):
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexmill-"))
 
@@ -24,25 +28,94 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def connected(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """Rows (node, root) over links (a, b): root is the smallest node of its component.
+def _labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least number of each number's component: roots hook onto smaller ones, then every pointer is shortened to its root."""
+    label = np.arange(n)
+    while True:
+        low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        apart = low != high
+        if not apart.any():
+            return label
+        np.minimum.at(label, high[apart], low[apart])
+        while True:
+            short = label[label]
+            if (short == label).all():
+                break
+            label = short
 
-    Large-star and small-star steps in turn, each one a checkpoint: they settle in about log2 of the number of
-    nodes rounds, so most_rounds is a guard against a fault, beyond any table's reach, and raises."""
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+
+def _contracted(edges: DataFrame, chunk: int) -> DataFrame:
+    """Rows (node, root) of stars that join what each stretch of about ``chunk`` edges of a task joins; a root has a row as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            n = t.num_rows
+            both = pa.chunked_array([*t.column(0).chunks, *t.column(1).chunks]).combine_chunks().dictionary_encode()
+            order = pc.sort_indices(both.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            at = rank[both.indices.to_numpy()]
+            names = both.dictionary.take(pa.array(order))
+            return pa.RecordBatch.from_arrays([names, names.take(pa.array(_labels(at[:n], at[n:], len(order))))], names=["node", "root"])
+
+        held, rows = [], 0
+        for b in batches:
+            held, rows = [*held, b], rows + b.num_rows
+            if rows >= chunk:
+                yield stars(held)
+                held, rows = [], 0
+        if rows:
+            yield stars(held)
+
+    kind = dict(edges.dtypes)["u"]
+    return edges.mapInArrow(run, f"node {kind}, root {kind}")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """rows left-joined with a table of one row a key; keys that more than 1/share of the rows have, ``share`` at most, are broadcast."""
+    n = rows.count()
+    hot = cut(rows.groupBy(key).count().where(F.col("count") > max(1, n // share)).select(key))
+    if hot.isEmpty():
+        return rows.join(table, key, "left")
+    often = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))  # share rows at most
+    plain = rows.join(F.broadcast(hot), key, "left_anti").join(table, key, "left")
+    return plain.unionByName(rows.join(F.broadcast(hot), key, "left_semi").join(often, key, "left"))
+
+
+def connected(links: DataFrame, alone: int = 1 << 20, chunk: int = 1 << 20, most_rounds: int = 40) -> DataFrame:
+    """Rows (node, root) over links (a, b), of any ordered type: root is the smallest node of its component, and no node of its own.
+
+    A round joins the links that lie together, a stretch of ``chunk`` of them at a time in the task that has them, and
+    puts a star (node, root) in their place. A node that several stretches have then has as many rows as those, however
+    many links it had: a hub's neighbours are nowhere brought together. Its roots are the links of a smaller graph,
+    which is dealt by its smaller ends (the ends that many links have also by the other end) and goes the same way; one of at
+    most ``alone`` links is one task's last stretch. Nodes then take the roots that their roots were given, from
+    the last round back. Each round is a checkpoint; a table of any size needs a few."""
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    found: list[DataFrame] = []
     for _ in range(most_rounds):
-        mark = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if mark == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = mark
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-    raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
+        roots = _contracted(edges, chunk).groupBy("node").agg(F.collect_set("root").alias("roots"))  # a root a stretch at most
+        met = cut(roots.select("node", F.array_min("roots").alias("root"), "roots"))
+        found.append(met.select("node", "root"))
+        edges = met.where(F.size("roots") > 1).select(F.explode("roots").alias("u"), F.col("root").alias("v")).where("u <> v").distinct()
+        edges = cut(edges)
+        left = edges.count()
+        if not left:
+            break
+        if left <= alone:
+            found.append(_contracted(edges.coalesce(1), alone + 1))
+            break
+        hot = F.broadcast(edges.groupBy("v").count().where(F.col("count") > max(1, left // 1000)).select("v", F.lit(True).alias("hot")))  # 1000 rows at most
+        dealt = edges.join(hot, "v", "left").withColumn("deal", F.when(F.col("hot"), F.xxhash64("u")).otherwise(F.xxhash64("v")))
+        edges = dealt.repartition("deal").select("u", "v")
+    else:
+        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
+    out = found.pop()
+    while found:
+        up = found.pop()
+        out = spread_join(up.withColumnRenamed("root", "mid"), out.select(F.col("node").alias("mid"), "root"), "mid").select("node", F.coalesce("root", "mid").alias("root"))
+    return out.where("node <> root")
 
 
 def dense_index(df: DataFrame, bucket: Column, order: list[Column | str], name: str = "idx", most_buckets: int = 4096) -> DataFrame:
