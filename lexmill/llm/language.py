@@ -85,7 +85,11 @@ class Automaton:
 
 
 class Parser:
-    """Automata of several languages as one table: entry = (next state, times the alphabet) * 4 + phrases that end here."""
+    """Automata of several languages as one sparse table.
+
+    An edge of state s with symbol c is at base[s] + c, where ``check`` names s; rows of different states are pushed
+    into each other's gaps, so a state takes about its edges' room, whatever the alphabet. Where a state has no such edge
+    the phrase ends and the language's ``fresh`` row says where the next one begins, and whether the symbol is unknown."""
 
     def __init__(self, samples: dict[str, bytes], weight: dict[str, int]):
         # ties go to the first
@@ -97,28 +101,63 @@ class Parser:
             self.code[b] = i + 2
         self.width = len(seen) + 3
         self.bits = np.array([np.log2(max(2, len(samples[k]))) for k in self.langs])
-        self.roots, tables, base = [], [], 0
-        for k in self.langs:
+        codes = self.code.tolist()
+        roots, states, slots = [], 0, 0
+        fresh = np.zeros((len(self.langs), self.width), np.int32)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n, k in enumerate(self.langs):
             nxt = Automaton(samples[k]).next
-            n = len(nxt)
-            t = np.full((n, self.width), -1, np.int64)
-            for s, edges in enumerate(nxt):
-                for b, to in edges.items():
-                    t[s, self.code[b]] = to
-            t[:, [END, self.width - 1]] = -1
-            first = t[0]
-            miss = t < 0
-            started = np.arange(n)[:, None] > 0
-            fresh = np.broadcast_to(first, t.shape)
-            # a miss ends the phrase at hand; a symbol unknown at the root is one more phrase
-            add = np.where(miss, started.astype(np.int64) + (fresh < 0), 0)
-            add[:, END] = np.arange(n) > 0
-            to = np.where(miss, np.maximum(fresh, 0), t)
-            to[:, END] = 0
-            tables.append(((base + to) * self.width * 4 + add).astype(np.int32))
-            self.roots.append(base * self.width)
-            base += n
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            roots.append(states)
+            fresh[n] = states * 2 + 1
+            fresh[n, END] = states * 2  # padding is no symbol
+            for c, to in nxt[0].items():
+                fresh[n, codes[c]] = (states + to) * 2
+            base, check, to = self._pushed([{codes[c]: to for c, to in e.items()} for e in [{}, *nxt[1:]]])
+            parts.append((base + slots, np.where(check < 0, -1, check + states).astype(np.int32), to + states))
+            states, slots = states + len(nxt), slots + len(check)
+        empty = np.zeros(0, np.int32)
+        self.base, self.check, self.next = (np.concatenate([p[i] for p in parts]).astype(np.int32) if parts else empty for i in range(3))
+        self.roots, self.fresh = np.array(roots, np.int32), fresh.ravel()
+
+    def _pushed(self, edges: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """base by state, and check and next by slot, of one automaton: states of many edges first, each into the first gaps that hold its edges."""
+        total, width = sum(map(len, edges)), self.width
+        base, used, top, at = np.zeros(len(edges), np.int64), bytearray(2 * total + 2 * width), 0, 0
+        order = sorted((s for s, e in enumerate(edges) if len(e) > 1), key=lambda s: -len(edges[s]))
+        last = 0
+        for s in order:
+            own = list(edges[s])
+            if len(own) != last:
+                last, at = len(own), 0
+            tries = 0
+            while any(used[at + c] for c in own):
+                at, tries = at + 1, tries + 1
+                if tries == 64:  # few gaps are left hereabouts
+                    at = max(at, top - width)
+                if at + width > len(used):
+                    used.extend(bytes(len(used)))
+            base[s] = at
+            for c in own:
+                used[at + c] = 1
+            top = max(top, at + max(own) + 1)
+        free = np.flatnonzero(np.frombuffer(used, np.uint8)[width:] == 0) + width  # a base is no negative number
+        single = [s for s, e in enumerate(edges) if len(e) == 1]
+        if len(single) > len(free):
+            free = np.concatenate([free, len(used) + np.arange(len(single) - len(free))])
+        for s, slot in zip(single, free.tolist()):
+            base[s] = slot - next(iter(edges[s]))
+        size = max(top, int(free[: len(single)].max(initial=-1)) + 1, int(base.max(initial=0))) + width
+        check, to = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        for s, e in enumerate(edges):
+            for c, t in e.items():
+                check[base[s] + c], to[base[s] + c] = s, t
+        return base, check, to
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray, root: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states and how many phrases end on the way; row is where the language's fresh row begins."""
+        at = self.base.take(state) + symbol
+        on, fresh = self.check.take(at) == state, self.fresh.take(row + symbol)
+        return np.where(on, self.next.take(at), fresh >> 1), np.where(on, 0, (state != root) + (fresh & 1))
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
         """Phrases of each document in each language."""
@@ -137,32 +176,31 @@ class Parser:
         order = np.argsort(-left, kind="stable")
         grid = np.ascontiguousarray(flat.reshape(-1, BLOCK)[order].T)
         alive = np.searchsorted(-left[order], -np.arange(BLOCK), "left")
-        root = np.array(self.roots, np.int32)
-        state = np.repeat(root[:, None], len(owner), 1)
+        root, row = self.roots[:, None], (np.arange(len(self.langs), dtype=np.int32) * self.width)[:, None]
+        state = np.repeat(root, len(owner), 1)
         count = np.zeros(state.shape, np.int32)
         for t in range(BLOCK):
             n = int(alive[t])
             if not n:
                 break
-            v = self.table.take(state[:, :n] + grid[t, :n])
-            count[:, :n] += v & 3
-            state[:, :n] = v >> 2
+            state[:, :n], ended = self._step(state[:, :n], grid[t, :n], root, row)
+            count[:, :n] += ended
         if len(owner) > len(docs):
             place = np.empty(len(owner), np.int64)
             place[order] = np.arange(len(owner))
             same = owner[1:] == owner[:-1]
             after = np.full(len(owner), -1)
             after[place[:-1][same]] = place[1:][same]
-            count = count + self._carried(root, state, after, grid, left[order])
+            count = count + self._carried(state, after, grid, left[order])
             last = after < 0
         else:
             last = np.ones(len(owner), bool)
-        count = count + np.where(last, self.table.take(state + END) & 3, 0)
+        count = count + np.where(last, state != root, 0)
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(owner[order], count[k], len(docs))
         return out
 
-    def _carried(self, root: np.ndarray, state: np.ndarray, after: np.ndarray, grid: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _carried(self, state: np.ndarray, after: np.ndarray, grid: np.ndarray, size: np.ndarray) -> np.ndarray:
         """What carrying open phrases from block to block adds to the blocks' phrases.
 
         state holds the blocks' last states by language and becomes the true ones; after is the block that follows, or -1."""
@@ -170,7 +208,7 @@ class Parser:
         lang, block = np.nonzero(np.broadcast_to(after >= 0, state.shape))
         enter, block = state[lang, block], after[block]
         while len(lang):
-            own, new = enter.copy(), root[lang].copy()
+            own, new, root, row = enter.copy(), self.roots[lang], self.roots[lang], lang * self.width
             more, end = np.zeros(len(lang), np.int32), fresh[lang, block]
             on = np.flatnonzero(own != new)
             for t in range(BLOCK):
@@ -180,9 +218,9 @@ class Parser:
                 if not len(on):
                     break
                 symbol = grid[t, block[on]]
-                v, w = self.table.take(own[on] + symbol), self.table.take(new[on] + symbol)
-                more[on] += (v & 3) - (w & 3)
-                own[on], new[on] = v >> 2, w >> 2
+                own[on], v = self._step(own[on], symbol, root[on], row[on])
+                new[on], w = self._step(new[on], symbol, root[on], row[on])
+                more[on] += v - w
                 on = on[own[on] != new[on]]
             end[on] = own[on]
             add[lang, block] = more
@@ -204,11 +242,12 @@ def parser_of(samples: dict[str, bytes], weight: dict[str, int]) -> Parser:
     return _PARSERS[key]
 
 
-def learn(documents: DataFrame, max_bytes: int = 65536, max_docs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[dict[str, bytes], dict[str, int]]:
+def learn(documents: DataFrame, max_bytes: int = 65536, max_docs: int = 200, longest: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[dict[str, bytes], dict[str, int]]:
     """For each language the symbols of a sample of its labelled texts, and its number of labelled rows.
 
     The sample has whole texts: of the rows with the smallest hashes of their ids, those of an eighth of max_bytes or
-    less first, as many as max_docs and max_bytes allow, and one at least. Other labelled rows aren't learned from."""
+    less first, as many as max_docs and max_bytes allow, and one at least, of which the first ``longest`` characters are
+    read if it has more. Other labelled rows aren't learned from."""
     rows = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     weight = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row per language
     sized = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.octet_length(text_col).alias("size"))
@@ -218,7 +257,7 @@ def learn(documents: DataFrame, max_bytes: int = 65536, max_docs: int = 200, id_
     # max_docs ids per language at most; one that many rows have gives its smallest text of that size
     ids = ids.withColumn("upto", upto).where((F.col("upto") <= max_bytes) | (F.col("n") == 1)).groupBy("id", "lang", "size").agg(F.min("n").alias("n"))
     texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.octet_length(text_col).alias("size"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(ids), ["id", "lang", "size"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
+    texts = texts.join(F.broadcast(ids), ["id", "lang", "size"]).groupBy("lang", "n").agg(F.left(F.min("text"), F.lit(longest)).alias("text"))
     samples: dict[str, bytes] = {}
     for r in texts.orderBy("lang", "n").toLocalIterator():
         samples[r.lang] = samples.get(r.lang, b"") + b" " + symbols(r.text).tobytes()
