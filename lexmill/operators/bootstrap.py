@@ -1,17 +1,22 @@
 """Cluster bootstrap over per-group sums, paired tests and Holm's correction.
 
 Drawing groups with replacement only changes how often each group counts, so replicates are weighted sums of
-per-group statistics. Draws are hashes (seed, replicate, draw), the same in any engine and any layout;
-``numpy_weights`` gives the sequence of a numpy generator instead, for comparison on small inputs.
+per-group statistics. ``drawn_sums`` draws the weights where the groups are and moves nothing but those sums, a row
+a replicate and task. ``group_weights`` gives weights as a table, groups times replicates: its draws are hashes (seed,
+replicate, draw), the same in any engine and any layout; ``numpy_weights`` gives the sequence of a numpy generator
+instead, for comparison on small inputs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import dense_index
+from .components import cut, dense_index
 
 
 def hash_draw(seed: int, rep: Column, draw: Column, n: Column) -> Column:
@@ -39,6 +44,71 @@ def numpy_weights(spark: SparkSession, groups: list, group: str, iterations: int
     return spark.createDataFrame(rows, f"rep int, {group} {kind}, weight double")
 
 
+def part_draws(counts: np.ndarray, part: int, iterations: int, seed: int) -> np.ndarray:
+    """How many of each replicate's draws, as many as there are groups, fall on the groups of one part.
+
+    Draws go down a binary tree of ranges of parts. At each node a binomial draw, seeded by the node, deals them to its
+    halves, so every task finds the same numbers for its own part without asking the others."""
+    low, high, draws = 0, len(counts), np.full(iterations, int(counts.sum()), np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        left, whole = int(counts[low:mid].sum()), int(counts[low:high].sum())
+        taken = np.random.default_rng((seed, low, high)).binomial(draws, left / whole) if whole else draws * 0
+        low, high, draws = (low, mid, taken) if part < mid else (mid, high, draws - taken)
+    return draws
+
+
+def drawn_sums(stats: DataFrame, columns: list[str], iterations: int, seed: int, cells: int = 1 << 22) -> DataFrame:
+    """Rows (rep, *columns): each replicate's weighted sums of columns over stats, which has one row a group.
+
+    The groups are checkpointed once and stay in their parts. A task takes its part's draws from the tree
+    (``part_draws``), deals them on to stretches of at most ``cells`` / iterations groups by binomial draws and to the
+    groups of a stretch one by one, and multiplies the weights with the stretch's columns; its iterations x columns sums
+    are all that is shuffled. The law is that of drawing as many groups as there are, with replacement. Null is zero."""
+    held = cut(stats.select(F.spark_partition_id().alias("part"), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)]))
+    met = dict(held.groupBy("part").count().collect())  # a number a part
+    counts = np.array([met.get(p, 0) for p in range(max(met, default=-1) + 1)], np.int64)
+    names, most = ["rep", *[f"c{i}" for i in range(len(columns))]], max(1, cells // iterations)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, left, draws, rng = np.zeros((iterations, len(columns))), 0, np.zeros(iterations, np.int64), np.random.default_rng(seed)
+        part = None
+        for b in batches:
+            of = b.column(0).to_numpy()
+            values = np.stack([c.to_numpy() for c in b.columns[1:]], 1)
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for low, high in zip(edges, edges[1:]):
+                if low < high and of[low] != part:
+                    part = int(of[low])
+                    left, draws, rng = int(counts[part]), part_draws(counts, part, iterations, seed), np.random.default_rng((seed, part, len(counts), 1))
+                for at in range(low, high, most):
+                    x = values[at : min(at + most, high)]
+                    own = rng.binomial(draws, len(x) / left)
+                    picks = rng.integers(0, len(x), int(own.sum())) + np.repeat(np.arange(iterations) * len(x), own)
+                    sums += np.bincount(picks, minlength=iterations * len(x)).reshape(iterations, len(x)) @ x
+                    draws, left = draws - own, left - len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(iterations, dtype=np.int32)), *[pa.array(c) for c in sums.T]], names=names)
+
+    partial = held.mapInArrow(run, ", ".join(f"{n} {'double' if i else 'int'}" for i, n in enumerate(names)))
+    return partial.groupBy("rep").agg(*[F.sum(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def drawn_means(stats: DataFrame, metrics: dict[str, tuple[str, str]], iterations: int, seed: int) -> DataFrame:
+    """Rows (rep, *metrics) as ``replicate_means``, with the weights drawn where the groups are."""
+    columns = list(dict.fromkeys(c for pair in metrics.values() for c in pair))
+    sums = drawn_sums(stats, columns, iterations, seed)
+    return sums.select("rep", *[F.try_divide(n, d).alias(k) for k, (n, d) in metrics.items()])
+
+
+def drawn_paired_test(candidate: DataFrame, reference: DataFrame, group: str, metrics: dict[str, tuple[str, str]], iterations: int, seed: int) -> DataFrame:
+    """``paired_test`` with the weights drawn where the groups are: both sides' sums of a group get the same weight."""
+    columns = list(dict.fromkeys(c for pair in metrics.values() for c in pair))
+    both = candidate.join(reference.select(group, *[F.col(c).alias(f"r_{c}") for c in reference.columns if c != group]), group)
+    gap = lambda one: [(F.try_divide(one(n), one(d)) - F.try_divide(one(f"r_{n}"), one(f"r_{d}"))).alias(k) for k, (n, d) in metrics.items()]
+    sums = drawn_sums(both, [*columns, *[f"r_{c}" for c in columns]], iterations, seed)
+    return _tested(both.agg(*gap(F.sum)), sums.select(*gap(F.col)), list(metrics))
+
+
 def replicate_means(stats: DataFrame, weights: DataFrame, group: str, metrics: dict[str, tuple[str, str]]) -> DataFrame:
     """Rows (rep, *metrics): each metric is a ratio of two per-group sums."""
     j = weights.join(stats, group)
@@ -67,6 +137,11 @@ def paired_test(candidate: DataFrame, reference: DataFrame, weights: DataFrame,
     ratio = lambda n, d, w: F.try_divide(F.sum(w * F.col(n)), F.sum(w * F.col(d)))
     gap = lambda w: [(ratio(n, d, w) - ratio(f"r_{n}", f"r_{d}", w)).alias(k) for k, (n, d) in metrics.items()]
     reps = weights.join(both, group).groupBy("rep").agg(*gap(F.col("weight")))
+    return _tested(both.agg(*gap(F.lit(1.0))), reps, list(metrics))
+
+
+def _tested(whole: DataFrame, reps: DataFrame, metrics: list[str]) -> DataFrame:
+    """Rows (metric, difference, lower, upper, p_value) from the differences of all groups and of each replicate."""
     long = lambda df, v: df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias(v)) for k in metrics])).alias("x")).select("x.*")
     v = F.col("v")
     finite = v.isNotNull() & ~F.isnan(v)
@@ -74,7 +149,7 @@ def paired_test(candidate: DataFrame, reference: DataFrame, weights: DataFrame,
     p = F.when(F.count_if(finite) > 0, F.least(F.lit(1.0), 2 * F.least(tail(v <= 0), tail(v >= 0)))).otherwise(float("nan"))
     lower, upper = interval(v)
     spread = long(reps, "v").groupBy("metric").agg(lower.alias("lower"), upper.alias("upper"), p.alias("p_value"))
-    return long(both.agg(*gap(F.lit(1.0))), "difference").join(spread, "metric").select("metric", "difference", "lower", "upper", "p_value")
+    return long(whole, "difference").join(spread, "metric").select("metric", "difference", "lower", "upper", "p_value")
 
 
 def holm(tests: DataFrame, name: str = "metric", p: str = "p_value") -> DataFrame:

@@ -226,6 +226,20 @@ def b06(spark, sf_dir):
     return rounded(bootstrap.holm(bootstrap.paired_test(s, r, w, "user_id", PAIR)), 6)
 
 
+@query("b04_b05_drawn_in_place")
+def b04_drawn(spark, sf_dir):
+    """Intervals over replicates whose weights are drawn where the groups are."""
+    s = user_stats(spark, sf_dir)
+    return rounded(bootstrap.intervals(s, bootstrap.drawn_means(s, PAIR, 100, 7), PAIR), 6)
+
+
+@query("b06_b08_drawn_in_place")
+def b06_drawn(spark, sf_dir):
+    s = user_stats(spark, sf_dir)
+    r = s.select("user_id", (F.col("total") * (1 + (F.col("user_id") % 3) * 0.01)).alias("total"), "n", (F.col("clicks") + F.col("user_id") % 2).alias("clicks"))
+    return rounded(bootstrap.holm(bootstrap.drawn_paired_test(s, r, "user_id", PAIR, 100, 7)), 6)
+
+
 @query(
     "j10_paired_rows",
     """WITH l AS (SELECT l_orderkey AS k, l_returnflag AS g, count(*) AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT k, sum(n) AS n, count(*) AS kinds FROM l GROUP BY 1)
