@@ -35,6 +35,37 @@ def s01(spark, sf_dir):
     return got.agg(F.count("*").alias("n"), F.count_distinct("line_no").alias("numbers"), F.min("line_no").alias("first"), F.max("line_no").alias("last"))
 
 
+def quarters(spark: SparkSession, sf_dir: str, value) -> str:
+    """A file a remainder of doc_id by four, rows in the order of doc_id."""
+    path = folder(spark)
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("part"), "doc_id", value.alias("value"))
+    d.repartition(4, "part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(path)
+    return path
+
+
+def part_of():
+    return F.regexp_extract("path", "part=(\\d)", 1).cast("long").alias("part")
+
+
+@query("s01_numbers_of_ranges", "SELECT doc_id % 4 AS part, 2 * row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 AS line_no, doc_id FROM documents")
+def s01_ranges(spark, sf_dir):
+    """Every line's number and id, from ranges of 64 KB of each file; every second line is blank."""
+    path = quarters(spark, sf_dir, F.concat(F.to_json(F.struct("doc_id", "text")), F.lit("\n")))
+    got = jsonl.lines(spark, path, split=1 << 16).where("value <> ''")
+    return got.select(part_of(), "line_no", F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
+
+
+@query(
+    "s09_digests_of_documents",
+    """WITH v AS (SELECT doc_id % 4 AS part, doc_id, doc_id || ' ' || replace(text, chr(13), ' ') || chr(10) AS value FROM documents),
+       f AS (SELECT part, string_agg(value, '' ORDER BY doc_id) AS whole FROM v GROUP BY part)
+       SELECT part, strlen(whole)::BIGINT AS bytes, sha256(whole) AS sha256, (len(whole) - len(replace(whole, chr(10), '')))::BIGINT AS records FROM f""",
+)
+def s09_documents(spark, sf_dir):
+    path = quarters(spark, sf_dir, F.concat_ws(" ", F.col("doc_id").cast("string"), F.translate("text", "\r", " ")))
+    return jsonl.manifest(spark, [path]).select(part_of(), "bytes", "sha256", "records")
+
+
 @query("k01_split_folders", "SELECT o_orderstatus AS split, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1")
 def k01(spark, sf_dir):
     path = folder(spark)

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import article_labels, canonical_id, others, read_penalty, simple_penalty, without_suffix
+from . import ranges
 
 SIMPLE = "fact string, meta struct<criminals:array<string>,accusation:array<string>,relevant_articles:array<string>,term_of_imprisonment:struct<death_penalty:boolean,life_imprisonment:boolean,imprisonment:int>>"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, line_no, value) with line numbers from 1 in each file.
+def lines(spark: SparkSession, path: str, split: int = ranges.SPLIT) -> DataFrame:
+    """Rows (path, line_no, value) with line numbers from 1 in each file; see ``ranges`` for how they are found."""
+    files = ranges.listing([path])
+    return _spark_lines(spark, path) if files is None else ranges.numbered(spark, files, split)
 
-    Lines are counted per input split and moved by the counts of the splits before; only a row a split is joined, broadcast where Spark finds that small enough."""
+
+def _spark_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same by Spark's own reader, for patterns and stores that only Spark reads: lines are counted a split and moved by
+    the counts of the splits before; a row a split is joined, broadcast where Spark finds that small enough."""
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
     spans = raw.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    from pyspark.sql import Window
-
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = spans.select("path", "start", "first", before.alias("before"))
     return raw.join(spans, ["path", "start"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
@@ -120,7 +124,10 @@ def checked(cases: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows (path, bytes, sha256, records). Files are hashed whole, one a task; lines are counted by splits."""
+    """Rows (path, bytes, sha256, records). A task streams each file, of any size; a path that only Spark reads is
+    hashed from whole files, which ends at 2 GB."""
+    if (known := ranges.listing(paths)) is not None:
+        return ranges.digests(spark, known)
     files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     counts = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("__p")).agg(F.count("*").alias("records"))
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
