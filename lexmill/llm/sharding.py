@@ -5,13 +5,15 @@ sees the same rows). A P x C matrix says how many rows of each partition go to e
 equal ranges of a shard's slots, about ``rows_per_cell`` long. Its rows are multivariate hypergeometric draws over
 what the cells still need, so every cell gets its exact size and every assignment of rows to slots is equally
 likely. It is drawn in two levels: the driver draws how many rows each of ``groups`` groups of partitions sends to
-each cell, and a task per group deals those out over its own partitions. Rows are permuted inside their partition
-(rank by a seeded hash), dealt to cells by the partition's cumulated counts, exchanged, and permuted again inside
-the cell. P and C grow with the input; the driver holds groups x C numbers, a task (P / groups) x C.
+each cell, and a task per group deals those out over its own partitions, one matrix row after the other. Rows are
+permuted inside their partition (rank by a seeded hash) and dealt to cells by the partition's cumulated counts: the runs
+of ranks that go to one cell are cut into stretches of ``STRETCH`` ranks, and a row meets the runs of its own stretch, at
+most STRETCH + 1 of them however many cells there are. They are exchanged and permuted again inside the cell.
+P and C grow with the input; the driver holds groups x C numbers, a task C.
 
 Defined cases: an empty table gives an empty table; equal rows take different slots, but share a partition; null
-keys are hashed like any value; a column of the input named shard or slot gives way to the result, other names
-that begin with two underscores are used inside.
+keys are hashed like any value; a column of the input named shard or slot gives way to the result, all others,
+whatever their names, are carried as one value and come back as they were.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MOST_URN = 10**9  # numpy draws from smaller urns
+STRETCH = 1024
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int, most_urn: int = MOST_URN) -> int:
@@ -58,23 +61,41 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int, most_u
                 good, bad, n = good - a, bad - b, n - a - b
 
 
-def communication_matrix(counts: np.ndarray, sizes: np.ndarray, seed: int | tuple[int, ...] = 0, most_urn: int = MOST_URN) -> np.ndarray:
-    """How many rows of each partition go to each cell; rows sum to counts, columns to sizes."""
+def matrix_rows(counts: np.ndarray, sizes: np.ndarray, seed: int | tuple[int, ...] = 0, most_urn: int = MOST_URN) -> Iterator[np.ndarray]:
+    """For each partition in turn, how many of its rows go to each cell; they sum to its count, over all partitions to sizes."""
     rng = np.random.default_rng(seed)
-    left, out = sizes.astype(np.int64).copy(), np.zeros((len(counts), len(sizes)), np.int64)
-    for i, n in enumerate(counts):
+    left = sizes.astype(np.int64).copy()
+    for n in counts:
         total, need = int(left.sum()), int(n)
         if need and total < most_urn:
-            out[i] = rng.multivariate_hypergeometric(left, need, method="marginals")
+            out = rng.multivariate_hypergeometric(left, need, method="marginals")
         else:
+            out = np.zeros(len(sizes), np.int64)
             for j in range(len(sizes)):  # the marginal draws of one multivariate row
                 if not need:
                     break
                 total -= int(left[j])
-                out[i, j] = hypergeometric(rng, int(left[j]), total, need, most_urn)
-                need -= int(out[i, j])
-        left -= out[i]
-    return out
+                out[j] = hypergeometric(rng, int(left[j]), total, need, most_urn)
+                need -= int(out[j])
+        left -= out
+        yield out
+
+
+def communication_matrix(counts: np.ndarray, sizes: np.ndarray, seed: int | tuple[int, ...] = 0, most_urn: int = MOST_URN) -> np.ndarray:
+    """All rows of ``matrix_rows``."""
+    rows = list(matrix_rows(counts, sizes, seed, most_urn))
+    return np.stack(rows) if rows else np.zeros((0, len(sizes)), np.int64)
+
+
+def runs(row: np.ndarray, stretch: int = STRETCH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each stretch of a partition's ranks, from 0, the first ranks of the runs that lie in it and the runs' cells."""
+    cells = np.flatnonzero(row)
+    ends = np.cumsum(row[cells])
+    starts = ends - row[cells]
+    for at in range(-(-int(ends[-1]) // stretch) if len(ends) else 0):
+        low = int(np.searchsorted(ends, at * stretch, "right"))
+        high = int(np.searchsorted(starts, (at + 1) * stretch, "left"))
+        yield at, starts[low:high], cells[low:high]
 
 
 def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, key: list[str] | None = None, rows_per_cell: int = 1 << 16, rows_per_part: int = 1 << 18, groups: int = 64, most_urn: int = MOST_URN) -> DataFrame:
@@ -86,8 +107,9 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, key: list[str
     rows = df.agg(F.count("*")).first()[0]
     parts = max(groups, -(-rows // rows_per_part))
     splits = max(1, -(-rows // (shards * rows_per_cell)))
-    src = df.select(*[f"`{c}`" for c in own], mark(0).alias("__h0"), mark(1).alias("__h1"), mark(2).alias("__h2")).withColumn("__part", F.pmod("__h0", F.lit(parts)))
-    grouped = src.groupBy("__part").agg(F.count("*").alias("n")).select((F.col("__part") % groups).alias("g"), F.struct(F.col("__part").alias("p"), "n").alias("x"))
+    src = df.select(F.struct(*[f"`{c}`" for c in own]).alias("row"), F.pmod(mark(0), F.lit(parts)).alias("part"), mark(1).alias("h1"), mark(2).alias("h2"))
+    ties = [F.col("row").getField(c) for c in key if c in own]
+    grouped = src.groupBy("part").agg(F.count("*").alias("n")).select((F.col("part") % groups).alias("g"), F.struct("part", "n").alias("x"))
     counted = cut(grouped.groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("x")))  # the partitions of a group: parts / groups
     totals = np.zeros(groups, np.int64)
     for r in counted.select("g", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["n"])).collect():  # a number per group
@@ -101,24 +123,24 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, key: list[str
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for g, x, cells in zip(frame["g"], frame["x"], frame["cells"]):
-                matrix = communication_matrix(np.array([r["n"] for r in x]), np.asarray(cells), (seed, int(g) + 1), most_urn).reshape(len(x), shards, splits)
-                yield pd.DataFrame({"__p": [r["p"] for r in x], "__ends": list(np.cumsum(matrix.sum(2), 1)), "__cells": [m.tolist() for m in np.cumsum(matrix, 2)]})
-
-    plan = counted.join(first, "g").mapInPandas(deal, "__p long, __ends array<long>, __cells array<array<long>>")
-    local = Window.partitionBy("__part").orderBy("__h1", *[f"`{c}`" for c in key if c in own])
-    dealt = (
-        src.withColumn("__n", F.row_number().over(local))
-        .join(plan, F.col("__part") == F.col("__p"))
-        .withColumn("shard", F.size(F.filter("__ends", lambda e: e < F.col("__n"))))
-        .withColumn("__n", F.col("__n") - F.when(F.col("shard") > 0, F.try_element_at("__ends", F.col("shard"))).otherwise(0))
-        .withColumn("__cell", F.size(F.filter(F.element_at("__cells", F.col("shard") + 1), lambda e: e < F.col("__n"))))
-    )
-    again = Window.partitionBy("shard", "__cell").orderBy("__h2", *[f"`{c}`" for c in key if c in own])
+                drawn = matrix_rows(np.array([r["n"] for r in x]), np.asarray(cells), (seed, int(g) + 1), most_urn)
+                for part, row in zip([r["part"] for r in x], drawn):
+                    found = list(runs(row))
+                    yield pd.DataFrame({"part": part, "stretch": [f[0] for f in found], "starts": [f[1] for f in found], "cells": [f[2] for f in found]})
+
+    plan = counted.join(first, "g").mapInPandas(deal, "part long, stretch long, starts array<long>, cells array<long>")
+    local = Window.partitionBy("part").orderBy("h1", *ties)
+    ranked = src.withColumn("rank", F.row_number().over(local) - 1).withColumn("stretch", F.floor(F.col("rank") / STRETCH))
+    run = F.size(F.filter("starts", lambda s: s <= F.col("rank")))
+    dealt = ranked.join(plan, ["part", "stretch"]).select("row", "h2", F.element_at("cells", run).alias("to"))
+    dealt = dealt.select("row", "h2", F.floor(F.col("to") / splits).cast("int").alias("shard"), (F.col("to") % splits).alias("cell"))
+    again = Window.partitionBy("shard", "cell").orderBy("h2", *ties)
     # a shard's first rows % splits cells have one slot more
     in_shard = F.lit(rows // shards) + (F.col("shard") < rows % shards).cast("long")
     each, more = F.floor(in_shard / splits), in_shard % splits
-    start = F.col("__cell") * each + F.least(F.col("__cell").cast("long"), more)
-    return dealt.select(*[f"`{c}`" for c in own], "shard", (start + F.row_number().over(again) - 1).cast("long").alias("slot"))
+    start = F.col("cell") * each + F.least(F.col("cell"), more)
+    placed = dealt.select("row", "shard", (start + F.row_number().over(again) - 1).cast("long").alias("slot"))
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in own], "shard", "slot")
 
 
 def shard_rows(documents: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:

@@ -723,3 +723,29 @@ def test_pipeline_near_copies(spark):
     named = got[got.doc_id.notna()]
     assert len(got) - len(named) == 2
     assert sorted((int(r.doc_id), hashlib.md5((r.text or "").encode()).hexdigest()) for r in named.itertuples()) == want
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    names = ["__part", "__n", "__p", "part", "rank", "row", "to", "cell", "h1", "h2", "starts", "a.b", "shard"]
+    df = spark.range(500).select("id", *[F.lit(f"mine {n}").alias(n) for n in names])
+    out = sharding.shuffle_into_shards(df, 3, rows_per_cell=50, rows_per_part=20, groups=4)
+    assert out.columns == ["id", *names[:-1], "shard", "slot"]
+    rows = out.collect()
+    assert all(r[n] == f"mine {n}" for r in rows for n in names[:-1]) and sorted(r["id"] for r in rows) == list(range(500))
+    for s in range(3):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(167 if s < 2 else 166))
+
+
+def test_runs_of_a_matrix_row_cover_every_rank():
+    rng = np.random.default_rng(4)
+    for cells, stretch in ((5, 8), (400, 8), (3, 1000)):
+        row = rng.multinomial(301, rng.dirichlet(np.ones(cells) * 0.3))
+        of = np.repeat(np.arange(cells), row)
+        seen = 0
+        for at, starts, to in sharding.runs(row, stretch):
+            assert len(starts) <= stretch + 1
+            for rank in range(at * stretch, min(301, (at + 1) * stretch)):
+                assert to[int((starts <= rank).sum()) - 1] == of[rank]
+                seen += 1
+        assert seen == 301
+    assert list(sharding.runs(np.zeros(4, np.int64))) == []
