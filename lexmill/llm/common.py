@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(base: str, taken: list[str]) -> str:
+    """base, with as many underscores behind it as no taken name has, whatever the case of letters."""
+    low = {t.lower() for t in taken}
+    while base.lower() in low:
+        base += "_"
+    return base
+
+
 def id_crc_mod(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo; null ids count as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))

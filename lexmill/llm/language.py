@@ -14,7 +14,7 @@ Counts are thus those of one parse from the first symbol to the last.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 (numerals like a half or a circled
 one are no letters); without learned text every document is ``und``; equal texts get equal results; columns
-beyond the id, the text and those kept take no part, and kept ones may have any name but ``__text``.
+beyond the id, the text and those kept take no part, and kept ones may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc_mod, small_batches
+from .common import free_name, id_crc_mod, small_batches
 
 BLOCK = 1024
 SPACE, END = 0, 1  # codes of a space and of padding; the rest are the bytes seen
@@ -267,10 +267,13 @@ def learn(documents: DataFrame, max_bytes: int = 65536, max_docs: int = 200, lon
 def predict(documents: DataFrame, model: tuple[dict[str, bytes], dict[str, int]], id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), out: tuple[str, str, str] = ("lang_pred", "score", "bits")) -> DataFrame:
     """Rows (id, *keep, lang_pred, score, bits), or by the names in out: score is the runner-up's share of the two entropies' sum, bits the winner's entropy per symbol."""
 
+    cols = [id_col, *[c for c in keep if c != id_col]]
+    text_name = free_name("text", cols)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(*model)
-        for b in small_batches(batches, "__text", 2 << 20):
-            texts = b.column(b.schema.get_field_index("__text")).to_pylist()
+        for b in small_batches(batches, text_name, 2 << 20):
+            texts = b.column(b.schema.get_field_index(text_name)).to_pylist()
             known = [bool(x) and bool(parser.langs) and has_letter(x) for x in texts]
             docs = [symbols(x) if k else np.zeros(0, np.uint8) for x, k in zip(texts, known)]
             ent = parser.phrases(docs) * parser.bits / np.maximum(1, [len(d) for d in docs])[:, None] if parser.langs else np.zeros((len(docs), 1))
@@ -279,15 +282,14 @@ def predict(documents: DataFrame, model: tuple[dict[str, bytes], dict[str, int]]
             rest = np.sort(ent, 1)[:, 1] if ent.shape[1] > 1 else low + 1
             share = np.where(low + rest > 0, rest / np.maximum(1e-300, low + rest), 0.0)
             name = [parser.langs[i] if k else "und" for i, k in zip(best, known)]
-            own = [c for c in range(b.num_columns) if b.schema.names[c] != "__text"]
+            own = [c for c in range(b.num_columns) if b.schema.names[c] != text_name]
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in own] + [pa.array(name, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, low, 0.0))],
                 names=[b.schema.names[c] for c in own] + list(out),
             )
 
-    cols = [id_col, *[c for c in keep if c != id_col]]
     kinds = dict(documents.dtypes)
-    src = documents.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).alias("__text"))
+    src = documents.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).alias(text_name))
     return src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", `{}` string, `{}` double, `{}` double".format(*out))
 
 

@@ -10,7 +10,7 @@ whole texts are scored, vectorised over blocks of text.
 Defined cases: null, empty and blank texts have no features and get the share of label 1 among the learned
 rows; equal texts get equal scores; without labelled rows every score is 0.5; a doc_id labelled twice counts
 once with its smaller label; columns beyond the id, the text and those kept take no part, and kept ones may have
-any name but ``__text``.
+any name.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_crc_mod, small_batches
+from .common import as_bytes, free_name, id_crc_mod, small_batches
 
 BUCKETS = 1 << 18
 DIM = 16
@@ -152,20 +152,22 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], id_col: str = "
     table, bias = model
     sent = sc.broadcast(table)  # one number per bucket: 1 MB, whatever the input
 
+    cols = [id_col, *[c for c in keep if c != id_col]]
+    text_name = free_name("text", cols)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        for b in small_batches(batches, "__text", 1 << 20):
-            data, offsets = as_bytes(b.column(b.schema.get_field_index("__text")))
+        for b in small_batches(batches, text_name, 1 << 20):
+            data, offsets = as_bytes(b.column(b.schema.get_field_index(text_name)))
             total, count = np.zeros(b.num_rows), np.zeros(b.num_rows)
             for docs, idx in features(data, offsets):
                 total += np.bincount(docs, table[idx], b.num_rows)
                 count += np.bincount(docs, minlength=b.num_rows)
             z = total / np.maximum(1, count) + bias
-            rest = [c for c in range(b.num_columns) if b.schema.names[c] != "__text"]
+            rest = [c for c in range(b.num_columns) if b.schema.names[c] != text_name]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(1 / (1 + np.exp(-z)))], names=[b.schema.names[c] for c in rest] + [out])
 
-    cols = [id_col, *[c for c in keep if c != id_col]]
-    src = documents.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).alias("__text"))
+    src = documents.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).alias(text_name))
     kinds = dict(documents.dtypes)
     return src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + f", `{out}` double")
 
