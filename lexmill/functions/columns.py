@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -300,3 +300,17 @@ def warmup_cosine(step: C, total: int, warmup: int, floor: float) -> Column:
     s = col(step)
     done = F.least(F.lit(1.0), (s - warmup) / max(1, total - warmup))
     return F.when(s < warmup, (s + 1) / max(1, warmup)).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(done * 3.141592653589793)))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column] = lambda a, b: a + b, least: int = 0) -> Column:
+    """Sums of an array's values up to each place, or another associative step with ``least`` as what changes nothing.
+
+    By doubling: after round k a place has taken in the 2^k before it, so the rounds are the logarithm of the array's
+    size and each is one pass. A fold that appends would copy the array a value."""
+    rounds = F.sequence(F.lit(0), F.greatest(F.length(F.bin(F.size(values))) - 1, F.lit(0)))
+
+    def double(acc: Column, k: Column) -> Column:
+        back = F.least(F.pow(F.lit(2), k).cast("int"), F.size(acc))
+        return F.zip_with(acc, F.concat(F.array_repeat(F.lit(least), back), F.slice(acc, F.lit(1), F.size(acc) - back)), lambda a, b: step(a, b))
+
+    return F.aggregate(rounds, values, double)

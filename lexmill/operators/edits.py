@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets
-from ..functions.columns import amount_in, amounts_in, amounts_match, format_amount, novel_ngrams
+from ..functions.columns import amount_in, amounts_in, amounts_match, format_amount, novel_ngrams, running
 from .factors import _any, conducts, cue_polarity, factors, mentions, own_text
 
 ENDS = "。；！？\n"
@@ -24,9 +24,9 @@ def _empty() -> Column:
 def _parts(text: Column, pattern: str, keep: str) -> Column:
     """Stretches that tile a text with their starts, those that match keep."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:string,start:int>>").alias("out"))
-    step = lambda acc, s: F.struct((acc["at"] + F.length(s)).alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), acc["at"].alias("start"))).alias("out"))
-    return F.filter(F.aggregate(found, start, step)["out"], lambda x: x["s"].rlike(keep))
+    ends = running(F.transform(found, F.length))
+    placed = F.zip_with(found, ends, lambda s, e: F.struct(s.alias("s"), (e - F.length(s)).alias("start")))
+    return F.filter(placed, lambda x: x["s"].rlike(keep))
 
 
 def sentences(text: Column) -> Column:

@@ -2,18 +2,24 @@
 
 Spans are found by one pattern each, walked from match to match: what lies before a match and the match itself
 alternate, so their lengths add up to the offsets, which count code points. Null text is empty; a text without
-a match has no spans. The sums and the joining of overlaps fold over a text's spans, not over its characters.
+a match has no spans. Offsets are running sums and overlaps are joined by running maxima, a few passes over a text's
+spans however many there are; masks are put in by an Arrow kernel in one pass over the text. Large lexica are looked up
+by an automaton (``mentions``) in place of a pattern that names them all.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import presets
+from ..functions.columns import running
 from ..presets import Rules
 
 SPAN = "struct<category:string,text:string,start:int,end:int,mode:string>"
@@ -46,6 +52,108 @@ def mention_pattern(names: Iterable[str], rules: Rules = presets.LEGAL) -> str |
     return "|".join(f.replace("NAME", f"(?:{any_name})") for f in rules.mentions) if any_name else None
 
 
+class Lexicon:
+    """An automaton over names: one pass over a text finds every place of every name.
+
+    A state is a beginning of a name; ``fail`` is the longest ending of it that is a beginning as well, ``ends`` the
+    name that ends here, ``shorter`` the next state down the fail links at which one does."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.go: list[dict[str, int]] = [{}]
+        self.ends, self.fail, self.shorter = [-1], [0], [0]
+        for place, name in enumerate(names):
+            at = 0
+            for c in name:
+                if c not in self.go[at]:
+                    self.go[at][c] = len(self.go)
+                    self.go.append({})
+                    self.ends.append(-1)
+                at = self.go[at][c]
+            if self.ends[at] < 0:  # of equal names the first counts
+                self.ends[at] = place
+        self.fail, self.shorter = [0] * len(self.go), [0] * len(self.go)
+        level = list(self.go[0].values())
+        while level:
+            deeper = []
+            for state in level:
+                for c, to in self.go[state].items():
+                    down = self.fail[state]
+                    while down and c not in self.go[down]:
+                        down = self.fail[down]
+                    self.fail[to] = self.go[down].get(c, 0)
+                    f = self.fail[to]
+                    self.shorter[to] = f if self.ends[f] >= 0 else self.shorter[f]
+                    deeper.append(to)
+            level = deeper
+
+    def places(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, name's place in the lexicon) of every occurrence, overlaps included."""
+        go, fail, ends, shorter, names, state = self.go, self.fail, self.ends, self.shorter, self.names, 0
+        for i, c in enumerate(text, 1):
+            while state and c not in go[state]:
+                state = fail[state]
+            state = go[state].get(c, 0)
+            hit = state if ends[state] >= 0 else shorter[state]
+            while hit:
+                yield i - len(names[ends[hit]]), ends[hit]
+                hit = shorter[hit]
+
+    def spans(self, text: str, framed: list[tuple[re.Pattern, re.Pattern]]) -> list[tuple[int, int]]:
+        """What the pattern of all names finds: from left to right, at a place the first frame that holds, in it the first name."""
+        best: dict[int, tuple[int, int, int]] = {}
+        for start, place in self.places(text):
+            for k, (before, after) in enumerate(framed):
+                if (now := best.get(start)) is not None and now[:2] <= (k, place):
+                    break
+                if before.match(text, start) and (m := after.match(text, start + len(self.names[place]))):
+                    best[start] = (k, place, m.end())
+                    break
+        out, at = [], 0
+        for start in sorted(best):
+            if start >= at:
+                at = best[start][2]
+                out.append((start, at))
+        return out
+
+
+# From so many names on the automaton is used; beyond so many letters its copy in each worker would be too large.
+MANY, MOST_LETTERS = 64, 20_000_000
+
+
+def frames(rules: Rules) -> list[tuple[re.Pattern, re.Pattern]] | None:
+    """What stands before and behind a name, by frame; None if what stands before takes up letters or a pattern is none of Python's."""
+    out = []
+    for frame in rules.mentions:
+        before, _, after = frame.partition("NAME")
+        try:
+            out.append((re.compile(before), re.compile(after)))
+        except re.error:
+            return None
+        if before and not re.fullmatch(r"(\(\?<[=!](?:[^()\\]|\\.)*\))+", before):
+            return None
+    return out
+
+
+def mentions(text: Column, names: list[str], category: str, mode: str, rules: Rules = presets.LEGAL) -> Column:
+    """``found`` with the pattern of all names, through an automaton that each worker builds once from the names."""
+    names, framed, number = list(names), frames(rules), uuid.uuid4().hex
+
+    @F.pandas_udf(f"array<{SPAN}>")
+    def run(texts: pd.Series) -> pd.Series:
+        if number not in _LEXICA:
+            _LEXICA.clear()
+            _LEXICA[number] = Lexicon(names)
+        lexicon = _LEXICA[number]
+        rows = [[{"category": category, "text": t[a:b], "start": a, "end": b, "mode": mode} for a, b in lexicon.spans(t, framed)] if t else [] for t in texts]
+        return pd.Series(rows, dtype=object)
+
+    return run(text)
+
+
+_LEXICA: dict[str, Lexicon] = {}
+
+
 def _conclusion(rules: Rules) -> str:
     """From a marker to the end of its sentence; weak markers under a past cue of their clause don't count."""
     past = f"(?<!{rules.history}[^{rules.pauses}{rules.stops}]{{0,200}})" if rules.history else ""
@@ -63,30 +171,32 @@ def found(text: Column, pattern: str, category: str, mode: str) -> Column:
     """The pattern's matches as an array of SPAN."""
     walk = F.lit(f"\\G((?s:.*?))({pattern})")
     gaps, hits = F.regexp_extract_all(text, walk, F.lit(1)), F.regexp_extract_all(text, walk, F.lit(2))
-    steps = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h))
-    ends = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
+    ends = running(F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h)))
     span = lambda h, e: F.struct(F.lit(category).alias("category"), h.alias("text"), (e - F.length(h)).alias("start"), e.alias("end"), F.lit(mode).alias("mode"))
     return F.zip_with(hits, ends, span)
 
 
 def joined(spans: Column) -> Column:
     """Spans (start, end) in order, those that overlap as one; spans that touch stay apart."""
-    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    in_order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    reach = running(F.transform(in_order, lambda s: s["end"]), F.greatest)
+    # a span is a head if nothing before it reaches into it
+    marked = F.zip_with(in_order, F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.greatest(F.size(reach) - 1, F.lit(0)))), lambda s, r: F.struct(s["start"].alias("start"), r.alias("before"), (s["start"] >= r).alias("head")))
+    heads = F.filter(marked, lambda m: m["head"])
+    ends = F.concat(F.transform(F.slice(heads, F.lit(2), F.greatest(F.size(heads) - 1, F.lit(0))), lambda m: m["before"]), F.slice(reach, F.greatest(F.size(reach), F.lit(1)), F.lit(1)))
+    return F.zip_with(heads, ends, lambda m, e: F.struct(m["start"].alias("start"), e.alias("end")))
+
 
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.array_append(F.slice(acc, 1, F.size(acc) - 1), pair(last["start"], F.greatest(last["end"], x["end"])))
-        return F.when(x["start"] < last["end"], grown).otherwise(F.array_append(acc, x))
+def _masked(text: pd.Series, starts: pd.Series, ends: pd.Series, mask: pd.Series) -> pd.Series:
+    def one(t: str, low: np.ndarray, high: np.ndarray, m: str) -> str:
+        return m.join([t[a:b] for a, b in zip([0, *high], [*low, len(t)])])
 
-    in_order = F.array_sort(F.transform(spans, lambda s: pair(s["start"], s["end"])))
-    return F.aggregate(in_order, F.array().cast("array<struct<start:int,end:int>>"), add)
+    return pd.Series([None if t is None else one(t, a, b, m) for t, a, b, m in zip(text, starts, ends, mask)], dtype=object)
 
 
 def masked(text: Column, spans: Column, mask: str) -> Column:
     """The text with each of the joined spans as one mask."""
-    after = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
-    stretch = lambda i: F.substr(text, after(i) + 1, F.coalesce(F.get(spans, i)["start"], F.length(text)) - after(i))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), stretch), mask)
+    return F.pandas_udf(_masked, "string")(text, F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]), F.lit(mask))
 
 
 def redact(df: DataFrame, text: str = "text", names: Iterable[str] = (), keep: list[str] = (), rules: Rules = presets.LEGAL) -> DataFrame:
@@ -94,9 +204,14 @@ def redact(df: DataFrame, text: str = "text", names: Iterable[str] = (), keep: l
     raw, mild = F.coalesce("fact_raw", F.lit("")), F.col("fact_conservative")
     out = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("fact_raw"))
     out = out.withColumn("fact_conservative", conservative(raw, rules))
-    strict = [("article", rules.article), ("charge", mention_pattern(names, rules)), ("charge", rules.cued)]
+    names = list(names)
+    many = len(names) > MANY and sum(map(len, names)) <= MOST_LETTERS and frames(rules) is not None
+    strict = [("article", rules.article), ("charge", None if many else mention_pattern(names, rules)), ("charge", rules.cued)]
     first = [found(raw, rules.statement, "result_statement", "conservative"), found(raw, _conclusion(rules), "conclusion", "conservative")]
-    out = out.withColumn("__strict", F.concat(*[found(mild, p, c, "strict") for c, p in strict if p], F.array().cast(f"array<{SPAN}>")))
+    spans = [found(mild, p, c, "strict") for c, p in strict if p]
+    if many:
+        spans.insert(1, mentions(mild, names, "charge", "strict", rules))
+    out = out.withColumn("__strict", F.concat(*spans, F.array().cast(f"array<{SPAN}>")))
     out = out.withColumn("__joined", joined(F.col("__strict")))
     return out.select(*[F.col(f"`{c}`") for c in keep], "fact_raw", "fact_conservative", masked(mild, F.col("__joined"), rules.mask).alias("fact_strict"), F.concat(*first, "__strict").alias("redactions"))
 
