@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,6 +41,50 @@ def epoch_order(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), key)
 
 
+def permuted(index: Column, n: int, seed: int, epoch: int, back: bool = False, rounds: int = 6, walks: int = 64) -> Column:
+    """Where a seeded permutation of 0 to n - 1 puts an index; with back, which index is at a place. No sort, no table.
+
+    A Feistel network permutes the numbers of an even number of bits that n fits in, at most 4n of them; a result of n or more
+    goes through it again until it falls below n (cycle walking), which keeps the map one to one. A walk misses with
+    probability 3/4 at most, so that ``walks`` in a row are beyond any table's reach; that would be an error."""
+    bits = max(1, -(-max(1, (max(n, 2) - 1).bit_length()) // 2))
+    mask = F.lit((1 << bits) - 1)
+    keys = [hash_key(seed, epoch, r) for r in range(rounds)]
+
+    def once(x: Column) -> Column:
+        # rounds go through a fold: its accumulator is computed once, where nested expressions would double
+        pair = F.struct(F.shiftright(x, bits).alias("l"), x.bitwiseAND(mask).alias("r"))
+        order = F.array(*[F.lit(k) for k in (keys[::-1] if back else keys)])
+
+        def forward(p: Column, k: Column) -> Column:
+            return F.struct(p["r"].alias("l"), p["l"].bitwiseXOR(F.xxhash64(k, p["r"]).bitwiseAND(mask)).alias("r"))
+
+        def backward(p: Column, k: Column) -> Column:
+            return F.struct(p["r"].bitwiseXOR(F.xxhash64(k, p["l"]).bitwiseAND(mask)).alias("l"), p["l"].alias("r"))
+
+        return F.aggregate(order, pair, backward if back else forward, lambda p: F.shiftleft(p["l"], bits).bitwiseOR(p["r"]))
+
+    start = once(index.cast("long"))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), start, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(out < n, out).otherwise(F.raise_error(F.lit("a walk didn't end")).cast("long"))
+
+
+def hash_key(seed: int, epoch: int, r: int) -> int:
+    """A 63-bit key of a round."""
+    digest = hashlib.blake2b(f"{seed}:{epoch}:{r}".encode(), digest_size=8).digest()
+    return int.from_bytes(digest, "little") >> 1
+
+
+def placed(df: DataFrame, index: str, n: int, seed: int, epoch: int, start: int = 0, name: str = "place") -> DataFrame:
+    """Rows of dense numbers (0 to n - 1 in index) with their place in a pass, from place ``start`` on: a filter where rows are read."""
+    return df.withColumn(name, permuted(F.col(index), n, seed, epoch)).where(F.col(name) >= start)
+
+
+def next_rows(spark: SparkSession, n: int, seed: int, epoch: int, start: int, rows: int, index: str = "idx") -> DataFrame:
+    """Rows (place, index) of the next places of a pass: only what is asked for is computed."""
+    return spark.range(start, min(n, start + rows)).select(F.col("id").alias("place"), permuted(F.col("id"), n, seed, epoch, back=True).alias(index))
+
+
 def numbered(batches: DataFrame) -> DataFrame:
     """Rows of token_batches with ``place``, the number of their batch over all windows; what one task orders is a row a window."""
     per = batches.groupBy("shuffle_window").agg((F.max("batch") + 1).alias("__n"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,17 +194,52 @@ def case_metrics(levels: DataFrame, by: Sequence[str] = (), weight: str | None =
     return levels.groupBy(*by).agg(*out)
 
 
+def threshold_counts(rows: DataFrame, probabilities: str, truth: str, grid: Sequence[float]) -> DataFrame:
+    """Rows (threshold, tp, n): true positives, and predicted plus true labels, as ``thresholded`` predicts at each threshold.
+
+    One pass, whatever the number of thresholds: scores are counted by the number of thresholds that they reach, so what
+    a threshold lets through is a sum over higher bins. Rows whose best score reaches fewer thresholds predict that score's
+    first place at the others: those are counted by the best score's bin and summed from below. Tasks return a histogram
+    each, which is all that is shuffled. Rows with a null array take no part; null scores reach nothing, null truths are 0."""
+    grid = sorted({float(g) for g in grid})
+    edges, names = np.array(grid), ["bin", "items", "positives", "rows", "first_positives", "truths"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(grid) + 1, 5), np.int64)
+        for b in batches:
+            p, t = b.column(0), b.column(1)
+            score = p.flatten().fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            true = t.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            size, other = np.diff(p.offsets.to_numpy()), np.diff(t.offsets.to_numpy())
+            held[0, 4] += true.sum()
+            at = np.arange(len(score)) - np.repeat(np.cumsum(size) - size, size)  # place in the row
+            places = np.repeat(np.cumsum(other) - other, size) + at
+            own = np.where(at < np.repeat(other, size), true[np.minimum(places, len(true) - 1)], 0) if len(true) else np.zeros(len(score), np.int64)
+            bins = np.searchsorted(edges, score, "right")
+            held[:, 0] += np.bincount(bins, minlength=len(held))
+            held[:, 1] += np.bincount(bins, own, len(held)).astype(np.int64)
+            some = size > 0
+            if some.any():
+                best = np.maximum.reduceat(score, (np.cumsum(size) - size)[some])
+                row = np.repeat(np.arange(some.sum()), size[some])
+                tops = np.flatnonzero(score == best[row])
+                first = tops[np.unique(row[tops], return_index=True)[1]]
+                held[:, 2] += np.bincount(bins[first], minlength=len(held))
+                held[:, 3] += np.bincount(bins[first], own[first], len(held)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), *[pa.array(c) for c in held.T]], names=names)
+
+    both = rows.where(F.col(probabilities).isNotNull() & F.col(truth).isNotNull()).select(F.col(probabilities).cast("array<double>").alias("p"), F.col(truth).cast("array<long>").alias("t"))
+    met = both.mapInArrow(run, ", ".join(f"`{n}` long" for n in names)).groupBy("bin").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    up, down = Window.orderBy(F.desc("bin")), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a threshold
+    over = lambda n: F.sum(n).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    under = lambda n: F.sum(n).over(down)
+    sums = met.select("bin", (over("positives") + under("first_positives")).alias("tp"), (over("items") + under("rows") + F.sum("truths").over(Window.partitionBy())).alias("n"))
+    return sums.where("bin > 0").select(F.element_at(F.array(*[F.lit(g) for g in grid]), F.col("bin").cast("int")).alias("threshold"), "tp", "n")
+
+
 def tune_threshold(rows: DataFrame, probabilities: str, truth: str, grid: Sequence[float] = tuple(round(0.05 * k, 2) for k in range(1, 20))) -> DataFrame:
     """One row (threshold, micro_f1): the lowest threshold with the best micro F1."""
-    p, t = F.col(probabilities), F.col(truth)
-    per = []
-    for g in grid:
-        hot = thresholded(p, float(g))
-        both = F.aggregate(F.zip_with(hot, t, lambda a, b: a * b.cast("int")), F.lit(0), lambda s, x: s + x)
-        count = F.aggregate(hot, F.lit(0), lambda s, x: s + x) + F.aggregate(t, F.lit(0), lambda s, x: s + x.cast("int"))
-        per.append(F.struct(F.lit(float(g)).alias("threshold"), both.alias("tp"), count.alias("n")))
-    sums = rows.select(F.explode(F.array(*per)).alias("x")).select("x.*").groupBy("threshold").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
-    best = sums.select("threshold", ratio(2 * F.col("tp"), "n").alias("micro_f1"))
+    best = threshold_counts(rows, probabilities, truth, grid).select("threshold", ratio(2 * F.col("tp"), "n").alias("micro_f1"))
     return best.orderBy(F.desc("micro_f1"), "threshold").limit(1)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import batches, edits, interventions, metrics, prompts, redact, splits, store
+from .operators.components import dense_index
 from .queries import query, table
 
 
@@ -140,6 +141,22 @@ def w11(spark, sf_dir):
     return batches.epoch_order(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 3, 1)
 
 
+@query(
+    "w11_o07_x07_places",
+    """SELECT count(*) AS n, count(*) AS places, 0::BIGINT AS first, count(*) - 1 AS last, count(*) AS came_back, count(*) - count(*) // 3 AS left_over FROM lineitem""",
+)
+def w11_places(spark, sf_dir):
+    """Every line item's place in a pass without a sort: a bijection of dense numbers whose inverse gives them back; a cursor at a third reads what is left."""
+    per = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    idx = dense_index(per, F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(64)), ["l_orderkey", "l_linenumber"])
+    n = per.count()
+    at = batches.placed(idx, "idx", n, 3, 1).withColumn("back", batches.permuted(F.col("place"), n, 3, 1, back=True))
+    return at.agg(
+        F.count("*").alias("n"), F.count_distinct("place").alias("places"), F.min("place").alias("first"), F.max("place").alias("last"),
+        F.count_if(F.col("back") == F.col("idx")).alias("came_back"), F.count_if(F.col("place") >= n // 3).alias("left_over"),
+    )
+
+
 @query("a25_o05_stable_sample")
 def a25(spark, sf_dir):
     return metrics.stable_sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100)
