@@ -12,7 +12,7 @@ from .queries import query, table
 from .queries_files import folder
 from .queries_stats import SCORED, rounded, scored
 from .sources import audit, jsonl, sinks
-from .streaming.append import append_new
+from .streaming.append import append_bucketed, append_new, route_late
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,6 +419,31 @@ def x03(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("x03_bucketed_append", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def x03_bucketed(spark, sf_dir):
+    """The same into a store by buckets of ids, of which a micro-batch reads its own."""
+    path, e = folder(spark), table(spark, sf_dir, "events").select("event_id", "event_type")
+    for part in (e.where("event_id % 2 = 0"), e):
+        part.write.mode("append").parquet(f"{path}/in")
+        append_bucketed(spark.readStream.schema(e.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/progress", "event_id", 16).awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(
+    "x01_late_rows",
+    """WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM events WHERE event_id % 2 = 0)
+       SELECT event_id % 2 AS half, CASE WHEN event_id % 2 = 1 AND ts < mark THEN 'late' ELSE 'rows' END AS side, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events, m GROUP BY 1, 2""",
+)
+def x01_late(spark, sf_dir):
+    """The even events come first; of the odd ones those two hours behind them are late, and kept."""
+    path, e = folder(spark), table(spark, sf_dir, "events").select("event_id", "ts")
+    for half in (0, 1):
+        e.where(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{path}/in")
+        route_late(spark.readStream.schema(e.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/progress").awaitTermination()
+    sides = [spark.read.parquet(f"{path}/out/{s}").select((F.col("event_id") % 2).alias("half"), F.lit(s).alias("side"), "event_id") for s in ("rows", "late")]
+    return sides[0].unionByName(sides[1]).groupBy("half", "side").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("x07_resumed_batches", "SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS ids, true AS tight FROM orders")
 def x07(spark, sf_dir):
     """Batches before a cursor and those after it, together every row once."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .operators import bootstrap, losses, metrics
 from .queries import query, table
-from .streaming.append import windowed_counts
+from .streaming.append import session_counts, sliding_counts, windowed_counts
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,6 +299,25 @@ def x01(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events")).select("window_start", "event_type", "n", F.round("total", 6).alias("total"))
 
 
+@query(
+    "x01_sessions",
+    """WITH e AS (SELECT user_id, ts, value, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS head FROM events),
+       g AS (SELECT *, sum(head) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM e)
+       SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n, round(sum(value), 6) AS total FROM g GROUP BY user_id, island""",
+)
+def x01_sessions(spark, sf_dir):
+    return session_counts(table(spark, sf_dir, "events"), "user_id").withColumn("total", F.round("total", 6))
+
+
+@query(
+    "x01_sliding_counts",
+    """WITH w AS (SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS window_start, value FROM events, (SELECT unnest([0, 1]) AS k))
+       SELECT window_start, count(*) AS n, round(sum(value), 6) AS total FROM w GROUP BY 1""",
+)
+def x01_sliding(spark, sf_dir):
+    return sliding_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 6))
+
+
 @query("p20_prediction_rows")
 def p20(spark, sf_dir):
     e = scored(spark, sf_dir)
