@@ -6,7 +6,8 @@ and its ancestors'. Gradient-boosted trees (logistic loss, histogram splits, num
 element's own text is article text. They are fitted on pages written by a seeded generator: articles among
 menus, headers, footers, sidebars, notices, adverts, forms, comments, with and without telling tags and
 names. Decoding takes the set of elements with the largest sum of log odds, weighted by own text, such that an
-element is taken only with its parent; so no descendant of rejected parts is kept.
+element is taken only with its parent; so no descendant of rejected parts is kept. Inline elements without telling
+names, amid the own text of their parent, are taken or left with it.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are trimmed and
 joined by one line end; scripts, styles, comments, templates and the head are never text, math and svg text is. Defined cases: null
@@ -37,7 +38,7 @@ FENCE = {"li": {"ul", "ol"}, "td": {"table"}, "th": {"table"}, "tr": {"table"},
 # Words that name parts of a page.
 GOOD = "article main content post entry story text body".split()
 BAD = "nav menu header footer sidebar aside ad ads advert banner promo sponsor cookie notice consent alert popup modal comment comments discussion reply form newsletter subscribe share social related breadcrumb pagination login search widget copyright legal tags byline toolbar".split()
-TAGS = "html body div section article main nav header footer aside form ul ol li a p h1 h2 h3 h4 h5 h6 table tr td span b i em strong blockquote pre figure figcaption button label dl dt dd".split()
+TAGS = "html body div section article main nav header footer aside form ul ol li a p h1 h2 h3 h4 h5 h6 table tr td span b i em strong blockquote pre figure figcaption button label dl dt dd th thead tbody caption code kbd samp".split()
 TOKENS = {t: i for i, t in enumerate(dict.fromkeys([*TAGS, *GOOD, *BAD]))}
 WIDE = -(-len(TOKENS) // 8) * 8
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
@@ -66,15 +67,20 @@ class Page:
         self.token, self.above, self.end = [0], [0], [0]
         self.text: list[tuple[int, str] | None] = []
         open_, at, head = [0], 0, False
+        count: dict[str, int] = {}  # of open elements, by name
         text, tag = self.text, self.tag
 
+        def shut_from(i: int) -> None:
+            for k in open_[i:]:
+                self.end[k] = len(tag)
+                count[tag[k]] -= 1
+            del open_[i:]
+
         def leave_head() -> None:
             nonlocal head
             head = False
-            at_ = next((i for i, k in enumerate(open_) if tag[k] == "head"), len(open_))
-            for k in open_[at_:]:
-                self.end[k] = len(tag)
-            del open_[at_:]
+            if count.get("head"):
+                shut_from(next(i for i, k in enumerate(open_) if tag[k] == "head"))
 
         def say(raw: str) -> None:
             if head and not raw.isspace():
@@ -104,18 +110,15 @@ class Page:
             if name in ("head", "body"):
                 head = name == "head" and not close
             if close:
-                if name in tag and name in (names := [tag[k] for k in open_]):
-                    while names:
-                        last = open_.pop()
-                        self.end[last] = len(tag)
-                        if names.pop() == name:
-                            break
-                    if not open_:
-                        open_ = [0]
+                if count.get(name):
+                    i = len(open_) - 1
+                    while tag[open_[i]] != name:
+                        i -= 1
+                    shut_from(i)
                 if name not in INLINE:
                     text.append(None)
                 continue
-            if name in RAW or name in ("desc", "metadata") and any(tag[k] == "svg" for k in open_):
+            if name in RAW or name in ("desc", "metadata") and count.get("svg"):
                 at = at if attrs.endswith("/") else raw_end(source, name, at)
                 text.append(None) if name not in INLINE else None
                 continue
@@ -123,11 +126,9 @@ class Page:
                 text.append(None)
                 shut = CLOSES.get(name) or ({"p"} if name not in ("p", "html", "body") else set())
                 fence = FENCE.get(name, FENCE["p"])
-                for i in range(len(open_) - 1, 0, -1):
+                for i in range(len(open_) - 1, 0, -1) if any(map(count.get, shut)) else ():
                     if tag[open_[i]] in shut:
-                        for k in open_[i:]:
-                            self.end[k] = len(tag)
-                        del open_[i:]
+                        shut_from(i)
                         break
                     if tag[open_[i]] in fence:
                         break
@@ -153,6 +154,7 @@ class Page:
             self.end.append(0)
             if not attrs.endswith("/"):
                 open_.append(me)
+                count[name] = count.get(name, 0) + 1
             else:
                 self.end[me] = me + 1
         if at < len(source):
@@ -200,7 +202,7 @@ def describe(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
 class Boosted:
     """Gradient-boosted trees of fixed depth with logistic loss."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 30, depth: int = 4, rate: float = 0.4, bins: int = 32, ridge: float = 2.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.4, bins: int = 32, ridge: float = 2.0):
         self.depth, self.rate = depth, rate
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(k, c, "left") for k, c in zip(cuts, x.T)], 1)
@@ -279,22 +281,43 @@ def written_page(rng: np.random.Generator) -> str:
             return part(kind, f"<form><label>{words(1, 4)}</label><input type=text><button>{words(1, 3)}</button></form>")
         if kind in ("sidebar", "aside", "widget"):
             return part(kind, f"<h3>{words(1, 4)}</h3>" + (links(rng.integers(2, 8)) if rng.random() < 0.6 else f"<p>{prose(1, 3)}</p>"))
+        if kind in ("sidebar", "footer", "menu", "related") and rng.random() < 0.1:  # links in a table
+            return part(kind, f"<table>{''.join(f'<tr><td>{links(1)}</td></tr>' for _ in range(rng.integers(2, 6)))}</table>")
         if kind in ("footer", "copyright", "legal"):
             return part(kind, rng.choice([f"&copy; {words(2, 9)}", f"<p>{prose(1, 3)}</p>{links(3)}", line(3, 12)]))
         if kind == "header":
             return part(kind, f"<h2>{words(1, 5)}</h2>{links(rng.integers(0, 5)) if rng.random() < 0.5 else ''}")
         return part(kind, rng.choice([line(2, 10), f"<p>{prose(1, 3)}</p>", f'<a href="/{word()}">{words(1, 6)}</a>']))
 
+    def cells() -> str:
+        head = f"<tr>{''.join(f'<th>{words(1, 3)}</th>' for _ in range(wide))}</tr>" if (wide := int(rng.integers(2, 5))) and rng.random() < 0.6 else ""
+        value = lambda: str(rng.integers(0, 9999)) + rng.choice(["", "", "%", ".5"]) + words(0, 2) if rng.random() < 0.4 else words(1, 4)
+        rows = "".join(f"<tr>{''.join(f'<td>{value()}</td>' for _ in range(wide))}</tr>" for _ in range(rng.integers(1, 7)))
+        rows = f"<thead>{head}</thead><tbody>{rows}</tbody>" if head and rng.random() < 0.4 else head + rows
+        return f"<table>{f'<caption>{words(1, 5)}</caption>' if rng.random() < 0.2 else ''}{rows}</table>"
+
+    def code() -> str:
+        lines = "\n".join("  " * rng.integers(0, 3) + words(1, 3) + rng.choice(["();", " = 1", " {", "}", ":", ""]) for _ in range(rng.integers(1, 8)))
+        return rng.choice([f"<pre>{lines}</pre>", f"<pre><code>{lines}</code></pre>", f"<div><pre><code>{lines}</code></pre></div>"])
+
+    def figure() -> str:
+        return f'<figure><img src="/{word()}.png"><figcaption>{line(2, 12)}</figcaption></figure>'
+
+    def terms() -> str:
+        return f"<dl>{''.join(f'<dt>{words(1, 3)}</dt><dd>{line(2, 10)}</dd>' for _ in range(rng.integers(1, 5)))}</dl>"
+
     few = lambda kinds, lo, hi: "".join(noise(k) for k in rng.choice(kinds, rng.integers(lo, hi)))
     blocks = [f"<h1>{words(2, 9)}</h1>"] if rng.random() < 0.8 else []
     for _ in range(int(rng.integers(1, 12))):
         kind = rng.random()
-        if kind < 0.75:
-            blocks.append(f"<p>{prose(1, 9)}</p>" if rng.random() < 0.9 else f"<p><b>{prose(1, 5)}<br>")
+        if rng.random() < 0.16:
+            blocks.append([cells, code, figure, terms][rng.integers(4)]())
+        elif kind < 0.75:
+            blocks.append(rng.choice([f"<p>{prose(1, 9)}</p>", f"<p>{line(1, 5)}</p>", f"<p><b>{prose(1, 5)}<br>"], p=[0.75, 0.15, 0.1]))
         elif kind < 0.82:
             blocks.append(f"<h2>{words(1, 7)}</h2>")
         elif kind < 0.88:
-            blocks.append(f"<ul>{''.join(f'<li>{line(2, 14)}</li>' for _ in range(rng.integers(2, 6)))}</ul>")
+            blocks.append(f"<ul>{''.join(f'<li>{line(2, 14)}</li>' for _ in range(rng.integers(2, 6)))}</ul>" if rng.random() < 0.7 else f"<ol>{''.join(f'<li><p>{prose(1, 3)}</p></li>' for _ in range(rng.integers(2, 5)))}</ol>")
         elif kind < 0.93:
             blocks.append(f"<blockquote>{prose(1, 4)}</blockquote>")
         else:
@@ -310,7 +333,7 @@ def written_page(rng: np.random.Generator) -> str:
     return f"<html><head><title>{words(2, 6)}</title></head><body>{top}{article}{few(bad, 0, 4)}{noise('footer') if rng.random() < 0.8 else ''}</body></html>"
 
 
-def fitted(pages: int = 300, seed: int = 11) -> Boosted:
+def fitted(pages: int = 400, seed: int = 11) -> Boosted:
     """The model, learned from generated pages."""
     rng = np.random.default_rng(seed)
     made = [Page(written_page(rng)) for _ in range(pages)]
@@ -330,17 +353,18 @@ def fitted(pages: int = 300, seed: int = 11) -> Boosted:
 
 
 def main_text(page: Page, odds: np.ndarray) -> str:
-    """The text of the best set of elements that is closed under parents."""
+    """The text of the best set of elements that is closed under parents, and in which words set off inside a line go with it."""
     gain = odds * np.log1p(page.own)
     gain = np.where(np.array(page.own) > 0, gain, 0.0).tolist()
     parent = page.parent
+    with_block = [page.tag[i] in INLINE and page.token[i] in (0, 1 << TOKENS.get(page.tag[i], 0)) and page.own[parent[i]] > 0 for i in range(len(parent))]
     for i in range(len(parent) - 1, 0, -1):
-        if gain[i] > 0:
+        if gain[i] > 0 or with_block[i]:
             gain[parent[i]] += gain[i]
     keep = [False] * len(parent)
     keep[0] = gain[0] > 0
     for i in range(1, len(parent)):
-        keep[i] = gain[i] > 0 and keep[parent[i]]
+        keep[i] = (gain[i] > 0 or with_block[i]) and keep[parent[i]]
     blocks, now = [], []
     own = page.own
     for t in [*page.text, None]:
