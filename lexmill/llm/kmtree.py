@@ -89,12 +89,15 @@ class Tree:
                 heapq.heappush(heap, (d, n, child))
 
 
-def calibrate(tree: Tree, x: np.ndarray, ids: np.ndarray, k: int, recall: float, queries: int = 256, seed: int = 2) -> int:
-    """Leaves to visit until the mean recall of sample neighbours, the nearest rows of other ids, reaches the aim."""
-    rng = np.random.default_rng(seed)
-    own = rng.choice(len(x), min(queries, len(x)), replace=False)
+def held_back(n: int, queries: int = 256, seed: int = 2) -> np.ndarray:
+    """Which of n sample vectors the tree isn't fitted on: an eighth of them at most."""
+    return np.random.default_rng(seed).choice(n, min(queries, n // 8), replace=False)
+
+
+def calibrate(tree: Tree, x: np.ndarray, ids: np.ndarray, k: int, recall: float, own: np.ndarray) -> int:
+    """Leaves to visit until the mean recall of sample neighbours, the nearest rows of other ids, reaches the aim for the rows own."""
     leaf, ranks = tree.leaf_of(x), []
-    for i in own:
+    for i in own if len(own) else range(len(x)):
         d = ((x - x[i]) ** 2).sum(1)
         d[ids == ids[i]] = np.inf
         near = np.argsort(d)
@@ -150,8 +153,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("id", "v").toArrow()
     x = _matrix(sample.column("v").combine_chunks(), dim).astype(np.float64)
-    tree = Tree(x, leaf=leaf)
-    visits = calibrate(tree, x, sample.column("id").to_numpy(), k, recall)
+    own = held_back(len(x))
+    tree = Tree(np.delete(x, own, 0), leaf=leaf)
+    visits = calibrate(tree, x, sample.column("id").to_numpy(), k, recall, own)
     kind = dict(vectors.dtypes)[vector_col]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
