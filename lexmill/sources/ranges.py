@@ -43,7 +43,7 @@ def listing(paths: list[str]) -> list[tuple[str, int]] | None:
             return None
         try:
             store, inner = opened(path)
-        except (pa.ArrowInvalid, NotImplementedError):
+        except (pa.ArrowInvalid, NotImplementedError, OSError):  # no such store, or its library is not installed
             return None
         head = path[: len(path) - len(inner)] if "://" in path and path.endswith(inner) else "file://"
         info = store.get_file_info(inner)
