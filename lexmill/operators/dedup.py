@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import content_key, normalize_text
+from .components import cut, spread_join
 
 PRIME = (1 << 31) - 1
 BASE = 1000003
@@ -90,17 +91,95 @@ def agreement(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
+def blocks_of(sig: str, bands: int):
+    """A hash of each band's places, the band's number among them."""
+    rows = F.size(sig) / bands
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(sig, (i * rows).cast("int") + 1, rows.cast("int"))))
+
+
 def cross_near_duplicates(sigs: DataFrame, key: str = "key", split: str = "split", bands: int = 8, threshold: float = 0.9) -> DataFrame:
     """Rows (a, b), a < b, of keys in different splits whose signatures agree enough.
 
-    With eight bands of eight rows an agreement of 0.9 can't miss every band, so banding loses nothing. A pair
-    that meets in several bands is made distinct at the end."""
-    rows = F.size("sig") / bands
-    keyed = sigs.select(key, split, "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("sig", (i * rows).cast("int") + 1, rows.cast("int"))))).alias("band", "block"))
-    left = keyed.select(F.col(key).alias("a"), F.col(split).alias("split_a"), F.col("sig").alias("sig_a"), "band", "block")
-    right = keyed.select(F.col(key).alias("b"), F.col(split).alias("split_b"), F.col("sig").alias("sig_b"), "band", "block")
-    pairs = left.join(right, ["band", "block"]).where("split_a < split_b").where(agreement("sig_a", "sig_b") >= threshold)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    With eight bands of eight rows an agreement of 0.9 can't miss every band, so banding loses nothing. A pair is
+    verified and listed at the first band in which it meets, so no list is made distinct. The result has a row a pair:
+    ``cross_links`` gives the same components with about a link a key."""
+    keyed = sigs.select(key, split, "sig", blocks_of("sig", bands).alias("blocks")).select("*", F.posexplode("blocks").alias("band", "block"))
+    side = lambda n: keyed.select(F.col(key).alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("sig", "blocks")], F.col(split).alias(f"split_{n}"), "band", "block")
+    first = F.array_position(F.zip_with("blocks_a", "blocks_b", lambda x, y: x == y), True) - 1
+    pairs = side("a").join(side("b"), ["band", "block"]).where("split_a < split_b").where(first == F.col("band")).where(agreement("sig_a", "sig_b") >= threshold)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def cross_links(sigs: DataFrame, key: str = "key", split: str = "split", bands: int = 8, threshold: float = 0.9, few: int = 32, block: int = 4096) -> DataFrame:
+    """Links (a, b) that join the same keys as the pairs of ``cross_near_duplicates``, without listing a crowded bucket's pairs.
+
+    Keys of one signature are a class, which its least key stands for. Classes meet in buckets, a band's hash each. In one
+    of ``few`` classes at most, pairs are joined. In a larger one every class is first compared with two anchors: the
+    class of most keys, and the least of those linked to it. What is linked to either is one component already, its
+    core; only the classes outside it are compared with all others, in groups of about ``block`` by ``block`` whose
+    tasks return a link a join of components. The keys of a class follow where their class has links or several splits.
+    Null signatures and splits have no links."""
+    sigs = cut(sigs.select(F.col(key).alias("key"), F.col(split).cast("string").alias("split"), "sig").where("key IS NOT NULL AND split IS NOT NULL AND sig IS NOT NULL"))
+    classes = cut(sigs.groupBy("sig").agg(F.min("key").alias("rep"), F.count("*").alias("keys"), F.sort_array(F.collect_set("split")).alias("splits")))
+    keyed = classes.withColumn("bucket", F.explode(blocks_of("sig", bands)))
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("splits")))).alias("apart"))  # sets of splits are few
+    met = cut(spread_join(keyed, sizes.where("n > 1 AND apart > 1").drop("apart"), "bucket").where("n IS NOT NULL"))
+    linked = lambda x, y: (F.size(F.array_union(f"splits{x}", f"splits{y}")) > 1) & (agreement(f"sig{x}", f"sig{y}") >= threshold)
+    small = met.where(F.col("n") <= few).select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("rep", "sig", "splits")])
+    other = met.where(F.col("n") <= few).select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("rep", "sig", "splits")])
+    links = small.join(other, "bucket").where("rep_a < rep_b").where(linked("_a", "_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    large = met.where(F.col("n") > few)
+    if not large.isEmpty():
+        links = links.unionByName(_crowded(large, linked, threshold, block))
+    links = cut(links.distinct())
+    touched = links.select(F.col("a").alias("rep")).union(links.select("b")).union(classes.where(F.size("splits") > 1).select("rep")).distinct()
+    kept = classes.select("sig", "rep").join(touched, "rep", "left_semi")
+    own = spread_join(sigs.select("key", "sig"), kept, "sig").where("rep < key").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(own)
+
+
+def _crowded(large: DataFrame, linked, threshold: float, block: int) -> DataFrame:
+    """Links of the buckets whose classes are too many to be paired by a join; see ``cross_links``."""
+    fields = ("rep", "sig", "splits")
+    first = large.groupBy("bucket").agg(F.min_by(F.struct(*[F.col(c).alias(f"{c}_x") for c in fields]), F.struct(-F.col("keys"), "rep")).alias("x")).select("bucket", "x.*")
+    near = cut(spread_join(large, first, "bucket").withColumn("by_x", linked("", "_x")).drop("sig_x", "splits_x"))
+    second = near.where("by_x").groupBy("bucket").agg(F.min_by(F.struct(*[F.col(c).alias(f"{c}_y") for c in fields]), "rep").alias("y")).select("bucket", "y.*")
+    seen = spread_join(near, second, "bucket").withColumn("by_y", F.coalesce(linked("", "_y"), F.lit(False)))
+    seen = cut(seen.select("bucket", "n", *fields, "rep_x", "rep_y", "by_x", "by_y", (F.col("by_x") | F.col("by_y") | (F.col("rep") == F.col("rep_x"))).alias("core")))
+    anchored = seen.where("by_x").select(F.col("rep_x").alias("a"), F.col("rep").alias("b")).unionByName(seen.where("by_y").select(F.col("rep_y").alias("a"), F.col("rep").alias("b")))
+    outside = seen.where("NOT core").groupBy("bucket").agg(F.count("*").alias("out"))
+    cells = spread_join(seen, outside, "bucket").where("out IS NOT NULL").select("bucket", *fields, "core", F.ceil(F.col("out") / block).alias("p"), F.ceil(F.col("n") / block).alias("q"))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    row = cells.where("NOT core").withColumn("i", place("p")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).withColumn("all", F.lit(False))
+    column = cells.withColumn("j", place("q")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).withColumn("all", F.lit(True))
+
+    def compared(t: pa.Table) -> pa.Table:
+        reps, core = t["rep"].to_pylist(), t["core"].to_numpy()
+        sig = np.stack(t["sig"].to_numpy(zero_copy_only=False)).astype(np.int64)
+        sets: dict = {}
+        kind = np.array([sets.setdefault(tuple(s), len(sets)) for s in t["splits"].to_pylist()])
+        alone = np.array([len(s) == 1 for s in sets])[kind]
+        whole, need = t["all"].to_numpy(), threshold * sig.shape[1]
+        among = np.flatnonzero(whole)
+        place: dict = {}
+        label = np.array([place.setdefault(r, n) for n, r in enumerate(reps)])  # a class has one label on both sides
+        if core.any():
+            label[core] = label[core].min()
+        a, b = [], []
+        for n in np.flatnonzero(~whole):
+            at = among[((kind[among] != kind[n]) | ~alone[n]) & (label[among] != label[n])]
+            at = at[(sig[at] == sig[n]).sum(1) >= need]
+            joined, where = np.unique(label[at], return_index=True)
+            for k in where:
+                a.append(reps[n])
+                b.append(reps[at[k]])
+            if len(joined):
+                label[np.isin(label, joined)] = label[n]
+        return pa.table({"a": pa.array(a, t["rep"].type), "b": pa.array(b, t["rep"].type)})
+
+    named = dict(large.dtypes)["rep"]
+    groups = row.unionByName(column).groupBy("bucket", "i", "j")
+    return anchored.unionByName(groups.applyInArrow(compared, f"a {named}, b {named}"))
 
 
 def content_keys(df: DataFrame, text: str = "text", out: str = "key") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..presets import SPLIT_PRIORITY
 from .components import connected
-from .dedup import cross_near_duplicates, signatures
+from .dedup import cross_links, signatures
 
 
 def priority(split: Column, order: dict[str, int] = SPLIT_PRIORITY) -> Column:
@@ -21,7 +21,7 @@ def split_plan(df: DataFrame, dataset: str, text: str = "text", key: str = "key"
     keys = per.groupBy(key).agg(F.max("p").alias("p"))
     if near:
         sigs = signatures(df, text, key).join(keys.withColumn(split, back), key)
-        roots = connected(cross_near_duplicates(sigs, key, split))
+        roots = connected(cross_links(sigs, key, split))
         clustered = per.join(roots, per[key] == roots["node"], "left").select(key, "p", F.coalesce("root", key).alias("cluster"))
     else:
         clustered = per.withColumn("cluster", F.col(key))

@@ -238,7 +238,7 @@ def j01(spark, sf_dir):
 
 @query("j02_components", f"WITH RECURSIVE {PAIR_SQL} SELECT node, root FROM roots WHERE root < node")
 def j02(spark, sf_dir):
-    return connected(dedup.cross_near_duplicates(signed(spark, sf_dir)))
+    return connected(dedup.cross_links(signed(spark, sf_dir)))
 
 
 @query(
