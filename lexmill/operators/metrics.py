@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import first_argmax, multi_hot, ratio, sentence_class, thresholded
+from .components import cut
 
 
 def static_predictions(records: DataFrame, charges: Sequence[str], articles: Sequence[str], penalties: Sequence[str], threshold: float = 0.5, article_threshold: float | None = None) -> DataFrame:
@@ -260,6 +264,71 @@ def stable_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFram
     return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
 
 
+class Reservoir:
+    """n of the rows seen so far, each set of n as likely as any: row t, from 1, takes a random place with probability n / t."""
+
+    def __init__(self, n: int, rng: np.random.Generator) -> None:
+        self.n, self.rng, self.seen, self.held = n, rng, 0, None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        table = pa.Table.from_batches([batch])
+        at = self.seen + np.arange(len(table))
+        places = np.where(at < self.n, at, self.rng.integers(0, at + 1))
+        self.seen += len(table)
+        taken = np.flatnonzero(places < self.n)
+        if not len(taken):
+            return
+        old = 0 if self.held is None else len(self.held)
+        index = np.concatenate([np.arange(old), np.full(min(self.n, self.seen) - old, -1)])
+        index[places[taken]] = old + np.arange(len(taken))  # of two rows for a place the later one stays
+        both = table.take(pa.array(taken)) if self.held is None else pa.concat_tables([self.held, table.take(pa.array(taken))])
+        self.held = both.take(pa.array(index)).combine_chunks()
+
+    def shuffled(self) -> pa.Table | None:
+        return None if self.held is None else self.held.take(pa.array(self.rng.permutation(len(self.held))))
+
+
+def shares(seen: Sequence[int], n: int, seed: int) -> list[int]:
+    """How many of n rows drawn without replacement come from each of the tasks that have seen so many: multivariate hypergeometric."""
+    total = sum(seen)
+    drawn = random.Random(seed).sample(range(total), min(n, total))
+    ends = np.cumsum(np.array(seen, np.int64))
+    return np.bincount(np.searchsorted(ends, drawn, "right"), minlength=len(seen)).tolist()
+
+
+def reservoir_sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n rows (all, where there are fewer), every set of n as likely, in one pass and without a sort.
+
+    A task keeps a reservoir of n rows; the driver gets a count a task and deals the n among them by hypergeometric
+    shares, and so many rows of each reservoir, which is in random order, are the sample. Rows are told apart by place,
+    so equal rows and nulls count like others. The draw depends on the table's layout; ``stable_sample`` doesn't.
+    n rows a task are held and written once to the checkpoint folder, so n bounds memory."""
+    if n < 1:
+        return rows.limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        kept = Reservoir(n, np.random.default_rng([seed, task]))
+        for b in batches:
+            if b.num_rows:
+                kept.add(b)
+        out = kept.shuffled()
+        if out is not None:
+            size = len(out)
+            out = out.append_column("task", pa.array([task] * size, pa.int64())).append_column("seen", pa.array([kept.seen] * size, pa.int64())).append_column("place", pa.array(range(size), pa.int64()))
+            yield from out.to_batches(max_chunksize=1024)
+
+    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    schema = T.StructType([*whole.schema.fields, *[T.StructField(c, T.LongType()) for c in ("task", "seen", "place")]])
+    held = cut(whole.mapInArrow(run, schema))
+    counts = sorted((r.task, r.seen) for r in held.where("place = 0").select("task", "seen").collect())  # a row a task
+    dealt = [(t, k) for (t, _), k in zip(counts, shares([c for _, c in counts], n, seed)) if k]
+    if not dealt:
+        return rows.limit(0)
+    share = F.broadcast(rows.sparkSession.createDataFrame(dealt, "task long, share long"))  # n rows at most
+    return held.join(share, "task").where("place < share").select("row.*")
+
+
 def first_group_index(rows: DataFrame, group: str, order: str) -> DataFrame:
     """Distinct groups with the place of their first row."""
     return rows.groupBy(group).agg(F.min(order).alias("first"))
