@@ -63,4 +63,4 @@ def split_integrity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from . import queries_cases, queries_files, queries_more, queries_stats, queries_text  # noqa: E402,F401
+from . import queries_cases, queries_checks, queries_files, queries_more, queries_stats, queries_text  # noqa: E402,F401

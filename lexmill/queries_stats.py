@@ -114,12 +114,15 @@ LEVEL_COLUMNS = "sum(n)::BIGINT AS defendant_count, count(*) AS case_count, " +
 )
 
 
-def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").select(
+def level_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("group_id"), (F.col("l_quantity") < 45).alias("correct"), (F.col("l_discount") < 0.09).alias("article_correct"), F.lit("fixed_term").alias("penalty_type"),
         F.lit("fixed_term").alias("predicted_penalty_type"), F.col("l_quantity").cast("int").cast("double").alias("true_months"), (F.col("l_quantity") + F.col("l_linenumber") % 3).cast("int").cast("double").alias("predicted_months"),
     )
-    return metrics.case_levels(l)
+
+
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.case_levels(level_rows(spark, sf_dir))
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
