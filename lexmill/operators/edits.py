@@ -231,8 +231,9 @@ def drift(before: Column, after: Column, spec: Column) -> Column:
 def leakage(parent: Column, text: Column, target_charge: Column, names: str | None = None) -> Column:
     """Codes of label or outcome talk that the text has more of than its parent; names is a lexicon's pattern."""
     more = lambda p: F.regexp_count(text, F.lit(p)) > F.regexp_count(parent, F.lit(p))
+    # the word is looked for before what stands behind it: the look-behind alone tries 200 places at every character
     charge = more(presets.CUED_CHARGE) | (more(names) if names else F.lit(False))
-    conclusion = more(f"(?:{presets.STRONG_CONCLUSION}|(?<!{presets.HISTORY}[^，,、。；！？\\n]{{0,200}})(?:{presets.WEAK_CONCLUSION}))[^。；！？\\n]*") | more(presets.RESULT_STATEMENT)
+    conclusion = more(f"(?:{presets.STRONG_CONCLUSION}|(?={presets.WEAK_CONCLUSION})(?<!{presets.HISTORY}[^，,、。；！？\\n]{{0,200}})(?:{presets.WEAK_CONCLUSION}))[^。；！？\\n]*") | more(presets.RESULT_STATEMENT)
     label = F.concat(F.lit("\\Q"), target_charge, F.lit("罪\\E"))
     before, after = mask_counts(parent), mask_counts(text)
     return F.array_compact(F.array(

@@ -121,6 +121,25 @@ def t25(spark, sf_dir):
     return f.select("doc_id", F.coalesce("__flip.s", F.lit("-")).alias("quote"), F.coalesce("__flip.start", F.lit(-1)).cast("bigint").alias("start"), F.coalesce("__flip.reason", F.lit("-")).alias("reason"))
 
 
+# right, unchanged, one's own other factor, another person's factor, another person alone, talk of a sentence
+RESULTS = [
+    ("甲某在场。甲某案发后已退赃退赔。", ""), ("甲某在场。甲某未退赃。", "target_change_missing,unchanged,factor_mismatch:restitution"), ("甲某在场。甲某案发后已退赃退赔。甲某自首。", "non_target_changed:surrender"),
+    ("甲某在场。甲某案发后已退赃退赔。乙某自首。", "non_target_defendant_changed:乙某"), ("乙某在场。乙某案发后已退赃退赔。", "identity_not_preserved,target_change_missing,factor_mismatch:restitution,non_target_defendant_changed:乙某"),
+    ("甲某在场。甲某案发后已退赃退赔，可以从轻。", "sentence_leakage"),
+]
+
+
+@query("t28_t30_t31_validated_edits", f"""
+    SELECT doc_id, k = 0 AS valid, CASE k {' '.join(f"WHEN {k} THEN '{e}'" for k, (_, e) in enumerate(RESULTS))} END AS errors FROM (SELECT doc_id, doc_id % 6 AS k FROM documents)""")
+def t28(spark, sf_dir):
+    """What an asked change of restitution may and may not move: the target's other factors, other persons', names, outcome talk."""
+    t = below(spark, sf_dir, [r for r, _ in RESULTS]).withColumn("parent", F.concat("body", F.lit("甲某在场。甲某未退赃。")))
+    t = factors.with_factors(t, "parent", "target", "co", "source_factors").withColumn("target_factors", F.col("source_factors").withField("restitution", F.lit(True)))
+    spec = F.struct(F.col("target").alias("target_defendant"), F.col("co").alias("co_defendants"), F.array(F.lit("restitution")).alias("changed_fields"), "source_factors", "target_factors", F.lit(None).cast("string").alias("target_charge"))
+    out = edits.validate(t.withColumn("spec", spec).withColumn("similarity", F.lit(0.9)), "parent", "text")
+    return out.select("doc_id", F.col("validation.valid").alias("valid"), F.array_join("validation.errors", ",").alias("errors"))
+
+
 @query("f13_observed_factors", """
     WITH d AS (SELECT doc_id, doc_id % 8 AS k, doc_id % 3 = 0 OR doc_id % 8 = 2 AS seen FROM documents)
     SELECT doc_id, seen, CASE WHEN seen AND k = 2 THEN 'true' WHEN seen AND k = 1 THEN 'false' ELSE '-' END AS restitution, CASE WHEN seen AND k = 2 THEN 'true' WHEN seen AND k = 6 THEN 'false' ELSE '-' END AS surrender FROM d""")
