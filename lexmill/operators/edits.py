@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets
-from ..functions.columns import amount_in, amounts_in, amounts_match, format_amount, novel_ngrams, running
+from ..functions.columns import after, amount_in, amounts_in, amounts_match, bound, count_of, format_amount, has_any, novel_ngrams, running
 from .factors import _any, conducts, cue_polarity, factors, mentions, own_text
 
 ENDS = "。；！？\n"
@@ -21,21 +21,24 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def _parts(text: Column, pattern: str, keep: str) -> Column:
-    """Stretches that tile a text with their starts, those that match keep."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    ends = running(F.transform(found, F.length))
-    placed = F.zip_with(found, ends, lambda s, e: F.struct(s.alias("s"), (e - F.length(s)).alias("start")))
-    return F.filter(placed, lambda x: x["s"].rlike(keep))
+def _parts(found: Column) -> Column:
+    """Stretches that tile a text with their starts, those that don't begin with an end."""
+
+    def placed(found: Column) -> Column:
+        ends = running(F.transform(found, F.length))
+        return F.zip_with(found, ends, lambda s, e: F.struct(s.alias("s"), (e - F.length(s)).alias("start")))
+
+    return F.filter(bound(found, placed), lambda x: (x["s"] != "") & ~F.left(x["s"], F.lit(1)).isin(*ENDS))
 
 
 def sentences(text: Column) -> Column:
     """Sentences with their ends: (s, start)."""
-    return _parts(text, f"[^{ENDS}]+[{ENDS}]?|[{ENDS}]", f"[^{ENDS}]")
+    return _parts(after(text, ENDS))
 
 
 def clauses(text: Column) -> Column:
-    return _parts(text, f"[^，{ENDS}]+|[，{ENDS}]", f"[^，{ENDS}]")
+    """Clauses without their ends; a comma is one of its own."""
+    return _parts(F.split(text, f"(?<=[，{ENDS}])|(?=[，{ENDS}])"))
 
 
 def others_of(target: Column, co: Column) -> Column:
@@ -50,12 +53,16 @@ def _named(spans: Column, target: Column, others: Column, exact: bool = False) -
 
 def scope(text: Column, target: Column, co: Column, exact: bool = False) -> Column:
     """Clauses that are about the target: naming them alone, or naming nobody in a sentence that names them alone."""
+    def mine(others: Column) -> Column:
+        # where the target's name isn't, neither a sentence nor its clauses are theirs
+        theirs = _named(F.filter(sentences(text), lambda s: s["s"].contains(target)), target, others, exact)
+        inner = F.transform(theirs, lambda s: F.transform(_named(clauses(s["s"]), target, others, exact), lambda c: F.struct(
+            c["s"].alias("s"), (s["start"] + c["start"]).alias("start"), c["own"].alias("own"), c["other"].alias("other"), (s["own"] & ~s["other"]).alias("alone"))))
+        return F.filter(F.flatten(inner), lambda x: ~x["other"] & (x["own"] | x["alone"]))
+
     others = others_of(target, co)
-    inner = F.transform(_named(sentences(text), target, others, exact), lambda s: F.transform(_named(clauses(s["s"]), target, others, exact), lambda c: F.struct(
-        c["s"].alias("s"), (s["start"] + c["start"]).alias("start"), c["own"].alias("own"), c["other"].alias("other"), (s["own"] & ~s["other"]).alias("alone"))))
-    mine = F.filter(F.flatten(inner), lambda x: ~x["other"] & (x["own"] | x["alone"]))
     alone = F.transform(clauses(text), lambda c: F.struct(c["s"].alias("s"), c["start"].alias("start"), mentions(c["s"], target, others).alias("own"), F.lit(False).alias("other"), F.lit(True).alias("alone")))
-    return F.when(F.size(others) == 0, alone).otherwise(mine)
+    return F.when(F.size(others) == 0, alone).otherwise(bound(others, mine))
 
 
 def _replace(text: Column, start: Column, end: Column, new: Column) -> Column:
@@ -93,8 +100,8 @@ def amount_edit(text: Column, spans: Column, source: Column, wanted: Column) ->
         head, tail = pattern[:at], pattern[at:]
         return F.regexp_replace(x["s"], F.lit(f"^([\\s\\S]*?{head}){tail}"), F.concat(F.lit("$1"), literal))
 
-    cued = F.get(F.filter(spans, lambda x: x["s"].rlike(presets.CUED_AMOUNT) & is_source(x["s"], presets.CUED_AMOUNT)), F.lit(0))
-    plain = F.get(F.filter(spans, lambda x: x["own"] & x["s"].rlike(presets.ANY_AMOUNT) & is_source(x["s"], presets.ANY_AMOUNT)), F.lit(0))
+    cued = F.get(F.filter(spans, lambda x: x["s"].contains("元") & x["s"].rlike(presets.CUED_AMOUNT) & is_source(x["s"], presets.CUED_AMOUNT)), F.lit(0))
+    plain = F.get(F.filter(spans, lambda x: x["own"] & x["s"].contains("元") & x["s"].rlike(presets.ANY_AMOUNT) & is_source(x["s"], presets.ANY_AMOUNT)), F.lit(0))
     put = lambda x, p: _replace(text, x["start"], x["start"] + F.length(x["s"]), rewrite(x, p))
     return F.when(wanted.isNotNull(), F.when(cued.isNotNull(), put(cued, presets.CUED_AMOUNT)).when(plain.isNotNull(), put(plain, presets.ANY_AMOUNT)))
 
@@ -110,11 +117,12 @@ def _by_conduct(conduct: Column, table: dict[str, list[str]]) -> Column:
 def flip_span(df: DataFrame, text: str, target: Column, co: Column, conduct: Column) -> DataFrame:
     """The rows with __flip (s, start, reason): the one sentence that tells the conduct, or why there is none to rewrite."""
     others, t = others_of(target, co), F.col(text)
+    said = bound(others, lambda o: _named(sentences(t), target, o))
     initials = F.concat_ws("|", F.transform(F.array_distinct(F.transform(F.concat(F.array(target), others), lambda n: F.left(n, F.lit(1)))), lambda i: F.concat(F.lit("\\Q"), i, F.lit("\\E"))))
     bare = F.concat(F.lit("(?:由|被告人|，|。|；|、|和|与|及|^)(?:"), initials, F.lit(f")(?=[{presets.INITIAL_VERBS}])"))
     verbs = F.coalesce(_by_conduct(conduct, presets.VERBS), _empty())
-    steps = df.withColumn("__verbs", verbs).withColumn("__said", _named(sentences(t), target, others))
-    told = F.filter("__said", lambda x: ~x["s"].rlike(_any(presets.SUMMARIES)) & (x["own"] | ~x["other"]) & F.exists("__verbs", lambda v: F.contains(x["s"], v)))
+    steps = df.withColumn("__verbs", verbs).withColumn("__said", said)
+    told = F.filter("__said", lambda x: F.exists("__verbs", lambda v: F.contains(x["s"], v)) & (x["own"] | ~x["other"]) & ~has_any(x["s"], presets.SUMMARIES))
     steps = steps.withColumn("__told", told)
     n = F.size("__told")
     reason = F.when(F.regexp_like(t, bare), "abbreviated_ambiguous").when((F.size("__verbs") == 0) | (n == 0), "no_target_span").when(n > 1, "incomplete_flip")
@@ -205,9 +213,9 @@ def supports(clause: Column, spec: Column) -> Column:
 
 def attributed(text: Column, target: Column, others: Column) -> Column:
     """All clauses with whom they name (own, other); those that name nobody take it from their sentence."""
-    inner = F.transform(_named(sentences(text), target, others, True), lambda s: F.transform(_named(clauses(s["s"]), target, others, True), lambda c: F.struct(
+    inner = lambda o: F.transform(_named(sentences(text), target, o, True), lambda s: F.transform(_named(clauses(s["s"]), target, o, True), lambda c: F.struct(
         c["s"].alias("s"), F.when(c["own"] | c["other"], c["own"]).otherwise(s["own"]).alias("own"), F.when(c["own"] | c["other"], c["other"]).otherwise(s["other"]).alias("other"))))
-    return F.flatten(inner)
+    return F.flatten(bound(others, inner))
 
 
 def names_overlap(target: Column, others: Column) -> Column:
@@ -230,10 +238,10 @@ def drift(before: Column, after: Column, spec: Column) -> Column:
 
 def leakage(parent: Column, text: Column, target_charge: Column, names: str | None = None) -> Column:
     """Codes of label or outcome talk that the text has more of than its parent; names is a lexicon's pattern."""
-    more = lambda p: F.regexp_count(text, F.lit(p)) > F.regexp_count(parent, F.lit(p))
+    more = lambda p, words=(): count_of(text, p, words) > count_of(parent, p, words)
     # the word is looked for before what stands behind it: the look-behind alone tries 200 places at every character
     charge = more(presets.CUED_CHARGE) | (more(names) if names else F.lit(False))
-    conclusion = more(f"(?:{presets.STRONG_CONCLUSION}|(?={presets.WEAK_CONCLUSION})(?<!{presets.HISTORY}[^，,、。；！？\\n]{{0,200}})(?:{presets.WEAK_CONCLUSION}))[^。；！？\\n]*") | more(presets.RESULT_STATEMENT)
+    conclusion = more(f"(?:{presets.STRONG_CONCLUSION}|(?={presets.WEAK_CONCLUSION})(?<!{presets.HISTORY}[^，,、。；！？\\n]{{0,200}})(?:{presets.WEAK_CONCLUSION}))[^。；！？\\n]*", presets.CONCLUSION_WORDS) | more(presets.RESULT_STATEMENT)
     label = F.concat(F.lit("\\Q"), target_charge, F.lit("罪\\E"))
     before, after = mask_counts(parent), mask_counts(text)
     return F.array_compact(F.array(

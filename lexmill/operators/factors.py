@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets
-from ..functions.columns import amount_in, factors_match
+from ..functions.columns import after, amount_in, bound, factors_match, has_any
 
 HOLD, DENIED, DOUBTFUL = "\ue000", "\ue001", "\ue002"  # private characters: part of a word that holds a negation, a cue denied, a cue in doubt
 
@@ -22,23 +22,31 @@ def _any(words: Sequence[str]) -> str:
     return "(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")"
 
 
+MARKS = "，。；！？\n"  # they end a clause
+
+
 def cue_polarity(text: Column | str, cues: Sequence[str]) -> Column:
-    """True, False, or null when cues are absent, doubtful or contradict each other."""
+    """True, False, or null when cues are absent, doubtful or contradict each other. Only clauses with a cue are looked at."""
     t = F.col(text) if isinstance(text, str) else text
-    t = F.coalesce(t, F.lit(""))
+    if any(m in c for c in cues for m in MARKS):
+        return _polarity(F.coalesce(t, F.lit("")), cues)
+    told = F.array_join(F.filter(F.split(t, f"[{MARKS}]"), lambda c: has_any(c, cues)), "，")
+    return F.when(has_any(t, cues), bound(told, lambda c: _polarity(c, cues)))
+
+
+def _polarity(t: Column, cues: Sequence[str]) -> Column:
     # words that hold a negation are blanked, one placeholder a character, so that distances stay
     for word in sorted(presets.ABSORBED, key=len, reverse=True):
-        t = F.regexp_replace(t, re.escape(word), HOLD * len(word))
+        t = F.replace(t, F.lit(word), F.lit(HOLD * len(word)))
     negation, gap, cue = _any(presets.NEGATIONS), _any([g for g in presets.NEGATION_GAPS if g]), _any(cues)
-    clause = r"[^，。；！？\n]"
     denied = f"(?={cue})(?<={negation}{gap}?){cue}"
-    doubtful = f"(?={cue})(?<={negation}{clause}{{0,11}}){cue}"
-    states = F.regexp_extract_all(t, F.lit(f"({cue})"), F.lit(1))
-    marked = F.regexp_replace(t, denied, DENIED)
-    marked = F.regexp_replace(marked, doubtful, DOUBTFUL)
-    has_no, has_doubt = marked.contains(DENIED), marked.contains(DOUBTFUL)
-    has_yes = marked.rlike(cue)
-    return F.when((F.size(states) == 0) | has_doubt, F.lit(None).cast("boolean")).when(has_yes & ~has_no, True).when(has_no & ~has_yes, False)
+    doubtful = f"(?={cue})(?<={negation}[^{MARKS}]{{0,11}}){cue}"
+
+    def told(marked: Column) -> Column:
+        has_no, has_doubt, has_yes = marked.contains(DENIED), marked.contains(DOUBTFUL), marked.rlike(cue)
+        return F.when(has_doubt, F.lit(None).cast("boolean")).when(has_yes & ~has_no, True).when(has_no & ~has_yes, False)
+
+    return bound(F.regexp_replace(F.regexp_replace(t, denied, DENIED), doubtful, DOUBTFUL), told)
 
 
 def conduct(text: Column | str) -> Column:
@@ -46,14 +54,14 @@ def conduct(text: Column | str) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     out = None
     for name, cues in presets.CONDUCT:
-        out = F.when(t.rlike(_any(cues)), name) if out is None else out.when(t.rlike(_any(cues)), name)
+        out = F.when(has_any(t, cues), name) if out is None else out.when(has_any(t, cues), name)
     return out
 
 
 def conducts(text: Column | str) -> Column:
     """All conducts whose cues appear."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.array_compact(F.array(*[F.when(t.rlike(_any(c)), n) for n, c in presets.CONDUCT]))
+    return F.array_compact(F.array(*[F.when(has_any(t, c), n) for n, c in presets.CONDUCT]))
 
 
 def role(text: Column | str) -> Column:
@@ -64,20 +72,30 @@ def role(text: Column | str) -> Column:
 def mentions(text: Column, name: Column, names: Column) -> Column:
     """Whether a text names someone outside longer names that hold theirs."""
     longer = F.filter(names, lambda n: n.contains(name) & (n != name))
-    return F.aggregate(longer, text, lambda acc, n: F.replace(acc, n, F.lit(""))).contains(name)
+    # longer names hold the name: a text without it doesn't get it by their going
+    return text.contains(name) & F.aggregate(longer, text, lambda acc, n: F.replace(acc, n, F.lit(""))).contains(name)
 
 
 def own_text(text: Column, target: Column, co: Column) -> Column:
     """The clauses that are about the target: those naming them alone, and those naming nobody in sentences that don't name others only."""
     rest = F.filter(F.coalesce(co, F.array().cast("array<string>")), lambda n: (n != "") & (n != target))
-    names_other = lambda s: F.exists(rest, lambda n: s.contains(n))
-    sentences = F.regexp_extract_all(text, F.lit(r"([^。；！？\n]+[。；！？\n]?)"), F.lit(1))
-    clauses = lambda s: F.regexp_extract_all(s, F.lit(r"([^，。；！？\n]+[，。；！？\n]?)"), F.lit(1))
-    # what holds of a sentence is a field beside it: two tests alike but for their lambda variable may be taken for one
-    marked = F.transform(sentences, lambda s: F.struct(s.alias("s"), names_other(s).alias("other")))
-    kept = F.flatten(F.transform(marked, lambda x: F.filter(clauses(x["s"]), lambda c: ~names_other(c) & (mentions(c, target, rest) | ~x["other"]))))
+    # a mark that nothing stands before is no part
+    filled = lambda parts: F.filter(parts, lambda p: (p != "") & ~F.left(p, F.lit(1)).isin(*MARKS))
+    sentences = F.filter(after(text, MARKS[1:]), lambda s: (s != "") & ~F.left(s, F.lit(1)).isin(*MARKS[1:]))
+    clauses = lambda s: filled(after(s, MARKS))
+
+    def kept(others: Column) -> Column:
+        names_other = lambda s: F.exists(others, lambda n: s.contains(n))
+        # a sentence that names no other stays but for marks behind marks; in the rest a clause has to name the target
+        plain = lambda s: F.when(s.rlike("^，|，[，。；！？\\n]"), F.array_join(clauses(s), "")).otherwise(s)
+        own = lambda s: F.array_join(F.filter(clauses(s), lambda c: c.contains(target) & ~names_other(c) & mentions(c, target, others)), "")
+        # what holds of a sentence is a field beside it: two tests alike but for their lambda variable may be taken for one
+        marked = F.transform(sentences, lambda s: F.struct(s.alias("s"), names_other(s).alias("other")))
+        parts = F.transform(marked, lambda x: F.when(~x["other"], plain(x["s"])).when(x["s"].contains(target), own(x["s"])).otherwise(""))
+        return bound(F.array_join(parts, ""), lambda j: F.when(j == "", text).otherwise(j))
+
     whole = (F.coalesce(target, F.lit("")) == "") | (F.size(rest) == 0)
-    return F.when(whole, text).otherwise(F.coalesce(F.nullif(F.array_join(kept, ""), F.lit("")), text))
+    return F.when(whole, text).otherwise(bound(rest, kept))
 
 
 def factors(text: Column | str) -> Column:
