@@ -1,16 +1,18 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Distinct texts (md5) are nodes. Where texts are read, each gets ``bands`` keys, a key being a hash of ``rows``
-MinHash values; two texts of similarity s share a key with probability 1 - (1 - s^rows)^bands, 0.9996 at 0.8 and
-1 - 3e-8 at 0.9. Candidates are verified exactly on the shingle sets, in two rounds. First each text of a key meets
+Distinct texts (md5) are nodes. Where texts are read, each gets the SimHash of its shingles; the Gray-order index of
+``simhash`` joins fingerprints within two bits, and what it joins shares one key. Copies edited further are beyond two bits
+(texts of similarity 0.8 differ in about 10 of 64), so each text has ``bands`` further keys, a key being a hash of ``rows``
+MinHash values; two texts of similarity s share one of these with probability 1 - (1 - s^rows)^bands, 0.9996 at 0.8 and
+1 - 3e-8 at 0.9. Candidates of either kind are verified exactly on the shingle sets, in two rounds. First each text of a key meets
 the least one there, which settles keys whose texts are all close to it. Where some aren't (copies of one text with
 ever other edits), all texts of the key are compared in blocks of about ``BLOCK`` texts
 and ``BLOCK_MARKS`` shingles: a task counts the common shingles of
 all of its texts by a product of matrices and gives back, for each text, only the least one of its part. Any two
 close texts of a key are thus in one component. Components are joined as in ``simhash``.
 
-The 64-bit fingerprints of ``simhash`` can't serve here: texts of similarity 0.8 differ in about
-10 of 64 bits, and an index for a radius that holds nearly all of them (18) would hold most pairs of the corpus.
+An index of 64-bit fingerprints alone can't serve here: a radius that holds nearly all texts of similarity 0.8 (18)
+would hold most pairs of the corpus. Fingerprints are of the distinct shingles, so that one repeated phrase doesn't make texts alike.
 
 Defined cases: words are split at white space, in ASCII lower case; a text of five words or fewer is one shingle;
 null, empty and blank texts are alike; rows with a null id are no nodes; other columns take no part.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected as components
 from .common import cut, small_batches
+from .simhash import close_links, folded
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 20, 5
 BLOCK, BLOCK_MARKS = 1024, 1 << 20
@@ -94,8 +97,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
             marks = [shingles(x) for x in b.column(2).to_pylist()]
-            found = [pa.array([band_keys(x) for x in marks], pa.list_(pa.int64())), pa.array([len(x) for x in marks], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], names=["id", "f", "keys", "size"])
+            found = [pa.array([band_keys(x) for x in marks], pa.list_(pa.int64())), pa.array([len(x) for x in marks], pa.int64()), pa.array(np.array([folded(x) if len(x) else 0 for x in marks], np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], names=["id", "f", "keys", "size", "fp"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
@@ -103,9 +106,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     kind = dict(df.dtypes)[id_col]
     rows = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), digest(text_col).alias("f"), F.col(f"`{text_col}`").alias("text"))
-    marked = rows.mapInArrow(keys, f"id {kind}, f string, keys array<long>, size long")
-    nodes = cut(marked.groupBy("f").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("size").alias("size")))
-    routed = nodes.select("f", "size", F.posexplode("keys").alias("band", "key"))
+    marked = rows.mapInArrow(keys, f"id {kind}, f string, keys array<long>, size long, fp long")
+    nodes = cut(marked.groupBy("f").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("fp").alias("fp")))
+    prints = cut(nodes.select("fp").distinct())
+    joined = components(close_links(prints.select(F.col("fp").alias("node"), "fp"))).withColumnRenamed("node", "fp")
+    by_print = nodes.select("f", "size", "fp").join(joined, "fp", "left").select("f", "size", F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("key"))
+    routed = nodes.select("f", "size", F.posexplode("keys").alias("band", "key")).unionByName(by_print)
     met = routed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("marks"), F.min("f").alias("first")).where("n > 1")
     routed = cut(routed.drop("size").join(met, ["band", "key"]))
     pairs = cut(routed.where("f <> first").select(F.col("f").alias("a"), F.col("first").alias("b")).distinct())

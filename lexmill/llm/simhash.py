@@ -45,6 +45,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         marks = [h(b"%b %b %b" % w, 42) for w in zip(words, words[1:], words[2:])]
     else:
         marks = [h(b" ".join(words[i : i + shingle]), 42) for i in range(len(words) - shingle + 1)]
+    return folded(marks)
+
+
+def folded(marks: list[int] | np.ndarray) -> int:
+    """The bits that more than half of some 64-bit hashes have."""
     n = len(marks)
     bits = np.unpackbits(np.array(marks, ">u8").view(np.uint8).reshape(n, 8), axis=1)
     # summed in runs of 255, which a byte holds
