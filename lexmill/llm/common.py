@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from itertools import islice
 from typing import Any
 
@@ -51,8 +53,16 @@ class Memory(dict):
                 del self[key]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker serves stage after stage, and what their arrays leave behind adds up."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the incoming batches that hold about max_bytes of text (one row at least)."""
+    """Slices of the incoming batches that hold about max_bytes of text (one row at least); before and after them freed memory goes back."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -63,6 +73,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int =
             end = max(start + 1, int(np.searchsorted(size, size[start] + max_bytes, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    release()
 
 
 def as_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
