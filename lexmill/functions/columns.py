@@ -200,7 +200,7 @@ def format_amount(amount: C) -> Column:
     return F.regexp_replace(F.format_string("%.2f", col(amount)), r"\.?0+$", "")
 
 
-def _may_match(text: Column, pattern: str, words: Sequence[str] = ()) -> Column:
+def may_match(text: Column, pattern: str, words: Sequence[str] = ()) -> Column:
     """Whether a text holds one of the words that every match of a pattern holds, where they are given or the presets tell them."""
     words = words or presets.NEEDED.get(pattern)
     return has_any(text, words) if words else F.lit(True)
@@ -208,7 +208,7 @@ def _may_match(text: Column, pattern: str, words: Sequence[str] = ()) -> Column:
 
 def count_of(text: Column, pattern: str, words: Sequence[str] = ()) -> Column:
     """How often a pattern matches; texts without the words it needs aren't searched."""
-    return F.when(_may_match(text, pattern, words), F.regexp_count(text, F.lit(pattern))).when(text.isNotNull(), 0)
+    return F.when(may_match(text, pattern, words), F.regexp_count(text, F.lit(pattern))).when(text.isNotNull(), 0)
 
 
 def amount_in(text: C, pattern: str = presets.AMOUNT) -> Column:
@@ -216,13 +216,13 @@ def amount_in(text: C, pattern: str = presets.AMOUNT) -> Column:
     t = col(text)
     number = F.regexp_extract(t, pattern, 1)
     value = F.regexp_replace(number, "[,，]", "").try_cast("double") * F.when(F.regexp_extract(t, pattern, 2) == "万", 10000.0).otherwise(1.0)
-    return F.when(_may_match(t, pattern) & (number != ""), value)
+    return F.when(may_match(t, pattern) & (number != ""), value)
 
 
 def amounts_in(text: C, pattern: str = presets.ANY_AMOUNT) -> Column:
     """Every amount in a text, in order."""
     t = col(text)
-    numbers, units = (F.when(_may_match(t, pattern), F.regexp_extract_all(t, F.lit(pattern), F.lit(i))).when(t.isNotNull(), F.array().cast("array<string>")) for i in (1, 2))
+    numbers, units = (F.when(may_match(t, pattern), F.regexp_extract_all(t, F.lit(pattern), F.lit(i))).when(t.isNotNull(), F.array().cast("array<string>")) for i in (1, 2))
     return F.zip_with(numbers, units, lambda n, u: F.regexp_replace(n, "[,，]", "").cast("double") * F.when(u == "万", 10000.0).otherwise(1.0))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import presets
-from ..functions.columns import running
+from ..functions.columns import may_match, running
 from ..presets import Rules
 
 SPAN = "struct<category:string,text:string,start:int,end:int,mode:string>"
@@ -167,13 +167,13 @@ def conservative(text: Column | str, rules: Rules = presets.LEGAL) -> Column:
     return F.regexp_replace(t, f"{_conclusion(rules)}|{rules.statement}(?!认为)", re.escape(rules.mask))
 
 
-def found(text: Column, pattern: str, category: str, mode: str) -> Column:
-    """The pattern's matches as an array of SPAN."""
+def found(text: Column, pattern: str, category: str, mode: str, words: Sequence[str] = ()) -> Column:
+    """The pattern's matches as an array of SPAN. Texts without any of the words that a match needs, if told, aren't walked."""
     walk = F.lit(f"\\G((?s:.*?))({pattern})")
     gaps, hits = F.regexp_extract_all(text, walk, F.lit(1)), F.regexp_extract_all(text, walk, F.lit(2))
     ends = running(F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h)))
     span = lambda h, e: F.struct(F.lit(category).alias("category"), h.alias("text"), (e - F.length(h)).alias("start"), e.alias("end"), F.lit(mode).alias("mode"))
-    return F.zip_with(hits, ends, span)
+    return F.when(may_match(text, pattern, words), F.zip_with(hits, ends, span)).when(text.isNotNull(), F.array().cast(f"array<{SPAN}>"))
 
 
 def joined(spans: Column) -> Column:
@@ -207,7 +207,7 @@ def redact(df: DataFrame, text: str = "text", names: Iterable[str] = (), keep: l
     names = list(names)
     many = len(names) > MANY and sum(map(len, names)) <= MOST_LETTERS and frames(rules) is not None
     strict = [("article", rules.article), ("charge", None if many else mention_pattern(names, rules)), ("charge", rules.cued)]
-    first = [found(raw, rules.statement, "result_statement", "conservative"), found(raw, _conclusion(rules), "conclusion", "conservative")]
+    first = [found(raw, rules.statement, "result_statement", "conservative"), found(raw, _conclusion(rules), "conclusion", "conservative", presets.CONCLUSION_WORDS if rules == presets.LEGAL else ())]
     spans = [found(mild, p, c, "strict") for c, p in strict if p]
     if many:
         spans.insert(1, mentions(mild, names, "charge", "strict", rules))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill import presets
 from lexmill.functions import columns as C
-from lexmill.operators import edits, factors
+from lexmill.operators import edits, factors, redact
 
 
 def made(n=300):
@@ -62,3 +62,10 @@ def test_matches_hold_the_words_they_need(spark):
     for pattern, words in [*presets.NEEDED.items(), (conclusion, presets.CONCLUSION_WORDS)]:
         rows = df.select("t", F.regexp_count("t", F.lit(pattern)).alias("n"), C.count_of(F.col("t"), pattern, words).alias("m")).collect()
         assert [r.n for r in rows] == [r.m for r in rows] and sum(r.n for r in rows)
+
+
+def test_spans_only_where_a_word_is(spark):
+    """A pattern isn't walked over a text without the words it needs: one that would match there finds nothing."""
+    df = spark.createDataFrame([("ab",), ("a罪",), (None,)], "t string")
+    got = [r.s for r in df.select(redact.found(F.col("t"), "a", "c", "m", ["罪"]).alias("s")).collect()]
+    assert [None if s is None else [x.text for x in s] for s in got] == [[], ["a"], None]
