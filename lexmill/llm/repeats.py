@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 LENGTH, GRAM = 50, 20
 HOT = 4096
 KEY_GROUPS = 16  # keys are small: a bucket of keys takes those of so many groups' text
@@ -96,6 +98,7 @@ def _runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _group(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """Buffer, offsets, comparable ids and places in the table of a group's documents, in an order that doesn't depend on how they came."""
+    release()
     ids = t.column("id").to_pylist()
     texts = t.column("text").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (LAST if ids[i] is None else ids[i], texts[i]))
@@ -282,6 +285,7 @@ def window_classes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _order(t: pa.Table) -> pa.Table:
     """For each group that sent stretches to this bucket: stretch, first window, windows, smallest document, where that is smaller than the group's own."""
+    release()
     parts, where, owner, asked, lows = {}, [], [], [], []
     for grp, seg, size, low, text in zip(*[t.column(c).to_pylist() for c in ("grp", "seg", "size", "low", "text")]):
         at, (seg, size, low, text) = 0, map(_unpack, (seg, size, low, text))

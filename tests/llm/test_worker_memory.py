@@ -16,3 +16,19 @@ def test_a_worker_gives_back_what_is_free():
     before = psutil.Process().memory_info().rss
     assert list(common.small_batches(iter([]), "text")) == []
     assert before - psutil.Process().memory_info().rss > 100e6 and len(stay) == 30
+
+
+def test_scoring_takes_texts_in_small_blocks():
+    import tracemalloc
+
+    from lexmill.llm import quality
+
+    row = "one sentence of some words, then the next one. "
+    text = (row * (quality.AT_ONCE // len(row))).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)], np.int64)
+    tracemalloc.start()
+    for _ in quality.features(data, offsets):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48e6  # a block of 1 MB took over 100 MB
