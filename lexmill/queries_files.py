@@ -27,11 +27,11 @@ def s06(spark, sf_dir):
 
 @query("s01_line_numbers", "SELECT count(*) AS n, count(*) AS numbers, 1::BIGINT AS first, count(*) AS last FROM documents")
 def s01(spark, sf_dir):
-    """Lines of one file, blank ones between them counted but not read: numbers are gapless over the file's splits."""
+    """Lines of a folder that each task wrote a file of: numbers are gapless over its files and their splits."""
     path = folder(spark)
     d = table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "text")).alias("value"))
-    d.coalesce(1).write.text(path)
-    got = jsonl.lines(spark, path)
+    d.write.text(path)
+    got = jsonl.lines(spark, path, across=True)
     return got.agg(F.count("*").alias("n"), F.count_distinct("line_no").alias("numbers"), F.min("line_no").alias("first"), F.max("line_no").alias("last"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,19 +16,23 @@ from . import ranges
 SIMPLE = "fact string, meta struct<criminals:array<string>,accusation:array<string>,relevant_articles:array<string>,term_of_imprisonment:struct<death_penalty:boolean,life_imprisonment:boolean,imprisonment:int>>"
 
 
-def lines(spark: SparkSession, path: str, split: int = ranges.SPLIT) -> DataFrame:
-    """Rows (path, line_no, value) with line numbers from 1 in each file; see ``ranges`` for how they are found."""
+def lines(spark: SparkSession, path: str, split: int = ranges.SPLIT, across: bool = False) -> DataFrame:
+    """Rows (path, line_no, value) with line numbers from 1 in each file, or with across in each folder; see ``ranges`` for how they are found."""
     files = ranges.listing([path])
-    return _spark_lines(spark, path) if files is None else ranges.numbered(spark, files, split)
+    return _spark_lines(spark, path, across) if files is None else ranges.numbered(spark, files, split, across)
+
+
+def folder_of(path: str) -> Column:
+    return F.regexp_extract(path, "^(.*)/", 1)
 
 
-def _spark_lines(spark: SparkSession, path: str) -> DataFrame:
+def _spark_lines(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
     """The same by Spark's own reader, for patterns and stores that only Spark reads: lines are counted a split and moved by
     the counts of the splits before; a row a split is joined, broadcast where Spark finds that small enough."""
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
     spans = raw.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = spans.select("path", "start", "first", before.alias("before"))
+    earlier = Window.partitionBy(folder_of("path") if across else "path").orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("path", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return raw.join(spans, ["path", "start"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
 
 
@@ -123,17 +131,35 @@ def checked(cases: DataFrame) -> DataFrame:
     return out.drop("path", "line_no")
 
 
-def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows (path, bytes, sha256, records). A task streams each file, of any size; a path that only Spark reads is
-    hashed from whole files, which ends at 2 GB."""
+def manifest(spark: SparkSession, paths: list[str], across: bool = False) -> DataFrame:
+    """Rows (path, bytes, sha256, records). A task streams each file, of any size, or with across each folder's files in the order of
+    their names as one; a path that only Spark reads is hashed from whole files, which end at 2 GB each."""
     if (known := ranges.listing(paths)) is not None:
-        return ranges.digests(spark, known)
-    files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    counts = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("__p")).agg(F.count("*").alias("records"))
+        return ranges.digests(spark, known, across)
+    raw = spark.read.format("binaryFile").load(paths)
+    files = raw.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if across:
+        files = raw.select(folder_of("path").alias("folder"), "path", "content").repartition("folder").sortWithinPartitions("folder", "path").mapInArrow(_chained, "path string, bytes long, sha256 string")
+    counts = spark.read.text(paths).select(F.col("_metadata.file_path").alias("__p")).groupBy((folder_of("__p") if across else F.col("__p")).alias("__p")).agg(F.count("*").alias("records"))
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     return files.join(counts, plain(files["path"]) == plain(counts["__p"]), "left").select("path", "bytes", "sha256", F.coalesce("records", F.lit(0)).alias("records"))
 
 
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest a folder from its files, which come in order."""
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([folder], pa.string()), pa.array([size]), pa.array([digest.hexdigest()])], names=["path", "bytes", "sha256"])
+    folder, size, digest = None, 0, hashlib.sha256()
+    for b in batches:
+        for own, content in zip(b.column(0).to_pylist(), b.column(2)):
+            if own != folder and folder is not None:
+                yield row()
+                size, digest = 0, hashlib.sha256()
+            folder, size = own, size + len(content.as_buffer())
+            digest.update(content.as_buffer())
+    if folder is not None:
+        yield row()
+
+
 def tail(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The last n lines of a file."""
     return lines(spark, path).orderBy(F.desc("line_no")).limit(n).orderBy("line_no")

@@ -3,6 +3,8 @@
 Files are cut into ranges of about ``split`` bytes; a line belongs to the range that its first byte is in. A first read
 returns how many lines each range has, a number a range; with the sums of those before it, every range of the second
 read numbers its own lines. So no text is exchanged, and no table of ranges is joined to it. Compressed files (.gz) are one range.
+Ranges are larger where ``split`` would make over ``MOST`` of them. With ``across`` the files of a folder, in the order of their names,
+count as one: a folder that many tasks wrote, each a stretch of its order, has the numbers and the digest of one file.
 Blocks are streamed: a digest holds one block, numbered lines hold one block and the line at hand.
 
 Paths go through Arrow's file systems, which know local files and the common stores; ``listing`` returns None for others.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BLOCK = 8 << 20
 SPLIT = 128 << 20
+MOST = 256
 BOM = b"\xef\xbb\xbf"
 
 
@@ -61,6 +65,11 @@ class Range(InputPartition):
     start: int
     end: int
     before: int = 0
+    files: tuple[str, ...] = ()
+
+
+def folder_of(path: str) -> str:
+    return path.rpartition("/")[0]
 
 
 def blocks(path: str, start: int = 0, end: int | None = None) -> Iterator[bytes]:
@@ -78,24 +87,31 @@ def blocks(path: str, start: int = 0, end: int | None = None) -> Iterator[bytes]
             yield b
 
 
-def breaks(path: str, start: int, end: int | None) -> int:
-    """Line ends among the bytes from start to end: line feeds, and carriage returns that none follows."""
-    n, open_return = 0, False
-    for b in blocks(path, start, end):
+def breaks(parts: Iterator[bytes]) -> tuple[int, bytes]:
+    """Line ends among the bytes, line feeds and carriage returns that none follows; and the last byte."""
+    n, last = 0, b""
+    for b in parts:
         a = np.frombuffer(b, np.uint8)
         feeds, returns = a == 10, np.flatnonzero(a == 13)
         n += int(feeds.sum()) + len(returns)
-        n -= int(feeds[returns[returns + 1 < len(a)] + 1].sum()) + (open_return and a[0] == 10)
-        open_return = a[-1] == 13
-    return n
+        n -= int(feeds[returns[returns + 1 < len(a)] + 1].sum()) + (last == b"\r" and a[0] == 10)
+        last = b[-1:]
+    return n, last
+
+
+def all_lines(parts: Iterator[bytes]) -> int:
+    n, last = breaks(parts)
+    return n + (last not in (b"", b"\n", b"\r"))
 
 
 def first_lines(part: Range) -> int:
-    """How many lines begin in a range of an uncompressed file."""
+    """How many lines begin in a range, or are in a compressed file."""
+    if part.path.endswith(".gz"):
+        return all_lines(blocks(part.path))
     if part.start >= part.end:
         return 0
     first = max(0, part.start - 1)
-    n = breaks(part.path, first, part.end - 1) + (part.start == 0)
+    n = breaks(blocks(part.path, first, part.end - 1))[0] + (part.start == 0)
     if part.end - 1 > first:  # a return whose line feed is the range's last byte begins no line there
         last = b"".join(blocks(part.path, part.end - 2, part.end))
         n -= last == b"\r\n"
@@ -144,7 +160,7 @@ def range_lines(part: Range) -> Iterator[list[bytes]]:
 
 
 class TextRanges(DataSource):
-    """Options: paths (JSON list of (path, bytes)), mode (counts, lines or digests), split, before (JSON: lines before each range, by path)."""
+    """Options: paths (JSON list of (path, bytes)), mode (counts, lines or digests), split, across, before (JSON: lines before each range, by path)."""
 
     @classmethod
     def name(cls) -> str:
@@ -159,38 +175,49 @@ class TextRanges(DataSource):
 
 class RangeReader(DataSourceReader):
     def __init__(self, options):
-        self.mode, self.split = options["mode"], int(options["split"])
+        self.mode, self.across = options["mode"], options.get("across") == "true"
         self.sizes = dict(map(tuple, json.loads(options["paths"])))
         self.before = json.loads(options.get("before", "{}"))
+        self.split = max(int(options["split"]), min(SPLIT, -(-sum(self.sizes.values()) // MOST)))
 
     def partitions(self) -> list[Range]:
         out = []
+        if self.mode == "digests":
+            whole: dict[str, list[str]] = {}
+            for path in sorted(self.sizes):
+                whole.setdefault(folder_of(path) if self.across else path, []).append(path)
+            out = [Range(path, 0, sum(map(self.sizes.get, files)), 0, tuple(files)) for path, files in whole.items()]
+            return out or [Range("", 0, 0)]
         for path, size in self.sizes.items():
-            step = size if path.endswith(".gz") or self.mode == "digests" else self.split
+            step = size if path.endswith(".gz") else self.split
             starts = list(range(0, size, max(1, step)))
-            if self.mode == "counts" and len(starts) < 2:
+            if self.mode == "counts" and len(starts) < 2 and not self.across:
                 continue  # nothing is before the only range
-            if self.mode == "digests":
-                starts = [0]
             out += [Range(path, s, min(size, s + max(1, step)), n) for s, n in zip(starts, self.before.get(path, [0] * len(starts)))]
         return out or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        size = self.sizes[part.path]
         if self.mode == "counts":
             yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([part.start]), pa.array([first_lines(part)])], names=["path", "start", "n"])
         elif self.mode == "digests":
-            digest, n, store = hashlib.sha256(), 0, opened(part.path)
-            with store[0].open_input_stream(store[1], compression=None) as f:
-                while b := f.read(BLOCK):
-                    digest.update(b)
-            ends, last = breaks(part.path, 0, None), b""
-            for b in blocks(part.path) if part.path.endswith(".gz") else blocks(part.path, max(0, size - 1)):
-                last = b[-1:]
-            n = ends + (last not in (b"", b"\n", b"\r"))
-            yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([size]), pa.array([digest.hexdigest()]), pa.array([n])], names=["path", "bytes", "sha256", "records"])
+            digest = hashlib.sha256()
+
+            def stored() -> Iterator[bytes]:
+                for path in part.files:
+                    store, inner = opened(path)
+                    with store.open_input_stream(inner, compression=None) as f:
+                        while b := f.read(BLOCK):
+                            digest.update(b)
+                            yield b
+
+            if any(path.endswith(".gz") for path in part.files):
+                deque(stored(), 0)
+                n = all_lines(b for path in part.files for b in blocks(path))
+            else:
+                n = all_lines(stored())
+            yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([part.end]), pa.array([digest.hexdigest()]), pa.array([n])], names=["path", "bytes", "sha256", "records"])
         else:
             n = part.before
             for lines in range_lines(part):
@@ -200,20 +227,22 @@ class RangeReader(DataSourceReader):
                     n += len(some)
 
 
-def _read(spark: SparkSession, files: list[tuple[str, int]], mode: str, split: int, **more: str) -> DataFrame:
+def _read(spark: SparkSession, files: list[tuple[str, int]], mode: str, split: int, across: bool, **more: str) -> DataFrame:
     spark.dataSource.register(TextRanges)
-    return spark.read.format("text_ranges").options(paths=json.dumps(files), mode=mode, split=str(split), **more).load()
+    return spark.read.format("text_ranges").options(paths=json.dumps(files), mode=mode, split=str(split), across=str(across).lower(), **more).load()
 
 
-def numbered(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT) -> DataFrame:
-    """Rows (path, line_no, value), numbers from 1 in each file."""
+def numbered(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT, across: bool = False) -> DataFrame:
+    """Rows (path, line_no, value), numbers from 1 in each file; across: in each folder."""
     before: dict[str, list[int]] = {}
-    for r in sorted(_read(spark, files, "counts", split).collect()):  # a number a range
-        before.setdefault(r.path, [0]).append(r.n)
-    sums = {p: np.cumsum(n)[:-1].tolist() for p, n in before.items()}
-    return _read(spark, files, "lines", split, before=json.dumps(sums))
+    so_far: dict[str, int] = {}
+    for r in sorted(_read(spark, files, "counts", split, across).collect()):  # a number a range
+        whole = folder_of(r.path) if across else r.path
+        before.setdefault(r.path, []).append(so_far.get(whole, 0))
+        so_far[whole] = so_far.get(whole, 0) + r.n
+    return _read(spark, files, "lines", split, across, before=json.dumps(before))
 
 
-def digests(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
-    """Rows (path, bytes, sha256, records): each file streamed by one task, block by block, whatever its size."""
-    return _read(spark, files, "digests", SPLIT)
+def digests(spark: SparkSession, files: list[tuple[str, int]], across: bool = False) -> DataFrame:
+    """Rows (path, bytes, sha256, records): each file, or folder of files, streamed by one task, block by block, whatever its size."""
+    return _read(spark, files, "digests", SPLIT, across)

@@ -72,3 +72,43 @@ def test_a_file_above_two_gigabytes_has_its_digest(spark, tmp_path):
         digest.update(zeros)
     digest.update(bytes(size & ((1 << 24) - 1)))
     assert tuple(jsonl.manifest(spark, [str(tmp_path / "sparse")]).first()[1:]) == (size, digest.hexdigest(), 1)
+
+
+def test_a_folder_of_files_counts_as_one(spark, tmp_path):
+    parts = [content(k, ["\n"]).encode().removesuffix(b"last").rstrip(b"\n") + b"\n" for k in range(4)] + [b""]
+    for k, data in enumerate(parts):
+        (tmp_path / f"part-0000{k}.txt").write_bytes(data)
+    whole = b"".join(parts)
+    want = [(i, x) for i, x in enumerate(whole.splitlines(), 1)]
+    known = ranges.listing([str(tmp_path)])
+    for df in (jsonl.lines(spark, str(tmp_path), split=100, across=True), ranges.numbered(spark, known, 1 << 20, across=True), jsonl._spark_lines(spark, f"{tmp_path}/*.txt", across=True)):
+        assert sorted((r.line_no, r.value.encode()) for r in df.collect()) == want
+    for path in (str(tmp_path), f"{tmp_path}/*.txt"):
+        assert tuple(jsonl.manifest(spark, [path], across=True).first()[1:]) == (len(whole), hashlib.sha256(whole).hexdigest(), len(want))
+
+
+def test_ranges_are_bounded_in_number():
+    import json
+
+    size = 1 << 32
+    made = ranges.RangeReader({"mode": "lines", "split": "65536", "paths": json.dumps([("a", size)])}).partitions()
+    assert len(made) <= ranges.MOST + 1 and made[-1].end == size  # were 65536, each task being sent a number for each
+
+
+@pytest.mark.parametrize("name", ["s01_line_numbers"])
+def test_written_folders_have_files_of_many_tasks(spark, tmp_path, monkeypatch, name):
+    from lexmill import queries, queries_files
+
+    monkeypatch.setattr(queries_files, "folder", lambda _: str(tmp_path / "out"))
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(8)
+    d.write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task a file
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        assert queries.QUERIES[name](spark, str(tmp_path / "in")).count()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(list((tmp_path / "out").rglob("part-*"))) > 4
