@@ -36,10 +36,10 @@ def s01(spark, sf_dir):
 
 
 def quarters(spark: SparkSession, sf_dir: str, value) -> str:
-    """A file a remainder of doc_id by four, rows in the order of doc_id."""
+    """A folder a remainder of doc_id by four, rows in the order of doc_id through the files of a folder."""
     path = folder(spark)
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("part"), "doc_id", value.alias("value"))
-    d.repartition(4, "part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(path)
+    d.repartitionByRange("part", "doc_id").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(path)
     return path
 
 
@@ -49,9 +49,9 @@ def part_of():
 
 @query("s01_numbers_of_ranges", "SELECT doc_id % 4 AS part, 2 * row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 AS line_no, doc_id FROM documents")
 def s01_ranges(spark, sf_dir):
-    """Every line's number and id, from ranges of 64 KB of each file; every second line is blank."""
+    """Every line's number and id, from ranges of 64 KB of each file, larger ones in large folders; every second line is blank."""
     path = quarters(spark, sf_dir, F.concat(F.to_json(F.struct("doc_id", "text")), F.lit("\n")))
-    got = jsonl.lines(spark, path, split=1 << 16).where("value <> ''")
+    got = jsonl.lines(spark, path, split=1 << 16, across=True).where("value <> ''")
     return got.select(part_of(), "line_no", F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
 
 
@@ -63,7 +63,7 @@ def s01_ranges(spark, sf_dir):
 )
 def s09_documents(spark, sf_dir):
     path = quarters(spark, sf_dir, F.concat_ws(" ", F.col("doc_id").cast("string"), F.translate("text", "\r", " ")))
-    return jsonl.manifest(spark, [path]).select(part_of(), "bytes", "sha256", "records")
+    return jsonl.manifest(spark, [path], across=True).select(part_of(), "bytes", "sha256", "records")
 
 
 @query("k01_split_folders", "SELECT o_orderstatus AS split, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1")

@@ -95,7 +95,7 @@ def test_ranges_are_bounded_in_number():
     assert len(made) <= ranges.MOST + 1 and made[-1].end == size  # were 65536, each task being sent a number for each
 
 
-@pytest.mark.parametrize("name", ["s01_line_numbers"])
+@pytest.mark.parametrize("name", ["s01_line_numbers", "s01_numbers_of_ranges", "s09_digests_of_documents"])
 def test_written_folders_have_files_of_many_tasks(spark, tmp_path, monkeypatch, name):
     from lexmill import queries, queries_files
 
