@@ -64,9 +64,13 @@ def permuted(index: Column, n: int, seed: int, epoch: int, back: bool = False, r
 
         return F.aggregate(order, pair, backward if back else forward, lambda p: F.shiftleft(p["l"], bits).bitwiseOR(p["r"]))
 
-    start = once(index.cast("long"))
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), start, lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return F.when(out < n, out).otherwise(F.raise_error(F.lit("a walk didn't end")).cast("long"))
+    def walked(x: Column, left: int, some: int) -> Column:
+        # most walks end soon: the next stretch, twice as long, is gone through only where this one hasn't ended
+        step, left = F.array(*[F.lit(1)] * min(some, left)), left - min(some, left)
+        rest = (lambda y: walked(y, left, 2 * some)) if left else (lambda y: F.raise_error(F.lit("a walk didn't end")).cast("long"))
+        return F.aggregate(step, x, lambda y, _: F.when(y < n, y).otherwise(once(y)), lambda y: F.when(y < n, y).otherwise(rest(y)))
+
+    return walked(once(index.cast("long")), walks, 2)
 
 
 def hash_key(seed: int, epoch: int, r: int) -> int:
@@ -77,7 +81,8 @@ def hash_key(seed: int, epoch: int, r: int) -> int:
 
 def placed(df: DataFrame, index: str, n: int, seed: int, epoch: int, start: int = 0, name: str = "place") -> DataFrame:
     """Rows of dense numbers (0 to n - 1 in index) with their place in a pass, from place ``start`` on: a filter where rows are read."""
-    return df.withColumn(name, permuted(F.col(index), n, seed, epoch)).where(F.col(name) >= start)
+    out = df.withColumn(name, permuted(F.col(index), n, seed, epoch))
+    return out.where(F.col(name) >= start) if start > 0 else out  # a filter computes the places once more
 
 
 def next_rows(spark: SparkSession, n: int, seed: int, epoch: int, start: int, rows: int, index: str = "idx") -> DataFrame:

@@ -47,3 +47,10 @@ def test_ten_thousand_thresholds(spark):
     some = {r.threshold: 2 * r.tp / r.n for r in metrics.threshold_counts(df, "p", "t", [best.threshold, 0.5, 0.1]).collect()}
     assert best.micro_f1 == pytest.approx(some[best.threshold]) and best.micro_f1 >= max(some.values()) - 1e-12
     assert metrics.tune_threshold(df.limit(0), "p", "t").count() in (0, 1)
+
+
+def test_walks_that_ended_are_not_gone_on_with(spark):
+    plan = batches.placed(spark.range(70_000), "id", 70_000, 3, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "Filter" not in plan  # were a stretch of all 64 walks a row, and all of it twice
+    row = spark.range(1).select(batches.permuted(F.lit(5).cast("long"), 1000, 3, 1).alias("p"), batches.permuted(batches.permuted(F.lit(5).cast("long"), 1000, 3, 1), 1000, 3, 1, back=True).alias("q")).first()
+    assert 0 <= row.p < 1000 and row.q == 5
