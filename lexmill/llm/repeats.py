@@ -35,7 +35,7 @@ HOT = 4096
 KEY_GROUPS = 16  # keys are small: a bucket of keys takes those of so many groups' text
 LAST = np.iinfo(np.int64).max
 MUL = 0x9E3779B97F4A7C15
-STEP = 1 << 20
+STEP = 1 << 18  # windows at a time: their hashes take over 50 times as much
 _rng = np.random.default_rng(50)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 

@@ -32,3 +32,21 @@ def test_scoring_takes_texts_in_small_blocks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 48e6  # a block of 1 MB took over 100 MB
+
+
+def test_windows_are_hashed_in_small_steps():
+    import tracemalloc
+
+    from lexmill.llm import repeats
+
+    data = np.random.default_rng(1).integers(97, 123, 3 << 20, dtype=np.uint8)
+    offsets = np.arange(0, len(data) + 1, 1 << 12, dtype=np.int64)
+    tracemalloc.start()
+    doc, first, count, key = repeats._runs(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - sum(x.nbytes for x in (doc, first, count, key)) < 32e6  # steps of 1 MB took 46 MB
+    # each window once, whatever the steps
+    assert count.sum() == len(offsets[1:]) * ((1 << 12) - repeats.LENGTH + 1)
+    at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    assert len(np.unique(at)) == len(at) and (np.repeat(key, count) == repeats._keys(data)[at]).all()
