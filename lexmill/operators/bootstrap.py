@@ -58,14 +58,15 @@ def part_draws(counts: np.ndarray, part: int, iterations: int, seed: int) -> np.
     return draws
 
 
-def drawn_sums(stats: DataFrame, columns: list[str], iterations: int, seed: int, cells: int = 1 << 22) -> DataFrame:
+def drawn_sums(stats: DataFrame, columns: list[str], iterations: int, seed: int, cells: int = 1 << 22, kept: bool = False) -> DataFrame:
     """Rows (rep, *columns): each replicate's weighted sums of columns over stats, which has one row a group.
 
-    The groups are checkpointed once and stay in their parts. A task takes its part's draws from the tree
+    The groups are checkpointed once and stay in their parts; kept says that stats is a checkpoint already. A task takes its part's draws from the tree
     (``part_draws``), deals them on to stretches of at most ``cells`` / iterations groups by binomial draws and to the
     groups of a stretch one by one, and multiplies the weights with the stretch's columns; its iterations x columns sums
     are all that is shuffled. The law is that of drawing as many groups as there are, with replacement. Null is zero."""
-    held = cut(stats.select(F.spark_partition_id().alias("part"), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)]))
+    held = stats.select(F.spark_partition_id().alias("part"), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)])
+    held = held if kept else cut(held)
     met = dict(held.groupBy("part").count().collect())  # a number a part
     counts = np.array([met.get(p, 0) for p in range(max(met, default=-1) + 1)], np.int64)
     names, most = ["rep", *[f"c{i}" for i in range(len(columns))]], max(1, cells // iterations)

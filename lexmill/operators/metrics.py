@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -192,10 +192,15 @@ def case_levels(rows: DataFrame, group: str = "group_id") -> DataFrame:
 def case_metrics(levels: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Defendant and case accuracy over groups' levels."""
     w = F.col(weight) if weight else F.lit(1.0)
-    out = [F.round(F.sum(w * F.col("defendants"))).cast("long").alias("defendant_count"), F.round(F.sum(w)).cast("long").alias("case_count")]
+    return levels.groupBy(*by).agg(*case_ratios(lambda c: F.sum(w if c == "cases" else w * F.col(c))))
+
+
+def case_ratios(total: Callable[[str], Column]) -> list[Column]:
+    """The columns of ``case_metrics`` from the sums of the levels' columns, and of ``cases``, the groups."""
+    out = [F.round(total("defendants")).cast("long").alias("defendant_count"), F.round(total("cases")).cast("long").alias("case_count")]
     for n in ("charge", "charge_article", "full"):
-        out += [ratio(F.sum(w * F.col(f"{n}_right")), F.sum(w * F.col("defendants"))).alias(f"defendant_{n}_accuracy"), ratio(F.sum(w * F.col(f"{n}_case")), F.sum(w)).alias(f"case_{n}_accuracy")]
-    return levels.groupBy(*by).agg(*out)
+        out += [ratio(total(f"{n}_right"), total("defendants")).alias(f"defendant_{n}_accuracy"), ratio(total(f"{n}_case"), total("cases")).alias(f"case_{n}_accuracy")]
+    return out
 
 
 def threshold_counts(rows: DataFrame, probabilities: str, truth: str, grid: Sequence[float]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, sentence_class
 from ..operators import bootstrap, metrics
+from ..operators.components import cut
 
 # The endpoints that are tested by default, five at most.
 ENDPOINTS = {
@@ -125,13 +126,31 @@ def endpoints_of(kind: str, names: list[str] | None = None) -> list[str]:
     return chosen
 
 
-def evaluate(rows: DataFrame, kind: str, iterations: int = 200, seed: int = 42, bucket: Column | None = None, names: list[str] | None = None) -> DataFrame:
-    """Rows (metric, estimate, lower, upper) of the kind's endpoints, or of any of its metrics by name."""
+def _levels(rows: DataFrame, kind: str) -> DataFrame | None:
+    """A checkpoint of the groups' levels, a row of sums each, where the kind's metrics are ratios of these; else None."""
+    return None if kind in ("static", "counterfactual") else cut(metrics.case_levels(rows).withColumn("cases", F.lit(1)))
+
+
+def _drawn_cases(levels: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """The rows of ``replicates`` from levels, drawn where the groups are: no table of weights, a row a replicate and task is shuffled."""
+    columns = [c for c in levels.columns if c != "group_id"]
+    return bootstrap.drawn_sums(levels, columns, iterations, seed, kept=True).select("rep", *metrics.case_ratios(F.col))
+
+
+def evaluate(rows: DataFrame, kind: str, iterations: int = 200, seed: int = 42, bucket: Column | None = None, names: list[str] | None = None, levels: DataFrame | None = None) -> DataFrame:
+    """Rows (metric, estimate, lower, upper) of the kind's endpoints, or of any of its metrics by name.
+
+    Metrics of cases are ratios of sums a group, drawn in place by the law of the table of weights; they need no bucket.
+    levels may give their sums, as ``_levels`` makes them."""
     names = ENDPOINTS[kind] if names is None else list(names)
-    weights = bootstrap.group_weights(rows, "group_id", iterations, seed, bucket)
+    levels = _levels(rows, kind) if levels is None else levels
+    if levels is None:
+        drawn, whole = replicates(rows, kind, bootstrap.group_weights(rows, "group_id", iterations, seed, bucket)), metrics_of(rows, kind)
+    else:
+        drawn, whole = _drawn_cases(levels, iterations, seed), metrics.case_metrics(levels)
     lower, upper = bootstrap.interval(F.col("v"))
-    spread = _long(replicates(rows, kind, weights), names, "v").groupBy("metric").agg(lower.alias("lower"), upper.alias("upper"))
-    return _long(metrics_of(rows, kind), names, "estimate").join(spread, "metric")
+    spread = _long(drawn, names, "v").groupBy("metric").agg(lower.alias("lower"), upper.alias("upper"))
+    return _long(whole, names, "estimate").join(spread, "metric")
 
 
 def compare(candidate: DataFrame, reference: DataFrame, kind: str, key: str, truth: list[str], iterations: int = 200, seed: int = 42, bucket: Column | None = None, names: list[str] | None = None, strict: bool = False) -> DataFrame:
@@ -161,12 +180,13 @@ def payload(rows: DataFrame, kind: str, iterations: int = 200, seed: int = 42, r
     """One row (payload): the evaluation as JSON, with metrics, intervals, how they were drawn and, with a reference, the comparison.
 
     NaN stands as the text "NaN"; a metric that isn't the kind's is an error."""
-    whole = metrics_of(rows, kind)
+    levels = _levels(rows, kind)
+    whole = metrics_of(rows, kind) if levels is None else metrics.case_metrics(levels)
     chosen = endpoints_of(kind, names)
     if unknown := [n for n in chosen if n not in whole.columns]:
         raise ValueError(f"unknown endpoints: {', '.join(unknown)}")
     table = lambda df: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.struct(*[c for c in df.columns if c != "metric"]))))).alias("m"))  # noqa: E731  # a row a metric
-    out = whole.select(F.struct(*whole.columns).alias("metrics")).crossJoin(table(evaluate(rows, kind, iterations, seed, bucket, chosen)).withColumnRenamed("m", "confidence_intervals"))
+    out = whole.select(F.struct(*whole.columns).alias("metrics")).crossJoin(table(evaluate(rows, kind, iterations, seed, bucket, chosen, levels)).withColumnRenamed("m", "confidence_intervals"))
     out = out.withColumn("bootstrap", F.struct(F.lit(iterations).alias("iterations"), F.lit(seed).alias("seed"), F.lit("group_id").alias("cluster_key")))
     if reference is not None:
         out = out.crossJoin(table(compare(rows, reference, kind, key, list(truth), iterations, seed, bucket, chosen)).withColumnRenamed("m", "comparison"))

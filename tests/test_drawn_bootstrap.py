@@ -53,3 +53,23 @@ def test_shuffle_does_not_grow_with_the_groups(spark):
 
     assert moved(400) == (20, 400 * 20) and moved(40_000) == (20, 40_000 * 20)
     assert bootstrap.drawn_sums(spark.range(0).select(F.lit(1.0).alias("x")), ["x"], 3, 1).agg(F.sum("x")).first()[0] in (None, 0.0)
+
+
+def test_cases_are_evaluated_without_a_table_of_weights(spark, monkeypatch):
+    import json
+
+    from lexmill.plans import evaluate
+
+    kind = F.lit("fixed_term")
+    i = F.col("id")
+    rows = spark.range(0, 900, 1, 3).select((i % 300).alias("group_id"), (i % 7 != 0).alias("correct"), (i % 5 != 0).alias("article_correct"), kind.alias("penalty_type"), kind.alias("predicted_penalty_type"), (i % 40).cast("double").alias("true_months"), (i % 41).cast("double").alias("predicted_months"))
+    names = ["defendant_full_accuracy", "case_charge_accuracy", "case_count"]
+    table = evaluate.replicates(rows, "cmdl", bootstrap.group_weights(rows, "group_id", 300, 5))
+    bounds = {n: table.agg(*bootstrap.interval(F.col(n).cast("double"))).first() for n in names}
+    monkeypatch.setattr(bootstrap, "group_weights", None)
+    got = {r.metric: r for r in evaluate.evaluate(rows, "cmdl", 300, 5, names=names).collect()}
+    whole = evaluate.metrics_of(rows, "cmdl").first()
+    for n in names:
+        assert got[n].estimate == whole[n] and (got[n].lower, got[n].upper) == pytest.approx(tuple(bounds[n]), abs=0.02)
+    told = json.loads(evaluate.payload(rows, "cmdl", 20, names=names).first()[0])
+    assert told["metrics"]["case_count"] == 300 and set(told["confidence_intervals"]) == set(names)
