@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -66,22 +68,18 @@ def signatures(df: DataFrame, text: str = "text", key: str = "key", n: int = 64,
 
 
 def native_signatures(df: DataFrame, text: str = "text", key: str = "key", n: int = 64, shingle: int = 5, seed: int = 20261024) -> DataFrame:
-    """The same signatures from built-in expressions: polynomials modulo a Mersenne prime, so every product fits
-    a long; the minima are combined map-side before one shuffle on the key."""
+    """The same signatures from built-in expressions: a shingle's polynomial is a sum of codes times powers modulo a Mersenne prime,
+    so that all products and their sum fit a long and one remainder is taken. Places are exploded, not hashes: what is worked
+    out a shingle is compiled, not a lambda's. The minima are combined map-side before one shuffle on the key."""
     a, b = coefficients(n, seed)
     norm = df.select(normalize_text(text).alias("t")).distinct().withColumn(key, F.sha2("t", 256))
-    codes = F.when(F.col("t") == "", F.array(F.lit(0))).otherwise(F.transform(F.regexp_extract_all("t", F.lit("(?s)(.)"), F.lit(1)), lambda c: F.ascii(c)))
-    rows = norm.select(key, codes.alias("c")).withColumn("w", F.least(F.size("c"), F.lit(shingle)))
-    at = lambda i, k: F.get("c", i + k).cast("long")
-
-    def horner(i):
-        h = F.lit(0).cast("long")
-        for k in range(shingle):
-            h = F.when(F.lit(k) < F.col("w"), (h * BASE + at(i, k)) % PRIME).otherwise(h)
-        return h
-
-    hashes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("c") - F.col("w")), horner))
-    flat = rows.select(key, F.explode(hashes).alias("h"))
+    codes = norm.select(key, F.transform(F.split("t", ""), lambda c: F.ascii(c)).alias("c"))
+    # zeros in front of a short text don't change its polynomial; an empty one's is zero
+    zeros = F.array_repeat(F.lit(0), F.greatest(F.lit(shingle) - F.size("c"), F.lit(0)))
+    rows = codes.select(key, F.concat(zeros, "c").alias("c"))
+    places = rows.select(key, "c", F.explode(F.sequence(F.lit(0), F.size("c") - shingle)).alias("i"))
+    terms = [F.get("c", F.col("i") + k).cast("long") * pow(BASE, shingle - 1 - k, PRIME) for k in range(shingle)]
+    flat = places.select(key, (reduce(add, terms) % PRIME).alias("h"))
     minima = flat.groupBy(key).agg(*[F.min((F.col("h") * x + y) % PRIME).alias(f"m{i}") for i, (x, y) in enumerate(zip(a, b))])
     return minima.select(key, F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
 
