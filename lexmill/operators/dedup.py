@@ -33,7 +33,9 @@ def signatures(df: DataFrame, text: str = "text", key: str = "key", n: int = 64,
     make keys distinct is a signature a row, not its text or its shingles. ``native_signatures`` gives the
     same from built-in expressions."""
     a, b = (np.array(x, np.uint64)[:, None] for x in coefficients(n, seed))
-    p, bits = np.uint64(PRIME), np.uint64(31)
+    p, bits, most = np.uint64(PRIME), np.uint64(31), 512
+    product, folded = np.empty((n, most), np.uint64), np.empty((n, most), np.uint64)
+    short, over = np.empty((n, most), np.uint32), np.empty((n, most), np.uint32)
 
     def reduced(x: np.ndarray) -> np.ndarray:
         """Modulo 2^31 - 1: the upper bits are added to the lower ones."""
@@ -41,18 +43,35 @@ def signatures(df: DataFrame, text: str = "text", key: str = "key", n: int = 64,
         x = (x & p) + (x >> bits)
         return np.where(x >= p, x - p, x)
 
+    def least(h: np.ndarray) -> np.ndarray:
+        """The least of each permutation's values: one fold leaves under 2 * (2^31 - 1), which 32 bits hold; the lesser of that and that
+        less 2^31 - 1 (which wraps where it is negative) is the remainder. Blocks of ``most`` stay in a core's cache."""
+        low = np.full(n, PRIME, np.uint32)
+        for at in range(0, len(h), most):
+            part = h[at : at + most]
+            x, y, u, v = (z[:, : len(part)] for z in (product, folded, short, over))
+            np.multiply(part, a, out=x)
+            np.add(x, b, out=x)
+            np.right_shift(x, bits, out=y)
+            np.bitwise_and(x, p, out=x)
+            np.add(x, y, out=u, casting="unsafe")
+            np.subtract(u, np.uint32(PRIME), out=v)
+            np.minimum(u, v, out=u)
+            np.minimum(low, u.min(1), out=low)
+        return low.astype(np.int64)
+
     def one(t: str) -> np.ndarray:
         codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
         if not len(codes):
             codes = np.zeros(1, np.uint64)
         width = min(shingle, len(codes))
         h = np.zeros(len(codes) - width + 1, np.uint64)
-        for k in range(width):
-            h = reduced(h * np.uint64(BASE) + codes[k : k + len(h)])
-        h, low = np.unique(h), np.full(n, p, np.uint64)
-        for at in range(0, len(h), 4096):  # a bounded block at a time, however long the text
-            low = np.minimum(low, reduced(h[at : at + 4096] * a + b).min(1))
-        return low.astype(np.int64)
+        for k in range(width):  # a code takes 21 bits and a power 31
+            h += codes[k : k + len(h)] * np.uint64(pow(BASE, width - 1 - k, PRIME))
+            if k % 1024 == 1023:
+                h = reduced(h)
+        h = np.sort(reduced(h))
+        return least(h[np.concatenate([[True], h[1:] != h[:-1]])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
