@@ -58,7 +58,8 @@ def article_label(value: C, statute: str = "criminal_law") -> Column:
     fine = v.rlike(r"^[0-9]+([-:./][0-9]+)*$") & F.forall(parts, lambda p: p.rlike("[1-9]"))
     # leading zeros go by text, so that any length fits
     bare = F.transform(parts, lambda p: F.regexp_replace(p, "^0+", ""))
-    return F.when(fine, F.concat(F.lit(statute + ":"), F.array_join(bare, ":")))
+    # most are one number without leading zeros, and need no parts
+    return F.when(v.rlike("^[1-9][0-9]*$"), F.concat(F.lit(statute + ":"), v)).when(fine, F.concat(F.lit(statute + ":"), F.array_join(bare, ":")))
 
 
 def article_labels(values: C, statute: str = "criminal_law") -> Column:
@@ -110,41 +111,46 @@ def simple_penalty(death: C, life: C, months: C) -> Column:
     return F.when(F.coalesce(col(death), F.lit(False)), "death").when(F.coalesce(col(life), F.lit(False)), "life").when(m.isNull() | (m <= 0), "exempt").otherwise("fixed_term")
 
 
+PENALTY_FLAGS, PENALTY_MONTHS = ["death_penalty", "life_imprisonment"], ["imprisonment", "detention", "surveillance"]
+PLAIN_PENALTY = f"struct<{','.join([*[f'{n}:boolean' for n in PENALTY_FLAGS], *[f'{n}:bigint' for n in PENALTY_MONTHS]])}>"
+
+
 def read_penalty(obj: C) -> Column:
     """(type, months) of a penalty object given as VARIANT, null where it is missing or unusable.
 
     JSON kinds carry meaning: null and "" are no value; a flag that is no boolean or months that are no
     integer make the object unusable; exemption needs all three month fields to be the integer zero."""
-    v = col(obj)
-    fields = ["death_penalty", "life_imprisonment", "imprisonment", "detention", "surveillance"]
-    at = lambda n: F.try_variant_get(v, f"$.{n}", "variant")
-    # each field and its kind are read once, into a struct that the rules share
-    read = F.struct(F.schema_of_variant(v).startswith("OBJECT").alias("whole"), *[at(n).alias(n) for n in fields], *[F.schema_of_variant(at(n)).alias(f"kind_{n}") for n in fields])
-    return F.get(F.transform(F.array(read), lambda x: _penalty_of(x, fields)), F.lit(0))
-
-
-def _penalty_of(x: Column, fields: list[str]) -> Column:
-    kind = lambda n: x[f"kind_{n}"]
-    there = {n: x[n].isNotNull() for n in fields}
-    bad_flag = lambda n: there[n] & (kind(n) != "BOOLEAN")
-    none = lambda n: ~there[n] | (kind(n) == "VOID") | ((kind(n) == "STRING") & (F.coalesce(F.try_variant_get(x[n], "$", "string"), F.lit("x")) == ""))
-    bad_months = lambda n: ~none(n) & (kind(n) != "BIGINT")
-    months = {n: F.when(none(n), F.lit(None).cast("int")).otherwise(F.try_variant_get(x[n], "$", "int")) for n in fields[2:]}
-    months = {n: F.when(m < 0, F.raise_error(F.lit(f"{n} months must not be negative")).cast("int")).otherwise(m) for n, m in months.items()}
-    flag = lambda n: F.coalesce(F.try_variant_get(x[n], "$", "boolean"), F.lit(False))
-    made = lambda t, m=None: F.struct(F.lit(t).alias("type"), (m if m is not None else F.lit(None).cast("int")).alias("months"))
-    nothing = F.lit(None).cast("struct<type:string,months:int>")
-    usable = x["whole"] & (there[fields[0]] | there[fields[1]] | there[fields[2]] | there[fields[3]] | there[fields[4]])
-    broken = bad_flag(fields[0]) | bad_flag(fields[1]) | bad_months(fields[2]) | bad_months(fields[3]) | bad_months(fields[4])
+    made = lambda x, kind: F.when(kind.isNotNull(), F.struct(kind.alias("type"), F.when(kind == "fixed_term", x["imprisonment"].cast("int")).alias("months")))
+    return bound(plain_penalty(obj), lambda x: bound(penalty_type(x), lambda kind: made(x, kind)))
+
+
+def plain_penalty(obj: C) -> Column:
+    """A VARIANT penalty as PLAIN_PENALTY, null where it is no object or a field's JSON kind makes it unusable."""
+    fields = PENALTY_FLAGS + PENALTY_MONTHS
+    # the object is opened once, and each field's kind is read once; what is no object gives no struct
+    whole = F.try_variant_get(col(obj), "$", f"struct<{','.join(f'{n}:variant' for n in fields)}>")
+    read = lambda w: F.struct(*[w[n].alias(n) for n in fields], *[F.schema_of_variant(w[n]).alias(f"kind_{n}") for n in fields])
+    return bound(whole, lambda w: F.when(w.isNotNull(), bound(read(w), _plain)))
+
+
+def _plain(x: Column) -> Column:
+    kind = lambda n: F.coalesce(x[f"kind_{n}"], F.lit("VOID"))
+    empty = lambda n: (kind(n) == "VOID") | ((kind(n) == "STRING") & (F.coalesce(F.try_variant_get(x[n], "$", "string"), F.lit("x")) == ""))
+    fine = [x[n].isNull() | (kind(n) == "BOOLEAN") for n in PENALTY_FLAGS] + [empty(n) | (kind(n) == "BIGINT") for n in PENALTY_MONTHS]
+    flags = [F.try_variant_get(x[n], "$", "boolean").alias(n) for n in PENALTY_FLAGS]
+    months = [F.when(kind(n) == "BIGINT", F.try_variant_get(x[n], "$", "bigint")).alias(n) for n in PENALTY_MONTHS]
+    return F.when(reduce(lambda a, b: a & b, fine), F.struct(*flags, *months))
+
+
+def penalty_type(x: Column) -> Column:
+    """The type of a PLAIN_PENALTY, whose months go with a fixed term; months beyond 32 bits are none. Without lambdas and
+    short, so that it is compiled where it is a column's."""
+    negative = lambda n: F.raise_error(F.lit(f"{n} months must not be negative")).cast("boolean")
+    some = lambda n: F.when((x[n] < 0) & (x[n] >= -(1 << 31)), negative(n)).otherwise((x[n] > 0) & (x[n] < 1 << 31))
     return (
-        F.when(~F.coalesce(usable, F.lit(False)) | broken, nothing)
-        .when(flag("death_penalty"), made("death"))
-        .when(flag("life_imprisonment"), made("life"))
-        .when(months["imprisonment"] > 0, made("fixed_term", months["imprisonment"]))
-        .when(months["detention"] > 0, made("detention"))
-        .when(months["surveillance"] > 0, made("control"))
-        .when((months["imprisonment"] == 0) & (months["detention"] == 0) & (months["surveillance"] == 0), made("exempt"))
-        .otherwise(nothing)
+        F.when(x["death_penalty"], "death").when(x["life_imprisonment"], "life")
+        .when(some("imprisonment"), "fixed_term").when(some("detention"), "detention").when(some("surveillance"), "control")
+        .when((x["imprisonment"] == 0) & (x["detention"] == 0) & (x["surveillance"] == 0), "exempt")
     )
 
 

@@ -10,11 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import article_labels, canonical_id, others, read_penalty, simple_penalty, without_suffix
+from ..functions.columns import PLAIN_PENALTY, article_labels, canonical_id, others, penalty_type, plain_penalty, simple_penalty, without_suffix
 from . import ranges
 
 SIMPLE = "fact string, meta struct<criminals:array<string>,accusation:array<string>,relevant_articles:array<string>,term_of_imprisonment:struct<death_penalty:boolean,life_imprisonment:boolean,imprisonment:int>>"
 
+#: A case's parts that are read; penalties are VARIANT, or of the one kind that is right for each field.
+JUDGMENTS = "array<struct<standard_accusation:string,accusation:string,article:array<string>,penalty:{0}>>"
+OUTCOMES = f"array<struct<name:string,judgment:{JUDGMENTS},final_penalty:{{0}}>>"
+#: A JSON number with a fraction or exponent, or over 18 digits, as text isn't what was written.
+ODD_NUMBER = r"[:\[,]\s*-?[0-9]+(?:[.eE]|[0-9]{18})"
+#: A flag that is null is no boolean, which typed columns can't tell from a missing one. Patterns begin with rare letters, for speed.
+NULL_FLAGS = ['h_penalty"\\s*:\\s*null', '_imprisonment"\\s*:\\s*null']
+
 
 def lines(spark: SparkSession, path: str, split: int = ranges.SPLIT, across: bool = False) -> DataFrame:
     """Rows (path, line_no, value) with line numbers from 1 in each file, or with across in each folder; see ``ranges`` for how they are found."""
@@ -79,37 +87,47 @@ def simple_cases(parsed: DataFrame, split: str, dataset: str = "cail") -> DataFr
 def joint_cases(src: DataFrame, split: str, dataset: str = "cmdl") -> DataFrame:
     """One case per defendant of the nested layout; src has (path, line_no, value), value being JSON.
 
-    Penalties are read as VARIANT, for their JSON kinds carry meaning; charges and articles come from every judgment."""
-    v = F.parse_json("value")
-    text = lambda o, p: F.try_variant_get(o, p, "string")
-    base = src.select("path", "line_no", text(v, "$.fact").alias("fact"), F.variant_get(v, "$.outcomes", "array<variant>").alias("outcomes"), F.try_variant_get(v, "$.defendants", "array<string>").alias("listed"))
-    names = F.transform("outcomes", lambda o: text(o, "$.name"))
-    base = base.withColumn("names", names).withColumn("case", canonical_id(("defendants", F.coalesce("listed", "names")), ("fact", F.col("fact"))))
-    label = lambda j: without_suffix(F.coalesce(F.nullif(text(j, "$.standard_accusation"), F.lit("")), text(j, "$.accusation"), F.lit("")))
-
-    def outcome(o: Column) -> Column:
-        judgments = F.coalesce(F.try_variant_get(o, "$.judgment", "array<variant>"), F.array().cast("array<variant>"))
-        final = F.try_variant_get(o, "$.final_penalty", "variant")
-        return F.struct(
-            o.alias("o"), judgments.alias("j"), F.filter(F.transform(judgments, label), lambda c: c != "").alias("charges"), F.transform(judgments, lambda j: F.try_variant_get(j, "$.article", "array<string>")).alias("articles"),
-            read_penalty(final).alias("final"), F.when(F.size(judgments) == 1, read_penalty(F.try_variant_get(F.get(judgments, F.lit(0)), "$.penalty", "variant"))).alias("own"),
-            (final.isNotNull() & (F.schema_of_variant(final) != "VOID")).alias("given"),
-        )
-
-    # outcomes are read before they become rows: what is tested below are fields, not their expressions once more
-    one = base.select("*", F.posexplode(F.transform("outcomes", outcome)).alias("pos", "x")).select("*", "x.*").drop("x")
+    JSON kinds of penalties carry meaning. Lines whose parts all are of the expected kinds, most by far, are parsed straight into
+    typed columns (of a key given twice, the last counts); any other line is read as VARIANT. Charges and articles come from every judgment."""
+    expected = T.StructType.fromDDL(f"fact string, defendants array<string>, outcomes {OUTCOMES.format(PLAIN_PENALTY)}, _bad string")
+    r = F.from_json("value", expected, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
+    parsed = src.select("path", "line_no", "value", r.alias("r"))
+    plain = F.col("r").isNotNull() & F.col("r._bad").isNull() & F.ltrim("value").startswith("{") & ~F.col("value").rlike(ODD_NUMBER) & ~F.col("value").rlike(NULL_FLAGS[0]) & ~F.col("value").rlike(NULL_FLAGS[1])
+    parsed = parsed.select("path", "line_no", "r", F.when(~F.coalesce(plain, F.lit(False)), F.parse_json("value")).alias("v"))
+    v, odd = F.col("v"), F.col("v").isNotNull()
+    kinds = OUTCOMES.format("variant")
+    listed = F.coalesce(F.try_variant_get(v, "$.outcomes", kinds), F.variant_get(v, "$.outcomes", kinds))  # the second raises where they are no array
+    judgment = lambda j: F.struct(j["standard_accusation"].alias("standard_accusation"), j["accusation"].alias("accusation"), j["article"].alias("article"), plain_penalty(j["penalty"]).alias("penalty"))
+    typed = lambda o: F.struct(o["name"].alias("name"), F.transform(o["judgment"], judgment).alias("judgment"), plain_penalty(o["final_penalty"]).alias("final_penalty"))
+    given = lambda o: o["final_penalty"].isNotNull() & ~F.is_variant_null(o["final_penalty"])
+    base = parsed.select(
+        "path", "line_no", F.when(odd, F.try_variant_get(v, "$.fact", "string")).otherwise(F.col("r.fact")).alias("fact"), F.when(odd, F.try_variant_get(v, "$.defendants", "array<string>")).otherwise(F.col("r.defendants")).alias("listed"),
+        F.when(odd, F.transform(listed, typed)).otherwise(F.col("r.outcomes")).alias("outcomes"), F.when(odd, F.transform(listed, given)).alias("odd_given"),
+    )
+    base = base.withColumn("names", F.col("outcomes")["name"]).withColumn("case", canonical_id(("defendants", F.coalesce("listed", "names")), ("fact", F.col("fact"))))
+    # of a bare column Spark would infer a filter that parses every line once more
+    one = base.select("*", F.posexplode(F.coalesce("outcomes", F.array().cast(OUTCOMES.format(PLAIN_PENALTY)))).alias("pos", "x"))
+    said = lambda j: F.coalesce(F.nullif(j["standard_accusation"], F.lit("")), j["accusation"], F.lit(""))
+    one = one.select("*", F.col("x.name").alias("name"), F.coalesce("x.judgment", F.array().cast(JUDGMENTS.format(PLAIN_PENALTY))).alias("j"), F.col("x.final_penalty").alias("final_penalty"))
+    one = one.select(
+        "path", "line_no", "fact", "names", "case", "pos", "name", "final_penalty", F.size("j").alias("n"), F.col("j")["article"].alias("articles"), F.when(F.size("j") == 1, F.get("j", F.lit(0))["penalty"]).alias("own_penalty"),
+        F.filter(F.transform("j", lambda j: without_suffix(said(j))), lambda c: c != "").alias("charges"), F.when(F.col("odd_given").isNull(), F.col("final_penalty").isNotNull()).otherwise(F.get("odd_given", "pos")).alias("given"),
+    )
+    # penalties are worked out in a row of their own: what is tested below are fields, not their expressions once more
+    one = one.select("*", F.inline(F.array(F.struct(penalty_type(F.col("final_penalty")).alias("final"), penalty_type(F.col("own_penalty")).alias("own")))))
     listed = F.col("articles")
-    one = one.withColumn("articles_available", (F.size("j") > 0) & F.forall(listed, lambda a: a.isNotNull()))
-    chosen = F.coalesce("final", "own")
-    penalty = F.coalesce(chosen["type"], F.lit("unknown"))
-    masked = chosen.isNull()
-    exclusion = F.when(masked, F.when(F.size("j") > 1, "missing_final_penalty").otherwise("missing_penalty_fields"))
+    one = one.withColumn("articles_available", (F.col("n") > 0) & F.forall(listed, lambda a: a.isNotNull()))
+    penalty = F.coalesce("final", "own", F.lit("unknown"))
+    months = F.when(penalty == "fixed_term", F.when(F.col("final").isNotNull(), F.col("final_penalty.imprisonment")).otherwise(F.col("own_penalty.imprisonment")).cast("int"))
+    masked = F.col("final").isNull() & F.col("own").isNull()
+    exclusion = F.when(masked, F.when(F.col("n") > 1, "missing_final_penalty").otherwise("missing_penalty_fields"))
+    nth = F.when(F.col("pos") < 1000, F.lpad(F.col("pos").cast("string"), 3, "0")).otherwise(F.col("pos").cast("string"))
     case = one.select(
-        F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), F.format_string(f"{dataset}-%s-d%03d", "case", "pos").alias("case_id"), F.concat(F.lit(f"{dataset}-"), "case").alias("group_id"),
-        text(F.col("o"), "$.name").alias("target_defendant"), F.col("fact").alias("fact_raw"), "charges", penalty.alias("penalty_type"), chosen["months"].alias("imprisonment_months"),
+        F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), F.concat(F.lit(f"{dataset}-"), "case", F.lit("-d"), nth).alias("case_id"), F.concat(F.lit(f"{dataset}-"), "case").alias("group_id"),
+        F.col("name").alias("target_defendant"), F.col("fact").alias("fact_raw"), "charges", penalty.alias("penalty_type"), months.alias("imprisonment_months"),
         F.concat(F.col("path"), F.lit(":"), F.col("line_no").cast("string")).alias("source_path"),
         F.when(F.col("articles_available"), article_labels(F.flatten(listed))).otherwise(F.array().cast("array<string>")).alias("conviction_articles"), F.array().cast("array<string>").alias("sentencing_articles"),
-        others("names", text(F.col("o"), "$.name")).alias("co_defendants"), masked.alias("mask_penalty"), exclusion.alias("penalty_exclusion"), "articles_available",
+        others("names", "name").alias("co_defendants"), masked.alias("mask_penalty"), exclusion.alias("penalty_exclusion"), "articles_available",
         F.when(F.col("final").isNull() & F.col("own").isNotNull() & F.col("given"), "unusable_final_penalty_fallback").alias("penalty_fallback"), "path", "line_no",
     )
     return checked(case)
