@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected as components
-from .common import cut, small_batches
+from .common import cut, release, small_batches
 from .simhash import close_links, folded
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 20, 5
 BLOCK, BLOCK_MARKS = 1024, 1 << 20
+STRIP = 128  # rows of the matrices of a block that are worked on at once
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -74,17 +75,22 @@ def close_parts(sets: list[np.ndarray], least: float = LEAST, at_once: int = 204
     mark = number[mark]
     order = np.argsort(mark, kind="stable")
     mark, row = mark[order], row[order]
-    met = np.zeros((n, n))
+    met, strips = np.zeros((n, n), np.int32), [slice(i, i + STRIP) for i in range(0, n, STRIP)]
     for start in range(0, len(common), at_once):
         part = slice(*np.searchsorted(mark, [start, start + at_once]))
         has = np.zeros((n, min(at_once, len(common) - start)), np.float32)
         has[row[part], mark[part] - start] = 1
-        met += has @ has.T
-    both = size[:, None] + size
-    near = (both == 0) | (met >= least * (both - met)) | np.eye(n, dtype=bool)
+        for r in strips:
+            met[r] += (has[r] @ has.T).astype(np.int32)
+        del has
+    near = np.eye(n, dtype=bool)
+    for r in strips:
+        both = size[r, None] + size
+        near[r] |= (both == 0) | (met[r] >= least * (both - met[r]))
+    del met
     label = np.arange(n)
     while True:
-        low = np.where(near, label, n).min(1)
+        low = np.concatenate([np.where(near[r], label, n).min(1) for r in strips]) if n else label
         low = np.minimum(low, low[low])
         if (low == label).all():
             return label
@@ -128,6 +134,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     members = members.select("band", "key", "f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "f")
 
     def compare(t: pa.Table) -> pa.Table:
+        release()
         t = t.sort_by("f")
         part = close_parts([np.asarray(x) for x in t.column("s").combine_chunks().to_numpy(zero_copy_only=False)], least)
         names = t.column("f").to_pylist()

@@ -50,3 +50,24 @@ def test_windows_are_hashed_in_small_steps():
     assert count.sum() == len(offsets[1:]) * ((1 << 12) - repeats.LENGTH + 1)
     at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     assert len(np.unique(at)) == len(at) and (np.repeat(key, count) == repeats._keys(data)[at]).all()
+
+
+def test_blocks_of_near_copies_are_compared_in_strips():
+    import tracemalloc
+
+    from lexmill.llm import near
+
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 1 << 60, 200) for _ in range(64)]
+    sets = []
+    for i in range(2048):
+        own = base[i % 64].copy()
+        n = i // 64 % 16
+        own[rng.permutation(200)[:n]] = rng.integers(0, 1 << 60, n)
+        sets.append(np.unique(own))
+    tracemalloc.start()
+    label = near.close_parts(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # matrices of doubles took 130 MB
+    assert (label == np.arange(2048) % 64).all()
