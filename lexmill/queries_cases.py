@@ -43,7 +43,7 @@ def s03(spark, sf_dir):
         F.struct(F.col("s").alias("name"), F.array(fixed("a罪", "1"), fixed("b罪", "2")).alias("judgment"), none.alias("final_penalty")),
     )
     fact = F.concat_ws("/", "l_orderkey", "l_linenumber")
-    sinks.write_json_lines(lines_of(spark, sf_dir).select(fact.alias("fact"), F.array("p", "s").alias("defendants"), outcomes.alias("outcomes")), path)
+    sinks.write_json_lines(lines_of(spark, sf_dir).select(fact.alias("fact"), F.array("p", "s").alias("defendants"), outcomes.alias("outcomes")), path, compressed=True)
     got = jsonl.joint_cases(jsonl.lines(spark, path), "train")
     return got.select(
         "fact_raw", "target_defendant", F.array_join("co_defendants", "+").alias("others"), F.array_join("charges", "+").alias("charges"), "penalty_type", F.col("imprisonment_months").cast("double").alias("months"), "mask_penalty",

@@ -11,9 +11,11 @@ def write_by_split(df: DataFrame, path: str, split: str = "split", fmt: str = "p
     df.write.mode("overwrite").partitionBy(split).format(fmt).save(path)
 
 
-def write_json_lines(df: DataFrame, path: str, compressed: bool = False) -> int:
-    """Write JSON lines and return their number, which is counted as they are written."""
+def write_json_lines(df: DataFrame, path: str, compressed: bool = False, most: int = 200_000) -> int:
+    """Write JSON lines and return their number, which is counted as they are written. A compressed file is read by one task, so it has at most ``most`` lines."""
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    if compressed:
+        out = out.option("maxRecordsPerFile", most)
     out.option("compression", "gzip" if compressed else "none").option("ignoreNullFields", "false").json(path)
     return seen.get["n"]

@@ -1,11 +1,14 @@
 """Lines of the nested layout: expected ones go straight into typed columns, odd ones through VARIANT, with the same rules."""
 
+import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.sources import jsonl
+from lexmill import queries, queries_cases  # noqa: F401 - the registry comes first
+from lexmill.sources import jsonl, sinks
 
 P = {"death_penalty": False, "life_imprisonment": False, "imprisonment": 0, "detention": 0, "surveillance": 0}
 #: final_penalty, the only judgment's penalty, (type, months, fallback)
@@ -57,3 +60,18 @@ def test_lines_are_parsed_once(spark):
     """No filter is inferred that parses every line once more below."""
     plan = cases(spark, [{"fact": "f", "outcomes": []}]).select("penalty_type", F.size("charges"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_lines_of_the_query_take_little_disk(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "lines")
+    monkeypatch.setattr(queries_cases, "folder", lambda spark: path)
+    queries_cases.s03(spark, "/root/testdata/sf0.001")
+    stored = sum(os.path.getsize(f) for f in glob.glob(f"{path}/*"))
+    assert 0 < stored < spark.read.text(path).agg(F.sum(F.length("value"))).first()[0] / 10
+
+
+def test_compressed_files_hold_few_lines(spark, tmp_path):
+    n = sinks.write_json_lines(spark.range(35).coalesce(1), str(tmp_path / "j"), compressed=True, most=10)
+    got = jsonl.lines(spark, str(tmp_path / "j"))
+    assert n == 35 and got.rdd.getNumPartitions() == 4
+    assert sorted(r.line_no for r in got.collect()) == sorted([*range(1, 11)] * 3 + [*range(1, 6)])
