@@ -64,8 +64,13 @@ def article_label(value: C, statute: str = "criminal_law") -> Column:
 
 def article_labels(values: C, statute: str = "criminal_law") -> Column:
     """Normalised labels of an array, each once, in order; invalid ones raise."""
-    made = F.transform(col(values), lambda v: F.coalesce(article_label(v, statute), F.raise_error(F.concat(F.lit("invalid article label: "), v.cast("string"))).cast("string")))
-    return F.array_distinct(made)
+    listed = col(values).cast("array<string>")
+    made = F.transform(listed, lambda v: F.coalesce(article_label(v, statute), F.raise_error(F.concat(F.lit("invalid article label: "), v)).cast("string")))
+    # most are numbers without leading zeros, which need no lambda; a comma inside of one would show in their number
+    joined = F.array_join(listed, ",", "?")
+    split = F.split(F.concat(F.lit(f"{statute}:"), F.replace(joined, F.lit(","), F.lit(f",{statute}:"))), ",")
+    plain = joined.rlike("^[1-9][0-9]*(,[1-9][0-9]*)*\\z") & (F.size(split) == F.size(listed))
+    return F.array_distinct(F.when(plain, split).otherwise(made))
 
 
 def canonical_id(*fields: tuple[str, Column], length: int = 20) -> Column:

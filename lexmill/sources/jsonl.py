@@ -18,8 +18,9 @@ SIMPLE = "fact string, meta struct<criminals:array<string>,accusation:array<stri
 #: A case's parts that are read; penalties are VARIANT, or of the one kind that is right for each field.
 JUDGMENTS = "array<struct<standard_accusation:string,accusation:string,article:array<string>,penalty:{0}>>"
 OUTCOMES = f"array<struct<name:string,judgment:{JUDGMENTS},final_penalty:{{0}}>>"
-#: A JSON number with a fraction or exponent, or over 18 digits, as text isn't what was written.
-ODD_NUMBER = r"[:\[,]\s*-?[0-9]+(?:[.eE]|[0-9]{18})"
+#: A JSON number with a fraction or exponent, or over 18 digits, as text isn't what was written. It is looked for in what was
+#: read, printed, which is shorter than the line; numbers elsewhere don't matter.
+ODD_NUMBER = r"[{\[,:]\s*-?[0-9]+(?:[.eE]|[0-9]{18})"
 #: A flag that is null is no boolean, which typed columns can't tell from a missing one. Patterns begin with rare letters, for speed.
 NULL_FLAGS = ['h_penalty"\\s*:\\s*null', '_imprisonment"\\s*:\\s*null']
 
@@ -92,7 +93,7 @@ def joint_cases(src: DataFrame, split: str, dataset: str = "cmdl") -> DataFrame:
     expected = T.StructType.fromDDL(f"fact string, defendants array<string>, outcomes {OUTCOMES.format(PLAIN_PENALTY)}, _bad string")
     r = F.from_json("value", expected, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
     parsed = src.select("path", "line_no", "value", r.alias("r"))
-    plain = F.col("r").isNotNull() & F.col("r._bad").isNull() & F.ltrim("value").startswith("{") & ~F.col("value").rlike(ODD_NUMBER) & ~F.col("value").rlike(NULL_FLAGS[0]) & ~F.col("value").rlike(NULL_FLAGS[1])
+    plain = F.col("r").isNotNull() & F.col("r._bad").isNull() & F.ltrim("value").startswith("{") & ~F.col("r").cast("string").rlike(ODD_NUMBER) & ~F.col("value").rlike(NULL_FLAGS[0]) & ~F.col("value").rlike(NULL_FLAGS[1])
     parsed = parsed.select("path", "line_no", "r", F.when(~F.coalesce(plain, F.lit(False)), F.parse_json("value")).alias("v"))
     v, odd = F.col("v"), F.col("v").isNotNull()
     kinds = OUTCOMES.format("variant")
@@ -107,16 +108,20 @@ def joint_cases(src: DataFrame, split: str, dataset: str = "cmdl") -> DataFrame:
     base = base.withColumn("names", F.col("outcomes")["name"]).withColumn("case", canonical_id(("defendants", F.coalesce("listed", "names")), ("fact", F.col("fact"))))
     # of a bare column Spark would infer a filter that parses every line once more
     one = base.select("*", F.posexplode(F.coalesce("outcomes", F.array().cast(OUTCOMES.format(PLAIN_PENALTY)))).alias("pos", "x"))
-    said = lambda j: F.coalesce(F.nullif(j["standard_accusation"], F.lit("")), j["accusation"], F.lit(""))
+    said = lambda j: without_suffix(F.coalesce(F.nullif(j["standard_accusation"], F.lit("")), j["accusation"], F.lit("")))
     one = one.select("*", F.col("x.name").alias("name"), F.coalesce("x.judgment", F.array().cast(JUDGMENTS.format(PLAIN_PENALTY))).alias("j"), F.col("x.final_penalty").alias("final_penalty"))
+    n, nth = F.size("j"), lambda i: F.get("j", F.lit(i))
+    # up to two judgments need no lambda, which Spark interprets
+    charges = F.when(n == 1, F.array(said(nth(0)))).when(n == 2, F.array(said(nth(0)), said(nth(1)))).otherwise(F.transform("j", said))
+    own = F.when(n == 1, nth(0)["penalty"])
     one = one.select(
-        "path", "line_no", "fact", "names", "case", "pos", "name", "final_penalty", F.size("j").alias("n"), F.col("j")["article"].alias("articles"), F.when(F.size("j") == 1, F.get("j", F.lit(0))["penalty"]).alias("own_penalty"),
-        F.filter(F.transform("j", lambda j: without_suffix(said(j))), lambda c: c != "").alias("charges"), F.when(F.col("odd_given").isNull(), F.col("final_penalty").isNotNull()).otherwise(F.get("odd_given", "pos")).alias("given"),
+        "path", "line_no", "fact", "names", "case", "pos", "name", "final_penalty", n.alias("n"), F.flatten(F.col("j")["article"]).alias("listed"), own.alias("own_penalty"),
+        F.struct(penalty_type(F.col("final_penalty")).alias("final"), penalty_type(own).alias("own"), F.array_remove(charges, "").alias("charges")).alias("made"),
+        F.when(F.col("odd_given").isNull(), F.col("final_penalty").isNotNull()).otherwise(F.get("odd_given", "pos")).alias("given"),
     )
-    # penalties are worked out in a row of their own: what is tested below are fields, not their expressions once more
-    one = one.select("*", F.inline(F.array(F.struct(penalty_type(F.col("final_penalty")).alias("final"), penalty_type(F.col("own_penalty")).alias("own")))))
-    listed = F.col("articles")
-    one = one.withColumn("articles_available", (F.col("n") > 0) & F.forall(listed, lambda a: a.isNotNull()))
+    # what is tested below are fields of a row of their own, not their expressions once more
+    one = one.select("*", F.inline(F.array("made")))
+    one = one.withColumn("articles_available", (F.col("n") > 0) & F.col("listed").isNotNull())  # flattened lists are null where one is
     penalty = F.coalesce("final", "own", F.lit("unknown"))
     months = F.when(penalty == "fixed_term", F.when(F.col("final").isNotNull(), F.col("final_penalty.imprisonment")).otherwise(F.col("own_penalty.imprisonment")).cast("int"))
     masked = F.col("final").isNull() & F.col("own").isNull()
@@ -126,7 +131,7 @@ def joint_cases(src: DataFrame, split: str, dataset: str = "cmdl") -> DataFrame:
         F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), F.concat(F.lit(f"{dataset}-"), "case", F.lit("-d"), nth).alias("case_id"), F.concat(F.lit(f"{dataset}-"), "case").alias("group_id"),
         F.col("name").alias("target_defendant"), F.col("fact").alias("fact_raw"), "charges", penalty.alias("penalty_type"), months.alias("imprisonment_months"),
         F.concat(F.col("path"), F.lit(":"), F.col("line_no").cast("string")).alias("source_path"),
-        F.when(F.col("articles_available"), article_labels(F.flatten(listed))).otherwise(F.array().cast("array<string>")).alias("conviction_articles"), F.array().cast("array<string>").alias("sentencing_articles"),
+        F.when(F.col("articles_available"), article_labels("listed")).otherwise(F.array().cast("array<string>")).alias("conviction_articles"), F.array().cast("array<string>").alias("sentencing_articles"),
         others("names", "name").alias("co_defendants"), masked.alias("mask_penalty"), exclusion.alias("penalty_exclusion"), "articles_available",
         F.when(F.col("final").isNull() & F.col("own").isNotNull() & F.col("given"), "unusable_final_penalty_fallback").alias("penalty_fallback"), "path", "line_no",
     )

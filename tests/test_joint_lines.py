@@ -3,11 +3,13 @@
 import glob
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill import queries, queries_cases  # noqa: F401 - the registry comes first
+from lexmill.functions.columns import article_labels
 from lexmill.sources import jsonl, sinks
 
 P = {"death_penalty": False, "life_imprisonment": False, "imprisonment": 0, "detention": 0, "surveillance": 0}
@@ -75,3 +77,27 @@ def test_compressed_files_hold_few_lines(spark, tmp_path):
     got = jsonl.lines(spark, str(tmp_path / "j"))
     assert n == 35 and got.rdd.getNumPartitions() == 4
     assert sorted(r.line_no for r in got.collect()) == sorted([*range(1, 11)] * 3 + [*range(1, 6)])
+
+
+def test_generated_methods_are_compiled(spark):
+    """The JVM leaves methods of over 8,000 bytes to its interpreter."""
+    plan = cases(spark, [{"fact": "f", "outcomes": []}])._jdf.queryExecution().executedPlan()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+
+
+def test_labels_of_plain_and_other_articles(spark):
+    given = [["264", "25"], ["264", "0025-1", "264"], ["7", " 7 "], [], None, ["9" * 30]]
+    want = [["l:264", "l:25"], ["l:264", "l:25:1"], ["l:7"], [], None, ["l:" + "9" * 30]]
+    df = spark.createDataFrame([(x,) for x in given], "a array<string>")
+    assert [r[0] for r in df.select(article_labels("a", "l")).collect()] == want
+    for bad in (["1,2"], ["1", None], ["1\n,2"], ["0"], [""]):
+        with pytest.raises(Exception, match="invalid article label|USER_RAISED"):
+            spark.createDataFrame([(bad,)], "a array<string>").select(article_labels("a", "l")).collect()
+
+
+def test_judgments_of_any_number_and_empty_charges(spark):
+    j = lambda standard, said: {"standard_accusation": standard, "accusation": said, "article": ["1"]}
+    given = [[j("", "a罪")], [j(None, "a"), j("b罪", "c")], [j("", "罪"), j("", "a")], [j("", f"{i}罪") for i in range(4)], [j(None, None), j("", ""), j("x", "")]]
+    got = {int(r.fact_raw): r.charges for r in cases(spark, [{"fact": str(i), "outcomes": [{"name": "n", "judgment": x}]} for i, x in enumerate(given)]).collect()}
+    assert [got[i] for i in range(len(given))] == [["a"], ["a", "b"], ["a"], ["0", "1", "2", "3"], ["x"]]
