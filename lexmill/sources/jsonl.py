@@ -6,11 +6,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.json as pj
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import PLAIN_PENALTY, article_labels, canonical_id, others, penalty_type, plain_penalty, simple_penalty, without_suffix
+from ..functions.columns import PENALTY_FLAGS, PENALTY_MONTHS, PLAIN_PENALTY, article_labels, canonical_id, others, penalty_type, plain_penalty, simple_penalty, without_suffix
 from . import ranges
 
 SIMPLE = "fact string, meta struct<criminals:array<string>,accusation:array<string>,relevant_articles:array<string>,term_of_imprisonment:struct<death_penalty:boolean,life_imprisonment:boolean,imprisonment:int>>"
@@ -24,6 +26,12 @@ ODD_NUMBER = r"[{\[,:]\s*-?[0-9]+(?:[.eE]|[0-9]{18})"
 #: A flag that is null is no boolean, which typed columns can't tell from a missing one. Patterns begin with rare letters, for speed.
 NULL_FLAGS = ['h_penalty"\\s*:\\s*null', '_imprisonment"\\s*:\\s*null']
 
+#: The same parts for Arrow's reader of JSON, which refuses any other kind, keys given twice and whatever is no JSON.
+_PENALTY = pa.struct([(n, pa.bool_()) for n in PENALTY_FLAGS] + [(n, pa.int64()) for n in PENALTY_MONTHS])
+_JUDGMENT = pa.struct([("standard_accusation", pa.string()), ("accusation", pa.string()), ("article", pa.list_(pa.string())), ("penalty", _PENALTY)])
+_OUTCOME = pa.struct([("name", pa.string()), ("judgment", pa.list_(_JUDGMENT)), ("final_penalty", _PENALTY)])
+EXPECTED = pa.schema([("fact", pa.string()), ("defendants", pa.list_(pa.string())), ("outcomes", pa.list_(_OUTCOME))])
+
 
 def lines(spark: SparkSession, path: str, split: int = ranges.SPLIT, across: bool = False) -> DataFrame:
     """Rows (path, line_no, value) with line numbers from 1 in each file, or with across in each folder; see ``ranges`` for how they are found."""
@@ -85,16 +93,52 @@ def simple_cases(parsed: DataFrame, split: str, dataset: str = "cail") -> DataFr
     return checked(case.withColumn("group_id", F.col("case_id")))
 
 
+def _typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, line_no, value, and those of EXPECTED): lines of the expected kinds as typed columns, without value; others as value alone."""
+    for b in batches:
+        todo = [b.slice(at, 1024) for at in range(0, b.num_rows, 1024)][::-1]
+        while todo:
+            part = todo.pop()
+            n, read = part.num_rows, _plain(part.column(2))
+            if read is None and n > 128:  # one odd line doesn't hold up all
+                todo += [part.slice(n // 2), part.slice(0, n // 2)]
+                continue
+            value = part.column(2) if read is None else pa.nulls(n, part.column(2).type)
+            rest = [pa.nulls(n, f.type) for f in EXPECTED] if read is None else read.columns
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), value, *rest], names=["path", "line_no", "value", *EXPECTED.names])
+
+
+def _plain(value: pa.Array) -> pa.RecordBatch | None:
+    """Lines read by Arrow, or None where one is not of the expected kinds. A line from brace to brace holds one object or more, so
+    as many rows as lines are one each. Arrow takes bare NaN and Inf for numbers, and a null flag is not told from a missing one."""
+    whole = pc.and_(pc.starts_with(value, "{"), pc.ends_with(value, "}"))
+    odd = pc.match_substring_regex(value, "NaN|Inf|" + "|".join(NULL_FLAGS))
+    if value.null_count or not pc.all(whole).as_py() or pc.any(odd).as_py():
+        return None
+    text = pc.binary_join_element_wise(value, pa.scalar("", value.type), pa.scalar("\n", value.type)).buffers()[2]
+    if text.size >= (1 << 31) - 1:
+        return None
+    try:
+        read = pj.read_json(pa.BufferReader(text), pj.ReadOptions(use_threads=False, block_size=text.size + 1), pj.ParseOptions(explicit_schema=EXPECTED, unexpected_field_behavior="ignore"))
+    except pa.ArrowInvalid:
+        return None
+    return read.combine_chunks().to_batches()[0] if read.num_rows == len(value) else None
+
+
 def joint_cases(src: DataFrame, split: str, dataset: str = "cmdl") -> DataFrame:
     """One case per defendant of the nested layout; src has (path, line_no, value), value being JSON.
 
     JSON kinds of penalties carry meaning. Lines whose parts all are of the expected kinds, most by far, are parsed straight into
-    typed columns (of a key given twice, the last counts); any other line is read as VARIANT. Charges and articles come from every judgment."""
-    expected = T.StructType.fromDDL(f"fact string, defendants array<string>, outcomes {OUTCOMES.format(PLAIN_PENALTY)}, _bad string")
+    typed columns, by Arrow where a stretch of lines is of those kinds with texts as strings and keys given once, else by Spark (of a key
+    given twice, the last counts); any other line is read as VARIANT. Charges and articles come from every judgment."""
+    kinds = OUTCOMES.format(PLAIN_PENALTY)
+    typed = src.select("path", "line_no", "value").mapInArrow(_typed, f"path string, line_no long, value string, fact string, defendants array<string>, outcomes {kinds}")
+    expected = T.StructType.fromDDL(f"fact string, defendants array<string>, outcomes {kinds}, _bad string")
     r = F.from_json("value", expected, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
-    parsed = src.select("path", "line_no", "value", r.alias("r"))
+    parsed = typed.select("*", r.alias("r"))
     plain = F.col("r").isNotNull() & F.col("r._bad").isNull() & F.ltrim("value").startswith("{") & ~F.col("r").cast("string").rlike(ODD_NUMBER) & ~F.col("value").rlike(NULL_FLAGS[0]) & ~F.col("value").rlike(NULL_FLAGS[1])
-    parsed = parsed.select("path", "line_no", "r", F.when(~F.coalesce(plain, F.lit(False)), F.parse_json("value")).alias("v"))
+    text = F.col("value").isNotNull()
+    parsed = parsed.select("path", "line_no", *[F.when(text, F.col(f"r.{n}")).otherwise(F.col(n)).alias(n) for n in EXPECTED.names], F.when(text & ~F.coalesce(plain, F.lit(False)), F.parse_json("value")).alias("v"))
     v, odd = F.col("v"), F.col("v").isNotNull()
     kinds = OUTCOMES.format("variant")
     listed = F.coalesce(F.try_variant_get(v, "$.outcomes", kinds), F.variant_get(v, "$.outcomes", kinds))  # the second raises where they are no array
@@ -102,8 +146,8 @@ def joint_cases(src: DataFrame, split: str, dataset: str = "cmdl") -> DataFrame:
     typed = lambda o: F.struct(o["name"].alias("name"), F.transform(o["judgment"], judgment).alias("judgment"), plain_penalty(o["final_penalty"]).alias("final_penalty"))
     given = lambda o: o["final_penalty"].isNotNull() & ~F.is_variant_null(o["final_penalty"])
     base = parsed.select(
-        "path", "line_no", F.when(odd, F.try_variant_get(v, "$.fact", "string")).otherwise(F.col("r.fact")).alias("fact"), F.when(odd, F.try_variant_get(v, "$.defendants", "array<string>")).otherwise(F.col("r.defendants")).alias("listed"),
-        F.when(odd, F.transform(listed, typed)).otherwise(F.col("r.outcomes")).alias("outcomes"), F.when(odd, F.transform(listed, given)).alias("odd_given"),
+        "path", "line_no", F.when(odd, F.try_variant_get(v, "$.fact", "string")).otherwise(F.col("fact")).alias("fact"), F.when(odd, F.try_variant_get(v, "$.defendants", "array<string>")).otherwise(F.col("defendants")).alias("listed"),
+        F.when(odd, F.transform(listed, typed)).otherwise(F.col("outcomes")).alias("outcomes"), F.when(odd, F.transform(listed, given)).alias("odd_given"),
     )
     base = base.withColumn("names", F.col("outcomes")["name"]).withColumn("case", canonical_id(("defendants", F.coalesce("listed", "names")), ("fact", F.col("fact"))))
     # of a bare column Spark would infer a filter that parses every line once more

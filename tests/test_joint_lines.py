@@ -5,6 +5,7 @@ import json
 import os
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,36 @@ def test_judgments_of_any_number_and_empty_charges(spark):
     given = [[j("", "a罪")], [j(None, "a"), j("b罪", "c")], [j("", "罪"), j("", "a")], [j("", f"{i}罪") for i in range(4)], [j(None, None), j("", ""), j("x", "")]]
     got = {int(r.fact_raw): r.charges for r in cases(spark, [{"fact": str(i), "outcomes": [{"name": "n", "judgment": x}]} for i, x in enumerate(given)]).collect()}
     assert [got[i] for i in range(len(given))] == [["a"], ["a", "b"], ["a"], ["0", "1", "2", "3"], ["x"]]
+
+
+GOOD = json.dumps({"fact": "f", "more": 1.5, "defendants": ["a"], "outcomes": [{"name": "a", "judgment": [{"accusation": "x罪", "article": ["1"], "penalty": P}], "final_penalty": None}]})
+
+
+def batch(lines):
+    return pa.RecordBatch.from_arrays([pa.array(["f"] * len(lines)), pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["path", "line_no", "value"])
+
+
+def test_expected_lines_are_typed_by_arrow():
+    lines = [GOOD] * 1500 + ['{"fact":1}'] + [GOOD] * 1500
+    out = pa.Table.from_batches(jsonl._typed(iter([batch(lines)])))
+    assert out["line_no"].to_pylist() == list(range(3001)) and out["value"][1500].as_py() == '{"fact":1}'
+    assert len(out) - 128 <= out["value"].null_count < len(out)
+    first = json.loads(GOOD)
+    assert out["outcomes"][0].as_py() == [{"name": "a", "judgment": [first["outcomes"][0]["judgment"][0] | {"standard_accusation": None}], "final_penalty": None}]
+
+
+@pytest.mark.parametrize("odd", ['{"fact":"a"}{"fact":"b"}', "", " ", None, '{"x":NaN}', '{"x":-Inf}', '{"fact":1}', "[1]", '{"fact":"a","fact":"b"}', '{"outcomes":[{"final_penalty":{"death_penalty":null}}]}', '{"fact":"a"', '{"outcomes":[{"final_penalty":{"detention":1.0}}]}'])
+def test_other_lines_are_left_to_spark(odd):
+    for lines in ([odd], [GOOD, odd], [odd, '{"fact":"a"}{"fact":"b"}', GOOD]):
+        assert jsonl._plain(batch(lines).column(2)) is None
+
+
+def test_both_ways_give_the_same_cases(spark):
+    """A null flag sends every line of a batch the way over Spark's reader."""
+    some = [{"fact": f"{i}\"\\一\U0001f600", "outcomes": [{"name": f"n{i}", "judgment": [{"standard_accusation": s, "accusation": "c罪", "article": a, "penalty": P | {"imprisonment": i}}] * k, "final_penalty": p}]}
+            for i, (s, a, k, p) in enumerate([("a罪", ["1"], 1, None), (None, None, 2, P), ("", ["2", "3"], 3, P | {"imprisonment": 5}), ("b", [], 1, {})])]
+    odd = {"fact": "odd", "outcomes": [{"name": "n", "judgment": [{"accusation": "c"}], "final_penalty": {"death_penalty": None}}]}
+    rows = lambda lines: [r.asDict() | {"source_path": ""} for r in sorted(cases(spark, lines).collect(), key=lambda r: r.fact_raw) if r.fact_raw != "odd"]
+    alone, mixed = (batch([json.dumps(x) for x in lines]).column(2) for lines in (some, [*some, odd]))
+    assert jsonl._plain(alone) is not None and jsonl._plain(mixed) is None
+    assert len(rows(some)) == 4 and rows(some) == rows([x for s in some for x in (s, odd)])
